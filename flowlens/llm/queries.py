@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import quality_rules, secrets
+from flowlens.llm import licenses, quality_rules, secrets
 from flowlens.llm.texts import read_documents, read_labels
 
 
@@ -16,6 +16,15 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(read_documents(spark, sf_dir))
+    starts = F.transform("base", lambda b: b["start"].cast("long"))
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        licenses.labels_of(F.col("base")).alias("base_labels"), licenses.labels_of(F.col("base"), F.col("detections")).alias("labels"), licenses.score_of(F.col("base"), F.col("detections")).alias("score"),
+    )
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(read_documents(spark, sf_dir))
     of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
@@ -23,7 +32,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_quality_rules": op3_quality_rules, "op10_secrets": op10_secrets}
+    return {"op3_quality_rules": op3_quality_rules, "op8_licenses": op8_licenses, "op10_secrets": op10_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
