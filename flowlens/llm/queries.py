@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import licenses, quality_rules, secrets
+from flowlens.llm import licenses, mixing, quality_rules, secrets
 from flowlens.llm.texts import read_documents, read_labels
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.quality_rules(read_documents(spark, sf_dir), read_labels(spark, sf_dir))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -32,7 +36,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_quality_rules": op3_quality_rules, "op8_licenses": op8_licenses, "op10_secrets": op10_secrets}
+    return {"op2_mixing": op2_mixing, "op3_quality_rules": op3_quality_rules, "op8_licenses": op8_licenses, "op10_secrets": op10_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
