@@ -3,7 +3,7 @@
 Each document gets the key -ln(u) / w from a hash u of its id and text and its quality weight w, so that the
 smallest keys form a weighted sample without replacement. A source's target in words is met by whole copies
 of the source first (epochs), then by the longest prefix of its documents in key order that fits the rest, and,
-where that leaves a gap worth mention, by the documents left whose sizes come nearest to it.
+where that leaves a gap worth mention, by the largest documents left that fit it, or, where none fits, by the nearest if that lessens the gap.
 
 The prefix is found without sorting a source in one task: keys are radix-bucketed by their rank-preserving
 score, sizes are summed by (source, two digits) with map-side combining, and only the bucket in which the
@@ -123,7 +123,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_
         if gaps.isEmpty():
             break
         left = lookup_join(chosen.where("extra = 0").select("uid", "doc_id", "h", "source", "size", "score"), gaps, same_source, "inner")
-        best = left.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), (-F.col("score")).alias("score"), "doc_id", "h", "uid", "gap")).alias("b"))
+        best = left.groupBy("source").agg(F.min(F.struct((F.col("size") > F.col("gap")).alias("over"), F.abs(F.col("size") - F.col("gap")).alias("off"), (-F.col("score")).alias("score"), "doc_id", "h", "uid", "gap")).alias("b"))
         closing = cut(best.where("b.off < b.gap").select(F.col("source").alias("s"), F.col("b.uid").alias("closing")), "mixclosing")
         if closing.isEmpty():
             break
