@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import licenses, mixing, quality_rules, secrets, simhash
+from flowlens.llm import licenses, mixing, packing, quality_rules, secrets, simhash
 from flowlens.llm.texts import read_documents, read_labels
 
 
@@ -20,6 +20,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack_documents(read_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_components(read_documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -41,7 +47,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_mixing": op2_mixing, "op3_quality_rules": op3_quality_rules, "op6_simhash": op6_simhash, "op8_licenses": op8_licenses, "op10_secrets": op10_secrets}
+    return {"op2_mixing": op2_mixing, "op3_quality_rules": op3_quality_rules, "op5_packing": op5_packing, "op6_simhash": op6_simhash, "op8_licenses": op8_licenses, "op10_secrets": op10_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
