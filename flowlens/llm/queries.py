@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import licenses, mixing, packing, quality_rules, secrets, simhash
+from flowlens.llm import language, licenses, mixing, packing, quality_qda, quality_rules, secrets, simhash
 from flowlens.llm.texts import read_documents, read_labels
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_qda.score_quality(read_documents(spark, sf_dir), read_labels(spark, sf_dir))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -40,6 +44,10 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(read_documents(spark, sf_dir))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(read_documents(spark, sf_dir))
     of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
@@ -47,7 +55,8 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_mixing": op2_mixing, "op3_quality_rules": op3_quality_rules, "op5_packing": op5_packing, "op6_simhash": op6_simhash, "op8_licenses": op8_licenses, "op10_secrets": op10_secrets}
+    made = (op1_quality, op2_mixing, op3_quality_rules, op5_packing, op6_simhash, op8_licenses, op9_language, op10_secrets)
+    return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
