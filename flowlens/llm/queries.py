@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import language, licenses, mixing, packing, quality_qda, quality_rules, secrets, simhash
+from flowlens.llm import fingerprints, language, licenses, mixing, packing, quality_qda, quality_rules, secrets, simhash
 from flowlens.llm.texts import read_documents, read_labels
 
 
@@ -24,6 +24,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_likeness(read_documents(spark, sf_dir))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -55,7 +59,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_quality, op2_mixing, op3_quality_rules, op5_packing, op6_simhash, op8_licenses, op9_language, op10_secrets)
+    made = (op1_quality, op2_mixing, op3_quality_rules, op4_fingerprints, op5_packing, op6_simhash, op8_licenses, op9_language, op10_secrets)
     return {f.__name__: f for f in made}
 
 
