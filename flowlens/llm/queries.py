@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import fingerprints, language, licenses, mixing, packing, quality_qda, quality_rules, secrets, simhash
+from flowlens.llm import chunks, fingerprints, language, licenses, mixing, packing, quality_qda, quality_rules, secrets, simhash
 from flowlens.llm.texts import read_documents, read_labels
 
 
@@ -39,6 +39,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.repeats(read_documents(spark, sf_dir)).select("doc_id", "start", "end", "n_chunks", "first_doc_id", "removable")
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(read_documents(spark, sf_dir))
     starts = F.transform("base", lambda b: b["start"].cast("long"))
@@ -59,7 +63,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_quality, op2_mixing, op3_quality_rules, op4_fingerprints, op5_packing, op6_simhash, op8_licenses, op9_language, op10_secrets)
+    made = (op1_quality, op2_mixing, op3_quality_rules, op4_fingerprints, op5_packing, op6_simhash, op7_chunks, op8_licenses, op9_language, op10_secrets)
     return {f.__name__: f for f in made}
 
 
