@@ -66,8 +66,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     left = total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
     weight_left = F.sum("w").over(Window.partitionBy()) - F.coalesce(F.sum("w").over(before), F.lit(0.0))
     rows = rows.withColumn("level", left / weight_left).withColumn("cut", F.col("level") * F.col("w") > F.col("cap"))
-    # the level of the first source that is not cut holds for all after it
-    level = F.min(F.when(~F.col("cut"), F.struct(F.col("cap") / F.col("w"), F.col("level")))).over(Window.partitionBy())["level"]
+    # levels fall along the order; that of the first source that is not cut holds for all after it
+    level = F.max(F.when(~F.col("cut"), F.col("level"))).over(Window.partitionBy())
     return rows.select("source", "source_size", F.when(F.col("cut"), F.col("cap")).otherwise(level * F.col("w")).alias("target"))
 
 
