@@ -21,58 +21,51 @@ from flowlens.plans.shared import cut
 CAPACITY, END_ID = 1024, 2
 #: Pieces that are packed together; more change the fill by less than one sequence in so many.
 GROUP = 8192
-#: Words whose ids a Python worker remembers; beyond that, words are encoded each time.
-CACHE = 600_000
+#: How a byte-level BPE with this vocabulary cuts text into words before merging.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-class WordIds(dict):
-    """Token ids, as little-endian 32-bit bytes, of a space and the word that is looked up.
+class Encoder:
+    """Token ids, as little-endian 32-bit bytes, of the byte-level BPE in a tokenizers file.
 
-    A byte-level BPE splits before every single space between two characters that are no white space, so such
-    words are encoded apart from each other without a change of ids.
+    The file's vocabulary is handed to tiktoken, which merges by the same ranks several times as fast; a file
+    for which that does not hold (checked on samples when it is loaded) is used through tokenizers itself.
     """
 
+    SAMPLES = ("The quick, brown fox's 12 jumps!\n\n  over", "Straße\u00a0über 中文 \U0001f600\t x", "a<|endoftext|>b  ", "'tis we'll\r\n$3.50", "")
+
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.split, self.model = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model
-
-    def __missing__(self, word: str) -> bytes:
-        ids = [t.id for part, _ in self.split(" " + word) for t in self.model.tokenize(part)]
-        found = np.array(ids, "<u4").tobytes()
-        if len(self) < CACHE:
-            self[word] = found
-        return found
+        self.fast = self._fast()
+
+    def _fast(self):
+        import tiktoken
+
+        own = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        kept = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the file
+        byte = {chr(b): b for b in kept} | {chr(256 + i): b for i, b in enumerate(sorted({*range(256)} - {*kept}))}
+        try:
+            ranks = {bytes(byte[c] for c in k): i for k, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if k not in own}
+            made = tiktoken.Encoding("own", pat_str=WORDS, mergeable_ranks=ranks, special_tokens=own)
+            same = all(made.encode(t, allowed_special="all") == self.tokenizer.encode(t, add_special_tokens=False).ids for t in self.SAMPLES)
+        except (KeyError, ValueError):
+            return None
+        return made if same else None
 
     def encode(self, text: str) -> bytes:
-        if not text or text.isspace() or any(s in text for s in self.special):
-            return self.whole(text)
-        out, words = [], text.split(" ")
-        # a word next to an empty or odd neighbour is not cut off there
-        if "  " in text or not _plain(words):
-            return self.whole(text)
-        first, rest = words[0], words[1:]
-        out.append(self.whole(first))
-        out.extend(map(self.__getitem__, rest))
-        return b"".join(out)
-
-    def whole(self, text: str) -> bytes:
+        if self.fast is not None:
+            return self.fast.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-def _plain(words: list[str]) -> bool:
-    """No word starts or ends with white space, or is empty."""
-    return all(words) and not any(w[0].isspace() or w[-1].isspace() for w in words)
-
-
-_LOADED: dict[str, WordIds] = {}
+_LOADED: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> WordIds:
+def encoder(path: str) -> Encoder:
     if path not in _LOADED:
-        _LOADED[path] = WordIds(path)
+        _LOADED[path] = Encoder(path)
     return _LOADED[path]
 
 
@@ -125,7 +118,7 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
     return bins
 
 
-def improve(lengths: np.ndarray, bins: np.ndarray, capacity: int = CAPACITY, passes: int = 3) -> np.ndarray:
+def improve(lengths: np.ndarray, bins: np.ndarray, capacity: int = CAPACITY, passes: int = 4) -> np.ndarray:
     """Local search on a packing; every step raises the sum of squared fills, so it ends.
 
     The emptiest bin gives, while it can: a document to a bin with room; a document for a smaller one of
@@ -136,51 +129,53 @@ def improve(lengths: np.ndarray, bins: np.ndarray, capacity: int = CAPACITY, pas
     fill = np.bincount(bins, weights=lengths, minlength=n).astype(np.int64)
     least = -(-int(fill.sum()) // capacity)
     for _ in range(passes):
-        emptied = False
+        moved = False
         for v in np.argsort(fill, kind="stable").tolist():
             if int((fill > 0).sum()) <= least:
                 return bins
             if fill[v] in (0, capacity):
                 continue
             own = np.flatnonzero(bins == v).tolist()
-            slack = capacity - fill
-            other = np.flatnonzero((slack[bins] > 0) & (bins != v))
-            while own and len(other):
-                room, size = (capacity - fill)[bins[other]], lengths[other]
-                step = _step(lengths, own, other, room, size)
+            while own:
+                other = np.flatnonzero((fill[bins] < capacity) & (bins != v))
+                step = _step(lengths, own, lengths[other], fill[bins[other]], int(fill[v]), capacity) if len(other) else None
                 if step is None:
                     break
                 gone, at, back = step
-                target, out = int(bins[other[at]]), sum(int(lengths[i]) for i in gone)
+                partner = int(other[at])
+                target, gain = int(bins[partner]), int(lengths[gone].sum())
                 bins[gone] = target
                 own = [i for i in own if i not in gone]
-                gain = out
                 if back:
-                    bins[other[at]] = v
-                    own.append(int(other[at]))
-                    gain -= int(size[at])
+                    bins[partner] = v
+                    own.append(partner)
+                    gain -= int(lengths[partner])
                 fill[target] += gain
                 fill[v] -= gain
-                other = np.flatnonzero(((capacity - fill)[bins] > 0) & (bins != v))
-            emptied |= fill[v] == 0
-        if not emptied:
+                moved = True
+        if not moved:
             break
     return bins
 
 
-def _step(lengths: np.ndarray, own: list[int], other: np.ndarray, room: np.ndarray, size: np.ndarray) -> tuple[list[int], int, bool] | None:
-    """The next step for a bin: (documents that leave, place in `other` of the partner, whether the partner comes back)."""
+def _step(lengths: np.ndarray, own: list[int], size: np.ndarray, fills: np.ndarray, fill: int, capacity: int) -> tuple[list[int], int, bool] | None:
+    """The next step for a bin: (documents that leave, place of the partner, whether the partner comes back).
+
+    size, fills: the partners' lengths and their bins' fills. A step must fit and leave the partner's bin
+    fuller than this bin was, which is what raises the sum of squares.
+    """
     falling = sorted(own, key=lambda i: -lengths[i])
     for i in falling:  # a move, to the fullest bin with room
-        fits = np.where(room >= lengths[i], room, np.iinfo(np.int64).max)
-        at = int(fits.argmin())
-        if fits[at] != np.iinfo(np.int64).max:
+        after = fills + int(lengths[i])
+        fits = np.where((after <= capacity) & (after > fill), after, 0)
+        at = int(fits.argmax())
+        if fits[at]:
             return [i], at, False
     for gone in [[i] for i in falling] + [[i, j] for k, i in enumerate(falling[:6]) for j in falling[k + 1 : 6]]:
         gain = int(lengths[gone].sum()) - size  # what the partner's bin gains
-        fits = np.where((gain > 0) & (gain <= room), gain, 0)
+        fits = np.where((gain > 0) & (fills + gain <= capacity) & (fills + gain > fill), gain, 0)
         at = int(fits.argmax())
-        if fits[at] > 0:
+        if fits[at]:
             return gone, at, True
     return None
 
