@@ -63,7 +63,8 @@ def features(net: Network, clusters: DataFrame, config: RoleConfig = RoleConfig(
     rows = net.nodes
     for part in (degrees(net), flows(net), truncated(net, config.max_depth), active_days(net), seed_reach(net, config.max_depth), other_clusters(net, clusters), b, clusters):
         rows = rows.join(part, "gid")
-    return rows.join(timed, "gid", "left").join(strict, "gid", "left").na.fill(0, ["temporal_in", "temporal_out", "matched", "same_day", "strict_in", "strict_out", "strict_matched"])
+    rows = rows.join(timed, "gid", "left").join(strict, "gid", "left").na.fill(0, ["temporal_in", "temporal_out", "matched", "same_day", "strict_in", "strict_out", "strict_matched"])
+    return cut(rows, "features")  # read several times by the rules
 
 
 def classify(rows: DataFrame, config: RoleConfig = RoleConfig()) -> DataFrame:
@@ -100,12 +101,12 @@ def classify(rows: DataFrame, config: RoleConfig = RoleConfig()) -> DataFrame:
 def prioritise(rows: DataFrame, config: RoleConfig = RoleConfig()) -> DataFrame:
     """rows (of classify) with the five priority parts and priority_score; a node without partners has 0."""
     w = config.priority_weights
-    rows = rows.withColumn("_flow", F.greatest("in_cents", "out_cents")).withColumn("_fan", F.greatest("in_deg", "out_deg"))
-    active, rest = rows.where("in_deg + out_deg > 0"), rows.where("in_deg + out_deg = 0")
+    rows = cut(rows, "roles").withColumn("_flow", F.greatest("in_cents", "out_cents")).withColumn("_fan", F.greatest("in_deg", "out_deg"))
+    active, both = rows.where("in_deg + out_deg > 0"), rows
     for source, name in (("_flow", "flow"), ("betweenness", "bridge"), ("_fan", "fan")):
-        active = rank_share(active, source, f"p_{name}").withColumn(f"p_{name}", F.col(f"p_{name}") * w[name])
-        rest = rest.withColumn(f"p_{name}", F.lit(0.0))
-    both = active.unionByName(rest).withColumn("p_seed_reach", F.least(F.col("seed_reach") / 5, F.lit(1.0)) * w["seed_reach"])
+        share = rank_share(active.select("gid", source), source, "_share").select("gid", "_share")
+        both = both.join(share, "gid", "left").withColumn(f"p_{name}", F.coalesce(F.col("_share") * w[name], F.lit(0.0))).drop("_share")
+    both = both.withColumn("p_seed_reach", F.least(F.col("seed_reach") / 5, F.lit(1.0)) * w["seed_reach"])
     both = both.withColumn("p_role_support", F.when(F.col("role") == "peripheral", 0.0).otherwise(F.col("role_score")) * w["role_support"])
     total = F.col("p_seed_reach") + F.col("p_flow") + F.col("p_bridge") + F.col("p_fan") + F.col("p_role_support")
     return both.withColumn("priority_score", F.when(F.col("in_deg") + F.col("out_deg") > 0, six(total)).otherwise(0.0)).drop("_flow", "_fan")

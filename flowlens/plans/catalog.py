@@ -148,6 +148,7 @@ def _network_queries() -> dict[str, tuple[Query, str | None]]:
         "shortest_witness": (_net(lambda n: _texts(paths.shortest_witness(n), "path")), sql(f"SELECT seed, node, {text.format('min(path)')} AS path FROM sp JOIN (SELECT seed, node, min(len(path)) AS m FROM sp GROUP BY seed, node) USING (seed, node) WHERE len(path) = m AND seed <> node GROUP BY seed, node", "sp(seed, node, path) AS (SELECT seed, seed, [seed] FROM seeds UNION SELECT sp.seed, links.dst, list_append(sp.path, links.dst) FROM sp JOIN links ON links.src = sp.node WHERE len(sp.path) < 5 AND NOT list_contains(sp.path, links.dst))")),
         "simple_paths": (_net(paths.simple_paths), sql("SELECT seed, node, CAST(len(path) - 1 AS INTEGER) AS hops, count(*) AS n FROM sp WHERE len(path) > 1 GROUP BY ALL", "sp(seed, node, path) AS (SELECT seed, seed, [seed] FROM seeds UNION ALL SELECT sp.seed, links.dst, list_append(sp.path, links.dst) FROM sp JOIN links ON links.src = sp.node WHERE len(sp.path) < 4 AND NOT list_contains(sp.path, links.dst))")),
         "betweenness": (_net(centrality.betweenness), sql("SELECT gid, betweenness FROM bt", o.SIGMA)),
+        "betweenness_by_joins": (_net(lambda n: centrality.betweenness(n, small_links=0)), sql("SELECT gid, betweenness FROM bt", o.SIGMA)),
         "betweenness_sampled": (_net(lambda n: centrality.betweenness(n, 16)), None),
         "pagerank": (_net(lambda n: centrality.pagerank(n).select("gid", flows.nine(F.col("rank")).alias("rank"))), sql("SELECT gid, round_even(r * 1e9, 0) / 1e9 AS rank FROM pg WHERE i = 10", *pagerank)),
         "hits": (_net(centrality.hits), sql(f"SELECT gid, coalesce({six('hh.h / (SELECT sum(h) FROM hh WHERE i = 10)')}, 0) AS hub, coalesce({six('ha.a / (SELECT sum(a) FROM ha)')}, 0) AS authority FROM nodes LEFT JOIN (SELECT * FROM hh WHERE i = 10) hh USING (gid) LEFT JOIN ha USING (gid)", *hits)),
