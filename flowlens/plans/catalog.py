@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.functions import stats
-from flowlens.operators import centrality, communities, explore, fifo, flows, motifs, paths, roles, validate
+from flowlens.operators import centrality, communities, explore, fifo, flows, motifs, paths, roles, validate, verify
 from flowlens.plans import oracle as o
 from flowlens.plans.oracle import six, sql
 from flowlens.plans.shared import cut
-from flowlens.sources.fixture import network, raw_network
-from flowlens.sources.tables import Network
+from flowlens.sources.fixture import network, raw_network, table_path
+from flowlens.sources.tables import Network, file_digests
+from flowlens.streaming import monitor
 
 Query = Callable[[SparkSession, str], DataFrame]
 _KEPT: dict[tuple[str, str, str], DataFrame] = {}
@@ -206,8 +207,23 @@ def _role_queries() -> dict[str, tuple[Query, str | None]]:
     }
 
 
+def _edge_queries() -> dict[str, tuple[Query, str | None]]:
+    zero = lambda names: "SELECT unnest([" + ", ".join(f"'{c}'" for c in names) + "]) AS \"check\", CAST(0 AS BIGINT) AS violations"
+    outputs = ("unique_ids", "known_role", "score_range", "truncated_cap", "reason_with_role", "cluster_sizes", "cluster_leaders", "top_order", "top_ranks")
+    inputs = ("nodes", "degrees", "turnover", "truncation", "cluster_turnover")
+    stream = lambda s, d: monitor.read_transactions(s, table_path(s, d, "transactions"))
+    burst = "SELECT gid, day, side, count(*) AS n FROM ends WHERE side = 'out' OR NOT own GROUP BY gid, day, side HAVING count(*) >= 5"
+    return {
+        "verify_outputs": (_rows(lambda n, r: verify.check_outputs(r, roles.cluster_summary(n, r), roles.top_nodes(r))), zero(outputs)),
+        "verify_inputs": (_rows(lambda n, r: verify.check_against_inputs(n, r, roles.cluster_summary(n, r))), zero(inputs)),
+        "input_digests": (lambda s, d: file_digests(s, f"{d}/events.parquet"), None),
+        "stream_bursts": (lambda s, d: monitor.drain(monitor.burst_counts(stream(s, d))), sql(burst, o.ENDS)),
+        "stream_repeats": (lambda s, d: monitor.drain(monitor.repeat_counts(stream(s, d))), sql("SELECT src, dst, cents, count(*) AS n FROM tx WHERE src <> dst GROUP BY src, dst, cents HAVING count(*) >= 3")),
+    }
+
+
 def _all() -> dict[str, tuple[Query, str | None]]:
-    return {**_network_queries(), **_role_queries()}
+    return {**_network_queries(), **_role_queries(), **_edge_queries()}
 
 
 def queries() -> dict[str, Query]:

@@ -55,5 +55,10 @@ def raw_network(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return _MADE[key]
 
 
+def table_path(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """The folder in which a derived table lies."""
+    return raw_network(spark, sf_dir)[name].inputFiles()[0].rpartition("/")[0]
+
+
 def network(spark: SparkSession, sf_dir: str) -> Network:
     return as_network(**raw_network(spark, sf_dir))
