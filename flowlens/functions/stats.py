@@ -71,3 +71,17 @@ def transitions(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.groupBy(F.col(a).alias("before"), F.col(b).alias("after")).agg(F.count("*").alias("n"))
 
 
+
+
+def top_matrix(df: DataFrame, key: str, metrics: tuple[str, ...], k: int) -> DataFrame:
+    """(a, b, shared): for each two metrics, the keys among the k highest of both (ties: smallest key)."""
+    long = df.unpivot([key], list(metrics), "metric", "value")
+    top = long.withColumn("r", F.row_number().over(Window.partitionBy("metric").orderBy(F.desc("value"), key))).where(F.col("r") <= k)
+    a, b = (top.select(key, F.col("metric").alias(m)) for m in ("a", "b"))
+    return a.join(b, key).groupBy("a", "b").agg(F.count("*").alias("shared"))
+
+
+def metric_error(exact: DataFrame, other: DataFrame, key: str, value: str) -> DataFrame:
+    """One row: the largest absolute error of a metric, and zeros where the exact value is above 0."""
+    both = exact.join(other.select(key, F.col(value).alias("_other")), key)
+    return both.agg(F.max(F.abs(F.col(value) - F.col("_other"))).alias("max_error"), F.sum(((F.col(value) > 0) & (F.col("_other") == 0)).cast("long")).alias("false_zeros"))

@@ -166,3 +166,27 @@ def scenarios(rows: DataFrame, config: RoleConfig = RoleConfig(), factors: tuple
 def stability(made: DataFrame) -> DataFrame:
     """(gid, roles, stable) over scenarios."""
     return made.groupBy("gid").agg(F.count_distinct("role").alias("roles")).withColumn("stable", F.col("roles") == 1)
+
+
+def hypotheses(summary: DataFrame) -> DataFrame:
+    """(cluster_id, hypothesis): a sentence for each cluster of cluster_summary, to be checked by an analyst."""
+    text = F.format_string("Hypothesis: a group of %s nodes, %s of them %s, with %s seeds.", "n_nodes", "dominant_n", "dominant_role", "n_seed")
+    return summary.select("cluster_id", text.alias("hypothesis"))
+
+
+def weight_scenarios(rows: DataFrame, config: RoleConfig = RoleConfig(), factors: tuple[float, ...] = (0.8, 1.2)) -> DataFrame:
+    """(scenario, gid, priority_score): each weight scaled alone and all brought back to sum 1, in one pass over scored rows."""
+    base = config.priority_weights
+    cases = [("base", base)]
+    for part in PARTS:
+        for f in factors:
+            scaled = base | {part: base[part] * f}
+            cases.append((f"{part} x {f:g}", {k: v / sum(scaled.values()) for k, v in scaled.items()}))
+    score = lambda w: six(sum(F.col(f"p_{p}") * (w[p] / base[p] if base[p] else 0.0) for p in PARTS))
+    made = F.array(*[F.struct(F.lit(name).alias("scenario"), F.when(F.col("in_deg") + F.col("out_deg") > 0, score(w)).otherwise(0.0).alias("priority_score")) for name, w in cases])
+    return rows.select("gid", F.explode(made).alias("s")).select("s.scenario", "gid", "s.priority_score")
+
+
+def selection_profile(chosen: DataFrame) -> DataFrame:
+    """One row about a selection of scored rows: nodes, seeds, roles, clusters, mean reach, flow."""
+    return chosen.agg(F.count("*").alias("n_nodes"), F.sum(F.col("is_seed").cast("long")).alias("n_seeds"), F.count_distinct("role").alias("n_roles"), F.count_distinct("cluster_id").alias("n_clusters"), six(F.avg("seed_reach")).alias("mean_reach"), F.sum("in_cents").alias("in_cents"))

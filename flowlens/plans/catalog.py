@@ -55,6 +55,17 @@ def _texts(rows: DataFrame, column: str) -> DataFrame:
     return rows.withColumn(column, F.concat_ws("-", F.transform(column, lambda m: m.cast("string"))))
 
 
+def _resolutions(net: Network, tried: tuple[float, ...] = (0.8, 1.2)) -> DataFrame:
+    """(resolution, rand): how far communities agree with those at resolution 1."""
+    base = cut(communities.communities(net), "base")
+    made = None
+    for g in tried:
+        other = cut(communities.communities(net, g).withColumnRenamed("cluster_id", "other"), "other")
+        one = stats.adjusted_rand(base.join(other, "gid"), "cluster_id", "other").select(F.lit(g).alias("resolution"), "rand")
+        made = one if made is None else made.unionByName(one)
+    return made
+
+
 def _network_queries() -> dict[str, tuple[Query, str | None]]:
     text = "array_to_string({}, '-')"
     fifo_cols = "gid, matched, same_day, total_in, total_out, in_fraction, out_fraction, active_days"
@@ -136,6 +147,7 @@ def _network_queries() -> dict[str, tuple[Query, str | None]]:
         "scc": (_net(paths.strong_components), sql("SELECT a AS gid, min(b) AS scc_id FROM (SELECT x.a, x.b FROM tc x JOIN tc y ON y.a = x.b AND y.b = x.a) GROUP BY a HAVING count(*) > 1", "tc(a, b) AS (SELECT src, dst FROM links UNION SELECT tc.a, links.dst FROM tc JOIN links ON links.src = tc.b)")),
         "reciprocal_pairs": (_net(paths.reciprocal), sql("SELECT x.src AS a, x.dst AS b, x.cents AS ab_cents, y.cents AS ba_cents FROM links x JOIN links y ON x.src = y.dst AND x.dst = y.src WHERE x.src < x.dst")),
         "self_loops": (_net(lambda n: n.edges.where("src = dst").agg(F.count("*").alias("n"), F.sum("cents").alias("cents"))), sql("SELECT count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents FROM edges WHERE src = dst")),
+        "edge_days": (_net(lambda n: paths.edge_days(n).select("src", "dst", F.size("days").cast("long").alias("days"), F.date_from_unix_date(F.array_min("days")).alias("first_day"))), sql("SELECT src, dst, count(*) AS days, min(day) AS first_day FROM ed GROUP BY src, dst", tr)),
         "wedges": (_net(paths.wedges), sql(wedge, tr)),
         "triangles": (_net(lambda n: _texts(paths.cycles(n, 3).where("length = 3"), "members").select("members")), sql(f"SELECT {text.format('members')} AS members FROM cy WHERE length = 3", cyc3)),
         "cycles": (_net(lambda n: _texts(paths.cycles(n, 5), "members")), sql(f"SELECT {text.format('members')} AS members, length FROM cy", o.CYCLES.format(longest=5))),
@@ -156,6 +168,7 @@ def _network_queries() -> dict[str, tuple[Query, str | None]]:
         "hits_weighted": (_net(lambda n: centrality.hits(n, weighted=True)), None),
         "communities": (_net(communities.communities), None),
         "community_modularity": (_net(lambda n: communities.modularity(n, communities.communities(n))), None),
+        "resolution_sweep": (_net(_resolutions), None),
         "other_clusters": (_net(lambda n: roles.other_clusters(n, by_twelve(n))), sql("SELECT * FROM oc", o.CLUSTER, o.OTHERS)),
         "cycle_motif": (_net(lambda n: _texts(motifs.best_cycles(n, 5), "members").select("gid", "members", "length", "agreement", "span_days", "first_day", "last_day")), sql(f"SELECT gid, {text.format('members')} AS members, length, agreement, span_days, first_day, last_day FROM bc WHERE r = 1", o.CYCLES.format(longest=5), hop, first, desc, best)),
         "repeated_amounts": (_net(motifs.repeated_amounts), sql("SELECT * FROM rp", repeat)),
@@ -188,6 +201,11 @@ def _role_queries() -> dict[str, tuple[Query, str | None]]:
           (SELECT cluster_id, count(*) AS n_nodes, sum(is_seed::INT)::BIGINT AS n_seed, list_slice(list(gid ORDER BY priority_score DESC, gid), 1, 5) AS tops FROM pr GROUP BY cluster_id)
           LEFT JOIN (SELECT a.cluster_id, CAST(sum(cents) AS BIGINT) AS c FROM edges JOIN cu a ON a.gid = src JOIN cu b ON b.gid = dst WHERE a.cluster_id = b.cluster_id GROUP BY a.cluster_id) USING (cluster_id)
           JOIN (SELECT cluster_id, role AS dominant_role, n AS dominant_n FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, f) AS k FROM (SELECT cluster_id, role, count(*) AS n, min(gid) AS f FROM pr GROUP BY cluster_id, role)) WHERE k = 1) USING (cluster_id)""", *priority)),
+        "cluster_hypotheses": (_rows(lambda n, r: roles.hypotheses(roles.cluster_summary(n, r))), None),
+        "weight_scenarios": (_rows(lambda n, r: roles.weight_scenarios(r)), None),
+        "selection_profile": (_rows(lambda n, r: roles.selection_profile(r.orderBy(F.desc("priority_score"), "gid").limit(30))), sql(f"SELECT count(*) AS n_nodes, sum(is_seed::INT)::BIGINT AS n_seeds, count(DISTINCT role) AS n_roles, count(DISTINCT cluster_id) AS n_clusters, {six('avg(seed_reach)')} AS mean_reach, CAST(sum(in_cents) AS BIGINT) AS in_cents FROM (SELECT * FROM pr ORDER BY priority_score DESC, gid LIMIT 30)", *priority)),
+        "metric_overlap": (_rows(lambda n, r: stats.top_matrix(r, "gid", ("in_deg", "out_deg", "in_tx", "out_tx"), 25)), sql("SELECT x.m AS a, y.m AS b, count(*) AS shared FROM tt x JOIN tt y USING (gid) GROUP BY x.m, y.m", o.DEGREES, o.FLOWS, "tt AS (SELECT gid, m FROM (SELECT gid, m, row_number() OVER (PARTITION BY m ORDER BY v DESC, gid) AS r FROM (SELECT gid, 'in_deg' AS m, in_deg AS v FROM deg UNION ALL SELECT gid, 'out_deg', out_deg FROM deg UNION ALL SELECT gid, 'in_tx', in_tx FROM fl UNION ALL SELECT gid, 'out_tx', out_tx FROM fl)) WHERE r <= 25)")),
+        "sampling_error": (_rows(lambda n, r: stats.metric_error(r.select("gid", "betweenness"), centrality.betweenness(n, 64), "gid", "betweenness")), None),
         "role_scenarios": (_rows(lambda n, r: roles.scenarios(r.drop("matched_roles", "role", "role_score", "peripheral_reason", "reliable", "priority_score", *[f"p_{p}" for p in roles.PARTS]))), None),
         "role_stability": (_rows(lambda n, r: roles.stability(roles.scenarios(r.drop("matched_roles", "role", "role_score", "peripheral_reason", "reliable", "priority_score", *[f"p_{p}" for p in roles.PARTS])))), None),
         "auc": (_rows(lambda n, r: stats.auc(seedish(r), "in_tx", "is_seed")), sql(f"SELECT p AS pos, m AS n, {six('(s - p * (p + 1) / 2.0) / (p * (m - p))')} AS auc FROM (SELECT sum(CASE WHEN is_seed THEN r END) AS s, sum(is_seed::INT)::BIGINT AS p, count(*) AS m FROM (SELECT is_seed, {ranks('in_tx')} AS r FROM fl JOIN nodes USING (gid)))", o.FLOWS)),
