@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import chunks, fingerprints, language, licenses, mixing, packing, quality_qda, quality_rules, secrets, simhash
+from flowlens.llm import chunks, fingerprints, language, licenses, mixing, packing, quality_qda, quality_rules, secrets, simhash, sql
 from flowlens.llm.texts import read_documents, read_labels
 
 
@@ -68,4 +68,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_quality_rules": sql.quality_rules()}

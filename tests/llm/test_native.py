@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import math
+import os
 import re
 
 import pytest
@@ -193,3 +194,29 @@ def test_digest(spark, tables):
     rows = op10_secrets(spark, tables).collect()
     assert all(len(r["base_sha256"]) == 64 for r in rows)
     assert {r["base_sha256"] for r in rows if r["n_assign"] + r["n_access"] + r["n_hex"] == 0} == {hashlib.sha256(b"").hexdigest()}
+
+
+def against_duckdb(spark, name, folder):
+    """Rows of a query and of its SQL, as counters."""
+    import duckdb
+
+    from flowlens.llm import queries
+
+    con = duckdb.connect()
+    for table in ("documents", "labels"):
+        path = f"{folder}/{table}.parquet"
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{path}{'/*.parquet' if os.path.isdir(path) else ''}'")
+    found = con.execute(queries.oracle_sql()[name])
+    cols = [d[0] for d in found.description]
+    df = queries.queries()[name](spark, folder)
+    assert sorted(df.columns) == sorted(cols)
+    return collections.Counter(tuple(r[c] for c in cols) for r in df.collect()), collections.Counter(found.fetchall())
+
+
+@pytest.mark.parametrize("data", ["odd", "sf0.01"])
+def test_rules_against_duckdb(spark, tables, data):
+    folder = tables if data == "odd" else f"/root/testdata/{data}"
+    if not os.path.exists(folder):
+        pytest.skip("the tables are not here")
+    got, want = against_duckdb(spark, "op3_quality_rules", folder)
+    assert got == want
