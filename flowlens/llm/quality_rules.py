@@ -145,10 +145,12 @@ def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.05, error:
 def keep_good(docs: DataFrame, labels: DataFrame, risk: float = 0.05, error: float = 0.05) -> DataFrame:
     """The rows of docs that quality_rules keeps, with the columns of docs, whatever their names.
 
-    The statistics are computed again beside the text, so no text is shuffled.
+    Statistics are made once and written beside the rows; fitting reads only the statistics, and no text is shuffled.
     """
-    levels = cut(fit_cutoffs(measured(docs).join(consistent_labels(labels), "doc_id"), risk, error), "levels")
     row = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
     packed = docs.select(row, F.coalesce(docs["lang"].cast("string"), F.lit("")).alias("stratum"), rule_stats(docs["text"]).alias("s"))
-    marked = lookup_join(packed.select("_row", "stratum", "s.*"), levels, "stratum")
+    rows = cut(packed.select("_row", "stratum", "s.*"), "rules")
+    labelled = rows.select(F.col("_row.doc_id").alias("doc_id"), "stratum", *STATS).join(consistent_labels(labels), "doc_id")
+    levels = cut(fit_cutoffs(labelled, risk, error), "levels")
+    marked = lookup_join(rows, levels, "stratum")
     return marked.where(~base_failed(F.col("n_words"), F.col("n_repeat_words")) & ~rejected()).select("_row.*")
