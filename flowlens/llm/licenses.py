@@ -1,13 +1,17 @@
 """License scan: ordered signature rules over normalised words.
 
 A text becomes its lower-case words joined by single spaces, so rules need no white-space variants. Words
-gate rules: of some four hundred rules only those whose keyword occurs in the text are tried. Each match has
+gate rules: of some six hundred rules only those are tried whose needed words, derived from the rule's own
+expression, occur in the text. Each match has
 an interval; a match that lies inside one of a rule of higher priority (or an equal interval of an earlier
 rule) is suppressed. All of it is column functions; the rules are one constant.
 """
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,117 +22,145 @@ from flowlens.plans.shared import let
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Fixed phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: A text without any of these words can match no rule.
-GATES = ("license", "licensed", "licence", "licenced", "licenses", "licensing", "spdx", "copyright", "copyleft", "gpl", "lgpl", "agpl", "cc", "creativecommons", "unlicense", "wtfpl", "warranty", "redistribution", "domain")
-
-#: Families: label, keyword, names as a regular expression over normalised words, versions.
-FAMILIES: tuple[tuple[str, str, str, tuple[str, ...]], ...] = (
-    ("agpl", "affero", r"(?:gnu )?affero general public", ("1 0", "3", "3 0")),
-    ("lgpl", "lesser", r"(?:gnu )?lesser general public", ("2 1", "3", "3 0")),
-    ("lgpl", "library", r"(?:gnu )?library general public", ("2", "2 0")),
-    ("gpl", "general", r"(?:gnu )?general public", ("1", "1 0", "2", "2 0", "3", "3 0")),
-    ("gfdl", "documentation", r"(?:gnu )?free documentation", ("1 1", "1 2", "1 3")),
-    ("apache", "apache", r"apache(?: software)?", ("1 0", "1 1", "2", "2 0")),
-    ("mit", "mit", r"mit(?: x11)?", ()),
-    ("x11", "x11", r"x11", ()),
-    ("isc", "isc", r"isc", ()),
-    ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)", ()),
-    ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)", ()),
-    ("bsd-4-clause", "bsd", r"(?:bsd 4 clause|4 clause bsd|original bsd)", ()),
-    ("0bsd", "bsd", r"(?:zero clause bsd|bsd zero clause)", ()),
-    ("bsd", "bsd", r"bsd(?: style)?", ()),
-    ("mpl", "mozilla", r"mozilla public", ("1 0", "1 1", "2", "2 0")),
-    ("epl", "eclipse", r"eclipse public", ("1 0", "2 0")),
-    ("edl", "distribution", r"eclipse distribution", ("1 0",)),
-    ("cddl", "distribution", r"common development and distribution", ("1 0", "1 1")),
-    ("cpl", "common", r"common public", ("1 0",)),
-    ("ipl", "ibm", r"ibm public", ("1 0",)),
-    ("eupl", "union", r"european union public", ("1 0", "1 1", "1 2")),
-    ("artistic", "artistic", r"(?:perl )?artistic", ("1 0", "2 0")),
-    ("bsl", "boost", r"boost software", ("1 0",)),
-    ("busl", "business", r"business source", ("1 0", "1 1")),
-    ("sspl", "side", r"server side public", ("1",)),
-    ("elastic", "elastic", r"elastic", ("1 0", "2 0")),
-    ("zlib", "zlib", r"zlib(?: libpng)?", ()),
-    ("libpng", "libpng", r"libpng", ("2 0",)),
-    ("openssl", "openssl", r"openssl", ()),
-    ("python", "python", r"python(?: software foundation)?", ("2", "2 0")),
-    ("php", "php", r"php", ("3 0", "3 01")),
-    ("ruby", "ruby", r"ruby", ()),
-    ("w3c", "w3c", r"w3c(?: software)?", ()),
-    ("odbl", "database", r"open database", ("1 0",)),
-    ("odc-by", "commons", r"open data commons attribution", ("1 0",)),
-    ("pddl", "dedication", r"public domain dedication(?: and)?", ("1 0",)),
-    ("ofl", "font", r"(?:sil )?open font", ("1 0", "1 1")),
-    ("osl", "open", r"open software", ("1 0", "2 0", "2 1", "3 0")),
-    ("afl", "academic", r"academic free", ("1 2", "2 0", "2 1", "3 0")),
-    ("ecl", "educational", r"educational community", ("1 0", "2 0")),
-    ("ms-pl", "microsoft", r"microsoft public", ()),
-    ("ms-rl", "microsoft", r"microsoft reciprocal", ()),
-    ("cecill", "cecill", r"cecill(?: free software)?", ("1 0", "2 0", "2 1")),
-    ("mulan-psl", "mulan", r"mulan permissive software", ("1", "2")),
-    ("apsl", "apple", r"apple public source", ("1 0", "1 1", "2 0")),
-    ("npl", "netscape", r"netscape public", ("1 0", "1 1")),
-    ("qpl", "q", r"q public", ("1 0",)),
-    ("postgresql", "postgresql", r"postgresql", ()),
-    ("ncsa", "ncsa", r"(?:university of illinois )?ncsa(?: open source)?", ()),
-    ("upl", "universal", r"universal permissive", ("1 0",)),
-    ("vim", "vim", r"vim", ()),
-    ("unlicense", "unlicense", r"unlicense", ()),
-    ("beerware", "beerware", r"beerware", ()),
-    ("hippocratic", "hippocratic", r"hippocratic", ("2 1", "3 0")),
-    ("openrail", "openrail", r"(?:creativeml |bigscience )?openrail(?: m)?", ()),
-    ("llama", "llama", r"llama(?: 2| 3)?(?: community)?", ()),
-    ("cc-by-nc-sa", "cc", r"cc by nc sa", ("2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nc-nd", "cc", r"cc by nc nd", ("2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nc", "cc", r"cc by nc", ("2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nd", "cc", r"cc by nd", ("2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-sa", "cc", r"cc by sa", ("2 0", "2 5", "3 0", "4 0")),
-    ("cc-by", "cc", r"cc by", ("2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nc-sa", "creative", r"creative commons attribution non ?commercial share ?alike", ("2 0", "3 0", "4 0")),
-    ("cc-by-nc-nd", "creative", r"creative commons attribution non ?commercial no ?deriv(?:ative|ate)s?", ("2 0", "3 0", "4 0")),
-    ("cc-by-nc", "creative", r"creative commons attribution non ?commercial", ("2 0", "3 0", "4 0")),
-    ("cc-by-nd", "creative", r"creative commons attribution no ?deriv(?:ative|ate)s?", ("2 0", "3 0", "4 0")),
-    ("cc-by-sa", "creative", r"creative commons attribution share ?alike", ("2 0", "3 0", "4 0")),
-    ("cc-by", "creative", r"creative commons attribution", ("2 0", "3 0", "4 0")),
-    ("cc0", "cc0", r"cc0", ("1 0",)),
+
+#: Families: label, names as a regular expression over normalised words, versions.
+FAMILIES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
+    ("agpl", r"(?:gnu )?affero general public", ("1 0", "3", "3 0")),
+    ("lgpl", r"(?:gnu )?lesser general public", ("2 1", "3", "3 0")),
+    ("lgpl", r"(?:gnu )?library general public", ("2", "2 0")),
+    ("gpl", r"(?:gnu )?general public", ("1", "1 0", "2", "2 0", "3", "3 0")),
+    ("gfdl", r"(?:gnu )?free documentation", ("1 1", "1 2", "1 3")),
+    ("apache", r"apache(?: software)?", ("1 0", "1 1", "2", "2 0")),
+    ("mit", r"mit(?: x11)?", ()),
+    ("x11", r"x11", ()),
+    ("isc", r"isc", ()),
+    ("bsd-2-clause", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)", ()),
+    ("bsd-3-clause", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)", ()),
+    ("bsd-4-clause", r"(?:bsd 4 clause|4 clause bsd|original bsd)", ()),
+    ("0bsd", r"(?:zero clause bsd|bsd zero clause)", ()),
+    ("bsd", r"bsd(?: style)?", ()),
+    ("mpl", r"mozilla public", ("1 0", "1 1", "2", "2 0")),
+    ("epl", r"eclipse public", ("1 0", "2 0")),
+    ("edl", r"eclipse distribution", ("1 0",)),
+    ("cddl", r"common development and distribution", ("1 0", "1 1")),
+    ("cpl", r"common public", ("1 0",)),
+    ("ipl", r"ibm public", ("1 0",)),
+    ("eupl", r"european union public", ("1 0", "1 1", "1 2")),
+    ("artistic", r"(?:perl )?artistic", ("1 0", "2 0")),
+    ("bsl", r"boost software", ("1 0",)),
+    ("busl", r"business source", ("1 0", "1 1")),
+    ("sspl", r"server side public", ("1",)),
+    ("elastic", r"elastic", ("1 0", "2 0")),
+    ("zlib", r"zlib(?: libpng)?", ()),
+    ("libpng", r"libpng", ("2 0",)),
+    ("openssl", r"openssl", ()),
+    ("python", r"python(?: software foundation)?", ("2", "2 0")),
+    ("php", r"php", ("3 0", "3 01")),
+    ("ruby", r"ruby", ()),
+    ("w3c", r"w3c(?: software)?", ()),
+    ("odbl", r"open database", ("1 0",)),
+    ("odc-by", r"open data commons attribution", ("1 0",)),
+    ("pddl", r"public domain dedication(?: and)?", ("1 0",)),
+    ("ofl", r"(?:sil )?open font", ("1 0", "1 1")),
+    ("osl", r"open software", ("1 0", "2 0", "2 1", "3 0")),
+    ("afl", r"academic free", ("1 2", "2 0", "2 1", "3 0")),
+    ("ecl", r"educational community", ("1 0", "2 0")),
+    ("ms-pl", r"microsoft public", ()),
+    ("ms-rl", r"microsoft reciprocal", ()),
+    ("cecill", r"cecill(?: free software)?", ("1 0", "2 0", "2 1")),
+    ("mulan-psl", r"mulan permissive software", ("1", "2")),
+    ("apsl", r"apple public source", ("1 0", "1 1", "2 0")),
+    ("npl", r"netscape public", ("1 0", "1 1")),
+    ("qpl", r"q public", ("1 0",)),
+    ("postgresql", r"postgresql", ()),
+    ("ncsa", r"(?:university of illinois )?ncsa(?: open source)?", ()),
+    ("upl", r"universal permissive", ("1 0",)),
+    ("vim", r"vim", ()),
+    ("unlicense", r"unlicense", ()),
+    ("beerware", r"beerware", ()),
+    ("hippocratic", r"hippocratic", ("2 1", "3 0")),
+    ("openrail", r"(?:creativeml |bigscience )?openrail(?: m)?", ()),
+    ("llama", r"llama(?: 2| 3)?(?: community)?", ()),
+    ("cc-by-nc-sa", r"cc by nc sa", ("2 0", "2 5", "3 0", "4 0")),
+    ("cc-by-nc-nd", r"cc by nc nd", ("2 0", "2 5", "3 0", "4 0")),
+    ("cc-by-nc", r"cc by nc", ("2 0", "2 5", "3 0", "4 0")),
+    ("cc-by-nd", r"cc by nd", ("2 0", "2 5", "3 0", "4 0")),
+    ("cc-by-sa", r"cc by sa", ("2 0", "2 5", "3 0", "4 0")),
+    ("cc-by", r"cc by", ("2 0", "2 5", "3 0", "4 0")),
+    ("cc-by-nc-sa", r"creative commons attribution non ?commercial share ?alike", ("2 0", "3 0", "4 0")),
+    ("cc-by-nc-nd", r"creative commons attribution non ?commercial no ?deriv(?:ative|ate)s?", ("2 0", "3 0", "4 0")),
+    ("cc-by-nc", r"creative commons attribution non ?commercial", ("2 0", "3 0", "4 0")),
+    ("cc-by-nd", r"creative commons attribution no ?deriv(?:ative|ate)s?", ("2 0", "3 0", "4 0")),
+    ("cc-by-sa", r"creative commons attribution share ?alike", ("2 0", "3 0", "4 0")),
+    ("cc-by", r"creative commons attribution", ("2 0", "3 0", "4 0")),
+    ("cc0", r"cc0", ("1 0",)),
 )
 
-#: Rules that are no family: label, keyword, regular expression, priority, score.
-NOTICES: tuple[tuple[str, str, str, int, float], ...] = (
-    ("mit", "permission", r"permission is hereby granted free of charge to any person obtaining a copy", 8, 0.95),
-    ("isc", "permission", r"permission to use copy modify and or distribute this software for any purpose with or without fee", 8, 0.95),
-    ("bsd", "redistribution", r"redistribution and use in source and binary forms", 6, 0.9),
-    ("bsd-3-clause", "endorse", r"neither the name of .{1,60}? may be used to endorse or promote products", 7, 0.9),
-    ("bsd-4-clause", "advertising", r"all advertising materials mentioning features or use of this software", 8, 0.9),
-    ("unlicense", "unencumbered", r"free and unencumbered software released into the public domain", 8, 0.95),
-    ("wtfpl", "fuck", r"do what the fuck you want to public license", 8, 0.95),
-    ("wtfpl", "wtfpl", r"wtfpl(?: version 2)?", 5, 0.9),
-    ("zlib", "misrepresented", r"the origin of this software must not be misrepresented", 8, 0.9),
-    ("public-domain", "domain", r"(?:is|are|placed|dedicated|released) (?:in|to|into) the public domain", 5, 0.8),
-    ("proprietary", "reserved", r"all rights reserved", 1, 0.4),
-    ("proprietary", "proprietary", r"proprietary (?:and confidential|license|licence)", 3, 0.7),
-    ("commercial", "commercial", r"commercial licen[cs]e", 2, 0.5),
-    ("unknown", "license", r"licensed under(?: the)? [^ ]+(?: [^ ]+){0,3}? license", 0, 0.3),
+#: Rules that are no family: label, regular expression, priority, score.
+NOTICES: tuple[tuple[str, str, int, float], ...] = (
+    ("mit", r"permission is hereby granted free of charge to any person obtaining a copy", 8, 0.95),
+    ("isc", r"permission to use copy modify and or distribute this software for any purpose with or without fee", 8, 0.95),
+    ("bsd", r"redistribution and use in source and binary forms", 6, 0.9),
+    ("bsd-3-clause", r"neither the name of .{1,60}? may be used to endorse or promote products", 7, 0.9),
+    ("bsd-4-clause", r"all advertising materials mentioning features or use of this software", 8, 0.9),
+    ("unlicense", r"free and unencumbered software released into the public domain", 8, 0.95),
+    ("wtfpl", r"do what the fuck you want to public license", 8, 0.95),
+    ("wtfpl", r"wtfpl(?: version 2)?", 5, 0.9),
+    ("zlib", r"the origin of this software must not be misrepresented", 8, 0.9),
+    ("public-domain", r"(?:is|are|placed|dedicated|released) (?:in|to|into) the public domain", 5, 0.8),
+    ("proprietary", r"all rights reserved", 1, 0.4),
+    ("proprietary", r"proprietary (?:and confidential|license|licence)", 3, 0.7),
+    ("commercial", r"commercial licen[cs]e", 2, 0.5),
+    ("unknown", r"licensed under(?: the)? [^ ]+(?: [^ ]+){0,3}? license", 0, 0.3),
 )
 
 
-def rules() -> list[tuple[str, str, str, int, float]]:
-    """(label, keyword, regex, priority, score), the notices and, for each family, its name in running text and as
+def rules() -> list[tuple[str, str, int, float]]:
+    """(label, regex, priority, score), the notices and, for each family, its name in running text and as
     an identifier, and each of its versions in three spellings. Longer and more exact forms have priority."""
     made = list(NOTICES)
-    for order, (label, keyword, name, versions) in enumerate(FAMILIES):
+    for order, (label, name, versions) in enumerate(FAMILIES):
         tie = len(FAMILIES) - order  # earlier families are more exact
-        made.append((label, keyword, rf"{name} licen[cs]es?", 1000 + tie, 0.9))
-        made.append((label, keyword, rf"(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of (?:the )?)?{name}(?: licen[cs]e)?", 2000 + tie, 0.95))
-        made.append((label, keyword, rf"spdx license identifier {label.replace('-', ' ')}(?: [0-9]+)*(?: only| or later)?", 4000 + tie, 1.0))
+        made.append((label, rf"{name} licen[cs]es?", 1000 + tie, 0.9))
+        made.append((label, rf"(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of (?:the )?)?{name}(?: licen[cs]e)?", 2000 + tie, 0.95))
+        made.append((label, rf"spdx license identifier {label.replace('-', ' ')}(?: [0-9]+)*(?: only| or later)?", 4000 + tie, 1.0))
         for v in versions:
-            made.append((label, keyword, rf"{name}(?: licen[cs]e)? (?:version |v )?{v}", 3000 + tie, 0.97))
-            made.append((label, keyword, rf"(?:licensed|released|distributed) under (?:the )?{name}(?: licen[cs]e)? (?:version |v )?{v}", 3500 + tie, 0.99))
-            made.append((label, keyword, rf"{name}(?: licen[cs]e)? (?:version |v )?{v} or (?:\(at your option\) )?(?:any )?later(?: version)?", 3600 + tie, 0.99))
+            made.append((label, rf"{name}(?: licen[cs]e)? (?:version |v )?{v}", 3000 + tie, 0.97))
+            made.append((label, rf"(?:licensed|released|distributed) under (?:the )?{name}(?: licen[cs]e)? (?:version |v )?{v}", 3500 + tie, 0.99))
+            made.append((label, rf"{name}(?: licen[cs]e)? (?:version |v )?{v} or (?:\(at your option\) )?(?:any )?later(?: version)?", 3600 + tie, 0.99))
     return made
 
 
+#: Parts of an expression that a match may lack: groups of whole words, with the space that sets them off, and lone spaces.
+_OPTIONAL = re.compile(r"\(\?:(?: (?:[^()\\]|\\.)*|(?:[^()\\]|\\.)* )\)(?:[?*]|\{0[^}]*\})\??")
+#: Words by which a rule is found only if it needs no other: more texts have them than name a license.
+_PLAIN = frozenset("the of to in is are and or this that under use general public open common software side source what later identifier released distributed available published".split())
+
+
+def needed(regex: str) -> list[list[str]]:
+    """Groups of words: each match of the expression holds at least one whole word of every group.
+
+    A piece of the expression between spaces that are in no group is a word, or an alternation of which each
+    branch gives its longest word; any other piece asks for none. The most telling group comes first.
+    """
+    while (bare := _OPTIONAL.sub("", regex)) != regex:
+        regex = bare
+    pieces, depth = [""], 0
+    for c in regex.replace(" ?", "?").replace("licen[cs]es?", "(?:license|licence|licenses|licences)").replace("licen[cs]e", "(?:license|licence)"):
+        depth += (c == "(") - (c == ")")
+        pieces[-1:] = [pieces[-1], ""] if c == " " and not depth else [pieces[-1] + c]
+    groups = []
+    for piece in pieces:
+        if re.fullmatch(r"[a-z0-9]+", piece):
+            groups.append([piece])
+        elif m := re.fullmatch(r"\(\?:([a-z0-9 |]+)\)", piece):
+            groups.append(sorted({max(branch.split(), key=len) for branch in m[1].split("|")}))
+    if not groups:
+        raise ValueError(f"no word is sure in {regex}")
+    many = lambda g: any(w in _PLAIN or w.startswith("licen") or len(w) == 1 and w != "q" for w in g)
+    return sorted(groups, key=lambda g: (many(g), -min(map(len, g))))
+
+
 def normalised(text: Column) -> Column:
     """Lower-case words joined by single spaces, with one space before and after; ' ' if there is none."""
     return F.concat(F.lit(" "), F.ltrim(F.regexp_replace(F.concat(ascii_lower(whole(text)), F.lit(" ")), GAPS, " ")))
@@ -162,12 +194,16 @@ def _base(norm: Column) -> Column:
     return let(s, placed)
 
 
-def _detections(norm: Column, table: Column) -> Column:
-    """Struct (label, score, priority, start, end) of every rule's matches in a normalised text, suppression applied."""
-    words = F.array_distinct(F.split(F.trim(norm), " "))
+def _detections(norm: Column, words: Column, table: Column) -> Column:
+    """Struct (label, score, priority, start, end) of every rule's matches in a normalised text, suppression applied.
+
+    words: those of the text that any rule needs. A bucket of the table has the rules with one first group.
+    """
 
     def tried(s: Column) -> Column:
-        chosen = F.filter(table, lambda r: F.array_contains(s["words"], r["keyword"]))
+        holds = lambda g: F.exists(g, lambda w: F.array_contains(s["words"], w))
+        near = F.flatten(F.transform(F.filter(table, lambda b: holds(b["first"])), lambda b: b["rules"]))
+        chosen = F.filter(near, lambda r: F.forall(r["needs"], holds))
         of_rule = lambda r: F.struct(r.alias("r"), F.split(s["norm"], F.concat(F.lit(" "), r["regex"], F.lit("(?= )")), -1).alias("gaps"), F.regexp_extract_all(s["norm"], F.concat(F.lit(" "), r["regex"], F.lit("(?= )")), F.lit(0)).alias("hits"))
 
         def places(x: Column) -> Column:
@@ -193,28 +229,31 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """(doc_id, n_words, base, detections) of every row, repeated rows included.
 
     base: array<struct<start in words, label>>; detections: array of struct (priority, start and end in the
-    normalised text, label, score). Null text counts as empty. A narrow job without a shuffle; texts without a
-    gate word stop after the word count. Other columns of docs are not read.
+    normalised text, label, score). Null text counts as empty. A narrow job without a shuffle; a text without a
+    word that some rule is found by stops after the word count. Other columns of docs are not read.
     """
-    row = "struct<keyword:string,label:string,regex:string,priority:int,score:double>"
-    spark = docs.sparkSession
-    table = _constant(spark, row)
-    gate = rf" (?:{'|'.join(GATES)}) "
-    has = F.col("norm").rlike(gate)
+    table, firsts, vocabulary = _constant()
     none = F.array().cast("array<struct<priority:int,start:int,end:int,label:string,score:double>>")
-    base = F.when(has, _base(F.col("norm"))).otherwise(F.array().cast("array<struct<start:int,label:string>>"))
-    found = F.when(has, _detections(F.col("norm"), table)).otherwise(none)
+    base = F.when(F.contains("norm", F.lit(" license ")), _base(F.col("norm"))).otherwise(F.array().cast("array<struct<start:int,label:string>>"))
+    words = F.array_intersect(vocabulary, F.split(F.trim("norm"), " "))
+    found = let(words, lambda w: F.when(F.arrays_overlap(w, firsts), _detections(F.col("norm"), w, table)).otherwise(none))
     whole_row = let(normalised(F.col(text)), lambda n: F.struct((_count(n) - 1).cast("long").alias("n_words"), n.alias("norm")))
     rows = docs.select(F.col(doc_id).alias("doc_id"), whole_row.alias("s")).select("doc_id", "s.*")
     return rows.select("doc_id", "n_words", base.alias("base"), found.alias("detections"))
 
 
-def _constant(spark, row: str) -> Column:
-    """The rules as one array literal, parsed from JSON once when the plan is optimised."""
-    import json
-
-    made = [dict(zip(("label", "keyword", "regex", "priority", "score"), r, strict=True)) for r in rules()]
-    return F.from_json(F.lit(json.dumps(made)), f"array<{row}>")
+def _constant() -> tuple[Column, Column, Column]:
+    """The rules in buckets by their first group of needed words, parsed from JSON once when the plan is optimised;
+    the words of first groups; all needed words."""
+    buckets: dict[tuple[str, ...], list[dict]] = {}
+    for label, regex, priority, score in rules():
+        first, *others = needed(regex)
+        buckets.setdefault(tuple(first), []).append({"label": label, "regex": regex, "priority": priority, "score": score, "needs": others})
+    kind = "array<struct<first:array<string>,rules:array<struct<label:string,regex:string,priority:int,score:double,needs:array<array<string>>>>>>"
+    table = F.from_json(F.lit(json.dumps([{"first": f, "rules": r} for f, r in buckets.items()])), kind)
+    firsts = {w for f in buckets for w in f}
+    every = firsts | {w for rs in buckets.values() for r in rs for g in r["needs"] for w in g}
+    return table, *[F.split(F.lit(" ".join(sorted(x))), " ") for x in (firsts, every)]
 
 
 def labels_of(base: Column, detections: Column | None = None) -> Column:
