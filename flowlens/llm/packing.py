@@ -29,7 +29,8 @@ class Encoder:
     """Token ids, as little-endian 32-bit bytes, of the byte-level BPE in a tokenizers file.
 
     The file's vocabulary is handed to tiktoken, which merges by the same ranks several times as fast; a file
-    for which that does not hold (checked on samples when it is loaded) is used through tokenizers itself.
+    for which that does not hold (checked on samples when it is loaded) is used through tokenizers itself, and
+    so is a text that tiktoken refuses, as its regex does with a run of some hundred thousand blanks.
     """
 
     SAMPLES = ("The quick, brown fox's 12 jumps!\n\n  over", "Straße\u00a0über 中文 \U0001f600\t x", "a<|endoftext|>b  ", "'tis we'll\r\n$3.50", "")
@@ -56,7 +57,10 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         if self.fast is not None:
-            return self.fast.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
+            try:
+                return self.fast.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
+            except ValueError:
+                pass
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
