@@ -10,9 +10,11 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -105,24 +107,33 @@ def merge_fingerprints(parts: DataFrame, key: str, k: int = K) -> DataFrame:
     """(key, fingerprint) of the unions of fingerprints with the same key.
 
     Partitions merge their own first, so a hot key sends one sketch from each task, and then meets in salted
-    groups before the last merge.
+    groups. What both passes forget at a flush is made up for by the last merge, of all of a key's sketches.
     """
     kind = dict(parts.dtypes)[key]
     schema = f"`{key}` {kind}, fingerprint string"
 
-    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def written(keys: list, sketches: list[np.ndarray], kind: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(list(map(spelled, sketches)), pa.string())], [key, "fingerprint"])
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
         for b in batches:
-            for x, f in zip(b[key], b["fingerprint"], strict=True):
+            for x, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 held[x] = merge(held.get(x, np.empty(0, np.uint64)), read_spelled(f), k)
             if len(held) > 20_000:
-                yield pd.DataFrame({key: pd.Series(list(held), dtype=b[key].dtype), "fingerprint": [spelled(x) for x in held.values()]})
+                yield written(list(held), list(held.values()), b.schema.field(0).type)
                 held = {}
-        yield pd.DataFrame({key: pd.Series(list(held)), "fingerprint": [spelled(x) for x in held.values()]})
+        if held:
+            yield written(list(held), list(held.values()), b.schema.field(0).type)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            unions = [reduce(lambda a, f: merge(a, read_spelled(f), k), fs, np.empty(0, np.uint64)) for fs in b.column(1).to_pylist()]
+            yield written(b.column(0).to_pylist(), unions, b.schema.field(0).type)
 
-    once = parts.select(key, "fingerprint").mapInPandas(local, schema)
-    salted = once.repartition(key, F.pmod(F.xxhash64("fingerprint"), F.lit(16))).mapInPandas(local, schema)
-    return salted.repartition(key).sortWithinPartitions(key).mapInPandas(local, schema).groupBy(key).agg(F.first("fingerprint").alias("fingerprint"))
+    once = parts.select(key, "fingerprint").mapInArrow(local, schema)
+    salted = once.repartition(key, F.pmod(F.xxhash64("fingerprint"), F.lit(16))).mapInArrow(local, schema)
+    return salted.groupBy(key).agg(F.collect_list("fingerprint").alias("fingerprint")).mapInArrow(listed, schema)
 
 
 def _bucket(key: Column, bounds: list[int]) -> Column:
