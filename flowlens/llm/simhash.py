@@ -233,14 +233,16 @@ def near_components(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id
 
 
 def drop_near_copies(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each component: that of the smallest id, and one of rows that share this id.
+    """docs with one row of each component: that of the smallest id, of rows that share this id one text.
 
-    Rows with a null id are kept. The columns are those of docs, whatever their names.
+    A row is told by its id and a hash of its text, so texts that share an id are judged apart. Rows with a
+    null id are kept. The columns are those of docs, whatever their names.
     """
-    found = near_components(docs, radius)
-    lost = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_lost")).distinct()
+    key = F.struct(docs["doc_id"].isNull().alias("unnamed"), docs["doc_id"].alias("id"), F.xxhash64(docs["text"]).alias("h"))  # ids before none
+    found = near_components(docs.select(key.alias("doc_id"), docs["text"].alias("text")), radius)
+    lost = found.where("not doc_id.unnamed and doc_id <> component_id").select(F.col("doc_id").alias("_lost")).distinct()
     row = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
-    packed = docs.select(row, docs["doc_id"].alias("_id"))
+    packed = docs.select(row, key.alias("_id"))
     kept = packed.join(lost, packed["_id"] == F.col("_lost"), "left_anti")
-    named = kept.where("_id is not null").dropDuplicates(["_id"])
-    return named.unionByName(kept.where("_id is null")).select("_row.*")
+    named = kept.where("not _id.unnamed").dropDuplicates(["_id"])
+    return named.unionByName(kept.where("_id.unnamed")).select("_row.*")
