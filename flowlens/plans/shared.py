@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of a lookup table that may be broadcast; a wider table takes the shuffled join.
@@ -40,6 +40,21 @@ def lookup_join(df: DataFrame, small: DataFrame, on: str | Column | list[str], h
     return df.join(F.broadcast(small) if few else small, on, how)
 
 
+def sums_before(df: DataFrame, order: list[str | Column], **sums: Column) -> DataFrame:
+    """df with the sum of each of `sums` over all rows before a row in the given total order; 0 before the first.
+
+    No window without a partition: rows are dealt into ranges of the order and written, the ranges' sums are added up
+    (a row for each range), and rows are summed within their range. Sums of longs are exact.
+    """
+    ranged = cut(df.repartitionByRange(*order).select("*", *[v.alias(f"_add_{k}") for k, v in sums.items()], F.spark_partition_id().alias("_range")), "ranges")
+    totals = ranged.groupBy("_range").agg(*[F.sum(f"_add_{k}").alias(f"_all_{k}") for k in sums])
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    offsets = totals.select("_range", *[F.coalesce(F.sum(f"_all_{k}").over(before), F.lit(0)).alias(f"_off_{k}") for k in sums])
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    made = ranged.withColumns({f"_in_{k}": F.coalesce(F.sum(f"_add_{k}").over(inside), F.lit(0)) for k in sums}).join(F.broadcast(offsets), "_range")
+    return made.select(*df.columns, *[(F.col(f"_off_{k}") + F.col(f"_in_{k}")).alias(k) for k in sums])
+
+
 def let(value: Column, body) -> Column:
     """Evaluate value once per row and pass it to body; keeps Catalyst from inlining it into a lambda."""
     return F.element_at(F.transform(F.array(value), body), 1)
