@@ -13,12 +13,14 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowlens.llm.texts import by_text
+from flowlens.plans.shared import cut
+
 SHINGLE, K = 5, 256
 _MIX = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15)]
 
@@ -94,13 +96,11 @@ def read_spelled(text: str) -> np.ndarray:
 def document_fingerprints(docs: DataFrame, k: int = K, n: int = SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fingerprint, n_shingles double) of every row: one narrow pass; null text counts as empty."""
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [sketch(t, k, n) for t in b["_text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fingerprint": [spelled(x) for x in found], "n_shingles": [distinct_shingles(x, k) for x in found]})
+    def of(texts: list) -> tuple[dict[str, pa.Array], None]:
+        found = [sketch(t, k, n) for t in texts]
+        return {"fingerprint": pa.array(list(map(spelled, found)), pa.string()), "n_shingles": pa.array([distinct_shingles(x, k) for x in found], pa.float64())}, None
 
-    kind = dict(docs.dtypes)[doc_id]
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")).mapInPandas(of, f"doc_id {kind}, fingerprint string, n_shingles double")
+    return by_text(docs, of, "fingerprint string, n_shingles double", doc_id, text)
 
 
 def merge_fingerprints(parts: DataFrame, key: str, k: int = K) -> DataFrame:
@@ -136,41 +136,59 @@ def merge_fingerprints(parts: DataFrame, key: str, k: int = K) -> DataFrame:
     return salted.groupBy(key).agg(F.collect_list("fingerprint").alias("fingerprint")).mapInArrow(listed, schema)
 
 
-def _bucket(key: Column, bounds: list[int]) -> Column:
-    """How many of the ascending bounds are <= key, by binary search."""
-    held = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>") if bounds else F.array().cast("array<bigint>")
-    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+def _bucket(key: Column, bounds: str, n: int, kind: str) -> Column:
+    """How many of the n ascending bounds (JSON, an array of structs (id, h)) are <= key, by binary search."""
+    held = F.from_json(F.lit(bounds), f"array<struct<id:{kind},h:bigint>>")
+    start = F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi"))
 
     def step(a: Column, _: Column) -> Column:
         mid = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
-        up = (a["lo"] < a["hi"]) & (F.get(held, mid) <= key)
+        up = (a["lo"] < a["hi"]) & ~_less(key, F.get(held, mid))
         return F.struct(F.when(up, mid + 1).otherwise(a["lo"]).alias("lo"), F.when(up | (a["lo"] >= a["hi"]), a["hi"]).otherwise(mid).alias("hi"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(len(bounds).bit_length())), start, step, lambda a: a["lo"])
+    return F.aggregate(F.sequence(F.lit(0), F.lit(n.bit_length())), start, step, lambda a: a["lo"])
+
+
+def _less(a: Column, b: Column) -> Column:
+    """Whether key a (id, h) comes before b; null ids come first."""
+    tie = a["id"].eqNullSafe(b["id"])
+    return F.when(tie, a["h"] < b["h"]).otherwise(a["id"].isNull() | F.coalesce(a["id"] < b["id"], F.lit(False)))
 
 
 def in_sequence(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """Rows (b, late, k, doc_id, text), in order of doc_id within a bucket b, and after a bucket's rows the row that follows it.
+    """Rows (b, late, doc_id, h, text), in order of doc_id (any type that sorts, null first; of one id, by the text's hash
+    h) within a bucket b, and after a bucket's rows the row that follows it.
 
-    Buckets are ranges of ids of near equal size, so one shuffle puts each row beside its next; the first row
-    of every bucket is sent to the bucket before as well (late = 1), the very first to the last. Null ids
-    come first. b is the partition's sort key: a bucket is in one partition.
+    Buckets are ranges of (doc_id, h), so one shuffle puts each row beside its next and texts that share an id are
+    dealt out too; rows that are equal in both stay in one bucket, which is sorted on disk if it must. The first row
+    of every bucket is sent to the bucket before as well (late = 1), the very first to the last. b is the partition's
+    sort key: a bucket is in one partition.
     """
     n = buckets or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
-    bounds = sorted({int(x) for x in rows.select("k").approxQuantile("k", [i / n for i in range(1, n)], 0.2 / n)}) if n > 1 else []
-    b = _bucket(F.col("k"), bounds)
-    firsts = sorted((r["b"], r["k"]) for r in rows.select("k", b.alias("b")).groupBy("b").agg(F.min("k").alias("k")).collect())  # a row for each bucket
-    first, to = [0] * (n + 1), [-1] * (n + 1)
-    for i, (at, k) in enumerate(firsts):
-        first[at], to[at] = k, firsts[i - 1][0]
-    listed = lambda values, kind: F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+    kind = dict(docs.dtypes)["doc_id"]
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.coalesce("text", F.lit("")).alias("text"))
+    slim = cut(rows.select("doc_id", "h"), "sequence")
+    least = F.min(F.struct(F.col("doc_id").isNotNull().alias("named"), F.col("doc_id").alias("id"), "h"))  # no id before all ids
+    ranges = slim.repartitionByRange(n, F.asc_nulls_first("doc_id"), F.asc("h")).groupBy(F.spark_partition_id().alias("p")).agg(least.alias("k"))
+    bounds = [r["k"] for r in ranges.orderBy("k").select(F.to_json("k").alias("k")).collect()] if n > 1 else []  # a row for each bucket
+    bounds = bounds[1:]
+    listed = f"[{','.join(bounds)}]"
+    key = lambda: F.struct(F.col("doc_id").alias("id"), F.col("h"))
+    b = _bucket(key(), listed, len(bounds), kind)
+    firsts = slim.select(b.alias("b"), F.col("doc_id").isNotNull().alias("named"), F.col("doc_id").alias("id"), "h").groupBy("b").agg(F.min(F.struct("named", "id", "h")).alias("k"))
+    firsts = firsts.orderBy("b").select("b", F.to_json("k").alias("k")).collect()  # a row for each bucket
+    first, to = ["null"] * (len(bounds) + 1), [-1] * (len(bounds) + 1)
+    for i, r in enumerate(firsts):
+        first[r["b"]], to[r["b"]] = r["k"], firsts[i - 1]["b"]
+    heads = F.from_json(F.lit(f"[{','.join(first)}]"), f"array<struct<id:{kind},h:bigint>>")
+    before = F.split(F.lit(",".join(map(str, to))), ",").cast("array<int>")
     place = lambda at, late: F.struct(at.alias("b"), F.lit(late).alias("late"))
     own = F.array(place(F.col("b"), 0))
-    both = F.array(place(F.col("b"), 0), place(F.get(listed(to, "int"), F.col("b")), 1))
-    sent = F.when(F.get(listed(first, "bigint"), F.col("b")) == F.col("k"), both).otherwise(own)
-    placed = rows.withColumn("b", b).select("doc_id", "k", "text", F.explode(sent).alias("at")).select("doc_id", "k", "text", "at.*")
-    return placed.repartition("b").sortWithinPartitions("b", "late", "k", "text").select("b", "late", "k", "doc_id", "text")
+    both = F.array(place(F.col("b"), 0), place(F.get(before, F.col("b")), 1))
+    head = F.get(heads, F.col("b"))
+    sent = F.when(head["id"].eqNullSafe(F.col("doc_id")) & (head["h"] == F.col("h")), both).otherwise(own)
+    placed = rows.withColumn("b", b).select("doc_id", "h", "text", F.explode(sent).alias("at")).select("doc_id", "h", "text", "at.*")
+    return placed.repartition("b").sortWithinPartitions("b", "late", F.asc_nulls_first("doc_id"), "h", "text").select("b", "late", "doc_id", "h", "text")
 
 
 def edited(text: str, following: str) -> str:
@@ -180,24 +198,35 @@ def edited(text: str, following: str) -> str:
 
 
 def edit_likeness(docs: DataFrame, k: int = K, n: int = SHINGLE, buckets: int | None = None) -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_shingles, kept_part,
+    both_shingles) of every row.
 
-    The next document is that of the next larger doc_id (of rows with one id, by text), after the last the
+    The next document is that of the next larger doc_id (of rows with one id, by the text's hash), after the last the
     first. A lone document follows itself. Null texts are empty; null ids come first; an empty table gives none.
+    n_shingles: estimate of the text's distinct shingles; kept_part: of the part of them that the edited text has;
+    both_shingles: of the distinct shingles of both texts, from the merged sketch.
     """
+    schema = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_shingles double, kept_part double, both_shingles double"
+
+    def row(text: str, own: np.ndarray, following: str, theirs: np.ndarray) -> tuple:
+        other = edited(text, following)
+        mine = sketch(other, k, n)
+        digest = hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest()
+        return len(text), digest, spelled(own), spelled(mine), resemblance(own, mine, k), resemblance(own, theirs, k), distinct_shingles(own, k), containment(own, mine, k), distinct_shingles(merge(own, mine, k), k)
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None  # the row that waits for its next: (b, late, doc_id, text, its sketch)
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the row that waits for its next: (b, late, id as an array of one, text, its sketch)
         for batch in batches:
-            out = []
-            for b, late, doc_id, text in zip(batch["b"], batch["late"], batch["doc_id"], batch["text"], strict=True):
-                now = (b, late, doc_id, text, sketch(text, k, n))
+            ids, out = [], []
+            for i, (b, late, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+                now = (b, late, batch.column(2).slice(i, 1), text, sketch(text, k, n))
                 if held is not None and held[0] == b and not held[1]:
-                    other = edited(held[3], text)
-                    theirs = sketch(other, k, n)
-                    out.append((held[2], len(held[3]), hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest(), spelled(held[4]), spelled(theirs), resemblance(held[4], theirs, k), resemblance(held[4], now[4], k)))
+                    ids.append(held[2])
+                    out.append(row(held[3], held[4], text, now[4]))
                 held = now
-            yield pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]).astype({"doc_id": batch["doc_id"].dtype})
+            if out:
+                made = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 5], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(ids), *made], ["doc_id", *[c.split()[0] for c in schema.split(", ")]])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return in_sequence(docs, buckets).mapInPandas(of, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return in_sequence(docs, buckets).mapInArrow(of, f"doc_id {kind}, {schema}")

@@ -11,10 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.llm.texts import crc_mod
+from flowlens.llm.texts import by_text, crc_mod
 
 #: n-grams in a profile and of a text; lengths of n-grams.
 PROFILE, TOP, SIZES = 400, 300, (1, 2, 3)
@@ -112,12 +113,12 @@ class Ranker:
         at = np.searchsorted(self.codes, top)
         at[(at == len(self.codes)) | (self.codes[np.minimum(at, len(self.codes) - 1)] != top)] = len(self.codes)
         rank = self.ranks[:, at]
-        far = np.where(rank < 0, PROFILE, np.abs(rank - np.arange(len(top)))).sum(axis=1) / (PROFILE * len(top))
+        far = np.where(rank < 0, PROFILE, np.abs(rank - np.arange(len(top)))).sum(axis=1)
         order = np.argsort(far, kind="stable")
         if len(order) == 1:
-            return self.langs[0], float(np.clip(1 - far[0], 0, 1))
-        first, second = far[order[0]], far[order[1]]
-        return self.langs[order[0]], float(np.clip((second - first) / second if second > 0 else 0.0, 0, 1))
+            return self.langs[0], 1 - int(far[0]) / (PROFILE * len(top))
+        first, second = int(far[order[0]]), int(far[order[1]])
+        return self.langs[order[0]], (second - first) / second if second else 0.0
 
 
 def identify(docs: DataFrame, held_out: int = 0, folds: int = 5, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -131,12 +132,12 @@ def identify(docs: DataFrame, held_out: int = 0, folds: int = 5, doc_id: str = "
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"), F.col(lang).cast("string").alias("lang"))
     held = F.coalesce(crc_mod(F.col("doc_id"), folds) == held_out, F.lit(False))
     found = profiles(rows.where(~held).select("_text", "lang"))
+    kept: list[Ranker] = []  # one in each task's process
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ranker = Ranker(found)
-        for b in batches:
-            named = [ranker.best(t) for t in b["_text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "lang_pred": [x[0] for x in named], "score": [x[1] for x in named]})
+    def of(texts: list) -> tuple[dict[str, pa.Array], None]:
+        if not kept:
+            kept.append(Ranker(found))
+        named = [kept[0].best(t) for t in texts]
+        return {"lang_pred": pa.array([x[0] for x in named], pa.string()), "score": pa.array([x[1] for x in named], pa.float64())}, None
 
-    kind = dict(rows.dtypes)["doc_id"]
-    return rows.select("doc_id", "_text", held.alias("held_out")).mapInPandas(of, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return by_text(rows, of, "lang_pred string, score double", text="_text", carried={"held_out": held})

@@ -2,12 +2,13 @@
 
 Each document gets the key -ln(u) / w from a hash u of its id and text and its quality weight w, so that the
 smallest keys form a weighted sample without replacement. A source's target in words is met by whole copies
-of the source first (epochs), then by the longest prefix of its documents in key order that fits the rest, and,
-where that leaves a gap worth mention, by the largest documents left that fit it, or, where none fits, by the nearest if that lessens the gap.
+of the source first (epochs), then by its documents in key order: a document is taken if it fits in what is
+left of the target, and passed over if not, until next to nothing is left.
 
-The prefix is found without sorting a source in one task: keys are radix-bucketed by their rank-preserving
-score, sizes are summed by (source, two digits) with map-side combining, and only the bucket in which the
-budget ends is sorted, at 1/65536 of a source on average.
+The walk along a source is a few prefix sums, not a loop over documents: from one document that does not fit
+to the next, those that can still fit are summed in key order. Keys are bucketed by their logarithm: that of an
+exponential key has the same bounded density at every weight, so no bucket is hot whatever the weights. Sizes are
+summed by bucket with map-side combining, and only the bucket in which a prefix ends is sorted.
 """
 
 from __future__ import annotations
@@ -17,13 +18,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from flowlens.llm.texts import BLANK_CHARS, BLANKS, count_chars, whole
-from flowlens.plans.shared import cut, lookup_join
+from flowlens.plans.shared import cut, lookup_join, sums_before
 
-DIGITS = 256
+#: Buckets for each unit of a key's logarithm, coarse and fine: a fine one holds at most 1 in 44,000 of a source.
+COARSE, FINE = 1 << 6, 1 << 14
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST_EPOCHS = 3
-#: A gap above this part of the target is closed further, a document a round, in so many rounds at most.
-NEAR, CLOSING_ROUNDS = 0.002, 6
+#: The walk ends when this part of the target, or less, is left.
+NEAR = 0.002
+UNCLEAN = "#*$%&|<>{}[]\\^~=0123456789!"
 
 
 def word_count(text: Column) -> Column:
@@ -36,16 +39,20 @@ def quality_weight(text: Column) -> Column:
     """A document weight between 0.05 and 1: the share of its characters that are no symbols or digits, squared."""
     t = whole(text)
     n = F.greatest(F.length(F.translate(t, BLANK_CHARS, "")), F.lit(1))
-    clean = 1 - count_chars(t, "#*$%&|<>{}[]\\^~=0123456789!") / n
+    clean = 1 - count_chars(t, UNCLEAN) / n
     return F.greatest(clean * clean, F.lit(0.05))
 
 
+def _hash(doc_id: Column, text: Column) -> Column:
+    """60 bits of the MD5 of id and text."""
+    return F.conv(F.substring(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("|"), whole(text))), 1, 15), 16, 10).cast("long")
+
+
 def _keyed(docs: DataFrame, size: Column, weight: Column) -> DataFrame:
-    """Slim rows (doc_id, source, size, h, score): score is uniform in (0, 1) at weight 1 and falls with the key."""
-    h = F.xxhash64(F.col("doc_id").cast("string"), F.coalesce(F.col("text"), F.lit("")))
-    u = (F.pmod(h, F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), h.alias("h"), weight.alias("w"), u.alias("u"))
-    return rows.select("doc_id", "source", "size", "h", F.pow("u", 1.0 / F.col("w")).alias("score"))
+    """Slim rows (doc_id, source, size, h, key): key is the logarithm of -ln(u) / w."""
+    u = (F.floor(F.col("h") / 256).cast("double") + 0.5) / float(1 << 52)
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), _hash(F.col("doc_id"), F.col("text")).alias("h"), weight.alias("w"))
+    return rows.select("doc_id", "source", "size", "h", (F.log(-F.log(u)) - F.log("w")).alias("key"))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
@@ -56,79 +63,90 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     the rest until none is above. In the order of size / weight the cut sources come first, so the level
     follows from running sums; exact in the sizes' integers.
     """
-    ordered = Window.orderBy(F.col("source").asc_nulls_last())  # one row for each source
-    place = F.row_number().over(ordered) - 1
-    w = F.get(F.array(*map(F.lit, weights)), F.pmod(place, F.lit(len(weights))))
-    rows = sizes.withColumn("w", w).withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    every = Window.orderBy((F.col("cap") / F.col("w")).asc(), F.col("source").asc_nulls_last())
-    before = every.rowsBetween(Window.unboundedPreceding, -1)
-    total = F.sum("source_size").over(Window.partitionBy())
-    left = total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    weight_left = F.sum("w").over(Window.partitionBy()) - F.coalesce(F.sum("w").over(before), F.lit(0.0))
-    rows = rows.withColumn("level", left / weight_left).withColumn("cut", F.col("level") * F.col("w") > F.col("cap"))
+    placed = sums_before(sizes, [F.asc_nulls_last("source")], place=F.lit(1).cast("long"))
+    w = F.get(F.array(*map(F.lit, weights)), F.pmod("place", F.lit(len(weights))).cast("int"))
+    rows = placed.select("source", "source_size", w.alias("w"), (F.col("source_size") * most).alias("cap"))
+    total = F.broadcast(rows.agg(F.sum("source_size").alias("total"), F.sum("w").alias("weights")))  # one row
+    rows = sums_before(rows.withColumn("ratio", F.col("cap") / F.col("w")), ["ratio", F.asc_nulls_last("source")], caps=F.col("cap"), before=F.col("w")).crossJoin(total)
+    rows = rows.withColumn("level", (F.col("total") - F.col("caps")) / (F.col("weights") - F.col("before")))
+    rows = cut(rows.withColumn("cut", F.col("level") * F.col("w") > F.col("cap")), "levels")
     # levels fall along the order; that of the first source that is not cut holds for all after it
-    level = F.max(F.when(~F.col("cut"), F.col("level"))).over(Window.partitionBy())
-    return rows.select("source", "source_size", F.when(F.col("cut"), F.col("cap")).otherwise(level * F.col("w")).alias("target"))
-
-
-def _digit(score: Column, level: int) -> Column:
-    """The digit of a score in (0, 1), counted so that larger scores come first."""
-    scaled = score * F.lit(float(DIGITS**level))
-    return F.least((F.lit(DIGITS - 1) - F.pmod(F.floor(scaled), F.lit(DIGITS))).cast("int"), F.lit(DIGITS - 1))
-
-
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
+    level = F.broadcast(rows.agg(F.max(F.when(~F.col("cut"), F.col("level"))).alias("shared")))  # one row
+    return rows.crossJoin(level).select("source", "source_size", F.when(F.col("cut"), F.col("cap").cast("double")).otherwise(F.col("shared") * F.col("w")).alias("target"))
+
+
+def _walk(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """One prefix of the walk. state: (s, left, near, after) of the sources still walking; the result: (s, left, end) with
+    what is left behind the prefix and the first document that is not in it (null: there is none)."""
+    same = F.col("source").eqNullSafe(F.col("s"))
+    able = lookup_join(rows, state, same, "inner").where((F.col("size") <= F.col("left")) & (F.col("after").isNull() | (F.col("pos") > F.col("after"))))
+    fine = cut(able.groupBy("s", "c", "f").agg(F.sum("size").alias("size")), "mixsums")
+
+    def ends(sums: DataFrame, digit: str) -> DataFrame:
+        """Of each source, the bucket in which the prefix ends, and the words before it."""
+        so_far = Window.partitionBy("s").orderBy(digit).rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.withColumn("before", F.coalesce(F.sum("size").over(so_far), F.lit(0)) + F.col("base"))
+        over = sums.join(state.select("s", "left", "near").withColumnRenamed("s", "t"), F.col("s").eqNullSafe(F.col("t"))).where(F.col("before") + F.col("size") > F.col("left") - F.col("near"))
+        return over.groupBy("s").agg(F.min(F.struct(digit, "before")).alias("e"))
+
+    coarse = ends(fine.groupBy("s", "c").agg(F.sum("size").alias("size")).withColumn("base", F.lit(0).cast("long")), "c")
+    within = fine.join(coarse.select(F.col("s").alias("t"), F.col("e.c").alias("ec"), F.col("e.before").alias("base")), F.col("s").eqNullSafe(F.col("t")) & (F.col("c") == F.col("ec"))).drop("t")
+    last = cut(ends(within, "f").select(F.col("s").alias("t"), F.col("e.f").alias("ef"), F.col("e.before").alias("base")), "mixends")
+    inside = Window.partitionBy("s").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)  # one fine bucket of a source
+    tail = lookup_join(able, last, F.col("s").eqNullSafe(F.col("t")) & (F.col("f") == F.col("ef")), "inner")
+    tail = tail.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)) + F.col("base"))
+    stops = (F.col("before") + F.col("size") > F.col("left")) | (F.col("left") - F.col("before") <= F.col("near"))
+    border = F.struct(((F.col("f") + 1) / FINE).alias("key"), F.lit(-(1 << 63)).alias("h"), F.lit(-(1 << 63)).alias("uid"))  # behind the bucket; FINE is a power of two
+    ended = tail.groupBy("s").agg(F.coalesce(F.min(F.when(stops, F.struct("pos", "before"))), F.max(F.struct(border.alias("pos"), (F.col("before") + F.col("size")).alias("before")))).alias("e"))
+    taken = fine.groupBy("s").agg(F.sum("size").alias("taken"))
+    found = taken.join(ended.withColumnRenamed("s", "t"), F.col("s").eqNullSafe(F.col("t")), "left").select(F.col("s").alias("t"), F.coalesce("e.before", "taken").alias("gone"), F.col("e.pos").alias("end"))
+    return state.join(found, F.col("s").eqNullSafe(F.col("t")), "left").select("s", (F.col("left") - F.coalesce("gone", F.lit(0))).alias("left"), "end")
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_EPOCHS, near: float = NEAR) -> DataFrame:
     """(doc_id, h, size, source_size, target, copies, taken) of every document.
 
     copies: how often the mix takes the document; taken = copies * size. Deterministic: keys are hashes of id
     and text, so equal rows have equal keys and are exchangeable. Null and empty texts have size 0 and copies
-    as their place in key order says; a source without words has target 0. Narrow passes over slim rows,
-    small aggregations, one sort of the bucket where each budget ends.
+    as their place in key order says; a source without words has target 0. If more than `near` of a target is left when
+    nothing fits any more, the first document left in key order that is less than twice what is left is taken too.
+    Narrow passes over slim rows, small aggregations, one sort of the bucket in which each prefix ends.
     """
-    rows = _keyed(docs, word_count(F.col("text")), quality_weight(F.col("text")))
-    rows = rows.withColumn("d1", _digit(F.col("score"), 1)).withColumn("d2", _digit(F.col("score"), 2))
-    rows = cut(rows.withColumn("uid", F.monotonically_increasing_id()), "mix")  # tells equal rows apart
-    same_source = F.col("source").eqNullSafe(F.col("s"))
-    by = cut(rows.groupBy("source", "d1", "d2").agg(F.sum("size").alias("size")), "mixsums")  # at most 65536 rows a source
-    first = by.groupBy("source", "d1").agg(F.sum("size").alias("size"))
-    targets = cut(source_targets(first.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets")
-    plan = targets.withColumn("epochs", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(F.lit(0)).cast("int"))
-    plan = plan.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-
-    def ends(sums: DataFrame, digit: str, keys: list[str]) -> DataFrame:
-        """Of each source, the bucket in which the rest ends, and the words before it."""
-        so_far = F.coalesce(F.sum("size").over(Window.partitionBy(*keys).orderBy(digit).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return sums.withColumn("before", so_far + F.col("base")).where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("size") >= F.col("rest")))
-
-    need = plan.select(F.col("source").alias("s"), "rest")
-    level1 = first.join(need, same_source).withColumn("base", F.lit(0).cast("long"))
-    end1 = ends(level1, "d1", ["source"]).select(F.col("source").alias("s"), F.col("d1").alias("e1"), "rest", F.col("before").alias("base"))
-    level2 = by.join(end1, same_source & (F.col("d1") == F.col("e1")))
-    end2 = ends(level2, "d2", ["source"]).select(F.col("source").alias("s2"), "e1", F.col("d2").alias("e2"), F.col("before").alias("base"))
-    plan = cut(plan.join(end2, F.col("source").eqNullSafe(F.col("s2")), "left").select(F.col("source").alias("s"), "source_size", "target", "epochs", "rest", "e1", "e2", "base"), "mixplan")
-    marked = lookup_join(rows, plan, same_source)
-    earlier = (F.col("d1") < F.col("e1")) | ((F.col("d1") == F.col("e1")) & (F.col("d2") < F.col("e2")))
-    at_end = (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2"))
-    inside = Window.partitionBy("source").orderBy(F.col("score").desc(), "doc_id", "h", "uid").rowsBetween(Window.unboundedPreceding, -1)
-    last = marked.where(at_end)
-    last = last.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)) + F.col("base"))
-    last = last.withColumn("extra", (F.col("before") + F.col("size") <= F.col("rest")).cast("int"))
-    others = marked.where(~F.coalesce(at_end, F.lit(False))).withColumn("extra", F.coalesce(earlier, F.lit(False)).cast("int"))
-    cols = ["uid", "doc_id", "h", "source", "size", "score", "source_size", "target", "epochs", "rest", "extra"]
-    chosen = cut(others.select(*cols).unionByName(last.select(*cols)), "mixed")
-
-    for _ in range(CLOSING_ROUNDS):
-        gaps = chosen.groupBy("source").agg((F.max("rest") - F.sum(F.col("size") * F.col("extra"))).alias("gap"), F.max("target").alias("of"))
-        gaps = cut(gaps.where(F.col("gap") > F.col("of") * NEAR).select(F.col("source").alias("s"), "gap"), "mixgaps")
-        if gaps.isEmpty():
-            break
-        left = lookup_join(chosen.where("extra = 0").select("uid", "doc_id", "h", "source", "size", "score"), gaps, same_source, "inner")
-        best = left.groupBy("source").agg(F.min(F.struct((F.col("size") > F.col("gap")).alias("over"), F.abs(F.col("size") - F.col("gap")).alias("off"), (-F.col("score")).alias("score"), "doc_id", "h", "uid", "gap")).alias("b"))
-        closing = cut(best.where("b.off < b.gap").select(F.col("source").alias("s"), F.col("b.uid").alias("closing")), "mixclosing")
-        if closing.isEmpty():
-            break
-        more = F.coalesce((F.col("uid") == F.col("closing")).cast("int"), F.lit(0))
-        chosen = cut(lookup_join(chosen, closing, same_source).withColumn("extra", F.greatest("extra", more)).select(*cols), "mixed")
+    rows = _keyed(docs, word_count(F.col("text")), quality_weight(F.col("text"))).withColumn("uid", F.monotonically_increasing_id())  # tells equal rows apart
+    digit = lambda n: F.floor(F.col("key") * n)
+    rows = cut(rows.select("doc_id", "source", "size", "h", F.struct("key", "h", "uid").alias("pos"), digit(COARSE).alias("c"), digit(FINE).alias("f")), "mix")
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = source_targets(cut(sizes, "sizes"), weights, most)
+    epochs = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(F.lit(0)).cast("int")
+    plan = cut(targets.withColumn("epochs", epochs).select(F.col("source").alias("s"), "source_size", "target", "epochs", (F.col("target") - F.col("epochs") * F.col("source_size")).alias("rest")), "mixplan")
+    where = dict(rows.dtypes)["pos"]
+    state = plan.select("s", F.col("rest").alias("left"), (F.col("target") * near).alias("near"), F.lit(None).cast(where).alias("after"))
+    state = cut(state.where("left > near"), "mixstate")
+    parts, ended = [], None
+    while not state.isEmpty():
+        step = _walk(rows, state).withColumnsRenamed({"s": "t", "left": "rest_left"})
+        made = cut(state.join(step, F.col("s").eqNullSafe(F.col("t"))).drop("t"), "mixstep")
+        parts.append(made.select("s", F.struct("left", "after", "end").alias("part")))
+        over = made.where(F.col("end").isNull() | (F.col("rest_left") <= F.col("near"))).select("s", F.col("rest_left").alias("left"), "near")
+        ended = over if ended is None else ended.unionByName(over)
+        state = made.where(F.col("end").isNotNull() & (F.col("rest_left") > F.col("near"))).select("s", F.col("rest_left").alias("left"), "near", F.col("end").alias("after"))
+    if parts:
+        every = parts[0]
+        for p in parts[1:]:
+            every = every.unionByName(p)
+        walked = every.groupBy("s").agg(F.collect_list("part").alias("parts"))  # a part for each document that did not fit
+        plan = plan.join(walked.withColumnRenamed("s", "t"), F.col("s").eqNullSafe(F.col("t")), "left").drop("t")
+    else:
+        plan = plan.withColumn("parts", F.lit(None).cast(f"array<struct<left:double,after:{where},end:{where}>>"))
+    marked = lookup_join(rows, cut(plan, "mixparts"), F.col("source").eqNullSafe(F.col("s")))
+    in_part = lambda p: (F.col("size") <= p["left"]) & (p["after"].isNull() | (F.col("pos") > p["after"])) & (p["end"].isNull() | (F.col("pos") < p["end"]))
+    extra = F.coalesce(F.exists("parts", in_part), F.lit(False)).cast("int")
+    chosen = cut(marked.select("doc_id", "h", "size", "source", "pos", "source_size", "target", "epochs", extra.alias("extra")), "mixed")
+    if ended is not None:
+        gaps = cut(ended.where("left > near").select("s", "left"), "mixgaps")
+        able = lookup_join(chosen.where("extra = 0"), gaps, F.col("source").eqNullSafe(F.col("s")), "inner").where(F.col("size") < 2 * F.col("left"))
+        closing = cut(able.groupBy("s").agg(F.min("pos").alias("closing")), "mixclosing")
+        chosen = lookup_join(chosen, closing, F.col("source").eqNullSafe(F.col("s"))).withColumn("extra", F.greatest("extra", F.coalesce((F.col("pos") == F.col("closing")).cast("int"), F.lit(0))))
     copies = (F.col("epochs") + F.col("extra")).cast("int")
     return chosen.select("doc_id", "h", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
@@ -136,16 +154,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_
 def apply_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
     """docs with each row repeated as often as mix takes it, and left out where it takes none.
 
-    Rows are matched by id and text hash. Of equal rows whose copies differ, each keeps its own share: they are
-    counted by copies and dealt in turn. The columns are those of docs, whatever their names.
+    Rows are matched by id and text hash. Of rows equal in both, copies
+    are dealt in turn by the hash of the whole row. The columns are those of docs, whatever their names.
     """
-    key = lambda: F.xxhash64(docs["doc_id"].cast("string"), F.coalesce(docs["text"], F.lit("")))
     taken = mix(docs, weights, most).groupBy("doc_id", "h").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0")
     row = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
-    packed = docs.select(row, docs["doc_id"].alias("_id"), key().alias("_h"))
+    packed = docs.select(row, docs["doc_id"].alias("_id"), _hash(docs["doc_id"], docs["text"]).alias("_h"))
     wanted = packed.join(taken, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_h") == F.col("h")))
     several = wanted.where("_rows > 1")
-    turn = F.row_number().over(Window.partitionBy("_id", "_h").orderBy(F.lit(1)))
+    turn = F.row_number().over(Window.partitionBy("_id", "_h").orderBy(F.xxhash64("_row")))
     share = (F.floor(F.col("_copies") / F.col("_rows")) + (turn <= F.pmod("_copies", "_rows")).cast("int")).cast("int")
     dealt = wanted.where("_rows = 1").select("_row", F.col("_copies").cast("int").alias("_n")).unionByName(several.select("_row", share.alias("_n")).where("_n > 0"))
     return dealt.select("_row", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_row.*")

@@ -9,13 +9,13 @@ and two-for-one exchanges, each of which raises the sum of squared fills, until
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowlens.llm.texts import by_text
 from flowlens.plans.shared import cut
 
 CAPACITY, END_ID = 1024, 2
@@ -79,25 +79,26 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
     A document's ids are those of the tokenizer at `path` and `end_id`; null counts as empty. A document
     longer than capacity is cut from its end into full pieces, and the first piece takes what is left.
     """
-    kind = dict(docs.dtypes)[doc_id]
-
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of(texts: list) -> tuple[dict[str, pa.Array], list[int]]:
         encode, last = encoder(path).encode, np.array([end_id], "<u4").tobytes()
-        for b in batches:
-            rows = []
-            for d, t in zip(b["doc_id"].tolist(), b["_text"], strict=True):
-                ids = encode(t or "") + last
-                n = len(ids) // 4
-                cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
-                for i, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    part = ids[4 * s : 4 * e]
-                    rows.append((d, i, s, e - s, zlib.crc32(part), *([np.frombuffer(part, "<u4").astype(np.int64)] if keep_ids else [])))
-            made = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])])
-            made["doc_id"] = made["doc_id"].astype(b["doc_id"].dtype)
-            yield made
-
-    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + (", ids array<long>" if keep_ids else "")
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")).mapInPandas(of, schema)
+        counts, rows, parts = [], [], []
+        for t in texts:
+            ids = encode(t or "") + last
+            n = len(ids) // 4
+            cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
+            counts.append(len(cuts) - 1)
+            for i, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                part = ids[4 * s : 4 * e]
+                rows.append((i, s, e - s, zlib.crc32(part)))
+                if keep_ids:
+                    parts.append(np.frombuffer(part, "<u4"))
+        table = np.array(rows, np.int64).reshape(-1, 4)
+        made = {"piece": pa.array(table[:, 0].astype(np.int32)), **{c: pa.array(table[:, k + 1]) for k, c in enumerate(("start", "length", "ids_crc32"))}}
+        if keep_ids:
+            made["ids"] = pa.array([p.astype(np.int64) for p in parts], pa.list_(pa.int64()))
+        return made, counts
+
+    return by_text(docs, of, "piece int, start long, length long, ids_crc32 long" + (", ids array<long>" if keep_ids else ""), doc_id, text)
 
 
 def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
@@ -122,8 +123,8 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
     return bins
 
 
-def improve(lengths: np.ndarray, bins: np.ndarray, capacity: int = CAPACITY, passes: int = 4) -> np.ndarray:
-    """Local search on a packing; every step raises the sum of squared fills, so it ends.
+def improve(lengths: np.ndarray, bins: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
+    """Local search on a packing until no step is left; every step raises the sum of squared fills, so it ends.
 
     The emptiest bin gives, while it can: a document to a bin with room; a document for a smaller one of
     another bin (one-for-one); two documents for one that is smaller than both together (two-for-one).
@@ -131,56 +132,75 @@ def improve(lengths: np.ndarray, bins: np.ndarray, capacity: int = CAPACITY, pas
     bins = bins.copy()
     n = int(bins.max()) + 1 if len(bins) else 0
     fill = np.bincount(bins, weights=lengths, minlength=n).astype(np.int64)
+    held: list[list[int]] = [[] for _ in range(n)]
+    for i, b in enumerate(bins.tolist()):
+        held[b].append(i)
     least = -(-int(fill.sum()) // capacity)
-    for _ in range(passes):
+    moved = True
+    while moved:
         moved = False
         for v in np.argsort(fill, kind="stable").tolist():
-            if int((fill > 0).sum()) <= least:
+            if np.count_nonzero(fill) <= least:
                 return bins
             if fill[v] in (0, capacity):
                 continue
-            own = np.flatnonzero(bins == v).tolist()
-            while own:
-                other = np.flatnonzero((fill[bins] < capacity) & (bins != v))
-                step = _step(lengths, own, lengths[other], fill[bins[other]], int(fill[v]), capacity) if len(other) else None
+            while held[v]:
+                step = _step(lengths, held[v], bins, fill, v, capacity)
                 if step is None:
                     break
-                gone, at, back = step
-                partner = int(other[at])
-                target, gain = int(bins[partner]), int(lengths[gone].sum())
-                bins[gone] = target
-                own = [i for i in own if i not in gone]
-                if back:
-                    bins[partner] = v
-                    own.append(partner)
-                    gain -= int(lengths[partner])
+                gone, target, back = step
+                gain = int(lengths[gone].sum()) - (int(lengths[back]) if back is not None else 0)
+                for i in gone:
+                    held[v].remove(i)
+                    held[target].append(i)
+                    bins[i] = target
+                if back is not None:
+                    held[target].remove(back)
+                    held[v].append(back)
+                    bins[back] = v
                 fill[target] += gain
                 fill[v] -= gain
                 moved = True
-        if not moved:
-            break
     return bins
 
 
-def _step(lengths: np.ndarray, own: list[int], size: np.ndarray, fills: np.ndarray, fill: int, capacity: int) -> tuple[list[int], int, bool] | None:
-    """The next step for a bin: (documents that leave, place of the partner, whether the partner comes back).
-
-    size, fills: the partners' lengths and their bins' fills. A step must fit and leave the partner's bin
-    fuller than this bin was, which is what raises the sum of squares.
-    """
-    falling = sorted(own, key=lambda i: -lengths[i])
-    for i in falling:  # a move, to the fullest bin with room
-        after = fills + int(lengths[i])
-        fits = np.where((after <= capacity) & (after > fill), after, 0)
-        at = int(fits.argmax())
-        if fits[at]:
-            return [i], at, False
-    for gone in [[i] for i in falling] + [[i, j] for k, i in enumerate(falling[:6]) for j in falling[k + 1 : 6]]:
-        gain = int(lengths[gone].sum()) - size  # what the partner's bin gains
-        fits = np.where((gain > 0) & (fills + gain <= capacity) & (fills + gain > fill), gain, 0)
-        at = int(fits.argmax())
-        if fits[at]:
-            return gone, at, True
+def _best(sums: np.ndarray, size: np.ndarray, fills: np.ndarray, fill: int, capacity: int) -> tuple[int, int] | None:
+    """(place of a sum, place of a partner): of ascending sums that leave a bin for partners of these sizes, the step of
+    the largest gain of the partner's bin. A step must fit and leave that bin fuller than this bin was."""
+    at = np.searchsorted(sums, size + (capacity - fills), side="right") - 1  # the largest sum that fits each partner
+    gain = sums[at] - size
+    gain = np.where((at >= 0) & (gain > 0) & (fills + gain > fill), gain, 0)
+    k = int(gain.argmax())
+    return (int(at[k]), k) if gain[k] else None
+
+
+def _step(lengths: np.ndarray, own: list[int], bins: np.ndarray, fill: np.ndarray, v: int, capacity: int) -> tuple[list[int], int, int | None] | None:
+    """The next step of bin v: (documents that leave, bin they go to, document that comes back)."""
+    mine = np.array(own)
+    size, first = np.unique(lengths[mine], return_index=True)
+    room = np.flatnonzero((fill > 0) & (fill < capacity) & (np.arange(len(fill)) != v))
+    if not len(room):
+        return None
+    now = int(fill[v])
+    if (hit := _best(size, np.zeros(len(room), np.int64), fill[room], now, capacity)) is not None:
+        return [int(mine[first[hit[0]]])], int(room[hit[1]]), None
+    partner = np.flatnonzero((fill[bins] < capacity) & (bins != v))
+    theirs, fills = lengths[partner], fill[bins[partner]]
+    if (hit := _best(size, theirs, fills, now, capacity)) is not None:
+        other = int(partner[hit[1]])
+        return [int(mine[first[hit[0]]])], int(bins[other]), other
+    if len(mine) < 2:
+        return None
+    order = mine[np.argsort(lengths[mine], kind="stable")]
+    twice = {}  # a pair for each sum; equal documents add none but their own double
+    kept = [i for k, i in enumerate(order.tolist()) if k < 2 or lengths[i] != lengths[order[k - 2]]]
+    for k, i in enumerate(kept):
+        for j in kept[k + 1 :]:
+            twice.setdefault(int(lengths[i] + lengths[j]), (i, j))
+    pairs = np.array(sorted(twice))
+    if (hit := _best(pairs, theirs, fills, now, capacity)) is not None:
+        other = int(partner[hit[1]])
+        return [*twice[int(pairs[hit[0]])]], int(bins[other]), other
     return None
 
 
@@ -193,19 +213,20 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP)
     groups = max(1, round(pieces.count() / group))
     kinds = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes)
 
-    def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("uid", ignore_index=True)
-        lengths = pdf["length"].to_numpy()
+    def of(table: pa.Table) -> pa.Table:
+        table = table.sort_by("uid")
+        lengths, g = table.column("length").to_numpy(), table.column("g").to_numpy()
+        table = table.drop_columns(["g"])
         bins = improve(lengths, best_fit(lengths, capacity), capacity)
         order = np.argsort(bins, kind="stable")
         before = np.cumsum(lengths[order]) - lengths[order]
         first = np.concatenate([[True], bins[order][1:] != bins[order][:-1]])
-        offset = np.empty(len(pdf), np.int64)
+        offset = np.empty(len(lengths), np.int64)
         offset[order] = before - np.maximum.accumulate(np.where(first, before, 0))
-        return pdf.assign(sequence_id=pdf["g"].to_numpy() * (1 << 24) + bins, offset=offset).drop(columns="g")
+        return table.append_column("sequence_id", pa.array(g * (1 << 24) + bins)).append_column("offset", pa.array(offset))
 
     dealt = pieces.withColumn("g", F.pmod(F.xxhash64("uid"), F.lit(groups)))
-    return dealt.groupBy("g").applyInPandas(of, f"{kinds}, sequence_id long, offset long")
+    return dealt.groupBy("g").applyInArrow(of, f"{kinds}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, group: int = GROUP) -> DataFrame:

@@ -13,17 +13,19 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm.quality_rules import consistent_labels
-from flowlens.llm.texts import crc_mod
+from flowlens.llm.texts import by_text, crc_mod
 from flowlens.plans.shared import cut
 
 FEATURES = ("chars", "words", "word_len", "long_word", "variety", "repeats", "dup_lines", "line_words", "upper", "digits", "symbols", "bangs", "stops", "other", "wide", "entropy")
 #: Parts of the pooled covariance and of the identity in each class covariance, and the score's softening.
 POOLED, ROUND, HEAT = 0.1, 0.02, 4.0
+#: Statistics are multiples of 1 / GRAIN.
+GRAIN = 4096
 
 _CLASS = np.zeros((256, 8))
 for _i, _chars in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#*$%&|<>", b"!?", b".,;:", bytes(set(range(33, 127)) - set(b"#*$%&|<>!?.,;:") - set(b"0123456789") - {c for c in range(65, 91)} - {c for c in range(97, 123)}), bytes(range(128, 256)), b" \t\n\x0b\f\r")):
@@ -50,14 +52,14 @@ def statistics(text: str | None) -> list[float]:
 
 
 def document_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, x array<double>) of every row: one narrow pass."""
+    """(doc_id, x array<double>) of every row: one narrow pass. Statistics are rounded to 1 / GRAIN, so that sums can be whole numbers."""
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "x": [statistics(t) for t in b["_text"]]})
+    def of(texts: list) -> tuple[dict[str, pa.Array], None]:
+        x = np.rint(np.array([statistics(t) for t in texts]).reshape(-1) * GRAIN) / GRAIN
+        ends = np.arange(0, len(x) + 1, len(FEATURES), dtype=np.int32)
+        return {"x": pa.ListArray.from_arrays(pa.array(ends), pa.array(x, pa.float64()))}, None
 
-    kind = dict(docs.dtypes)[doc_id]
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")).mapInPandas(of, f"doc_id {kind}, x array<double>")
+    return by_text(docs, of, "x array<double>", doc_id, text)
 
 
 @dataclass
@@ -78,20 +80,22 @@ class Discriminant:
 def fit(rows: DataFrame, dims: int = len(FEATURES), pooled: float = POOLED, round_: float = ROUND) -> Discriminant | None:
     """Discriminant from (x array<double>, quality 0 or 1); None unless both classes have two rows.
 
-    One aggregation with map-side combining; two rows of sums reach the driver.
+    One aggregation with map-side combining, of whole numbers: the sums are the same in any order. Two rows of
+    sums reach the driver.
     """
     pairs = [(i, j) for i in range(dims) for j in range(i, dims)]
-    sums = [F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(dims)] + [F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"s{i}_{j}") for i, j in pairs]
-    found = {r["quality"]: r for r in rows.where("quality in (0, 1)").groupBy("quality").agg(F.count("*").alias("n"), *sums).collect()}
+    whole = F.transform("x", lambda v: F.rint(v * GRAIN).cast("long"))
+    sums = [F.sum(F.col("w")[i].cast("decimal(38,0)")).alias(f"s{i}") for i in range(dims)] + [F.sum((F.col("w")[i] * F.col("w")[j]).cast("decimal(38,0)")).alias(f"s{i}_{j}") for i, j in pairs]
+    found = {r["quality"]: r for r in rows.where("quality in (0, 1)").select("quality", whole.alias("w")).groupBy("quality").agg(F.count("*").alias("n"), *sums).collect()}
     if any(k not in found or found[k]["n"] < 2 for k in (0, 1)):
         return None
     n, means, spread = {}, {}, {}
     for k in (0, 1):
         r = found[k]
-        n[k], means[k] = r["n"], np.array([r[f"s{i}"] for i in range(dims)]) / r["n"]
+        n[k], means[k] = r["n"], np.array([float(r[f"s{i}"]) for i in range(dims)]) / GRAIN / r["n"]
         s = np.zeros((dims, dims))
         for i, j in pairs:
-            s[i, j] = s[j, i] = r[f"s{i}_{j}"] / r["n"] - means[k][i] * means[k][j]
+            s[i, j] = s[j, i] = float(r[f"s{i}_{j}"]) / GRAIN**2 / r["n"] - means[k][i] * means[k][j]
         spread[k] = s
     both = (n[0] * spread[0] + n[1] * spread[1]) / (n[0] + n[1])
     parts = []
@@ -114,10 +118,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, he
     held = F.coalesce(crc_mod(F.col("doc_id"), folds) == held_out, F.lit(False))
     model = fit(x.where(~held).join(consistent_labels(labels), "doc_id"))
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = model.scores(np.array(b["x"].tolist()).reshape(len(b), -1)) if model and len(b) else np.full(len(b), 0.5)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "score": s, "predicted": (s >= threshold).astype(np.int32)})
+            x = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            s = model.scores(x) if model and len(x) else np.full(len(x), 0.5)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     kind = dict(x.dtypes)["doc_id"]
-    return x.withColumn("held_out", held).mapInPandas(of, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return x.select("doc_id", held.alias("held_out"), "x").mapInArrow(of, f"doc_id {kind}, held_out boolean, score double, predicted int")

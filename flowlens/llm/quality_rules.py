@@ -1,6 +1,6 @@
 """Quality rules with risk-controlled cutoffs.
 
-Every text gets countable statistics by column functions alone. Labelled documents then choose, for each
+Every text gets countable statistics by column functions alone. Labelled documents, of equal ones one, then choose, for each
 stratum, the strictest level of cutoffs whose share of falsely rejected good documents is at most a stated
 risk: the hypothesis "the risk is above the bound" is tested with the exact binomial tail at each level of a
 fixed ladder, from the loosest on, until one test fails (a fixed sequence needs no correction), and the
@@ -115,12 +115,12 @@ def rejected() -> Column:
 
 
 def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
-    """(doc_id, stratum, STATS...) of every document: one narrow pass, written to the shared folder.
+    """(doc_id, stratum, copy, STATS...) of every document: one narrow pass, written to the shared folder.
 
     Null text counts as empty; a null stratum is a stratum of its own ('').
     """
-    s = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), rule_stats(F.col(text)).alias("s"))
-    return cut(s.select("doc_id", "stratum", "s.*"), "rules")
+    s = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), rule_stats(F.col(text)).alias("s"), F.xxhash64(whole(F.col(text))).alias("copy"))
+    return cut(s.select("doc_id", "stratum", "copy", "s.*"), "rules")
 
 
 def consistent_labels(labels: DataFrame, label: str = "quality") -> DataFrame:
@@ -129,6 +129,16 @@ def consistent_labels(labels: DataFrame, label: str = "quality") -> DataFrame:
     return seen.agg(F.min(label).alias(label), F.max(label).alias("_most")).where(F.col(label) == F.col("_most")).drop("_most")
 
 
+def labelled_texts(stats: DataFrame, labels: DataFrame) -> DataFrame:
+    """(stratum, quality, STATS...): one row for each labelled text of a stratum, however many rows repeat it.
+
+    Repeats are no independent trials. Texts whose copies have contradicting labels are left out.
+    """
+    rows = stats.join(consistent_labels(labels), "doc_id").groupBy("stratum", "copy")
+    each = rows.agg(F.min("quality").alias("quality"), F.max("quality").alias("_most"), *[F.min(c).alias(c) for c in STATS])  # equal texts have equal statistics
+    return each.where("quality = _most").drop("copy", "_most")
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.05, error: float = 0.05) -> DataFrame:
     """doc_id, stratum, the statistics, base_failed and kept of every document, repeated rows included.
 
@@ -136,10 +146,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.05, error:
     tables give an empty result; other columns of docs are not read.
     """
     stats = measured(docs)
-    levels = cut(fit_cutoffs(stats.join(consistent_labels(labels), "doc_id"), risk, error), "levels")
+    levels = cut(fit_cutoffs(labelled_texts(stats, labels), risk, error), "levels")
     out = lookup_join(stats, levels, "stratum")
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~rejected()).drop("level")
+    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~rejected()).drop("level", "copy")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, risk: float = 0.05, error: float = 0.05) -> DataFrame:
@@ -148,9 +158,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, risk: float = 0.05, error: flo
     Statistics are made once and written beside the rows; fitting reads only the statistics, and no text is shuffled.
     """
     row = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
-    packed = docs.select(row, F.coalesce(docs["lang"].cast("string"), F.lit("")).alias("stratum"), rule_stats(docs["text"]).alias("s"))
-    rows = cut(packed.select("_row", "stratum", "s.*"), "rules")
-    labelled = rows.select(F.col("_row.doc_id").alias("doc_id"), "stratum", *STATS).join(consistent_labels(labels), "doc_id")
-    levels = cut(fit_cutoffs(labelled, risk, error), "levels")
+    packed = docs.select(row, F.coalesce(docs["lang"].cast("string"), F.lit("")).alias("stratum"), rule_stats(docs["text"]).alias("s"), F.xxhash64(whole(docs["text"])).alias("copy"))
+    rows = cut(packed.select("_row", "stratum", "copy", "s.*"), "rules")
+    stats = rows.select(F.col("_row.doc_id").alias("doc_id"), "stratum", "copy", *STATS)
+    levels = cut(fit_cutoffs(labelled_texts(stats, labels), risk, error), "levels")
     marked = lookup_join(rows, levels, "stratum")
     return marked.where(~base_failed(F.col("n_words"), F.col("n_repeat_words")) & ~rejected()).select("_row.*")

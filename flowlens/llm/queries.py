@@ -68,4 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": sql.quality_rules()}
+    return {
+        "op2_mixing": sql.mixing_walk(), "op3_quality_rules": sql.quality_rules(), "op7_chunks": sql.repeated_chunks(),
+        "op8_licenses": sql.license_scan(), "op9_language": sql.rank_profiles(), "op10_secrets": sql.secret_scan(),
+    }

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm.spans import SPAN, match_spans, merged, no_spans, replaced
+from flowlens.llm.spans import SPAN, match_spans, merged, no_spans, replaced, running
 from flowlens.llm.texts import ascii_lower, whole
 from flowlens.plans.shared import let
 
@@ -24,6 +24,8 @@ KINDS = ("assign", "access", "hex", "random")
 #: What may be a random string: long runs of the base64 alphabets that hold a digit and a letter.
 TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = 128
+#: Ratios are whole multiples of 1 / UNITS, so that sums are exact; a mean of THRESHOLD is a secret; samples of each kind.
+UNITS, THRESHOLD, SAMPLES = 1000, 0.6, 2000
 
 #: Ordinary parts of identifiers; the samples join two to five of them.
 PARTS = (
@@ -35,27 +37,29 @@ PARTS = (
 ).split()
 
 
-def builtin_samples(spark: SparkSession, n: int = 2000) -> DataFrame:
+def _dealt(i: Column, of: str, n: int) -> Column:
+    """A number below n for sample i, from the first 32 bits of an MD5."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{of}-"), i.cast("string"))), 1, 8), 16, 10).cast("long") % n
+
+
+def builtin_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
     """(text, is_random): n random strings in four alphabets and n identifiers in three styles, the same each time."""
     i = F.col("id")
-    digest = F.sha2(F.concat(F.lit("sample-"), i.cast("string")), 512)
+    digest = F.concat(*[F.sha2(F.concat(F.lit(f"{half}-"), i.cast("string")), 256) for half in "ab"])
     base64 = F.base64(F.unhex(digest))
     alnum = F.regexp_replace(base64, "[+/=]", "")
-    upper = F.upper(F.substring(alnum, 1, 24))
-    random = F.element_at(F.array(F.substring(digest, 1, 40), F.substring(base64, 1, 40), F.substring(alnum, 1, 32), upper), (i % 4 + 1).cast("int"))
+    random = F.element_at(F.array(F.substring(digest, 1, 40), F.substring(base64, 1, 40), F.substring(alnum, 1, 32), F.upper(F.substring(alnum, 1, 24))), (i % 4 + 1).cast("int"))
     parts = F.array(*map(F.lit, PARTS))
-    chosen = F.transform(F.sequence(F.lit(1), (F.lit(2) + i % 4).cast("int")), lambda k: F.get(parts, F.pmod(F.xxhash64(i, k), F.lit(len(PARTS))).cast("int")))
-    number = (F.pmod(F.xxhash64(i), F.lit(3)) == 0, F.pmod(F.xxhash64(i, F.lit("n")), F.lit(2030)).cast("string"))
-    style = lambda sep, f: F.concat_ws(sep, F.transform(chosen, f))
-    styles = (style("_", lambda p: p), style("-", lambda p: p), style("", F.initcap))
-    plain = F.when(i % 3 == 0, styles[0]).when(i % 3 == 1, styles[1]).otherwise(styles[2])
-    plain = F.when(number[0], F.concat_ws("_", plain, number[1])).otherwise(plain)
+    chosen = F.slice(F.array(*[F.get(parts, _dealt(i, f"part{k}", len(PARTS)).cast("int")) for k in range(5)]), 1, (i % 4 + 2).cast("int"))
+    style = lambda sep, f: F.array_join(F.transform(chosen, f), sep)
+    plain = F.when(i % 3 == 0, style("_", lambda p: p)).when(i % 3 == 1, style("-", lambda p: p)).otherwise(style("", F.initcap))
+    plain = F.when(_dealt(i, "numbered", 3) == 0, F.concat_ws("_", plain, _dealt(i, "number", 2030).cast("string"))).otherwise(plain)
     rows = spark.range(n)
     return rows.select(random.alias("text"), F.lit(True).alias("is_random")).unionByName(rows.select(plain.alias("text"), F.lit(False).alias("is_random")))
 
 
-def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
-    """Log-likelihood ratios of character steps, random against ordinary, at place 128 * first + second.
+def train(samples: DataFrame, smoothing: float = 0.5) -> list[int]:
+    """Log-likelihood ratios of character steps, random against ordinary, at place 128 * first + second, in units of 1 / UNITS.
 
     samples: rows (text string, is_random boolean); nulls and characters beyond ASCII are passed over. Counts
     over all samples in one aggregation; at most 2 * 128 * 128 counts reach the driver.
@@ -65,7 +69,7 @@ def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
     steps = F.filter(let(F.col("text"), pairs), lambda s: (s["b"] > 0) & (s["a"] < ALPHABET) & (s["b"] < ALPHABET))
     rows = samples.where("text is not null and is_random is not null").select("is_random", F.explode(steps).alias("s")).groupBy("is_random", "s.a", "s.b").count().collect()
     used = sorted({c for r in rows for c in (r["a"], r["b"])})
-    table = [0.0] * (ALPHABET * ALPHABET)
+    table = [0] * (ALPHABET * ALPHABET)
     count = {(r["is_random"], r["a"], r["b"]): r["count"] for r in rows}
     total: dict[tuple[bool, int], int] = {}
     for (kind, a, _), n in count.items():
@@ -73,15 +77,18 @@ def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
     for a in range(ALPHABET):
         for b in used:
             p, q = ((count.get((kind, a, b), 0) + smoothing) / (total.get((kind, a), 0) + smoothing * len(used)) for kind in (True, False))
-            table[ALPHABET * a + b] = round(math.log(p / q), 4)
+            table[ALPHABET * a + b] = math.floor(math.log(p / q) * UNITS + 0.5)
     return table
 
 
 def log_ratio(token: Column, table: Column) -> Column:
-    """Mean log-likelihood ratio over the steps of a token of ASCII characters."""
-    at = lambda i: F.ascii(F.substring(token, i, 1))
-    total = F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), lambda a, i: a + F.coalesce(F.get(table, at(i) * ALPHABET + at(i + 1)), F.lit(0.0)))
-    return F.when(F.length(token) > 1, total / (F.length(token) - 1)).otherwise(F.lit(0.0))
+    """Sum of the log-likelihood ratios over the steps of a token of ASCII characters, in units of 1 / UNITS."""
+
+    def total(data: Column) -> Column:
+        at = lambda i: F.ascii(F.substring(data, i, F.lit(1)).cast("string"))
+        return F.aggregate(F.sequence(F.lit(1), F.octet_length(data) - 1), F.lit(0).cast("long"), lambda a, i: a + F.coalesce(F.get(table, at(i) * ALPHABET + at(i + 1)), F.lit(0)))
+
+    return F.when(F.length(token) > 1, let(token.cast("binary"), total)).otherwise(F.lit(0).cast("long"))
 
 
 def base_spans(text: Column) -> Column:
@@ -101,15 +108,23 @@ def base_spans(text: Column) -> Column:
 
 
 def markov_spans(text: Column, base: Column, table: Column, threshold: float) -> Column:
-    """Tokens that look random and lie in no base span."""
+    """Tokens that look random (their mean ratio is at least threshold) and lie in no base span."""
     tokens = F.when(text.rlike(TOKEN), match_spans(text, TOKEN, 3)).otherwise(no_spans())
-    outside = lambda s: ~F.exists(base, lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
-    return F.filter(tokens, lambda s: outside(s) & (log_ratio(s["hit"], table) >= threshold))
+
+    def outside(both: Column) -> Column:
+        """Of base spans and tokens by start, the tokens that end beyond every base span that starts no later."""
+        tops = running(F.transform(both, lambda s: F.when(s["kind"] < 3, s["end"]).otherwise(F.lit(0))), F.greatest)
+        return let(tops, lambda t: F.filter(both, lambda s, i: (s["kind"] == 3) & (F.get(t, i) < s["end"])))
+
+    by_start = F.array_sort(F.concat(base, tokens), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"]))
+    alone = F.when(F.size(base) > 0, let(by_start, outside)).otherwise(tokens)
+    random = lambda s: log_ratio(s["hit"], table) >= F.ceil(F.lit(threshold * UNITS)) * (F.length(s["hit"]) - 1)
+    return F.filter(alone, random)
 
 
-def secret_spans(text: Column, table: list[float], threshold: float = 0.6) -> Column:
+def secret_spans(text: Column, table: list[int], threshold: float = THRESHOLD) -> Column:
     """Struct (base, spans): arrays of struct<start, end, kind, hit>, both sorted by start, then kind."""
-    ratios = F.split(F.lit(",".join(map(str, table))), ",").cast("array<double>")  # folded to one literal
+    ratios = F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")  # folded to one literal
     return let(
         whole(text),
         lambda t: let(base_spans(t), lambda b: F.struct(b.alias("base"), F.array_sort(F.concat(b, markov_spans(t, b, ratios, threshold))).alias("spans"))),
@@ -122,7 +137,7 @@ def spelled(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))))
 
 
-def scan_secrets(docs: DataFrame, samples: DataFrame | None = None, threshold: float = 0.6, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def scan_secrets(docs: DataFrame, samples: DataFrame | None = None, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, base, spans) of every row, repeated rows included.
 
     Null text has no spans. A narrow job: one scan, no shuffle. Other columns of docs are not read.
@@ -132,14 +147,15 @@ def scan_secrets(docs: DataFrame, samples: DataFrame | None = None, threshold: f
     return docs.select(F.col(doc_id).alias("doc_id"), found.alias("s")).select("doc_id", "s.base", "s.spans")
 
 
-def redact(docs: DataFrame, samples: DataFrame | None = None, threshold: float = 0.6, mark: str = "[secret]") -> DataFrame:
+def redact(docs: DataFrame, samples: DataFrame | None = None, threshold: float = THRESHOLD, mark: str = "[secret]") -> DataFrame:
     """docs with every span of its text replaced by mark and n_chars brought up to date; no row is dropped.
 
     Null texts stay null. The columns are those of docs, whatever their names.
     """
     table = train(samples if samples is not None else builtin_samples(docs.sparkSession))
     row = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
-    marked = docs.select(row, merged(secret_spans(docs["text"], table, threshold)["spans"]).alias("_spans"))
+    found = docs.select(row, secret_spans(docs["text"], table, threshold)["spans"].alias("_found"))
+    marked = found.select("_row", merged(F.col("_found")).alias("_spans"))
     text = F.when(F.size("_spans") > 0, replaced(F.col("_row.text"), F.col("_spans"), mark)).otherwise(F.col("_row.text"))
     marked = marked.withColumn("_text", text)
     own = {"text": F.col("_text"), "n_chars": F.when(F.size("_spans") > 0, F.length("_text")).otherwise(F.col("_row.n_chars")) if "n_chars" in docs.columns else None}

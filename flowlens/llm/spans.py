@@ -1,7 +1,13 @@
-"""Places of regular-expression matches, by column functions alone."""
+"""Places of regular-expression matches, by column functions alone.
+
+Arrays never grow inside a fold, which would copy them at each step: sums and maxima run along an array by
+doubling, so a text with n matches takes n log n steps.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,51 +20,61 @@ def no_spans() -> Column:
     return F.array().cast(f"array<{SPAN}>")
 
 
-def match_spans(text: Column, pattern: str, kind: int) -> Column:
+def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """The array of op over each value and all before it; op is associative. Round k reaches back over 2**k values."""
+    rounds = F.sequence(F.lit(0), F.length(F.bin(F.greatest(F.size(values) - 1, F.lit(0)))) - 1)
+
+    def step(a: Column, k: Column) -> Column:
+        far = F.pow(F.lit(2), k).cast("int")
+        return F.transform(a, lambda x, i: F.when(i >= far, op(F.get(a, i - far), x)).otherwise(x))
+
+    return let(values, lambda v: F.aggregate(rounds, v, step))
+
+
+def plus(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def match_spans(text: Column, pattern: str | Column, kind: int) -> Column:
     """array<struct<start, end, kind, hit>> of the leftmost matches that do not overlap, in code points from 0.
 
-    The gaps between matches are what split() leaves; gap and match lengths in turn give the places. The
+    The gaps between matches are what split() leaves; running sums of gap and match lengths give the places. The
     pattern must not match the empty string.
     """
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
 
     def placed(s: Column) -> Column:
-        pairs = F.zip_with(F.slice(s["gaps"], 1, F.size(s["hits"])), s["hits"], lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-        start = F.struct(F.lit(0).alias("at"), no_spans().alias("out"))
-
-        def step(a: Column, p: Column) -> Column:
-            begin = a["at"] + p["gap"]
-            end = begin + F.length(p["hit"])
-            one = F.struct(begin.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), p["hit"].alias("hit")).cast(SPAN)
-            return F.struct(end.alias("at"), F.concat(a["out"], F.array(one)).alias("out"))
-
-        return F.aggregate(pairs, start, step, lambda a: a["out"])
+        steps = F.zip_with(F.slice(s["gaps"], 1, F.size(s["hits"])), s["hits"], lambda g, h: F.length(g) + F.length(h))
+        return F.zip_with(running(steps, plus), s["hits"], lambda e, h: F.struct((e - F.length(h)).alias("start"), e.alias("end"), F.lit(kind).alias("kind"), h.alias("hit")))
 
-    return let(F.struct(gaps.alias("gaps"), hits.alias("hits")), placed)
+    return let(F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hits")), placed)
 
 
 def merged(spans: Column) -> Column:
-    """Union of spans sorted by start, as array<struct<start, end>> without overlaps."""
-    start = F.array().cast("array<struct<start:int,end:int>>")
+    """Union of spans sorted by start, as array<struct<start, end>> without overlaps; spans that touch are one."""
 
-    def step(a: Column, s: Column) -> Column:
-        last = F.try_element_at(a, F.lit(-1))
-        one = F.struct(s["start"].alias("start"), s["end"].alias("end"))
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
-        inside = F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))
-        return F.when((F.size(a) > 0) & (s["start"] <= last["end"]), F.concat(inside, F.array(joined))).otherwise(F.concat(a, F.array(one)))
+    def islands(s: Column) -> Column:
+        tops = s["tops"]
+        starts = F.filter(F.transform(s["spans"], lambda x, i: F.struct(x["start"].alias("start"), i.alias("i"), (x["start"] > F.coalesce(F.get(tops, i - 1), F.lit(-1))).alias("new"))), lambda x: x["new"])
+        last = lambda all_, j: F.coalesce(F.get(all_, j + 1)["i"], F.size(tops)) - 1
+        return let(starts, lambda all_: F.transform(all_, lambda x, j: F.struct(x["start"].alias("start"), F.get(tops, last(all_, j)).alias("end"))))
 
-    return F.aggregate(spans, start, step)
+    return let(F.struct(spans.alias("spans"), running(F.transform(spans, lambda x: x["end"]), F.greatest).alias("tops")), islands)
 
 
 def replaced(text: Column, spans: Column, mark: str) -> Column:
-    """The text with each of the merged spans replaced by mark."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with each of the merged spans replaced by mark.
+
+    Pieces are taken from the text in UTF-32, where a place is an offset and no piece is looked for from the start.
+    """
+
+    def pieces(wide: Column) -> Column:
+        def piece(_: Column, i: Column) -> Column:
+            begin = F.coalesce(F.get(spans, i - 1)["end"], F.lit(0))
+            end = F.coalesce(F.get(spans, i)["start"], F.length(wide) / 4).cast("int")
+            # a letter goes before each piece, so that none starts with what decoding takes for a byte order mark
+            return F.substring(F.decode(F.concat(F.lit(b"\0\0\0x"), F.substring(wide, begin * 4 + 1, (end - begin) * 4)), "UTF-32"), F.lit(2), end - begin)
 
-    def step(a: Column, s: Column) -> Column:
-        piece = F.substring(text, a["at"] + 1, s["start"] - a["at"])
-        return F.struct(s["end"].alias("at"), F.concat(a["out"], piece, F.lit(mark)).alias("out"))
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.size(spans)), piece), mark)
 
-    end = lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text)))
-    return F.aggregate(spans, start, step, end)
+    return let(F.encode(text, "UTF-32"), pieces)

@@ -1,11 +1,22 @@
-"""DuckDB SQL of the text queries that SQL can express, written from the same rules and cutoffs."""
+"""DuckDB SQL of the text queries that SQL can express, written from the same rules, constants and cutoffs."""
 
 from __future__ import annotations
 
+from flowlens.llm import chunks, language, licenses, mixing, secrets
 from flowlens.llm.quality_rules import LEVELS, RULES, SYMBOLS
-from flowlens.llm.texts import BLANKS, UPPER
+from flowlens.llm.texts import BLANK_CHARS, BLANKS, LOWER, UPPER
 
 WORD = r"[^\x20\x09-\x0D]"
+DOCS = "docs AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents)"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _chars(text: str) -> str:
+    """A string of any ASCII characters."""
+    return "(" + " || ".join(f"chr({ord(c)})" for c in text) + ")"
 
 
 def _severity() -> str:
@@ -23,11 +34,140 @@ def quality_rules(risk: float = 0.05, error: float = 0.05) -> str:
       triples AS (SELECT r, i, x, lead(x, 1) OVER (PARTITION BY r ORDER BY i) AS y, lead(x, 2) OVER (PARTITION BY r ORDER BY i) AS z FROM places),
       twins AS (SELECT r, i, count(*) OVER (PARTITION BY r, x, y, z) AS c FROM triples WHERE z IS NOT NULL),
       covered AS (SELECT r, count(DISTINCT i + o) AS n FROM twins, (SELECT unnest([0, 1, 2]) AS o) WHERE c > 1 GROUP BY r),
-      stats AS (SELECT doc_id, stratum, len(w) AS n_words, length(regexp_replace(t, '{BLANKS}', '', 'g')) AS word_chars, {count(SYMBOLS)} AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(l) AS n_lines, {count(UPPER)} AS n_upper, {count('!')} AS n_bangs FROM cut_up LEFT JOIN covered USING (r)),
+      stats AS (SELECT doc_id, stratum, t, len(w) AS n_words, length(regexp_replace(t, '{BLANKS}', '', 'g')) AS word_chars, {count(SYMBOLS)} AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(l) AS n_lines, {count(UPPER)} AS n_upper, {count('!')} AS n_bangs FROM cut_up LEFT JOIN covered USING (r)),
       judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {_severity()} AS severity FROM stats),
-      known AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1 AND max(quality) = 1),
-      good AS (SELECT stratum, severity FROM judged JOIN known USING (doc_id) WHERE NOT base_failed),
+      known AS (SELECT doc_id, min(quality) AS q FROM labels GROUP BY doc_id HAVING min(quality) = max(quality)),
+      good AS (SELECT stratum, any_value(severity) AS severity FROM judged JOIN known USING (doc_id) WHERE NOT base_failed GROUP BY stratum, t HAVING min(q) = 1 AND max(q) = 1),
       counted AS (SELECT stratum, level, count(*) AS n, sum((severity <= level)::INT)::BIGINT AS k, (SELECT count(DISTINCT stratum) FROM good) AS strata FROM good, (SELECT unnest(range(0, {LEVELS})) AS level) GROUP BY stratum, level),
       tested AS (SELECT stratum, level, max((CASE WHEN k <= n * {risk} THEN {tail} ELSE 1 END * strata > {error})::INT) OVER (PARTITION BY stratum ORDER BY level) AS bad FROM counted),
       chosen AS (SELECT stratum, max(level) AS level FROM tested WHERE bad = 0 GROUP BY stratum)
       SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(severity > level, true) AS kept FROM judged LEFT JOIN chosen USING (stratum)"""
+
+
+def mixing_walk() -> str:
+    """op2: targets from running sums over sources, and the walk along each source document by document."""
+    u = "(floor(h / 256)::DOUBLE + 0.5) / 4503599627370496.0"
+    return f"""WITH RECURSIVE {DOCS},
+      sized AS (SELECT r, doc_id, source, len(regexp_extract_all(t, '{WORD}+'))::BIGINT AS size, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || t), 1, 15))::BIGINT AS h,
+        1 - (length(t) - length(translate(t, {_chars(mixing.UNCLEAN)}, ''))) / greatest(length(translate(t, {_chars(BLANK_CHARS)}, '')), 1) AS clean FROM docs),
+      keyed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY ln(-ln({u})) - ln(greatest(clean * clean, 0.05)), h, r) AS j FROM sized),
+      totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM keyed GROUP BY source),
+      weighed AS (SELECT *, [{', '.join(map(str, mixing.WEIGHTS))}][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)}]::DOUBLE AS w, source_size * {mixing.MOST_EPOCHS} AS cap FROM totals),
+      levels AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0))::DOUBLE / (sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS level FROM weighed WINDOW before AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+      targets AS (SELECT source, source_size, CASE WHEN level * w > cap THEN cap::DOUBLE ELSE w * max(CASE WHEN level * w <= cap THEN level END) OVER () END AS target FROM levels),
+      plan AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), {mixing.MOST_EPOCHS}) ELSE 0 END::BIGINT AS epochs, target * {mixing.NEAR} AS near FROM targets),
+      walk AS (SELECT source, CAST(0 AS BIGINT) AS j, target - epochs * source_size AS rest, near, CAST(0 AS BIGINT) AS extra FROM plan UNION ALL
+        SELECT walk.source, d.j, CASE WHEN rest > near AND size <= rest THEN rest - size ELSE rest END, near, CASE WHEN rest > near AND size <= rest THEN 1 ELSE 0 END FROM walk JOIN keyed d ON d.source IS NOT DISTINCT FROM walk.source AND d.j = walk.j + 1),
+      ends AS (SELECT source, arg_max(rest, j) AS rest, any_value(near) AS near FROM walk GROUP BY source),
+      closing AS (SELECT d.source, min(d.j) AS j FROM keyed d JOIN walk ON d.source IS NOT DISTINCT FROM walk.source AND d.j = walk.j JOIN ends ON ends.source IS NOT DISTINCT FROM d.source WHERE extra = 0 AND ends.rest > ends.near AND size < 2 * ends.rest GROUP BY d.source)
+      SELECT doc_id, size, source_size, target, size * (epochs + greatest(extra, (closing.j IS NOT NULL)::BIGINT)) AS taken
+      FROM keyed d JOIN plan ON plan.source IS NOT DISTINCT FROM d.source JOIN walk ON walk.source IS NOT DISTINCT FROM d.source AND walk.j = d.j LEFT JOIN closing ON closing.source IS NOT DISTINCT FROM d.source AND closing.j = d.j"""
+
+
+def repeated_chunks() -> str:
+    """op7: the gear hash by lags, borders by windows, digests as the chunks themselves, runs by islands."""
+    c = chunks
+    gear = ", ".join(map(str, c.gear_table().tolist()))
+    back, ahead = (f"min(h) OVER (PARTITION BY r ORDER BY p ROWS BETWEEN {a} AND {b})" for a, b in ((f"{c.REACH} PRECEDING", "1 PRECEDING"), ("1 FOLLOWING", f"{c.REACH} FOLLOWING")))
+    hashed = " + ".join(f"coalesce(lag(g, {k}) OVER (PARTITION BY r ORDER BY p), 0) * {1 << k}" for k in range(c.WINDOW))
+    return f"""WITH RECURSIVE {DOCS}, gear AS (SELECT [{gear}] AS g),
+      bytes AS (SELECT r, unnest(b) AS x, generate_subscripts(b, 1) AS p, len(b) AS n FROM (SELECT r, regexp_extract_all(hex(encode(t)), '..') AS b FROM docs WHERE t <> '')),
+      summed AS (SELECT r, p, n, x, ({hashed}) % 4294967296 AS h FROM (SELECT *, (SELECT g FROM gear)[1 + ('0x' || x)::INT]::BIGINT AS g FROM bytes)),
+      least_ones AS (SELECT r, p FROM (SELECT r, p, n, h, {back} AS lo, {ahead} AS hi FROM summed) WHERE p > {c.REACH} AND p <= n - {c.REACH} AND h <= lo AND h <= hi),
+      close AS (SELECT DISTINCT r FROM (SELECT r, p - lag(p) OVER (PARTITION BY r ORDER BY p) AS d FROM least_ones) WHERE d <= {c.REACH}),
+      spaced(r, p) AS (SELECT r, min(p) FROM least_ones JOIN close USING (r) GROUP BY r UNION ALL SELECT s.r, min(l.p) FROM spaced s JOIN least_ones l ON l.r = s.r AND l.p > s.p + {c.REACH} GROUP BY s.r, s.p),
+      marks AS (SELECT r, p FROM spaced UNION SELECT DISTINCT r, n FROM bytes UNION SELECT r, p FROM least_ones WHERE r NOT IN (SELECT r FROM close)),
+      wide AS (SELECT r, p, coalesce(lag(p) OVER (PARTITION BY r ORDER BY p), 0) AS s FROM marks),
+      cuts AS (SELECT r, least(s + {c.MOST} * (k + 1), p) AS e, s + {c.MOST} * k AS s FROM (SELECT *, unnest(range(0, (p - s + {c.MOST - 1}) // {c.MOST})) AS k FROM wide)),
+      pieces AS (SELECT cuts.r, s, e, row_number() OVER (PARTITION BY cuts.r ORDER BY s) - 1 AS i, docs.doc_id, substr(hex(encode(t)), 2 * s + 1, 2 * (e - s)) AS x FROM cuts JOIN docs USING (r)),
+      seen AS (SELECT x, min({{'u': doc_id IS NULL, 'd': doc_id, 'r': r, 'i': i}}) AS f FROM pieces GROUP BY x HAVING min(r) < max(r)),
+      own AS (SELECT pieces.*, seen.f.d AS first_doc_id, seen.f.r = r AND seen.f.i = i AS is_first, i - row_number() OVER (PARTITION BY r ORDER BY i) AS island FROM pieces JOIN seen USING (x)),
+      long AS (SELECT *, sum(e - s) OVER (PARTITION BY r, island) AS total, coalesce((is_first <> lag(is_first) OVER (PARTITION BY r, island ORDER BY i))::INT, 0) AS turn FROM own),
+      parts AS (SELECT *, sum(turn) OVER (PARTITION BY r, island ORDER BY i) AS part FROM long WHERE total >= {c.RUN})
+      SELECT min(doc_id) AS doc_id, min(s) AS "start", max(e) AS "end", count(*) AS n_chunks, arg_min(first_doc_id, i) AS first_doc_id, NOT bool_and(is_first) AS removable FROM parts GROUP BY r, island, part"""
+
+
+def license_scan() -> str:
+    """op8: words with two spaces between them, so that a match takes the spaces on both its sides; every rule is tried on every text."""
+
+    def doubled(regex: str) -> str:
+        return "[^ ]".join(part.replace(" ", "  ") for part in regex.split("[^ ]"))
+
+    table = ",\n".join(f"({k}, {_quoted(label)}, {priority}, {score}, {_quoted(' ' + doubled(regex) + ' ')})" for k, (label, regex, priority, score) in enumerate(licenses.rules()))
+    base = " UNION ALL ".join(f"SELECT r, i, '{label}' AS label FROM near WHERE " + " AND ".join(f"{'xyz'[k]} = '{w}'" for k, w in enumerate(phrase.split())) for phrase, label in licenses.BASE.items())
+    return f"""WITH {DOCS}, rules(k, label, priority, score, regex) AS (VALUES {table}),
+      lists AS (SELECT r, doc_id, regexp_extract_all(translate(t, '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM docs),
+      near AS (SELECT r, i, x, lead(x) OVER (PARTITION BY r ORDER BY i) AS y, lead(x, 2) OVER (PARTITION BY r ORDER BY i) AS z FROM (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS i FROM lists)),
+      base AS ({base}),
+      spaced AS (SELECT r, ' ' || array_to_string(w, '  ') || ' ' AS norm FROM lists WHERE len(w) > 0),
+      hit AS (SELECT r, k, regexp_extract_all(norm, regex) AS hits, string_split_regex(norm, regex) AS gaps FROM spaced, rules WHERE regexp_matches(norm, regex)),
+      flat AS (SELECT r, k, unnest(hits) AS x, unnest(gaps[:len(hits)]) AS g, generate_subscripts(hits, 1) AS i FROM hit),
+      placed AS (SELECT r, k, sum(length(g) + length(x)) OVER (PARTITION BY r, k ORDER BY i) AS e, length(x) AS n FROM flat),
+      found AS (SELECT r, label, priority, score, e - n AS s, e FROM placed JOIN rules USING (k)),
+      kept AS (SELECT * FROM found a WHERE NOT EXISTS (SELECT 1 FROM found b WHERE b.r = a.r AND b.s <= a.s AND a.e <= b.e AND (b.priority > a.priority OR (b.priority = a.priority AND b.e - b.s > a.e - a.s)))),
+      named AS (SELECT r, label, score FROM kept UNION ALL SELECT r, label, 0.9 FROM base),
+      per AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score)::DOUBLE AS score FROM named GROUP BY r),
+      of_base AS (SELECT r, count(*) AS n, min(i) AS lo, max(i) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM base GROUP BY r)
+      SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0) AS n_base, lo::BIGINT AS first_word, hi::BIGINT AS last_word, coalesce(of_base.labels, '') AS base_labels, coalesce(per.labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+      FROM lists LEFT JOIN of_base USING (r) LEFT JOIN per USING (r)"""
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a string of ASCII characters, byte by byte."""
+    table = []
+    for i in range(256):
+        for _ in range(8):
+            i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
+        table.append(i)
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: xor(a >> 8, {table}[1 + (xor(a, b) & 255)]::BIGINT)), 4294967295::BIGINT)"
+
+
+def rank_profiles() -> str:
+    """op9: n-grams by rows, profiles and texts ranked by windows, distances as whole numbers."""
+    size, top = language.PROFILE, language.TOP
+    return f"""WITH {DOCS},
+      marked AS (SELECT r, doc_id, lang, doc_id IS NOT NULL AND {_crc32('doc_id::VARCHAR')} % 5 = 0 AS held, trim(regexp_replace(lower(t), '[^\\pL]+', ' ', 'g'), ' ') AS t FROM docs),
+      letters AS (SELECT r, unnest(c) AS c, generate_subscripts(c, 1) AS p FROM (SELECT r, list_transform(regexp_extract_all(' ' || t || ' ', '.'), lambda x: unicode(x)::BIGINT) AS c FROM marked WHERE t <> '')),
+      near AS (SELECT r, c, lead(c) OVER (PARTITION BY r ORDER BY p) AS d, lead(c, 2) OVER (PARTITION BY r ORDER BY p) AS e FROM letters),
+      grams AS (SELECT r, c AS code FROM near WHERE c <> 32 UNION ALL SELECT r, (c << 21) | d FROM near WHERE d IS NOT NULL UNION ALL SELECT r, (c << 42) | (d << 21) | e FROM near WHERE e IS NOT NULL AND d <> 32),
+      counts AS (SELECT r, code, count(*) AS n FROM grams GROUP BY r, code),
+      learned AS (SELECT lang, code, sum(n) AS n FROM counts JOIN marked USING (r) WHERE NOT held AND lang IS NOT NULL GROUP BY lang, code),
+      profile AS (SELECT lang, code, k FROM (SELECT lang, code, row_number() OVER (PARTITION BY lang ORDER BY n DESC, code) - 1 AS k FROM learned) WHERE k < {size}),
+      best AS (SELECT r, code, k FROM (SELECT r, code, row_number() OVER (PARTITION BY r ORDER BY n DESC, code) - 1 AS k FROM counts) WHERE k < {top}),
+      far AS (SELECT best.r, l.lang, sum(coalesce(abs(p.k - best.k), {size}))::BIGINT AS d, count(*) AS n FROM best CROSS JOIN (SELECT DISTINCT lang FROM profile) l LEFT JOIN profile p ON p.lang = l.lang AND p.code = best.code GROUP BY best.r, l.lang),
+      placed AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY d, lang) AS k, lead(d) OVER (PARTITION BY r ORDER BY d, lang) AS next FROM far)
+      SELECT doc_id, held AS held_out, coalesce(placed.lang, 'und') AS lang_pred, CASE WHEN placed.lang IS NULL THEN 0 WHEN next IS NULL THEN 1 - d::DOUBLE / ({size} * n) WHEN next = 0 THEN 0 ELSE (next - d)::DOUBLE / next END::DOUBLE AS score
+      FROM marked LEFT JOIN placed ON placed.r = marked.r AND k = 1"""
+
+
+def secret_scan() -> str:
+    """op10: fixed patterns, the Markov ratios trained from the same samples, and tokens outside fixed spans."""
+    s = secrets
+    either = lambda w: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)
+    assign = f"({'|'.join(map(either, ('password', 'passwd', 'secret', 'token')))}|{either('api')}_?{either('key')})" + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    kinds = {"assign": assign, "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+", "random": "[A-Za-z0-9+/_=-]{20,}"}
+    good = {"assign": f"length(regexp_extract(x, {_quoted(assign)}, 2)) >= 6", "access": "length(x) >= 20", "hex": "length(x) >= 24", "random": "regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Za-z]')"}
+    flat = " UNION ALL ".join(f"SELECT r, {k} AS kind, unnest(h) AS x, unnest(g[:len(h)]) AS g, generate_subscripts(h, 1) AS i FROM (SELECT r, regexp_extract_all(t, {_quoted(p)}) AS h, string_split_regex(t, {_quoted(p)}) AS g FROM docs)" for k, p in enumerate(kinds.values()))
+    keep = " ".join(f"WHEN kind = {k} THEN {c}" for k, c in enumerate(good.values()))
+    dealt = lambda of, n: f"(('0x' || substr(md5('{of}-' || i), 1, 8))::BIGINT % {n})"
+    chosen = ", ".join(f"parts[1 + {dealt(f'part{k}', len(s.PARTS))}]" for k in range(5))
+    return f"""WITH {DOCS}, words AS (SELECT {list(s.PARTS)} AS parts),
+      drawn AS (SELECT i, sha256('a-' || i) || sha256('b-' || i) AS d, ([{chosen}])[:i % 4 + 2] AS c FROM words, range(0, {s.SAMPLES}) t(i)),
+      coded AS (SELECT *, to_base64(unhex(d)) AS b, regexp_replace(to_base64(unhex(d)), '[+/=]', '', 'g') AS a FROM drawn),
+      samples AS (SELECT true AS bad, CASE i % 4 WHEN 0 THEN substr(d, 1, 40) WHEN 1 THEN substr(b, 1, 40) WHEN 2 THEN substr(a, 1, 32) ELSE upper(substr(a, 1, 24)) END AS x FROM coded UNION ALL
+        SELECT false, CASE i % 3 WHEN 0 THEN array_to_string(c, '_') WHEN 1 THEN array_to_string(c, '-') ELSE array_to_string(list_transform(c, lambda p: upper(p[1]) || p[2:]), '') END || CASE WHEN {dealt('numbered', 3)} = 0 THEN '_' || {dealt('number', 2030)} ELSE '' END FROM coded),
+      steps AS (SELECT bad, ascii(x[k]) AS a, ascii(x[k + 1]) AS b FROM samples, range(1, 200) t(k) WHERE k < length(x)),
+      counts AS (SELECT bad, a, b, count(*) AS n FROM steps GROUP BY bad, a, b), sums AS (SELECT bad, a, sum(n) AS n FROM counts GROUP BY bad, a),
+      used AS (SELECT a AS c FROM steps UNION SELECT b FROM steps), m AS (SELECT count(*) AS m FROM used),
+      ratio AS (SELECT x.c AS a, y.c AS b, floor(ln(((coalesce(p.n, 0) + 0.5) / (coalesce(ps.n, 0) + 0.5 * m)) / ((coalesce(q.n, 0) + 0.5) / (coalesce(qs.n, 0) + 0.5 * m))) * {s.UNITS} + 0.5)::BIGINT AS v FROM used x CROSS JOIN used y CROSS JOIN m
+        LEFT JOIN counts p ON p.bad AND p.a = x.c AND p.b = y.c LEFT JOIN counts q ON NOT q.bad AND q.a = x.c AND q.b = y.c LEFT JOIN sums ps ON ps.bad AND ps.a = x.c LEFT JOIN sums qs ON NOT qs.bad AND qs.a = x.c),
+      flat AS ({flat}),
+      placed AS (SELECT r, kind, x, sum(length(g) + length(x)) OVER (PARTITION BY r, kind ORDER BY i) AS e FROM flat),
+      good AS (SELECT r, kind, x, e - length(x) AS s, e FROM placed WHERE CASE {keep} END),
+      base AS (SELECT * FROM good WHERE kind < 3),
+      tokens AS (SELECT * FROM good g WHERE kind = 3 AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = g.r AND b.s <= g.s AND g.e <= b.e)),
+      rated AS (SELECT r, tokens.s, tokens.e, sum(coalesce(v, 0)) AS v, any_value(length(x)) AS n FROM (SELECT *, unnest(range(1, length(x))) AS k FROM tokens) tokens LEFT JOIN ratio ON ratio.a = ascii(x[k]) AND ratio.b = ascii(x[k + 1]) GROUP BY r, tokens.s, tokens.e),
+      spans AS (SELECT r, kind, s, e FROM base UNION ALL SELECT r, 3, s, e FROM rated WHERE v >= ceil({s.THRESHOLD} * {s.UNITS}) * (n - 1)),
+      said AS (SELECT *, {list(s.KINDS)}[1 + kind] || ':' || s || ':' || e AS x FROM spans),
+      per AS (SELECT r, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2, string_agg(x, ',' ORDER BY s, kind) FILTER (kind < 3) AS b, string_agg(x, ',' ORDER BY s, kind) AS a FROM said GROUP BY r)
+      SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans FROM docs LEFT JOIN per USING (r)"""

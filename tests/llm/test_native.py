@@ -132,7 +132,7 @@ def test_licenses(spark, odd, tmp_path):
         want[(d, *plain_licenses(t))] += n
     assert collections.Counter((r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in rows) == want
     named = {r["doc_id"]: r["labels"] for r in rows}
-    assert named[104] == "cc-by-nc" and named[107] == "bsd-3-clause" and named[108] == "" and "lgpl" in named[101].split(",") and named[103] == "apache"
+    assert named[104] == "cc-by-nc" and named[107] == "bsd-3-clause" and named[108] == "mit" and "lgpl" in named[101].split(",") and named[103] == "apache"
     assert all(set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1 for r in rows)
 
 
@@ -165,7 +165,7 @@ def test_mixing(spark, odd, tables):
         assert r["taken"] <= 3 * r["size"] and round(r["target"], 6) in by
         taken[by[round(r["target"], 6)]] += r["taken"]
     for s, t in want.items():
-        assert abs(taken[s] - t) <= max(0.01 * t, 30_000 if sizes[s] > 30_000 else 200)
+        assert abs(taken[s] - t) <= max(0.002 * t, 30_000 if sizes[s] > 30_000 else 200)
     again = mixing.mix(odd.repartition(7)).collect()
     key = lambda r: (str(r["doc_id"]), r["h"], r["taken"])
     assert sorted(map(key, rows)) == sorted(map(key, again))
@@ -213,10 +213,14 @@ def against_duckdb(spark, name, folder):
     return collections.Counter(tuple(r[c] for c in cols) for r in df.collect()), collections.Counter(found.fetchall())
 
 
+@pytest.mark.parametrize("name", ["op2_mixing", "op3_quality_rules", "op7_chunks", "op8_licenses", "op9_language", "op10_secrets"])
 @pytest.mark.parametrize("data", ["odd", "sf0.01"])
-def test_rules_against_duckdb(spark, tables, data):
+def test_against_duckdb(spark, tables, data, name):
+    """Whole rows of each query that has SQL, on the awkward table and on a whole one."""
+    if (data, name) == ("odd", "op7_chunks"):
+        pytest.skip("a minute in DuckDB for 200,000 equal letters; test_repeats_by_hand takes this table")
     folder = tables if data == "odd" else f"/root/testdata/{data}"
     if not os.path.exists(folder):
         pytest.skip("the tables are not here")
-    got, want = against_duckdb(spark, "op3_quality_rules", folder)
+    got, want = against_duckdb(spark, name, folder)
     assert got == want

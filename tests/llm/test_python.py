@@ -86,19 +86,44 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
+def plain_sketch(text):
+    """The 256 smallest hashes of 5-word shingles, one number at a time."""
+    w = [xxhash.xxh3_64_intdigest(x) for x in text.encode().split()]
+    full = (1 << 64) - 1
+    found = set()
+    for i in range(max(1, len(w) - 4) if w else 0):
+        h = 0
+        for x in w[i : i + 5]:
+            h = (h * 0x9E3779B97F4A7C15 + x) & full
+            h = ((h ^ h >> 30) * 0xBF58476D1CE4E5B9) & full
+            h = ((h ^ h >> 27) * 0x94D049BB133111EB) & full
+            h ^= h >> 31
+        found.add(h)
+    return sorted(found)[:256]
+
+
+def plain_likeness(a, b):
+    least = sorted(set(a) | set(b))[:256]
+    return sum(x in set(a) and x in set(b) for x in least) / len(least) if least else 1.0
+
+
 def jaccard(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
 def test_fingerprints(spark, odd, tables):
     rows = op4_fingerprints(spark, tables).collect()
-    docs = sorted(((r["doc_id"] if r["doc_id"] is not None else -(1 << 63), r["text"] or "") for r in odd.collect()))
+    tie = lambda t: int(np.uint64(xxhash.xxh64_intdigest(t, 42)).view(np.int64))
+    docs = sorted(((r["doc_id"] if r["doc_id"] is not None else -(1 << 63), r["text"] or "") for r in odd.collect()), key=lambda r: (r[0], tie(r[1])))
     want = collections.Counter()
     for i, (d, t) in enumerate(docs):
-        e = fingerprints.edited(t, docs[(i + 1) % len(docs)][1])
-        want[(d, len(t), hashlib.sha256(e.encode()).hexdigest(), round(jaccard(shingles(t), shingles(e)), 1))] += 1
-    got = [(r["doc_id"] if r["doc_id"] is not None else -(1 << 63), r["n_chars"], r["edited_sha256"]) for r in rows]
-    assert collections.Counter(got) == collections.Counter({k[:3]: 0 for k in want}) + sum((collections.Counter({k[:3]: n}) for k, n in want.items()), collections.Counter())
+        after = docs[(i + 1) % len(docs)][1]
+        e = fingerprints.edited(t, after)
+        a, b, c = (plain_sketch(x) for x in (t, e, after))
+        want[(d, len(t), hashlib.sha256(e.encode()).hexdigest(), plain_likeness(a, b), plain_likeness(a, c))] += 1
+    got = [(r["doc_id"] if r["doc_id"] is not None else -(1 << 63), r["n_chars"], r["edited_sha256"], r["near_edited"], r["near_next"]) for r in rows]
+    assert collections.Counter(got) == want
+    assert {r["fingerprint"] for r in rows} == {fingerprints.spelled(np.array(plain_sketch(t), np.uint64)) for _, t in docs}
     text = dict(docs)
     for r in rows:
         t = text[r["doc_id"] if r["doc_id"] is not None else -(1 << 63)]
@@ -219,8 +244,9 @@ def test_links_lose_no_pair(n):
     base = rng.integers(0, 1 << 63, 150, dtype=np.uint64)
     fps = np.unique(np.concatenate([base, *[base[:60] ^ np.bitwise_or.reduce([np.uint64(1) << rng.integers(0, 64, 60).astype(np.uint64) for _ in range(k)]) for k in (1, 2, 4, 5)]]))
     masks = simhash.key_scheme(n)
-    keys = np.concatenate([(fps & np.uint64(m)) * np.uint64(2 * i + 1) + np.uint64(i) for i, m in enumerate(masks)]).view(np.int64)
-    a, b = simhash.links_within(keys, np.tile(fps, len(masks)), np.zeros(len(keys), np.int64))
+    keys = np.concatenate([(fps & np.uint64(m)) * np.uint64(2 * i + 1) + np.uint64(i) for i, (m,) in enumerate(masks)]).view(np.int64)
+    every = np.tile(fps, len(masks))
+    a, b = simhash.links_within(keys, every, every[:, None], np.zeros(len(keys), np.int64))
 
     def classes(pairs):
         root = {int(f): int(f) for f in fps}
@@ -245,7 +271,7 @@ def test_bit_sliced_distances():
     fps[70] = fps[3] ^ np.uint64(0b10111)
     fps[71] = fps[3] ^ np.uint64(0b111110)
     q, blocks = np.repeat(fps, 3), np.tile(np.arange(3), 130)
-    live, hit = simhash.near_lanes(q, blocks, simhash.planes(fps))
+    live, hit = simhash.near_lanes(q[:, None], blocks, simhash.planes(fps[:, None]))
     got = {(int(e) // 3, int(e) % 3 * 64 + lane) for e, h in zip(live, hit.tolist(), strict=True) for lane in range(64) if h >> lane & 1 and int(e) % 3 * 64 + lane < 130}
     assert got == {(i, j) for i in range(130) for j in range(130) if bin(int(fps[i] ^ fps[j])).count("1") <= 4}
 
@@ -253,8 +279,8 @@ def test_bit_sliced_distances():
 def test_large_bucket_is_split(spark, monkeypatch):
     monkeypatch.setattr(simhash, "CHUNK", 16)
     chain = [(1 << i) - 1 for i in range(60)]
-    rows = spark.createDataFrame([(c,) for c in chain], "fp long")
-    links = simhash.near_links(rows, len(chain)).collect()
+    rows = spark.createDataFrame([(c, c) for c in chain], "node long, w0 long")
+    links = simhash.near_links(rows, len(chain), simhash.key_scheme(len(chain))).collect()
     root = {c: c for c in chain}
     find = lambda x: x if root[x] == x else find(root[x])
     for r in links:
@@ -272,16 +298,25 @@ def test_borders_resist_shifts():
     assert kept > 0.95 * len(data) and np.diff([0, *ends]).max() <= chunks.MOST
 
 
-def test_gear_by_hand():
-    data = bytes(range(60, 120))
-    h = 0
-    want = []
-    for i, c in enumerate(data):
-        h = ((h << 1) + int(chunks.gear_table()[c])) & 0xFFFF
-        if h >> (16 - chunks.BORDER_BITS) == 0:
-            want.append(i + 1)
-    kept = [e for e, before in zip(want, [0, *want], strict=False) if e - before >= chunks.LEAST]
-    assert chunks.borders(data).tolist() == sorted({*kept, len(data)})
+def plain_borders(data):
+    """The border rule of chunks, byte by byte."""
+    g, full, n, reach = chunks.gear_table().tolist(), (1 << 32) - 1, len(data), chunks.REACH
+    h = [sum(g[data[i - k]] << k for k in range(min(chunks.WINDOW, i + 1))) & full for i in range(n)]
+    least = [i + 1 for i in range(reach, n - reach) if h[i] == min(h[i - reach : i + reach + 1])]
+    kept = []
+    for e in least:
+        if not kept or e - kept[-1] > reach:
+            kept.append(e)
+    out, last = [], 0
+    for e in [*kept, *([n] if n else [])]:
+        out += [*range(last + chunks.MOST, e, chunks.MOST), e]
+        last = e
+    return out
+
+
+@pytest.mark.parametrize("text", ["", "short", "x" * 700, "ab " * 300, prose(3, 200), "é中😀 " * 50 + prose(1, 40)])
+def test_borders_by_hand(text):
+    assert chunks.borders(text.encode()).tolist() == plain_borders(text.encode())
 
 
 def test_repeats(spark, odd, tables):
