@@ -21,9 +21,10 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies: SimHash of 4-word shingles, 4 bits."""
+    """One document, that of the smallest id, of each group of near copies: 256-bit SimHash of 5-word shingles, linked at
+    a similarity of 0.8 or more."""
     ship(spark)
-    return simhash.drop_near_copies(docs)
+    return simhash.drop_near_copies(docs, shingle=5, similarity=0.8, words=4)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
