@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.operators.flows import six
+from flowlens.plans.shared import sums_before
 
 
 def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
@@ -14,7 +15,7 @@ def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
     Values are counted first, so the running sum is over distinct values, not rows.
     """
     counts = df.groupBy(value).agg(F.count("*").alias("_n"))
-    ranks = counts.select(F.col(value).alias("_v"), (F.sum("_n").over(Window.orderBy(value)) - (F.col("_n") - 1) / 2).alias(name))
+    ranks = sums_before(counts, [value], _before=F.col("_n")).select(F.col(value).alias("_v"), (F.col("_before") + (F.col("_n") + 1) / 2).alias(name))
     return df.join(ranks, F.col(value).eqNullSafe(F.col("_v"))).drop("_v")
 
 
@@ -34,10 +35,10 @@ def auc(df: DataFrame, score: str, truth: str) -> DataFrame:
 def ks_distance(df: DataFrame, value: str, group: str) -> DataFrame:
     """One row: the largest distance between the empirical distributions of value in the two groups of a boolean."""
     per = df.groupBy(value).agg(F.sum(F.col(group).cast("long")).alias("a"), F.sum((~F.col(group)).cast("long")).alias("b"))
-    run = Window.orderBy(value)  # distinct values
-    all_ = Window.partitionBy()
-    gap = F.abs(F.sum("a").over(run) / F.sum("a").over(all_) - F.sum("b").over(run) / F.sum("b").over(all_))
-    return per.select(gap.alias("gap")).agg(six(F.max("gap")).alias("ks"))
+    run = sums_before(per, [value], before_a=F.col("a"), before_b=F.col("b"))
+    total = F.broadcast(per.agg(F.sum("a").alias("all_a"), F.sum("b").alias("all_b")))  # one row
+    gap = F.abs((F.col("before_a") + F.col("a")) / F.col("all_a") - (F.col("before_b") + F.col("b")) / F.col("all_b"))
+    return run.crossJoin(total).select(gap.alias("gap")).agg(six(F.max("gap")).alias("ks"))
 
 
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -67,12 +68,18 @@ def top_overlap(df: DataFrame, key: str, a: str, b: str, k: int) -> DataFrame:
     return both.crossJoin(any_).withColumn("jaccard", six(F.col("shared") / F.col("either")))
 
 
+def top_changes(df: DataFrame, key: str, score: str, before: str, after: str, k: int) -> DataFrame:
+    """One row: of the k highest by score (ties: smallest key), those whose label differs between two columns."""
+    top = df.orderBy(F.desc(score), key).limit(k)
+    return top.agg(F.count("*").alias("n"), F.sum((F.col(before) != F.col(after)).cast("long")).alias("changed"))
+
+
 def transitions(df: DataFrame, a: str, b: str) -> DataFrame:
+    """(before, after, n): how often each pair of labels stands in the two columns."""
     return df.groupBy(F.col(a).alias("before"), F.col(b).alias("after")).agg(F.count("*").alias("n"))
 
 
 
-
 def top_matrix(df: DataFrame, key: str, metrics: tuple[str, ...], k: int) -> DataFrame:
     """(a, b, shared): for each two metrics, the keys among the k highest of both (ties: smallest key)."""
     long = df.unpivot([key], list(metrics), "metric", "value")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.operators.flows import nine, six
-from flowlens.plans.shared import cut
+from flowlens.plans.shared import cut, cut_and_sum
 from flowlens.sources.tables import Network
 
 
@@ -76,7 +76,7 @@ def _by_source(net: Network, sources: DataFrame, links: DataFrame) -> DataFrame:
     return parts.mapInPandas(of, "gid long, b double").groupBy("gid").agg(F.sum("b").alias("b"))
 
 
-def betweenness(net: Network, samples: int | None = None, small_links: int = SMALL_LINKS) -> DataFrame:
+def betweenness(net: Network, samples: int | None = None, small_links: int = SMALL_LINKS, seed: int = 42) -> DataFrame:
     """(gid, betweenness): directed, unweighted, ends left out, over (n - 1)(n - 2), n all nodes.
 
     A graph of checked size goes to the tasks, and sources are spread over them. A larger one is walked by
@@ -86,7 +86,7 @@ def betweenness(net: Network, samples: int | None = None, small_links: int = SMA
     n = net.nodes.count()
     k = n if samples is None else min(samples, n)
     links = cut(net.links.select("src", "dst"), "links")
-    sources = net.nodes.select(F.col("gid").alias("s")) if samples is None else pivots(net, k)
+    sources = net.nodes.select(F.col("gid").alias("s")) if samples is None else pivots(net, k, seed)
     if 0 < links.count() <= small_links and n <= SMALL_NODES:
         scale = (1 / ((n - 1) * (n - 2)) if n > 2 else 0.0) * (n / k if k else 0.0)
         found = _by_source(net, sources, links)
@@ -119,36 +119,63 @@ def betweenness(net: Network, samples: int | None = None, small_links: int = SMA
     return net.nodes.select("gid").join(found, "gid", "left").select("gid", nine(F.coalesce("b", F.lit(0.0))).alias("betweenness"))
 
 
-def pagerank(net: Network, rounds: int = 10, alpha: float = 0.85) -> DataFrame:
-    """(gid, rank): weighted by cents; nodes that pay nothing spread their rank evenly; isolates included."""
+#: Rounds that are planned together before their result is written.
+TOGETHER = 8
+
+
+def pagerank(net: Network, alpha: float = 0.85, tolerance: float = 1e-14, most: int = 10_000) -> DataFrame:
+    """(gid, rank): weighted by cents; nodes that pay nothing spread their rank evenly; isolates included.
+
+    Rank spread evenly only scales all ranks, so it is left out and made up for at the end: what remains is the sum
+    over walks of all lengths, each round adding those one link longer. Rounds stop when what they add is below
+    `tolerance` of the whole; after `most` rounds without that an error is raised. Sums run by receiver, so a
+    round is one shuffle, and TOGETHER of them are planned at once.
+    """
     n = net.nodes.count()
     out = net.edges.groupBy("src").agg(F.sum("cents").alias("total")).where("total > 0")
-    share = cut(net.edges.join(out, "src").select("src", "dst", (F.col("cents") / F.col("total")).alias("share")), "share")
-    payers = cut(out.select(F.col("src").alias("gid"), F.lit(1).alias("pays")), "payers")
-    rank = cut(net.nodes.select("gid", F.lit(1.0 / n).alias("r")), "rank")
-    for _ in range(rounds):
-        stuck = rank.join(payers, "gid", "left_anti").agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("s"))  # one row
-        got = rank.join(share, F.col("gid") == F.col("src")).groupBy("dst").agg(F.sum(F.col("r") * F.col("share")).alias("got"))
-        new = rank.join(got, F.col("gid") == F.col("dst"), "left").crossJoin(F.broadcast(stuck))
-        rank = cut(new.select("gid", ((1 - alpha) / n + alpha * (F.coalesce("got", F.lit(0.0)) + F.col("s") / n)).alias("r")), "rank")
-    return rank.select("gid", F.col("r").alias("rank"))
-
-
-def hits(net: Network, rounds: int = 10, weighted: bool = False) -> DataFrame:
-    """(gid, hub, authority): power iteration from equal hubs, each L1-normalised at the end."""
-    top = net.links.agg(F.max("cents").alias("top"))
+    paid = net.edges.join(out, "src").select("src", "dst", (alpha * F.col("cents") / F.col("total")).alias("share"), F.lit(0.0).alias("own"))
+    # a row from each node to itself carries its sum on, so that a round reads the state once
+    share = cut(paid.unionByName(net.nodes.select(F.col("gid").alias("src"), F.col("gid").alias("dst"), F.lit(0.0).alias("share"), F.lit(1.0).alias("own"))), "share")
+    state = cut(net.nodes.select("gid", F.lit(1.0).alias("now"), F.lit(1.0).alias("all")), "rank")
+    for _ in range(0, most, TOGETHER):
+        for _ in range(TOGETHER):
+            sent = state.join(share, F.col("gid") == F.col("src")).select(F.col("dst").alias("gid"), (F.col("now") * F.col("share")).alias("now"), (F.col("all") * F.col("own")).alias("all"))
+            state = sent.groupBy("gid").agg(F.sum("now").alias("now"), (F.sum("all") + F.sum("now")).alias("all"))
+        state, seen = cut_and_sum(state, "rank", now=F.sum("now"), all=F.sum("all"))
+        # what further rounds would add is at most now * alpha / (1 - alpha)
+        if not n or seen["now"] * alpha / (1 - alpha) <= tolerance * seen["all"]:
+            return state.select("gid", (F.col("all") / F.lit(seen["all"] or 1.0)).alias("rank"))
+    raise RuntimeError(f"PageRank did not settle in {most} rounds")
+
+
+def hits(net: Network, weighted: bool = False, tolerance: float = 1e-13, most: int = 10_000) -> DataFrame:
+    """(gid, hub, authority): power iteration from equal hubs until hubs move by less than `tolerance` (Euclidean, of unit
+    vectors), authorities anew from the last hubs, each L1-normalised; after `most` rounds without that an error is raised."""
+    top = net.edges.agg(F.max("cents").alias("top"))
     w = (F.col("cents") / F.col("top")) if weighted else F.lit(1.0)
-    links = cut(net.links.crossJoin(F.broadcast(top)).select("src", "dst", w.alias("w")), "hits")
-    hub = net.nodes.select("gid", F.lit(1.0).alias("h"))
-
-    def scaled(df: DataFrame, c: str) -> DataFrame:
-        return df.crossJoin(F.broadcast(df.agg(F.sum(c).alias("all")))).withColumn(c, F.when(F.col("all") > 0, F.col(c) / F.col("all")).otherwise(0.0)).drop("all")
-
-    auth = None
-    for _ in range(rounds):
-        auth = links.join(hub, F.col("src") == F.col("gid")).groupBy(F.col("dst").alias("gid")).agg(F.sum(F.col("h") * F.col("w")).alias("a"))
-        auth = cut(scaled(auth, "a"), "auth")
-        hub = links.join(auth, F.col("dst") == F.col("gid")).groupBy(F.col("src").alias("gid")).agg(F.sum(F.col("a") * F.col("w")).alias("h"))
-        hub = cut(scaled(hub, "h"), "hub")
-    rows = net.nodes.select("gid").join(hub, "gid", "left").join(auth, "gid", "left").na.fill(0.0)
+    links = cut(net.edges.crossJoin(F.broadcast(top)).select("src", "dst", w.alias("w")), "hits")  # one row
+    empty = links.isEmpty()
+    hub = cut(net.nodes.select("gid", F.lit(1.0).alias("h"), F.lit(1.0).alias("was")), "hub")
+    norm, done = float(net.nodes.count()) ** 0.5 or 1.0, empty
+
+    def authorities(hub: DataFrame) -> DataFrame:
+        return links.join(hub.select("gid", "h"), F.col("src") == F.col("gid")).groupBy(F.col("dst").alias("gid")).agg(F.sum(F.col("h") * F.col("w")).alias("a"))
+
+    for _ in range(0, 0 if done else most, TOGETHER):
+        hub = hub.select("gid", (F.col("h") / norm).alias("h"))
+        for i in range(TOGETHER):
+            before = hub = cut(hub, "hub") if i == TOGETHER - 1 else hub
+            back = authorities(hub).withColumnRenamed("gid", "dst")
+            hub = links.join(back, "dst").groupBy(F.col("src").alias("gid")).agg(F.sum(F.col("a") * F.col("w")).alias("h"))
+        hub = hub.join(before.select("gid", F.col("h").alias("was")), "gid", "left").na.fill(0.0)  # to see how far the vector moved
+        hub, seen = cut_and_sum(hub, "hub", hh=F.sum(F.col("h") * F.col("h")), ww=F.sum(F.col("was") * F.col("was")))
+        norm = seen["hh"] ** 0.5
+        gap = hub.agg(F.sum(F.pow(F.col("h") / norm - F.col("was") / seen["ww"] ** 0.5, 2))).first()[0]
+        done = gap**0.5 < tolerance
+        if done:
+            break
+    if not done:
+        raise RuntimeError(f"HITS did not settle in {most} rounds")
+    scaled = lambda df, c: df.crossJoin(F.broadcast(df.agg(F.sum(c).alias("all")))).select("gid", F.when(F.col("all") > 0, F.col(c) / F.col("all")).otherwise(0.0).alias(c))
+    rows = net.nodes.select("gid").join(scaled(hub.select("gid", "h"), "h"), "gid", "left").join(scaled(authorities(hub), "a"), "gid", "left").na.fill(0.0)
     return rows.select("gid", six(F.col("h")).alias("hub"), six(F.col("a")).alias("authority"))

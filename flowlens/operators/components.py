@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.plans.shared import cut
+from flowlens.plans.shared import cut_and_sum
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -20,10 +20,6 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-
 def component_roots(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of an edge whose root differs from itself; root is the smallest node reachable.
 
@@ -32,11 +28,10 @@ def component_roots(edges: DataFrame, src: str = "src", dst: str = "dst", max_ro
     which keeps the result no larger than the edges. Self-loops and nulls are ignored.
     """
     a, b = F.col(src), F.col(dst)
-    star = cut(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "cc")
-    before = _mark(star)
+    mark = {"n": F.count("*"), "h": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))}  # of the rows, in any order
+    star, before = cut_and_sum(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "cc", **mark)
     for _ in range(max_rounds):
-        star = cut(_small_star(_large_star(star)), "cc")
-        after = _mark(star)
+        star, after = cut_and_sum(_small_star(_large_star(star)), "cc", **mark)
         if after == before:
             return star.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = after

@@ -57,6 +57,13 @@ def fifo(net: Network, window: int = 2, min_lag: int = 0, self_transfers: bool =
     return rows.withColumn("in_fraction", part("total_in")).withColumn("out_fraction", part("total_out"))
 
 
+def timing(net: Network, window: int = 2) -> DataFrame:
+    """(gid, active_days, and matched sums and fractions with same-day cover and without) from one pass over the days."""
+    rows = daily_flows(net).select("gid", F.size("days").cast("long").alias("active_days"), totals(F.col("days"), "in").alias("i"), totals(F.col("days"), "out").alias("o"), fold(F.col("days"), window, 0).alias("m"), fold(F.col("days"), window, 1).alias("s"))
+    part = lambda m, t, name: F.when(F.col(t) > 0, six(F.col(f"{m}.matched") / F.col(t))).otherwise(F.lit(0.0)).alias(name)
+    return rows.select("gid", "active_days", "m.matched", "m.same_day", F.col("s.matched").alias("strict_matched"), part("m", "i", "temporal_in"), part("m", "o", "temporal_out"), part("s", "i", "strict_in"), part("s", "o", "strict_out"))
+
+
 def sweep(net: Network, windows: tuple[int, ...] = (0, 1, 2, 7)) -> DataFrame:
     """(window, matched, incoming) over the network, self-transfers included, from one pass over the days."""
     rows = daily_flows(net, self_transfers=True)
@@ -93,12 +100,19 @@ def flow_pairs(net: Network, window: int = 2) -> DataFrame:
 
 
 def transit_definitions(net: Network) -> DataFrame:
-    """(gid, any, outflow covers 85 %, within 85-115 %, within 85-100 %, symmetric 85 %, distinct ends) of nodes with a pair in 0-2 days."""
+    """What could make a node with in- and outflow a transit: (gid, reversed: all outflow before all inflow; any_after: some
+    outflow on or after some inflow; and of the pairs 0 to 2 days apart: pairs, outflow covers 85 %, within 85-115 %,
+    within 85-100 %, agrees to 85 %, agrees to 85 % with distinct ends)."""
     a, b = F.col("in_cents"), F.col("out_cents")
-    return flow_pairs(net).groupBy("gid").agg(
+    alike = F.least(a, b) * 100 >= F.greatest(a, b) * 85
+    close = flow_pairs(net).groupBy("gid").agg(
         F.count("*").alias("pairs"), F.bool_or(b * 100 >= a * 85).alias("covers_85"), F.bool_or((b * 100 >= a * 85) & (b * 100 <= a * 115)).alias("band_115"), F.bool_or((b * 100 >= a * 85) & (b <= a)).alias("band_100"),
-        F.bool_or(F.least(a, b) * 100 >= F.greatest(a, b) * 85).alias("symmetric"), F.bool_or(F.col("payer") != F.col("payee")).alias("distinct_ends"),
+        F.bool_or(alike).alias("symmetric"), F.bool_or(alike & (F.col("payer") != F.col("payee"))).alias("distinct_ends"),
     )
+    # some pair is in order if the first inflow is no later than the last outflow
+    days = both_ends(net.tx.where("src <> dst"), "day").groupBy("gid").agg(*[f(F.when(F.col("side") == s, F.col("day"))).alias(f"{s}_{n}") for s in ("in", "out") for n, f in (("first", F.min), ("last", F.max))]).where("in_first is not null and out_first is not null")
+    flags = days.select("gid", (F.col("out_last") < F.col("in_first")).alias("reversed"), (F.col("out_last") >= F.col("in_first")).alias("any_after"))
+    return flags.join(close, "gid", "left").na.fill(0, ["pairs"]).na.fill(False)
 
 
 def pass_through_pairs(net: Network) -> DataFrame:

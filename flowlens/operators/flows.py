@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlens.plans.shared import sums_before
 from flowlens.sources.tables import Network
 
 
@@ -24,22 +25,27 @@ def both_ends(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(F.explode(ends).alias("e"), (F.col("src") == F.col("dst")).alias("own"), *cols).select("e.*", "own", *cols)
 
 
+def turnover(net: Network) -> DataFrame:
+    """(gid, in_deg, out_deg, in/out cents with and without self-transfers, in/out counts, pass_through) of every node: one
+    aggregation of the pairs' ends."""
+    on = lambda s, c, ext: F.coalesce(F.sum(F.when((F.col("side") == s) & (~F.col("own") if ext else F.lit(True)), c)), F.lit(0))
+    found = both_ends(net.edges, "cents", "n_tx").groupBy("gid").agg(
+        on("in", F.lit(1).cast("long"), True).alias("in_deg"), on("out", F.lit(1).cast("long"), True).alias("out_deg"),  # pairs are unique
+        on("in", F.col("cents"), False).alias("in_cents"), on("out", F.col("cents"), False).alias("out_cents"), on("in", F.col("cents"), True).alias("ext_in_cents"), on("out", F.col("cents"), True).alias("ext_out_cents"),
+        on("in", F.col("n_tx"), False).alias("in_tx"), on("out", F.col("n_tx"), False).alias("out_tx"),
+    )
+    rows = net.nodes.select("gid").join(found, "gid", "left").na.fill(0)
+    return rows.withColumn("pass_through", F.when(F.col("ext_in_cents") > 0, six(F.col("ext_out_cents") / F.col("ext_in_cents"))))
+
+
 def degrees(net: Network) -> DataFrame:
-    """(gid, in_deg, out_deg): distinct others that paid or were paid; pairs are unique, so a count."""
-    side = lambda s: F.coalesce(F.sum((F.col("side") == s).cast("long")), F.lit(0)).alias(f"{s}_deg")
-    found = both_ends(net.links).groupBy("gid").agg(side("in"), side("out"))
-    return net.nodes.select("gid").join(found, "gid", "left").na.fill(0)
+    """(gid, in_deg, out_deg): distinct others that paid or were paid."""
+    return turnover(net).select("gid", "in_deg", "out_deg")
 
 
 def flows(net: Network) -> DataFrame:
     """(gid, in/out cents with and without self-transfers, in/out counts, pass_through)."""
-    on = lambda s, c, ext: F.coalesce(F.sum(F.when((F.col("side") == s) & (~F.col("own") if ext else F.lit(True)), F.col(c))), F.lit(0))
-    found = both_ends(net.edges, "cents", "n_tx").groupBy("gid").agg(
-        on("in", "cents", False).alias("in_cents"), on("out", "cents", False).alias("out_cents"), on("in", "cents", True).alias("ext_in_cents"), on("out", "cents", True).alias("ext_out_cents"),
-        on("in", "n_tx", False).alias("in_tx"), on("out", "n_tx", False).alias("out_tx"),
-    )
-    rows = net.nodes.select("gid").join(found, "gid", "left").na.fill(0)
-    return rows.withColumn("pass_through", F.when(F.col("ext_in_cents") > 0, six(F.col("ext_out_cents") / F.col("ext_in_cents"))))
+    return turnover(net).drop("in_deg", "out_deg")
 
 
 def active_days(net: Network) -> DataFrame:
@@ -158,11 +164,17 @@ def run_summary(net: Network, components: DataFrame) -> DataFrame:
 
 
 def export_ordinals(net: Network) -> DataFrame:
-    """(row_id, src, dst, day, cents): places in the order (day, src, dst, cents), numbered by day without one global window.
-
-    Days are counted first; a day's rows are numbered within it, after the rows of earlier days.
-    """
-    days = net.tx.groupBy("day").agg(F.count("*").alias("n"))
-    before = days.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = F.row_number().over(Window.partitionBy("day").orderBy("src", "dst", "cents"))
-    return net.tx.withColumn("i", inside).join(before, "day").select((F.col("before") + F.col("i") - 1).alias("row_id"), "src", "dst", "day", "cents")
+    """(row_id, src, dst, day, cents): places from 0 in the order (day, src, dst, cents), without a window over all rows or a whole day."""
+    return sums_before(net.tx, ["day", "src", "dst", "cents"], row_id=F.lit(1).cast("long")).select("row_id", "src", "dst", "day", "cents")
+
+
+def starter_ratio(net: Network) -> DataFrame:
+    """(gid, pass_through): outflow over inflow, self-transfers included; null without inflow."""
+    return flows(net).select("gid", F.when(F.col("in_cents") > 0, six(F.col("out_cents") / F.col("in_cents"))).alias("pass_through"))
+
+
+def boundary_medians(net: Network) -> DataFrame:
+    """(place, n, in_cents, in_tx): medians of inflow at the last depth and, above it, of nodes that paid no one."""
+    rows = flows(net).join(net.nodes.select("gid", "depth", "is_seed"), "gid").join(degrees(net).select("gid", "out_deg"), "gid").join(truncated(net), "gid").where("not is_seed and out_deg = 0 and ext_in_cents > 0")
+    place = F.when(F.col("truncated"), F.lit("boundary")).otherwise(F.lit("interior"))
+    return rows.groupBy(place.alias("place")).agg(F.count("*").alias("n"), F.percentile("in_cents", F.lit(0.5)).alias("in_cents"), F.percentile("in_tx", F.lit(0.5)).alias("in_tx"))

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.operators.components import component_roots
-from flowlens.plans.shared import cut
+from flowlens.plans.shared import cut, sums_before
 from flowlens.sources.tables import Network
 
 
 def numbered(net: Network, roots: DataFrame) -> DataFrame:
     """(gid, component_id): ids 0, 1, ... in the order of each component's smallest gid."""
     rows = net.nodes.select("gid").join(roots, F.col("gid") == F.col("node"), "left").select("gid", F.coalesce("root", "gid").alias("root"))
-    ids = rows.select("root").distinct().withColumn("component_id", F.row_number().over(Window.orderBy("root")).cast("long") - 1)  # a row for each component
+    ids = sums_before(rows.select("root").distinct(), ["root"], component_id=F.lit(1).cast("long"))
     return rows.join(ids, "root").select("gid", "component_id")
 
 
@@ -69,31 +71,70 @@ def edge_days(net: Network) -> DataFrame:
 
 
 def wedges(net: Network) -> DataFrame:
-    """One row: two-step paths between different nodes, those whose days allow it, strictly, and those with a shortcut."""
-    d = edge_days(net)
-    a = d.select(F.col("src").alias("a"), F.col("dst").alias("m"), F.array_min("days").alias("first"))
-    b = d.select(F.col("src").alias("m"), F.col("dst").alias("b"), F.array_max("days").alias("last"))
-    w = a.join(b, "m").where("a <> b")
-    w = w.join(net.links.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(1).alias("short")), ["a", "b"], "left")
-    n = lambda c: F.sum(c.cast("long"))
-    return w.agg(F.count("*").alias("wedges"), n(F.col("first") <= F.col("last")).alias("in_time"), n(F.col("first") < F.col("last")).alias("strictly"), n(F.col("short").isNotNull()).alias("closed"))
+    """One row: two-step paths between different nodes, those whose days allow it, strictly, and those with a shortcut.
+
+    Nothing is made for each pair at a node: paths are counted from the days on which a node's links begin and end, and
+    shortcuts from triangles, which are grown at their node of fewest partners.
+    """
+    d = edge_days(net).select("src", "dst", F.array_min("days").alias("first"), F.array_max("days").alias("last"))
+    d = cut(d, "wedges")
+    n = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    at = d.select(F.col("dst").alias("m"), F.col("first").alias("day"), F.lit(1).alias("inn"), F.lit(0).alias("out")).unionByName(d.select(F.col("src").alias("m"), F.col("last").alias("day"), F.lit(0).alias("inn"), F.lit(1).alias("out")))
+    at = at.groupBy("m", "day").agg(F.sum("inn").alias("inn"), F.sum("out").alias("out"))  # a row for each day of a node
+    upto = Window.partitionBy("m").orderBy("day")
+    run = at.select("m", "inn", "out", F.sum("inn").over(upto).alias("sofar"))
+    counted = run.groupBy("m").agg(F.sum("inn").alias("ins"), F.sum("out").alias("outs"), F.sum(F.col("out") * F.col("sofar")).alias("ok"), F.sum(F.col("out") * (F.col("sofar") - F.col("inn"))).alias("strict"))
+    open_ = counted.agg(n(F.col("ins") * F.col("outs")).alias("w"), n(F.col("ok")).alias("ok"), n(F.col("strict")).alias("strict"))
+    back = d.alias("x").join(d.alias("y"), (F.col("x.src") == F.col("y.dst")) & (F.col("x.dst") == F.col("y.src")))  # paths that return
+    back = back.agg(F.count("*").alias("bw"), n((F.col("x.first") <= F.col("y.last")).cast("long")).alias("bok"), n((F.col("x.first") < F.col("y.last")).cast("long")).alias("bstrict"))
+    both = open_.crossJoin(back).crossJoin(shortcuts(net))  # one row each
+    return both.select((F.col("w") - F.col("bw")).alias("wedges"), (F.col("ok") - F.col("bok")).alias("in_time"), (F.col("strict") - F.col("bstrict")).alias("strictly"), "closed")
+
+
+def shortcuts(net: Network) -> DataFrame:
+    """One row (closed): paths a, m, b of two links whose ends have a link from a to b.
+
+    Partners are ordered by their number; every triangle is grown once, at its first node, so a hub grows none of its pairs.
+    """
+    links = net.links.select("src", "dst")
+    pairs = links.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), (F.col("src") < F.col("dst")).alias("up")).groupBy("a", "b").agg(F.max(F.col("up").cast("int")).alias("ab"), F.max((~F.col("up")).cast("int")).alias("ba"))
+    pairs = cut(pairs, "pairs")
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
+    at = lambda end: degree.select(F.col("g").alias(end), F.struct("n", "g").alias(f"k{end}"))
+    named = pairs.join(at("a"), "a").join(at("b"), "b")
+    up = F.col("ka") < F.col("kb")
+    way = lambda x, y: F.when(up, F.col(x)).otherwise(F.col(y))
+    rows = cut(named.select(F.when(up, F.col("ka")).otherwise(F.col("kb")).alias("lo"), F.when(up, F.col("kb")).otherwise(F.col("ka")).alias("hi"), way("ab", "ba").alias("f"), way("ba", "ab").alias("g")), "ordered")
+    side = lambda name: rows.select("lo", F.col("hi").alias(name), F.col("f").alias(f"f{name}"), F.col("g").alias(f"g{name}"))
+    thirds = rows.select(F.col("lo").alias("v"), F.col("hi").alias("w"), F.col("f").alias("vw"), F.col("g").alias("wv"))
+    found = side("v").join(side("w"), "lo").where(F.col("v") < F.col("w")).join(thirds, ["v", "w"])
+    # of lo, v, w each order (a, m, b) counts if it has all three links
+    has = {("u", "v"): "fv", ("v", "u"): "gv", ("u", "w"): "fw", ("w", "u"): "gw", ("v", "w"): "vw", ("w", "v"): "wv"}
+    total = sum(F.col(has[a, m]) * F.col(has[m, b]) * F.col(has[a, b]) for a, m, b in permutations("uvw"))
+    return found.agg(F.coalesce(F.sum(total), F.lit(0)).cast("long").alias("closed"))
 
 
 def cycles(net: Network, longest: int = 6) -> DataFrame:
     """(members, length): simple directed cycles, each once, its smallest gid first.
 
-    Rooted at the smallest member: a path only grows through larger ids, so no rotation is made twice.
+    Rooted at the smallest member: paths only grow through larger ids, so no rotation is made twice. Half a cycle is
+    grown forward from the root and half backward, and the halves meet at the same root and node; so paths have at
+    most half the length, and a busy node's paths are spread over the roots they meet.
     """
     links = net.links.select("src", "dst")
-    path = links.where("dst > src").select(F.col("src").alias("root"), F.col("dst").alias("cur"), F.array("src", "dst").alias("members"))
+    ahead = cut(links.where("dst > src").select(F.col("src").alias("root"), F.col("dst").alias("cur"), F.array("dst").alias("fore")), "cycles")
+    behind = cut(links.where("src > dst").select(F.col("dst").alias("root"), F.col("src").alias("cur"), F.array().cast("array<bigint>").alias("aft")), "cycles")
     found = None
     for n in range(2, longest + 1):
-        path = cut(path, "cycles")
-        closed = path.join(links, (F.col("cur") == F.col("src")) & (F.col("root") == F.col("dst"))).select("members", F.lit(n).alias("length"))
+        if n > 2 and n % 2:
+            grown = ahead.join(links, F.col("cur") == F.col("src")).where((F.col("dst") > F.col("root")) & ~F.array_contains("fore", F.col("dst")))
+            ahead = cut(grown.select("root", F.col("dst").alias("cur"), F.concat("fore", F.array("dst")).alias("fore")), "cycles")
+        elif n > 2:
+            grown = behind.join(links, F.col("cur") == F.col("dst")).where((F.col("src") > F.col("root")) & ~F.array_contains("aft", F.col("src")) & (F.col("src") != F.col("cur")))
+            behind = cut(grown.select("root", F.col("src").alias("cur"), F.concat(F.array("cur"), "aft").alias("aft")), "cycles")
+        met = ahead.join(behind, ["root", "cur"]).where(~F.arrays_overlap("fore", "aft"))
+        closed = met.select(F.concat(F.array("root"), "fore", "aft").alias("members"), F.lit(n).alias("length"))
         found = closed if found is None else found.unionByName(closed)
-        if n < longest:
-            grown = path.join(links, F.col("cur") == F.col("src")).where((F.col("dst") > F.col("root")) & ~F.array_contains("members", F.col("dst")))
-            path = grown.select("root", F.col("dst").alias("cur"), F.concat("members", F.array("dst")).alias("members"))
     return found
 
 
@@ -112,7 +153,7 @@ def _passes(days: Column, hops: Column, gap: int, window: int | None) -> Column:
     return F.exists(F.element_at(days, 1), from_day)
 
 
-def dated_cycles(net: Network, longest: int = 4, window: int = 7) -> DataFrame:
+def dated_cycles(net: Network, longest: int = 6, window: int = 2) -> DataFrame:
     """Per length: cycles whose days allow a round trip from some member: in order, strictly, in order within window days."""
     found = cycles(net, longest).withColumn("id", F.monotonically_increasing_id())
     found = cut(found, "dated")
@@ -156,6 +197,23 @@ def incompatible_pairs(net: Network) -> DataFrame:
     return reach.join(temporal_reach(net), ["seed", "node"], "left_anti").select("seed", "node")
 
 
+def first_impossible(net: Network, most: int = 4) -> DataFrame:
+    """(seed, node, path, edge): of pairs within reach that no days allow, a shortest path and the first of its links, from 1,
+    that cannot follow the earliest arrival before it."""
+    pairs = incompatible_pairs(net)
+    routes = shortest_witness(net, most).join(pairs, ["seed", "node"], "left_semi")
+    hop = routes.select("seed", "node", "path", F.posexplode(F.slice("path", F.lit(2), F.size("path") - 1)).alias("i", "dst")).withColumn("src", F.get("path", "i"))
+    dated = hop.join(edge_days(net), ["src", "dst"]).groupBy("seed", "node").agg(F.first("path").alias("path"), F.transform(F.sort_array(F.collect_list(F.struct("i", "days"))), lambda h: h["days"]).alias("days"))
+    start = F.struct(F.lit(-1_000_000).alias("day"), F.lit(0).alias("bad"), F.lit(0).alias("i"))
+
+    def step(a: Column, days: Column) -> Column:
+        later = F.array_min(F.filter(days, lambda d: d >= a["day"]))
+        bad = F.when((a["bad"] == 0) & later.isNull(), a["i"] + 1).otherwise(a["bad"])
+        return F.struct(F.coalesce(later, a["day"]).alias("day"), bad.alias("bad"), (a["i"] + 1).alias("i"))
+
+    return dated.select("seed", "node", "path", F.aggregate("days", start, step, lambda a: a["bad"]).alias("edge"))
+
+
 def shortest_witness(net: Network, most: int = 4) -> DataFrame:
     """(seed, node, path): of the shortest paths of at most `most` links, the smallest."""
     links = net.links.select("src", "dst")
@@ -168,7 +226,7 @@ def shortest_witness(net: Network, most: int = 4) -> DataFrame:
     return seen.where("seed <> node")
 
 
-def simple_paths(net: Network, most: int = 3) -> DataFrame:
+def simple_paths(net: Network, most: int = 4) -> DataFrame:
     """(seed, node, hops, n): simple paths from seeds by length."""
     links = net.links.select("src", "dst")
     path = seeds(net).withColumn("path", F.array("seed"))
@@ -196,11 +254,11 @@ def strong_components(net: Network) -> DataFrame:
 
     Nodes that lack an incoming or outgoing link are trimmed; then every node takes the smallest gid that
     reaches it, and the nodes of that colour that reach back to it are its component. Each round settles at
-    least the components of the smallest ids.
+    least the components of the smallest ids, so rounds end when no link is left.
     """
     links = cut(net.links.select("src", "dst"), "scc")
     done = None
-    for _ in range(200):
+    while True:
         while True:  # trim
             kept = links.join(links.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(links.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
             before = links.count()

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, field
+import json
+import math
+from dataclasses import dataclass, field, fields, replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowlens.functions.stats import rank_share
+from flowlens.functions.stats import rank_share, transitions
 from flowlens.operators.centrality import betweenness
-from flowlens.operators.fifo import fifo
-from flowlens.operators.flows import active_days, degrees, flows, six, truncated
+from flowlens.operators.communities import communities
+from flowlens.operators.fifo import timing
+from flowlens.operators.flows import six, turnover
 from flowlens.operators.paths import seed_reach
 from flowlens.plans.shared import cut
 from flowlens.sources.tables import Network
@@ -23,6 +26,10 @@ class RoleConfig:
     """Fixed values of the rules; weights sum to 1."""
 
     max_depth: int = 4
+    random_seed: int = 42
+    louvain_resolution: float = 1.0
+    centrality_mode: str = "exact"
+    betweenness_samples: int = 64
     consolidator_min_payers: int = 5
     consolidator_min_seeds: int = 2
     distributor_min_payees: int = 5
@@ -38,12 +45,32 @@ class RoleConfig:
     priority_weights: dict[str, float] = field(default_factory=lambda: {"seed_reach": 0.30, "flow": 0.25, "bridge": 0.20, "fan": 0.15, "role_support": 0.10})
 
     def __post_init__(self) -> None:
-        if set(self.priority_weights) != {"seed_reach", "flow", "bridge", "fan", "role_support"} or abs(sum(self.priority_weights.values()) - 1) > 1e-9:
-            raise ValueError("priority_weights must name the five parts and sum to 1")
-        if not 0 < self.coordinator_centrality_quantile < 1 or not 0 <= self.transit_min_matched_fraction <= 1:
-            raise ValueError("fractions must lie between 0 and 1")
-        if self.transit_ratio_min > self.transit_ratio_max or any(isinstance(v, (int, float)) and v < 0 for v in asdict(self).values()):
-            raise ValueError("bounds must be ordered and not negative")
+        number = lambda v: isinstance(v, (int, float)) and not isinstance(v, bool) and abs(v) < 1e300
+        weights = self.priority_weights
+        for f in fields(self):
+            v = getattr(self, f.name)
+            if f.type == "int" and not (isinstance(v, int) and number(v) and v >= 0) or f.type == "float" and not (number(v) and v >= 0):
+                raise ValueError(f"{f.name}: not a valid number: {v!r}")
+        if not isinstance(weights, dict) or set(weights) != set(PARTS) or not all(number(v) and v >= 0 for v in weights.values()) or abs(sum(weights.values()) - 1) > 1e-9:
+            raise ValueError("priority_weights must name the five parts, not be negative and sum to 1")
+        if self.centrality_mode not in ("exact", "approximate"):
+            raise ValueError("centrality_mode must be exact or approximate")
+        if self.max_depth != 4 or self.betweenness_samples < 1 or self.louvain_resolution <= 0:
+            raise ValueError("max_depth must be 4, betweenness_samples at least 1, louvain_resolution above 0")
+        if self.transit_ratio_min > self.transit_ratio_max or self.coordinator_centrality_quantile > 1 or not 0 < self.transit_min_matched_fraction <= 1:
+            raise ValueError("bounds must be ordered, and fractions lie between 0 and 1")
+
+
+def read_config(spark: SparkSession, path: str) -> RoleConfig:
+    """The configuration in a JSON file on any file system Spark reads: exactly the keys of RoleConfig, checked values."""
+    text = "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).limit(2).collect())  # one small file
+    found = json.loads(text)
+    if not isinstance(found, dict) or set(found) != {f.name for f in fields(RoleConfig)}:
+        raise ValueError("a configuration is a JSON object with exactly the known parameters")
+    return RoleConfig(**found)
+
+
+PARTS = ("seed_reach", "flow", "bridge", "fan", "role_support")
 
 
 def other_clusters(net: Network, clusters: DataFrame) -> DataFrame:
@@ -55,15 +82,15 @@ def other_clusters(net: Network, clusters: DataFrame) -> DataFrame:
 
 
 def features(net: Network, clusters: DataFrame, config: RoleConfig = RoleConfig(), central: DataFrame | None = None) -> DataFrame:
-    """One row for each node with all that roles and priority look at; every part is joined on gid."""
-    b = central if central is not None else betweenness(net)
-    w = config.transit_window_days
-    timed = fifo(net, w, 0).select("gid", F.col("in_fraction").alias("temporal_in"), F.col("out_fraction").alias("temporal_out"), "matched", "same_day")
-    strict = fifo(net, w, 1).select("gid", F.col("in_fraction").alias("strict_in"), F.col("out_fraction").alias("strict_out"), F.col("matched").alias("strict_matched"))
+    """One row for each node with all that roles and priority look at: sums of pairs in one aggregation, both FIFO folds and
+    active days in one pass over the days, and reach, neighbouring clusters and betweenness, joined on gid."""
+    b = central if central is not None else betweenness(net, None if config.centrality_mode == "exact" else config.betweenness_samples, seed=config.random_seed)
     rows = net.nodes
-    for part in (degrees(net), flows(net), truncated(net, config.max_depth), active_days(net), seed_reach(net, config.max_depth), other_clusters(net, clusters), b, clusters):
+    for part in (turnover(net), seed_reach(net, config.max_depth), other_clusters(net, clusters), b, clusters):
         rows = rows.join(part, "gid")
-    rows = rows.join(timed, "gid", "left").join(strict, "gid", "left").na.fill(0, ["temporal_in", "temporal_out", "matched", "same_day", "strict_in", "strict_out", "strict_matched"])
+    filled = ["active_days", "temporal_in", "temporal_out", "matched", "same_day", "strict_in", "strict_out", "strict_matched"]
+    rows = rows.join(timing(net, config.transit_window_days), "gid", "left").na.fill(0, filled)
+    rows = rows.withColumn("truncated", (F.col("depth") == config.max_depth) & (F.col("out_deg") == 0))
     return cut(rows, "features")  # read several times by the rules
 
 
@@ -127,16 +154,14 @@ def evidence(rows: DataFrame) -> DataFrame:
     return rows.withColumn("evidence", F.substring(F.concat(F.lit("Hypothesis: "), said, F.lit(". "), limit, F.lit(".")), 1, 200))
 
 
-PARTS = ("seed_reach", "flow", "bridge", "fan", "role_support")
-
-
 def top_nodes(rows: DataFrame, least: int = 20, most: int = 50) -> DataFrame:
-    """(rank, gid, role, priority_score, reasons): the first nodes by priority, with their two largest parts."""
+    """(rank, gid, role, priority_score, reasons, why): the first nodes by priority, their two largest parts, and both in words."""
     n = rows.count()
     parts = F.array(*[F.struct((-F.col(f"p_{p}")).alias("x"), F.lit(p).alias("part")) for p in sorted(PARTS)])
     top = rows.orderBy(F.desc("priority_score"), "gid").limit(max(least, min(most, n)))
-    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("priority_score"), "gid")))
-    return ranked.select("rank", "gid", "role", "priority_score", F.concat_ws(",", F.transform(F.slice(F.array_sort(parts), 1, 2), lambda p: p["part"])).alias("reasons"))
+    ranked = evidence(top).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("priority_score"), "gid")))  # at most `most` rows
+    ranked = ranked.withColumn("reasons", F.concat_ws(",", F.transform(F.slice(F.array_sort(parts), 1, 2), lambda p: p["part"])))
+    return ranked.select("rank", "gid", "role", "priority_score", "reasons", F.concat_ws(" First by: ", "evidence", "reasons").alias("why"))
 
 
 def cluster_summary(net: Network, rows: DataFrame, leaders: int = 5) -> DataFrame:
@@ -152,17 +177,66 @@ def cluster_summary(net: Network, rows: DataFrame, leaders: int = 5) -> DataFram
     return sizes.join(inside, "cluster_id", "left").na.fill(0, ["internal_cents"]).join(tops, "cluster_id").join(dominant, "cluster_id")
 
 
-def scenarios(rows: DataFrame, config: RoleConfig = RoleConfig(), factors: tuple[tuple[str, float], ...] = (("base", 1.0), ("relaxed", 0.8), ("strict", 1.2))) -> DataFrame:
-    """(scenario, gid, role, priority_score): the rules again with all minima scaled, from the same features."""
+def threshold_scenarios(config: RoleConfig = RoleConfig()) -> dict[str, RoleConfig]:
+    """The rules as they are, relaxed by 0.8 and made strict by 1.2: minima rounded down or up and at least 1, the fan ratio
+    scaled, the transit band widened or narrowed, the centrality quantile at 0.85 or 0.95."""
+    made = {"base": config}
+    minima = ("consolidator_min_payers", "consolidator_min_seeds", "distributor_min_payees", "coordinator_min_degree", "coordinator_min_seeds", "coordinator_min_other_clusters")
+    for name, f in (("relaxed", 0.8), ("strict", 1.2)):
+        whole = math.floor if f < 1 else math.ceil
+        tolerance = 0.2 * (1.2 if f < 1 else 0.8)
+        changed = {k: max(1, whole(getattr(config, k) * f)) for k in minima}
+        changed |= {"distributor_fan_ratio": config.distributor_fan_ratio * f, "transit_ratio_min": 1 - tolerance, "transit_ratio_max": 1 + tolerance, "coordinator_centrality_quantile": 0.85 if f < 1 else 0.95}
+        made[name] = replace(config, **changed)
+    return made
+
+
+def scenarios(rows: DataFrame, cases: dict[str, RoleConfig] | None = None) -> DataFrame:
+    """(scenario, gid, cluster_id, role, priority_score): the rules again under each configuration, from the same features."""
     made = None
     rows = cut(rows, "features")
-    for name, f in factors:
-        values = asdict(config) | {k: getattr(config, k) * f for k in ("consolidator_min_payers", "distributor_min_payees", "coordinator_min_degree", "coordinator_min_seeds")}
-        one = prioritise(classify(rows, RoleConfig(**values)), config).select(F.lit(name).alias("scenario"), "gid", "role", "priority_score")
+    for name, config in (cases or threshold_scenarios()).items():
+        one = prioritise(classify(rows, config), config).select(F.lit(name).alias("scenario"), "gid", "cluster_id", "role", "priority_score")
         made = one if made is None else made.unionByName(one)
     return made
 
 
+def sensitivity(net: Network, config: RoleConfig = RoleConfig(), seeds: tuple[int, ...] = (0, 1, 7, 99), resolutions: tuple[float, ...] = (0.8, 1.2)) -> DataFrame:
+    """(scenario, gid, cluster_id, role, priority_score): the whole run under other thresholds, pivots of sampled betweenness,
+    resolutions of communities, and priority weights scaled one by one; features are made once for each graph metric."""
+    base, central = cut(communities(net, config.louvain_resolution), "base"), cut(betweenness(net), "central")
+    rows = features(net, base, config, central)
+    weights = {f"weight {name}": replace(config, priority_weights=w) for name, w in weight_cases(config).items() if name != "base"}
+    made = scenarios(rows, threshold_scenarios(config) | weights)
+    for s in seeds:
+        sampled = cut(betweenness(net, config.betweenness_samples, seed=s), "sampled")
+        made = made.unionByName(scenarios(rows.drop("betweenness").join(sampled, "gid"), {f"betweenness_seed_{s}": config}))
+    for r in resolutions:
+        other = cut(communities(net, r), "other")
+        made = made.unionByName(scenarios(rows.drop("cluster_id", "other_clusters").join(other, "gid").join(other_clusters(net, other), "gid"), {f"resolution_{r:g}": config}))
+    return made
+
+
+def compared(made: DataFrame, base: str = "base", tops: tuple[int, ...] = (20, 50)) -> DataFrame:
+    """(scenario, role_changes, clusters, top20, top20_changes, ...): each scenario against the base: nodes whose role differs,
+    clusters, and of the first nodes of the base by priority those that are first here too, and those whose role differs."""
+    made = cut(made, "scenarios")
+    place = F.row_number().over(Window.partitionBy("scenario").orderBy(F.desc("priority_score"), "gid"))
+    first = made.select("scenario", "gid", "priority_score").withColumn("r", place).where(F.col("r") <= max(tops)).select("scenario", "gid", "r")
+    rows = made.join(first, ["scenario", "gid"], "left")
+    was = rows.where(F.col("scenario") == base).select("gid", F.col("role").alias("was"), F.col("r").alias("r0"))
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    other = F.col("role") != F.col("was")
+    parts = [x for k in tops for x in (n((F.col("r") <= k) & (F.col("r0") <= k)).alias(f"top{k}"), n(other & (F.col("r0") <= k)).alias(f"top{k}_changes"))]
+    return rows.join(was, "gid").groupBy("scenario").agg(n(other).alias("role_changes"), F.count_distinct("cluster_id").alias("clusters"), *parts)
+
+
+def role_changes(made: DataFrame, a: str, b: str) -> DataFrame:
+    """(before, after, n): roles of the same node in two scenarios."""
+    of = lambda name, c: made.where(F.col("scenario") == name).select("gid", F.col("role").alias(c))
+    return transitions(of(a, "x").join(of(b, "y"), "gid"), "x", "y")
+
+
 def stability(made: DataFrame) -> DataFrame:
     """(gid, roles, stable) over scenarios."""
     return made.groupBy("gid").agg(F.count_distinct("role").alias("roles")).withColumn("stable", F.col("roles") == 1)
@@ -174,16 +248,22 @@ def hypotheses(summary: DataFrame) -> DataFrame:
     return summary.select("cluster_id", text.alias("hypothesis"))
 
 
-def weight_scenarios(rows: DataFrame, config: RoleConfig = RoleConfig(), factors: tuple[float, ...] = (0.8, 1.2)) -> DataFrame:
-    """(scenario, gid, priority_score): each weight scaled alone and all brought back to sum 1, in one pass over scored rows."""
+def weight_cases(config: RoleConfig = RoleConfig(), factors: tuple[float, ...] = (0.8, 1.2)) -> dict[str, dict[str, float]]:
+    """The weights by scenario: the base, and each weight scaled alone and all brought back to sum 1."""
     base = config.priority_weights
-    cases = [("base", base)]
+    cases = {"base": base}
     for part in PARTS:
         for f in factors:
             scaled = base | {part: base[part] * f}
-            cases.append((f"{part} x {f:g}", {k: v / sum(scaled.values()) for k, v in scaled.items()}))
+            cases[f"{part} x {f:g}"] = {k: v / sum(scaled.values()) for k, v in scaled.items()}
+    return cases
+
+
+def weight_scenarios(rows: DataFrame, config: RoleConfig = RoleConfig(), factors: tuple[float, ...] = (0.8, 1.2)) -> DataFrame:
+    """(scenario, gid, priority_score) under the weights of weight_cases, in one pass over scored rows."""
+    base, cases = config.priority_weights, weight_cases(config, factors)
     score = lambda w: six(sum(F.col(f"p_{p}") * (w[p] / base[p] if base[p] else 0.0) for p in PARTS))
-    made = F.array(*[F.struct(F.lit(name).alias("scenario"), F.when(F.col("in_deg") + F.col("out_deg") > 0, score(w)).otherwise(0.0).alias("priority_score")) for name, w in cases])
+    made = F.array(*[F.struct(F.lit(name).alias("scenario"), F.when(F.col("in_deg") + F.col("out_deg") > 0, score(w)).otherwise(0.0).alias("priority_score")) for name, w in cases.items()])
     return rows.select("gid", F.explode(made).alias("s")).select("s.scenario", "gid", "s.priority_score")
 
 

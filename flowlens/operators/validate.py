@@ -27,7 +27,10 @@ def violations(nodes: DataFrame, edges: DataFrame, transactions: DataFrame) -> D
     ends = edges.select(F.col("src").alias("gid")).unionByName(edges.select(F.col("dst").alias("gid")))
     ends = ends.unionByName(transactions.select(F.col("src").alias("gid"))).unionByName(transactions.select(F.col("dst").alias("gid"))).distinct()
     keys = lambda df, cols, name: df.groupBy(*cols).count().where("count > 1").agg(F.count("*").alias(name))
-    parts = [of_nodes, of_edges, of_tx, keys(nodes, ["gid"], "nodes_unique"), keys(edges, ["src", "dst"], "edges_unique"), ends.join(nodes, "gid", "left_anti").agg(F.count("*").alias("ids_known"))]
+    # texts of dates that end in different offsets from UTC name no common calendar day
+    zone = F.regexp_extract(F.col("date").cast("string"), r"[0-9:.](Z|[+-][0-9]{2}:?[0-9]{2})$", 1)
+    of_zones = transactions.agg(F.greatest(F.count_distinct(F.when(F.col("date").isNotNull(), zone)) - 1, F.lit(0)).alias("tx_zones"))
+    parts = [of_nodes, of_edges, of_tx, of_zones, keys(nodes, ["gid"], "nodes_unique"), keys(edges, ["src", "dst"], "edges_unique"), ends.join(nodes, "gid", "left_anti").agg(F.count("*").alias("ids_known"))]
     return reduce(DataFrame.unionByName, map(long, parts))
 
 

@@ -52,3 +52,15 @@ def check_against_inputs(net: Network, rows: DataFrame, clusters: DataFrame) ->
         _differ("cluster_turnover", clusters.where("internal_cents > 0").select("cluster_id", "internal_cents"), inside.where("internal_cents > 0")),
     ]
     return reduce(DataFrame.unionByName, parts)
+
+
+def check_run(run: DataFrame, most_seconds: float = 300.0) -> DataFrame:
+    """(check, violations) of run records (total_seconds): times that are missing, no numbers, negative or above the cap."""
+    t = F.col("total_seconds").cast("double")
+    return _n("run_time", run.where(t.isNull() | F.isnan(t) | ~t.between(0, most_seconds)))
+
+
+def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(path) of input files that came, went or differ between two tables of file_digests."""
+    both = before.select("path", F.col("sha256").alias("was")).join(after.select("path", "sha256"), "path", "full_outer")
+    return both.where(~F.col("was").eqNullSafe(F.col("sha256"))).select("path")

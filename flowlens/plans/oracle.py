@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from flowlens.operators.roles import RoleConfig, threshold_scenarios
+
 NETWORK = """WITH RECURSIVE
 n AS (SELECT max(user_id) + 1 AS n FROM events),
 ev AS (SELECT user_id AS u, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k, CAST(ts AS DATE) AS d, value FROM events
@@ -83,18 +85,30 @@ def temporal(name: str, op: str) -> str:
 CLUSTER = "cu AS (SELECT gid, gid // 12 AS cluster_id FROM nodes)"
 OTHERS = """oc AS (SELECT gid, coalesce(c, 0) AS other_clusters FROM nodes LEFT JOIN (SELECT g, count(DISTINCT cb.cluster_id) AS c FROM (SELECT src AS g, dst AS o FROM links UNION SELECT dst, src FROM links) p JOIN cu ca ON ca.gid = g JOIN cu cb ON cb.gid = o WHERE ca.cluster_id <> cb.cluster_id GROUP BY g) ON g = gid)"""
 FEATURES = (DEGREES, FLOWS, TRUNCATED, ENDS, ACTIVE, REACH, SEED_REACH, SIGMA, CLUSTER, OTHERS, *fifo("f0", 2, 0), *fifo("f1", 2, 1))
+
+
+def ruled(config: RoleConfig = RoleConfig(), tag: str = "") -> tuple[str, ...]:
+    """The rules under one configuration: th, hold, rl, rs and sc, each name followed by tag."""
+    c = config
+    band = f"pass_through BETWEEN {c.transit_ratio_min!r}::DOUBLE AND {c.transit_ratio_max!r}::DOUBLE"
+    return (
+        f"th{tag} AS (SELECT coalesce(quantile_cont(betweenness, {c.coordinator_centrality_quantile}), 0) AS threshold FROM ft WHERE in_deg + out_deg > 0)",
+        f"""hold{tag} AS (SELECT ft.*, in_deg + out_deg >= {c.coordinator_min_degree} AND betweenness > 0 AND betweenness >= threshold - 1e-12 AND other_clusters >= {c.coordinator_min_other_clusters} AND seed_reach >= {c.coordinator_min_seeds} AS c1,
+  out_deg >= {c.distributor_min_payees} AND out_deg >= {c.distributor_fan_ratio!r}::DOUBLE * greatest(in_deg, 1) AS c2, in_deg >= {c.consolidator_min_payers} AND seed_reach >= {c.consolidator_min_seeds} AS c3,
+  reliable AND in_deg > 0 AND out_deg > 0 AND {band} AND least(coalesce(ti, 0), coalesce(tout, 0)) >= {c.transit_min_matched_fraction} AS c4, reliable AND out_deg = 0 AS c5 FROM ft, th{tag})""",
+        f"""rl{tag} AS (SELECT *, CASE WHEN c1 THEN 'coordinator' WHEN c2 THEN 'distributor' WHEN c3 THEN 'consolidator' WHEN c4 THEN 'transit' WHEN c5 THEN 'terminal' ELSE 'peripheral' END AS role FROM hold{tag})""",
+        f"""rs{tag} AS (SELECT *, CASE role WHEN 'coordinator' THEN 6 + (seed_reach >= 5)::INT + (other_clusters >= 3)::INT + (active_days >= 3)::INT WHEN 'distributor' THEN 6 + (out_deg >= 10)::INT + (active_days >= 3)::INT + (out_tx >= 2 * greatest(out_deg, 1))::INT
+  WHEN 'consolidator' THEN 6 + (in_deg >= 10)::INT + (seed_reach >= 3)::INT + coalesce(reliable AND pass_through <= 0.3, false)::INT WHEN 'transit' THEN 6 + (pass_through BETWEEN 0.9 AND 1.1)::INT + (least(coalesce(si, 0), coalesce(so, 0)) >= {c.transit_min_matched_fraction})::INT + (active_days >= 3)::INT
+  WHEN 'terminal' THEN 6 + (in_deg >= 2)::INT + (in_tx >= 3)::INT + (active_days >= 3)::INT ELSE 2 END AS pts FROM rl{tag})""",
+        f"sc{tag} AS (SELECT *, (CASE WHEN truncated THEN least(pts, 6) ELSE pts END) / 10.0 AS role_score FROM rs{tag})",
+    )
+
+
 ROLES = (
     *FEATURES,
     """ft AS (SELECT *, NOT is_seed AND NOT truncated AND ext_in_cents > 0 AS reliable FROM nodes JOIN deg USING (gid) JOIN fl USING (gid) JOIN tr USING (gid) JOIN ad USING (gid) JOIN sr USING (gid) JOIN oc USING (gid) JOIN bt USING (gid) JOIN cu USING (gid)
   LEFT JOIN (SELECT gid, in_fraction AS ti, out_fraction AS tout FROM f0) USING (gid) LEFT JOIN (SELECT gid, in_fraction AS si, out_fraction AS so FROM f1) USING (gid))""",
-    "th AS (SELECT coalesce(quantile_cont(betweenness, 0.9), 0) AS threshold FROM ft WHERE in_deg + out_deg > 0)",
-    """hold AS (SELECT ft.*, in_deg + out_deg >= 4 AND betweenness > 0 AND betweenness >= threshold - 1e-12 AND other_clusters >= 2 AND seed_reach >= 3 AS c1, out_deg >= 5 AND out_deg >= 2 * greatest(in_deg, 1) AS c2, in_deg >= 5 AND seed_reach >= 2 AS c3,
-  reliable AND in_deg > 0 AND out_deg > 0 AND pass_through BETWEEN 0.8 AND 1.2 AND least(coalesce(ti, 0), coalesce(tout, 0)) >= 0.8 AS c4, reliable AND out_deg = 0 AS c5 FROM ft, th)""",
-    """rl AS (SELECT *, CASE WHEN c1 THEN 'coordinator' WHEN c2 THEN 'distributor' WHEN c3 THEN 'consolidator' WHEN c4 THEN 'transit' WHEN c5 THEN 'terminal' ELSE 'peripheral' END AS role FROM hold)""",
-    """rs AS (SELECT *, CASE role WHEN 'coordinator' THEN 6 + (seed_reach >= 5)::INT + (other_clusters >= 3)::INT + (active_days >= 3)::INT WHEN 'distributor' THEN 6 + (out_deg >= 10)::INT + (active_days >= 3)::INT + (out_tx >= 2 * greatest(out_deg, 1))::INT
-  WHEN 'consolidator' THEN 6 + (in_deg >= 10)::INT + (seed_reach >= 3)::INT + coalesce(reliable AND pass_through <= 0.3, false)::INT WHEN 'transit' THEN 6 + (pass_through BETWEEN 0.9 AND 1.1)::INT + (least(coalesce(si, 0), coalesce(so, 0)) >= 0.8)::INT + (active_days >= 3)::INT
-  WHEN 'terminal' THEN 6 + (in_deg >= 2)::INT + (in_tx >= 3)::INT + (active_days >= 3)::INT ELSE 2 END AS pts FROM rl)""",
-    "sc AS (SELECT *, (CASE WHEN truncated THEN least(pts, 6) ELSE pts END) / 10.0 AS role_score FROM rs)",
+    *ruled(),
 )
 
 
@@ -103,9 +117,24 @@ def share(column: str) -> str:
     return f"CASE WHEN {column} > 0 THEN (rank() OVER (ORDER BY {column}) + (count(*) OVER (PARTITION BY {column}) - 1) / 2.0) / count(*) OVER () ELSE 0 END"
 
 
-PRIORITY = (
-    *ROLES,
-    f"""ac AS (SELECT gid, {share("big")} AS p1, {share("bb")} AS p2, {share("fan")} AS p3 FROM (SELECT gid, greatest(in_cents, out_cents) AS big, betweenness AS bb, greatest(in_deg, out_deg) AS fan FROM sc WHERE in_deg + out_deg > 0))""",
-    f"""pr AS (SELECT sc.*, CASE WHEN in_deg + out_deg > 0 THEN {six("0.30 * least(seed_reach / 5.0, 1) + 0.25 * p1 + 0.20 * p2 + 0.15 * p3 + 0.10 * CASE WHEN role = 'peripheral' THEN 0 ELSE role_score END")} ELSE 0 END AS priority_score,
-  0.30 * least(seed_reach / 5.0, 1) AS x_seed_reach, 0.25 * coalesce(p1, 0) AS x_flow, 0.20 * coalesce(p2, 0) AS x_bridge, 0.15 * coalesce(p3, 0) AS x_fan, 0.10 * CASE WHEN role = 'peripheral' THEN 0 ELSE role_score END AS x_role_support FROM sc LEFT JOIN ac USING (gid))""",
+ACTIVE_SHARES = f"""ac AS (SELECT gid, {share("big")} AS p1, {share("bb")} AS p2, {share("fan")} AS p3 FROM (SELECT gid, greatest(in_cents, out_cents) AS big, betweenness AS bb, greatest(in_deg, out_deg) AS fan FROM ft WHERE in_deg + out_deg > 0))"""
+
+
+def scored(tag: str = "", w: dict[str, float] = RoleConfig().priority_weights, of: str | None = None) -> str:
+    """pr: priority of the rows of sc, each name followed by tag; of: the tag of sc, if another."""
+    sc = f"sc{tag if of is None else of}"
+    a, b, c, d, e = (repr(w[k]) for k in ("seed_reach", "flow", "bridge", "fan", "role_support"))
+    support = "CASE WHEN role = 'peripheral' THEN 0 ELSE role_score END"
+    return f"""pr{tag} AS (SELECT {sc}.*, CASE WHEN in_deg + out_deg > 0 THEN {six(f"{a} * least(seed_reach / 5.0, 1) + {b} * p1 + {c} * p2 + {d} * p3 + {e} * {support}")} ELSE 0 END AS priority_score,
+  {a} * least(seed_reach / 5.0, 1) AS x_seed_reach, {b} * coalesce(p1, 0) AS x_flow, {c} * coalesce(p2, 0) AS x_bridge, {d} * coalesce(p3, 0) AS x_fan, {e} * {support} AS x_role_support FROM {sc} LEFT JOIN ac USING (gid))"""
+
+
+PRIORITY = (*ROLES, ACTIVE_SHARES, scored())
+SCENARIOS = (*ROLES, ACTIVE_SHARES, *[x for name, c in threshold_scenarios().items() for x in (*ruled(c, f"_{name}"), scored(f"_{name}"))])
+ALL_SCENARIOS = " UNION ALL ".join(f"SELECT '{name}' AS scenario, gid, cluster_id, role, priority_score FROM pr_{name}" for name in threshold_scenarios())
+#: The tables of sources.fixture.spoiled.
+SPOILED = (
+    "bn AS (SELECT CASE WHEN gid % 10 = 4 THEN -gid - 1 ELSE gid END AS gid, CASE WHEN gid % 10 = 1 THEN depth + 5 WHEN gid % 10 <> 5 THEN depth END AS depth, CASE WHEN gid % 10 = 2 THEN NOT is_seed ELSE is_seed END AS is_seed FROM (SELECT * FROM nodes UNION ALL SELECT * FROM nodes WHERE gid % 10 = 3))",
+    "be AS (SELECT src, dst, (src + dst) % 10 AS p, cents, CASE WHEN (src + dst) % 10 = 1 THEN 0 ELSE n_tx END AS n_tx, CASE WHEN (src + dst) % 10 = 4 THEN 9 ELSE depth END AS depth FROM (SELECT * FROM edges UNION ALL SELECT * FROM edges WHERE (src + dst) % 10 = 3))",
+    "bt AS (SELECT src, CASE WHEN (src + dst) % 10 = 8 THEN dst + 1000000 ELSE dst END AS dst, (src + dst) % 10 AS p FROM tx)",
 )

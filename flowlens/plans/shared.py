@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of a lookup table that may be broadcast; a wider table takes the shuffled join.
@@ -13,10 +13,12 @@ BROADCAST_ROWS = 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, one in the warehouse on a
+    cluster, and a temporary one where driver and executors are one local process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="flowlens-")
+        local = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
+        found = tempfile.mkdtemp(prefix="flowlens-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_flowlens"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -31,6 +33,12 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_and_sum(df: DataFrame, label: str, **sums: Column) -> tuple[DataFrame, dict]:
+    """cut, and aggregates of the rows that were written, taken while they are: no second pass over the table."""
+    seen = Observation(f"{label}-{uuid.uuid4().hex}")
+    return cut(df.observe(seen, *[v.alias(k) for k, v in sums.items()]), label), seen.get
+
+
 def lookup_join(df: DataFrame, small: DataFrame, on: str | Column | list[str], how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
     """Join df with a table expected to be small. small must be cheap to count (a cut table).
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.plans.shared import cut
+from flowlens.plans.shared import cut, shared_dir
 from flowlens.sources.tables import Network, as_network
 
 MAX_DEPTH = 4
+_LAID: dict[tuple[str, str], str] = {}
 _MADE: dict[tuple[str, str], dict[str, DataFrame]] = {}
 
 
@@ -62,3 +65,30 @@ def table_path(spark: SparkSession, sf_dir: str, name: str) -> str:
 
 def network(spark: SparkSession, sf_dir: str) -> Network:
     return as_network(**raw_network(spark, sf_dir))
+
+
+def spoiled(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The derived tables with faults of every kind that validation counts, placed by whole-number rules on ids."""
+    raw = raw_network(spark, sf_dir)
+    n, e, t = raw["nodes"], raw["edges"], raw["transactions"]
+    of = lambda k: F.col("gid") % 10 == k
+    pair = lambda k: (F.col("src") + F.col("dst")) % 10 == k
+    nodes = n.unionByName(n.where(of(3))).select(
+        F.when(of(4), -F.col("gid") - 1).otherwise(F.col("gid")).alias("gid"), F.when(of(1), F.col("depth") + 5).when(of(5), None).otherwise(F.col("depth")).alias("depth"), F.when(of(2), ~F.col("is_seed")).otherwise(F.col("is_seed")).alias("is_seed")
+    )
+    edges = e.unionByName(e.where(pair(3))).select(
+        "src", "dst", F.when(pair(2), F.col("sum_kzt") + 0.004).when(pair(5), None).otherwise(F.col("sum_kzt")).alias("sum_kzt"), F.when(pair(1), 0).otherwise(F.col("n_tx")).alias("n_tx"), F.when(pair(4), 9).otherwise(F.col("depth")).alias("depth")
+    )
+    tx = t.select("src", F.when(pair(8), F.col("dst") + 1_000_000).otherwise(F.col("dst")).alias("dst"), F.when(pair(7), None).when(pair(9), F.concat(F.col("date").cast("string"), F.lit("T10:00:00+05:00"))).otherwise(F.col("date").cast("string")).alias("date"), F.when(pair(6), -1.0).otherwise(F.col("sum_kzt")).alias("sum_kzt"))
+    return {"nodes": nodes, "edges": edges, "transactions": tx}
+
+
+def layout(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with the derived tables as nodes.parquet, edges.parquet and transactions.parquet, written once for each session and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _LAID:
+        path = f"{shared_dir(spark)}/flowlens/layout-{uuid.uuid4().hex}"
+        for name, df in raw_network(spark, sf_dir).items():
+            df.write.parquet(f"{path}/{name}.parquet")
+        _LAID[key] = path
+    return _LAID[key]

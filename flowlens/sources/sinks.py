@@ -22,8 +22,13 @@ def digest(df: DataFrame) -> str:
     return hashlib.sha256(json.dumps([cols, *map(str, row)]).encode()).hexdigest()
 
 
-def write_csv(df: DataFrame, path: str, quote_all: bool = False) -> None:
-    """CSV with a header; floats with six digits, arrays and structs as JSON, ids as they are. Sorted by nothing: sort df first if order matters."""
+def canonical(net: Network) -> Network:
+    """The tables in their order for export: nodes by id, edges by pair, transactions by day, pair and amount."""
+    return Network(net.nodes.orderBy("gid"), net.edges.orderBy("src", "dst"), net.tx.orderBy("day", "src", "dst", "cents"))
+
+
+def write_csv(df: DataFrame, path: str, quote_all: bool = False, order: tuple[str, ...] = ()) -> None:
+    """CSV with a header; floats with six digits, arrays and structs as JSON, ids as they are; files in turn hold the rows by `order`."""
     cols = []
     for name, kind in df.dtypes:
         if kind in ("double", "float"):
@@ -32,9 +37,19 @@ def write_csv(df: DataFrame, path: str, quote_all: bool = False) -> None:
             cols.append(F.to_json(name).alias(name))
         else:
             cols.append(F.col(name))
+    df = df.orderBy(*order) if order else df
     df.select(*cols).write.mode("overwrite").option("header", True).option("quoteAll", quote_all).option("lineSep", "\n").csv(path)
 
 
+def write_list(df: DataFrame, path: str, columns: tuple[str, ...] = ("rank", "gid", "role", "priority_score", "why"), order: str = "rank") -> None:
+    """A list for spreadsheets, one file: byte order mark, CRLF, every field quoted. df is a page of rows, not a table."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    lines = df.select(F.col(order).alias("_o"), F.concat_ws(",", *map(quoted, columns)).alias("value"))
+    head = df.sparkSession.createDataFrame([("\ufeff" + ",".join(columns),)], "value string").select(F.lit(None).alias("_o"), "value")
+    both = head.unionByName(lines).repartition(1).sortWithinPartitions(F.asc_nulls_first("_o"))
+    both.select("value").write.mode("overwrite").option("lineSep", "\r\n").text(path)
+
+
 def write_snapshot(spark: SparkSession, path: str, net: Network, scored: DataFrame, clusters: DataFrame, top: DataFrame, config: dict) -> dict:
     """Write the tables below path, then the manifest: a reader that finds a manifest finds all it names.
 

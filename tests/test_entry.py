@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 from flowlens.plans import catalog
 
 DATA = Path("/root/testdata/sf0.001")
-SLOW = {"betweenness_by_joins", "resolution_sweep", "role_scenarios", "role_stability", "communities", "community_modularity", "hits_weighted"}
+SLOW = {"betweenness_by_joins"}
 
 
 def plain(v):

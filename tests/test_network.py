@@ -89,6 +89,34 @@ def test_fifo_against_a_queue(spark):
             assert got[g] == total * 100
 
 
+def test_stopping_and_skipping_agree(spark):
+    """A queue that stops at its first too young entry and one that looks past it match the same, as days come in order."""
+    import random
+
+    rng = random.Random(9)
+    made = {g: [(d, rng.randint(0, 4), rng.randint(0, 6)) for d in sorted(rng.sample(range(1, 12), 7))] for g in range(100, 130)}
+    moved = [(1, g, d, i) for g, days in made.items() for d, i, _ in days if i] + [(g, 2, d, o) for g, days in made.items() for d, _, o in days if o]
+    net = make(spark, [(1, 0), (2, 2), *[(g, 1) for g in made]], moved)
+
+    def matched(days, window, lag, skip):
+        queue, total = [], 0
+        for d, i, o in days:
+            queue = [x for x in queue if x[0] >= d - window and x[1]] + ([[d, i]] if i else [])
+            for x in queue:
+                if x[0] > d - lag:
+                    if skip:
+                        continue
+                    break
+                used = min(o, x[1])
+                o, x[1], total = o - used, x[1] - used, total + used
+        return total
+
+    for window, lag in ((3, 1), (7, 2)):
+        got = {r["gid"]: r["matched"] for r in fifo.fifo(net, window, lag).collect()}
+        for g, days in made.items():
+            assert got.get(g, 0) == 100 * matched(days, window, lag, True) == 100 * matched(days, window, lag, False)
+
+
 def test_self_transfers_count_for_turnover_only(spark):
     net = make(spark, [(1, 0), (2, 1), (3, 2)], [(1, 2, 1, 100), (2, 2, 1, 900), (2, 3, 2, 40), (2, 3, 3, 60)])
     r = one(flows.flows(net).where("gid = 2"))
@@ -274,6 +302,6 @@ def test_shuffling_changes_nothing(spark):
 
 def test_config_is_checked():
     roles.RoleConfig()
-    for bad in ({"priority_weights": {"flow": 1.0}}, {"coordinator_centrality_quantile": 1.5}, {"transit_ratio_min": 2.0}, {"max_depth": -1}):
+    for bad in ({"priority_weights": {"flow": 1.0}}, {"coordinator_centrality_quantile": 1.5}, {"transit_ratio_min": 2.0}, {"max_depth": -1}, {"random_seed": -1}):
         with pytest.raises(ValueError):
             roles.RoleConfig(**bad)
