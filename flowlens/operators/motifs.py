@@ -71,6 +71,6 @@ def detect(net: Network, longest: int = 6) -> DataFrame:
     text = (
         F.when(F.col("leading") == "cycle", F.format_string("money came back through %s nodes within %s days", F.col("cycle.length"), F.col("cycle.span_days")))
         .when(F.col("leading") == "burst", F.format_string("%s transfers on %s", F.col("burst.n"), F.col("burst.day")))
-        .otherwise(F.format_string("%s transfers of exactly %s to one partner", F.col("repeat.n"), F.col("repeat.cents") / 100))
+        .otherwise(F.format_string("%s transfers of exactly %.2f to one partner", F.col("repeat.n"), F.col("repeat.cents") / 100))
     )
     return rows.withColumn("summary", text)

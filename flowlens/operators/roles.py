@@ -143,11 +143,11 @@ def evidence(rows: DataFrame) -> DataFrame:
     """rows with a sentence of at most 200 characters that names what the role rests on."""
     v = F.col
     said = (
-        F.when(v("role") == "coordinator", F.format_string("lies between others (%s); %s other clusters; reached by %s seeds", six(v("betweenness")), v("other_clusters"), v("seed_reach")))
+        F.when(v("role") == "coordinator", F.format_string("lies between others (%.6f); %s other clusters; reached by %s seeds", v("betweenness"), v("other_clusters"), v("seed_reach")))
         .when(v("role") == "distributor", F.format_string("pays %s others in %s transfers, paid by %s", v("out_deg"), v("out_tx"), v("in_deg")))
         .when(v("role") == "consolidator", F.format_string("paid by %s others in %s transfers; reached by %s seeds", v("in_deg"), v("in_tx"), v("seed_reach")))
-        .when(v("role") == "transit", F.format_string("passes on %s of its inflow", v("pass_through")))
-        .when(v("role") == "terminal", F.format_string("received %s from %s others, sent nothing", v("in_cents") / 100, v("in_deg")))
+        .when(v("role") == "transit", F.format_string("passes on %.6f of its inflow", v("pass_through")))
+        .when(v("role") == "terminal", F.format_string("received %.2f from %s others, sent nothing", v("in_cents") / 100, v("in_deg")))
         .otherwise(F.format_string("%s incoming and %s outgoing partners; %s", v("in_deg"), v("out_deg"), v("peripheral_reason")))
     )
     limit = F.when(v("truncated"), "payments beyond the last depth are unknown").when(v("is_seed"), "a seed's inflow is incomplete").otherwise("the full balance is unknown")

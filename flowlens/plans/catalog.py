@@ -266,13 +266,19 @@ def _network_queries() -> dict[str, tuple[Query, str | None]]:
         "motif_best": (_net(lambda n: motifs.detect(n).select("gid", F.concat_ws(",", "motifs").alias("motifs"), "leading", F.col("repeat.n").alias("repeat_n"), F.col("repeat.cents").alias("repeat_cents"), F.col("burst.n").alias("burst_n"), F.col("cycle.length").alias("cycle_length"))), sql("""SELECT gid, concat_ws(',', CASE WHEN b.n IS NOT NULL THEN 'burst' END, CASE WHEN c.length IS NOT NULL THEN 'cycle' END, CASE WHEN r.n IS NOT NULL THEN 'repeat_amount' END) AS motifs, CASE WHEN c.length IS NOT NULL THEN 'cycle' WHEN b.n IS NOT NULL THEN 'burst' ELSE 'repeat_amount' END AS leading,
           r.n AS repeat_n, r.cents AS repeat_cents, b.n AS burst_n, c.length AS cycle_length FROM (SELECT gid FROM bc UNION SELECT src FROM rp UNION SELECT dst FROM rp UNION SELECT gid FROM bu) LEFT JOIN (SELECT gid, length FROM bc WHERE r = 1) c USING (gid)
           LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY n DESC, cents DESC, CAST(src AS VARCHAR), CAST(dst AS VARCHAR)) AS k FROM (SELECT src AS gid, * FROM rp UNION ALL SELECT dst, * FROM rp)) WHERE k = 1) r USING (gid) LEFT JOIN (SELECT gid, max(n) AS n FROM bu GROUP BY gid) b USING (gid)""", o.ENDS, cyc6, hop, first, desc, best, repeat, burst)),
-        "motif_summary": (_net(lambda n: motifs.detect(n).select("gid", "leading", "summary")), None),
+        "motif_summary": (_net(lambda n: motifs.detect(n).select("gid", "leading", "summary")), sql("""SELECT gid, CASE WHEN c.length IS NOT NULL THEN 'cycle' WHEN b.n IS NOT NULL THEN 'burst' ELSE 'repeat_amount' END AS leading,
+          CASE WHEN c.length IS NOT NULL THEN 'money came back through ' || c.length || ' nodes within ' || c.span_days || ' days' WHEN b.n IS NOT NULL THEN b.n || ' transfers on ' || b.day ELSE r.n || ' transfers of exactly ' || format('{:.2f}', r.cents / 100.0::DOUBLE) || ' to one partner' END AS summary
+          FROM (SELECT gid FROM bc UNION SELECT src FROM rp UNION SELECT dst FROM rp UNION SELECT gid FROM bu) LEFT JOIN (SELECT gid, length, span_days FROM bc WHERE r = 1) c USING (gid)
+          LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY n DESC, cents DESC, CAST(src AS VARCHAR), CAST(dst AS VARCHAR)) AS k FROM (SELECT src AS gid, * FROM rp UNION ALL SELECT dst, * FROM rp)) WHERE k = 1) r USING (gid)
+          LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY n DESC, day, side) AS k FROM bu) WHERE k = 1) b USING (gid)""", o.ENDS, cyc6, hop, first, desc, best, repeat, burst)),
     }
 
 
 def _role_queries() -> dict[str, tuple[Query, str | None]]:
     priority, scored = o.PRIORITY, o.ROLES
     weighed = roles.weight_cases()
+    reason = "CASE WHEN role <> 'peripheral' THEN '' WHEN in_deg + out_deg = 0 THEN 'isolated' WHEN truncated THEN 'truncated' WHEN is_seed THEN 'incomplete_seed' WHEN ext_in_cents = 0 THEN 'no_observed_input' ELSE 'no_rule' END"
+    dominant = "(SELECT cluster_id, role AS dominant_role, n AS dominant_n FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, f) AS k FROM (SELECT cluster_id, role, count(*) AS n, min(gid) AS f FROM pr GROUP BY cluster_id, role)) WHERE k = 1)"
     ranks = lambda c: f"(rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0)"
     reasons = "list_slice(list_transform(list_sort([{'x': -x_bridge, 'p': 'bridge'}, {'x': -x_fan, 'p': 'fan'}, {'x': -x_flow, 'p': 'flow'}, {'x': -x_role_support, 'p': 'role_support'}, {'x': -x_seed_reach, 'p': 'seed_reach'}]), lambda s: s.p), 1, 2)"
     seedish = lambda rows: rows.select("in_tx", "is_seed", "gid", "in_deg", "out_deg", "betweenness", "priority_score", "cluster_id", "role")
@@ -284,15 +290,18 @@ def _role_queries() -> dict[str, tuple[Query, str | None]]:
         "node_features": (_rows(lambda n, r: r.select("gid", "in_deg", "out_deg", "seed_reach", "other_clusters", "betweenness", "active_days", "matched", "same_day", "strict_matched")), sql("SELECT ft.gid, in_deg, out_deg, seed_reach, other_clusters, betweenness, ft.active_days, coalesce(a.matched, 0) AS matched, coalesce(a.same_day, 0) AS same_day, coalesce(b.matched, 0) AS strict_matched FROM ft LEFT JOIN f0 a USING (gid) LEFT JOIN f1 b USING (gid)", *scored)),
         "roles": (_rows(lambda n, r: r.select("gid", "role", "role_score", F.concat_ws(",", "matched_roles").alias("matched_roles"))), sql("SELECT gid, role, role_score, concat_ws(',', CASE WHEN c1 THEN 'coordinator' END, CASE WHEN c2 THEN 'distributor' END, CASE WHEN c3 THEN 'consolidator' END, CASE WHEN c4 THEN 'transit' END, CASE WHEN c5 THEN 'terminal' END) AS matched_roles FROM sc", *scored)),
         "role_counts": (_rows(lambda n, r: r.groupBy("role").agg(F.count("*").alias("n"))), sql("SELECT role, count(*) AS n FROM rl GROUP BY role", *scored[:-2])),
-        "role_evidence": (_rows(lambda n, r: roles.evidence(r).select("gid", "role", "evidence")), None),
-        "peripheral_reasons": (_rows(lambda n, r: r.select("gid", "peripheral_reason")), sql("SELECT gid, CASE WHEN role <> 'peripheral' THEN '' WHEN in_deg + out_deg = 0 THEN 'isolated' WHEN truncated THEN 'truncated' WHEN is_seed THEN 'incomplete_seed' WHEN ext_in_cents = 0 THEN 'no_observed_input' ELSE 'no_rule' END AS peripheral_reason FROM rl", *scored[:-2])),
+        "role_evidence": (_rows(lambda n, r: roles.evidence(r).select("gid", "role", "evidence")), sql(f"""SELECT gid, role, left('Hypothesis: ' || CASE role WHEN 'coordinator' THEN 'lies between others (' || format('{{:.6f}}', betweenness) || '); ' || other_clusters || ' other clusters; reached by ' || seed_reach || ' seeds'
+          WHEN 'distributor' THEN 'pays ' || out_deg || ' others in ' || out_tx || ' transfers, paid by ' || in_deg WHEN 'consolidator' THEN 'paid by ' || in_deg || ' others in ' || in_tx || ' transfers; reached by ' || seed_reach || ' seeds'
+          WHEN 'transit' THEN 'passes on ' || format('{{:.6f}}', pass_through) || ' of its inflow' WHEN 'terminal' THEN 'received ' || format('{{:.2f}}', in_cents / 100.0::DOUBLE) || ' from ' || in_deg || ' others, sent nothing'
+          ELSE in_deg || ' incoming and ' || out_deg || ' outgoing partners; ' || {reason} END || '. ' || CASE WHEN truncated THEN 'payments beyond the last depth are unknown' WHEN is_seed THEN 'a seed''s inflow is incomplete' ELSE 'the full balance is unknown' END || '.', 200) AS evidence FROM rl""", *scored[:-2])),
+        "peripheral_reasons": (_rows(lambda n, r: r.select("gid", "peripheral_reason")), sql(f"SELECT gid, {reason} AS peripheral_reason FROM rl", *scored[:-2])),
         "priority": (_rows(lambda n, r: r.select("gid", "priority_score")), sql("SELECT gid, priority_score FROM pr", *priority)),
         "top_nodes": (_rows(lambda n, r: roles.top_nodes(r).drop("why")), sql(f"SELECT rank, gid, role, priority_score, array_to_string({reasons}, ',') AS reasons FROM (SELECT *, row_number() OVER (ORDER BY priority_score DESC, gid) AS rank FROM pr) WHERE rank <= greatest(20, least(50, (SELECT count(*) FROM nodes)))", *priority)),
         "cluster_summary": (_rows(lambda n, r: _texts(roles.cluster_summary(n, r), "top_gids")), sql("""SELECT cluster_id, n_nodes, n_seed, coalesce(c, 0) AS internal_cents, array_to_string(tops, '-') AS top_gids, dominant_role, dominant_n FROM
           (SELECT cluster_id, count(*) AS n_nodes, sum(is_seed::INT)::BIGINT AS n_seed, list_slice(list(gid ORDER BY priority_score DESC, gid), 1, 5) AS tops FROM pr GROUP BY cluster_id)
           LEFT JOIN (SELECT a.cluster_id, CAST(sum(cents) AS BIGINT) AS c FROM edges JOIN cu a ON a.gid = src JOIN cu b ON b.gid = dst WHERE a.cluster_id = b.cluster_id GROUP BY a.cluster_id) USING (cluster_id)
           JOIN (SELECT cluster_id, role AS dominant_role, n AS dominant_n FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, f) AS k FROM (SELECT cluster_id, role, count(*) AS n, min(gid) AS f FROM pr GROUP BY cluster_id, role)) WHERE k = 1) USING (cluster_id)""", *priority)),
-        "cluster_hypotheses": (_rows(lambda n, r: roles.hypotheses(roles.cluster_summary(n, r))), None),
+        "cluster_hypotheses": (_rows(lambda n, r: roles.hypotheses(roles.cluster_summary(n, r))), sql(f"SELECT cluster_id, 'Hypothesis: a group of ' || count(*) || ' nodes, ' || any_value(dominant_n) || ' of them ' || any_value(dominant_role) || ', with ' || sum(is_seed::INT)::BIGINT || ' seeds.' AS hypothesis FROM pr JOIN {dominant} USING (cluster_id) GROUP BY cluster_id", *priority)),
         "weight_scenarios": (_rows(lambda n, r: roles.weight_scenarios(r)), sql(" UNION ALL ".join(f"SELECT '{name}' AS scenario, gid, priority_score FROM pr_w{k}" for k, name in enumerate(weighed)), *o.ROLES, o.ACTIVE_SHARES, *[o.scored(f"_w{k}", w, "") for k, w in enumerate(weighed.values())])),
         "selection_profile": (_rows(lambda n, r: roles.selection_profile(r.orderBy(F.desc("priority_score"), "gid").limit(30))), sql(f"SELECT count(*) AS n_nodes, sum(is_seed::INT)::BIGINT AS n_seeds, count(DISTINCT role) AS n_roles, count(DISTINCT cluster_id) AS n_clusters, {six('avg(seed_reach)')} AS mean_reach, CAST(sum(in_cents) AS BIGINT) AS in_cents FROM (SELECT * FROM pr ORDER BY priority_score DESC, gid LIMIT 30)", *priority)),
         "metric_overlap": (_rows(lambda n, r: stats.top_matrix(r, "gid", ("in_deg", "out_deg", "in_tx", "out_tx"), 25)), sql("SELECT x.m AS a, y.m AS b, count(*) AS shared FROM tt x JOIN tt y USING (gid) GROUP BY x.m, y.m", o.DEGREES, o.FLOWS, "tt AS (SELECT gid, m FROM (SELECT gid, m, row_number() OVER (PARTITION BY m ORDER BY v DESC, gid) AS r FROM (SELECT gid, 'in_deg' AS m, in_deg AS v FROM deg UNION ALL SELECT gid, 'out_deg', out_deg FROM deg UNION ALL SELECT gid, 'in_tx', in_tx FROM fl UNION ALL SELECT gid, 'out_tx', out_tx FROM fl)) WHERE r <= 25)")),
@@ -312,7 +321,7 @@ def _role_queries() -> dict[str, tuple[Query, str | None]]:
         "full_roles": (_run(lambda n, r: r.select("gid", "cluster_id", "role", "role_score", "priority_score")), None),
         "full_top": (_run(lambda n, r: roles.top_nodes(r)), None),
         "full_clusters": (_run(lambda n, r: _texts(roles.cluster_summary(n, r), "top_gids")), None),
-        "search_filter": (_rows(lambda n, r: explore.search(roles.evidence(r), "1", "terminal").select("gid", "role", "depth")), sql("SELECT gid, role, depth FROM rl WHERE role = 'terminal' AND (contains(CAST(gid AS VARCHAR), '1') OR contains(CAST(in_deg AS VARCHAR), '1') OR contains(CAST(CAST(in_cents / 100.0 AS DECIMAL(18, 2)) AS VARCHAR), '1'))", *scored[:-2])),
+        "search_filter": (_rows(lambda n, r: explore.search(roles.evidence(r), "1", "terminal").select("gid", "role", "depth")), sql("SELECT gid, role, depth FROM rl WHERE role = 'terminal' AND (contains(CAST(gid AS VARCHAR), '1') OR contains(CAST(in_deg AS VARCHAR), '1') OR contains(format('{:.2f}', in_cents / 100.0::DOUBLE), '1'))", *scored[:-2])),
         "kpis": (_rows(lambda n, r: explore.key_figures(n, r.where("depth <= 2"))), sql("SELECT (SELECT count(*) FROM nodes WHERE depth <= 2) AS n_nodes, (SELECT count(*) FROM seeds) AS n_seeds, (SELECT count(DISTINCT cluster_id) FROM cu JOIN nodes USING (gid) WHERE depth <= 2) AS n_clusters, count(*) AS n_edges, CAST(sum(n_tx) AS BIGINT) AS n_tx, CAST(sum(cents) AS BIGINT) AS cents FROM edges WHERE src IN (SELECT gid FROM nodes WHERE depth <= 2) AND dst IN (SELECT gid FROM nodes WHERE depth <= 2)", o.CLUSTER)),
         "role_mix": (_rows(lambda n, r: explore.role_mix(r)), sql(f"SELECT role, count(*) AS n, {six('count(*)::DOUBLE / (SELECT count(*) FROM nodes)')} AS share FROM rl GROUP BY role", *scored[:-2])),
         "tx_page": (_net(lambda n: explore.transaction_page(n, 3, 5, 20)), sql("SELECT src, dst, day, cents FROM tx WHERE src = 3 OR dst = 3 ORDER BY day, src, dst, cents LIMIT 20 OFFSET 5")),
