@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.llm.texts import by_text
-from flowlens.plans.shared import cut
+from flowlens.plans.shared import cut, lookup_join
 
 #: The gear hash sees WINDOW bytes; a border's hash is the least within REACH bytes on both sides; a chunk has REACH + 1 to MOST bytes.
 WINDOW, REACH, MOST = 16, 24, 256
@@ -112,7 +112,8 @@ def repeats(docs: DataFrame, run: int = RUN, across: bool = True, doc_id: str =
     where = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "i")  # rows without an id last
     more = (F.min("row").alias("low"), F.max("row").alias("high")) if across else (F.lit(1).alias("low"), F.count("*").alias("high"))
     seen = chunks.groupBy("hi", "lo").agg(*more, F.min(where).alias("first")).where("low < high").select("hi", "lo", "first")
-    own = cut(chunks.join(seen, ["hi", "lo"]).select("doc_id", "row", "i", "start", "size", F.col("first.doc_id").alias("first_doc_id"), ((F.col("first.row") == F.col("row")) & (F.col("first.i") == F.col("i"))).alias("is_first")), "repeats")
+    seen = cut(seen, "seen")  # written: the join then starts at shuffles, which AQE splits where a chunk is hot, or broadcasts if few repeat
+    own = cut(lookup_join(chunks, seen, ["hi", "lo"], "inner").select("doc_id", "row", "i", "start", "size", F.col("first.doc_id").alias("first_doc_id"), ((F.col("first.row") == F.col("row")) & (F.col("first.i") == F.col("i"))).alias("is_first")), "repeats")
     along = Window.partitionBy("row").orderBy("i")  # the repeated chunks of one text
     island = own.withColumn("island", F.col("i") - F.row_number().over(along))
     total = F.sum("size").over(Window.partitionBy("row", "island"))
