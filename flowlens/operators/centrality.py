@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.operators.flows import nine, six
-from flowlens.plans.shared import cut, cut_and_sum
+from flowlens.plans.shared import cut, cut_and_sum, forget
 from flowlens.sources.tables import Network
 
 
@@ -138,10 +138,12 @@ def pagerank(net: Network, alpha: float = 0.85, tolerance: float = 1e-14, most:
     share = cut(paid.unionByName(net.nodes.select(F.col("gid").alias("src"), F.col("gid").alias("dst"), F.lit(0.0).alias("share"), F.lit(1.0).alias("own"))), "share")
     state = cut(net.nodes.select("gid", F.lit(1.0).alias("now"), F.lit(1.0).alias("all")), "rank")
     for _ in range(0, most, TOGETHER):
+        last = state
         for _ in range(TOGETHER):
             sent = state.join(share, F.col("gid") == F.col("src")).select(F.col("dst").alias("gid"), (F.col("now") * F.col("share")).alias("now"), (F.col("all") * F.col("own")).alias("all"))
             state = sent.groupBy("gid").agg(F.sum("now").alias("now"), (F.sum("all") + F.sum("now")).alias("all"))
         state, seen = cut_and_sum(state, "rank", now=F.sum("now"), all=F.sum("all"))
+        forget(last)
         # what further rounds would add is at most now * alpha / (1 - alpha)
         if not n or seen["now"] * alpha / (1 - alpha) <= tolerance * seen["all"]:
             return state.select("gid", (F.col("all") / F.lit(seen["all"] or 1.0)).alias("rank"))
@@ -162,6 +164,7 @@ def hits(net: Network, weighted: bool = False, tolerance: float = 1e-13, most: i
         return links.join(hub.select("gid", "h"), F.col("src") == F.col("gid")).groupBy(F.col("dst").alias("gid")).agg(F.sum(F.col("h") * F.col("w")).alias("a"))
 
     for _ in range(0, 0 if done else most, TOGETHER):
+        last = hub
         hub = hub.select("gid", (F.col("h") / norm).alias("h"))
         for i in range(TOGETHER):
             before = hub = cut(hub, "hub") if i == TOGETHER - 1 else hub
@@ -169,6 +172,7 @@ def hits(net: Network, weighted: bool = False, tolerance: float = 1e-13, most: i
             hub = links.join(back, "dst").groupBy(F.col("src").alias("gid")).agg(F.sum(F.col("a") * F.col("w")).alias("h"))
         hub = hub.join(before.select("gid", F.col("h").alias("was")), "gid", "left").na.fill(0.0)  # to see how far the vector moved
         hub, seen = cut_and_sum(hub, "hub", hh=F.sum(F.col("h") * F.col("h")), ww=F.sum(F.col("was") * F.col("was")))
+        forget(last, before)
         norm = seen["hh"] ** 0.5
         gap = hub.agg(F.sum(F.pow(F.col("h") / norm - F.col("was") / seen["ww"] ** 0.5, 2))).first()[0]
         done = gap**0.5 < tolerance

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.plans.shared import cut_and_sum
+from flowlens.plans.shared import cut_and_sum, forget
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -31,7 +31,9 @@ def component_roots(edges: DataFrame, src: str = "src", dst: str = "dst", max_ro
     mark = {"n": F.count("*"), "h": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))}  # of the rows, in any order
     star, before = cut_and_sum(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "cc", **mark)
     for _ in range(max_rounds):
-        star, after = cut_and_sum(_small_star(_large_star(star)), "cc", **mark)
+        last = star
+        star, after = cut_and_sum(_small_star(_large_star(last)), "cc", **mark)
+        forget(last)
         if after == before:
             return star.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = after

@@ -39,13 +39,17 @@ def component_profile(net: Network, of: DataFrame) -> DataFrame:
 
 
 def walk(links: DataFrame, starts: DataFrame, most: int) -> DataFrame:
-    """(seed, node) pairs joined by a directed path of at most `most` links; starts: (seed, node)."""
-    seen = frontier = starts
-    for _ in range(most):
-        found = frontier.join(links.select("src", "dst"), F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct()
-        frontier = cut(found.join(seen, ["seed", "node"], "left_anti"), "walk")
-        seen = seen.unionByName(frontier)
-    return seen
+    """(seed, node) pairs joined by a directed path of at most `most` links; starts: (seed, node). Two rounds are planned together."""
+    pairs, seen = links.select("src", "dst"), starts.withColumn("k", F.lit(0))
+    for k in range(1, most + 1, 2):
+        step, known = seen.where(F.col("k") == k - 1), seen
+        for j in range(k, min(k + 2, most + 1)):
+            found = step.join(pairs, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct()
+            step = found.join(known, ["seed", "node"], "left_anti").withColumn("k", F.lit(j))
+            new = step if j == k else new.unionByName(step)
+            known = known.unionByName(step)
+        seen = seen.unionByName(cut(new, "walk"))
+    return seen.drop("k")
 
 
 def seeds(net: Network) -> DataFrame:
@@ -170,13 +174,16 @@ def temporal_reach(net: Network, most: int = 4, strict: bool = False) -> DataFra
     """(seed, node, day): nodes that money could reach from a seed in at most `most` links on days that do not fall
     (strict: rise), and the earliest arrival. Each round keeps a pair's earliest arrival only, which dominates."""
     days = net.tx.where("src <> dst").select("src", "dst", F.unix_date("day").alias("d")).distinct()
-    state = seeds(net).withColumn("day", F.lit(-1_000_000))
-    every = None
-    for _ in range(most):
-        later = F.col("d") > F.col("day") if strict else F.col("d") >= F.col("day")
-        state = state.join(days, (F.col("node") == F.col("src")) & later).groupBy("seed", F.col("dst").alias("node")).agg(F.min("d").alias("day"))
-        state = cut(state, "temporal")
-        every = state if every is None else every.unionByName(state)
+    state, every = seeds(net).withColumn("day", F.lit(-1_000_000)), None
+    for k in range(0, most, 2):  # two rounds are planned together
+        for j in range(k, min(k + 2, most)):
+            later = F.col("d") > F.col("day") if strict else F.col("d") >= F.col("day")
+            state = state.join(days, (F.col("node") == F.col("src")) & later).groupBy("seed", F.col("dst").alias("node")).agg(F.min("d").alias("day"))
+            tagged = state.withColumn("k", F.lit(j))
+            new = tagged if j == k else new.unionByName(tagged)
+        new = cut(new, "temporal")
+        state = new.where(F.col("k") == j).drop("k")
+        every = new if every is None else every.unionByName(new)
     return every.where("seed <> node").groupBy("seed", "node").agg(F.date_from_unix_date(F.min("day")).alias("day"))
 
 

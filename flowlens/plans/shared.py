@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of a lookup table that may be broadcast; a wider table takes the shuffled join.
 BROADCAST_ROWS = 50_000
+_WRITTEN: dict[int, tuple] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,7 +32,19 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/flowlens/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN[id(made)] = (weakref.ref(made), path)
+    return made
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of tables that cut has written and that nothing reads any more, as a loop's last round once the next
+    one is written. Tables that are no result of cut are left alone."""
+    for df in tables:
+        ref, path = _WRITTEN.pop(id(df), (lambda: None, ""))
+        if ref() is df:
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def cut_and_sum(df: DataFrame, label: str, **sums: Column) -> tuple[DataFrame, dict]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,13 +28,12 @@ def transfers(events: DataFrame) -> tuple[DataFrame, int]:
 
 def hops(pairs: DataFrame, seeds: DataFrame, most: int = MAX_DEPTH) -> DataFrame:
     """(gid, depth): breadth-first distance from the nearest seed, up to most."""
-    seen = seeds.select("gid", F.lit(0).alias("depth"))
-    edge = seen
+    state = seeds.select("gid", F.lit(0).alias("depth"))
     for d in range(1, most + 1):
-        found = edge.join(pairs, F.col("gid") == F.col("src")).select(F.col("dst").alias("gid")).distinct()
-        edge = cut(found.join(seen, "gid", "left_anti").withColumn("depth", F.lit(d)), "hops")
-        seen = seen.unionByName(edge)
-    return seen
+        # a node's own row goes round again beside those it leads to, so a round is one join and one aggregation
+        ahead = state.where(F.col("depth") == d - 1).join(pairs, F.col("gid") == F.col("src")).select(F.col("dst").alias("gid"), F.lit(d).alias("depth"))
+        state = cut(state.unionByName(ahead).groupBy("gid").agg(F.min("depth").alias("depth")), "hops")
+    return state
 
 
 def derive(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -41,7 +41,7 @@ def derive(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     moved, n = transfers(spark.read.parquet(f"{sf_dir}/events.parquet"))
     moved = cut(moved, "transfers")
     seeds = moved.where("src % 28 = 0").select(F.col("src").alias("gid")).distinct()
-    depth = cut(hops(moved.select("src", "dst").distinct(), seeds), "depth")
+    depth = hops(cut(moved.select("src", "dst").distinct(), "pairs"), seeds)
     lone = spark.range(n, n + -(-n // 50)).select(F.col("id").alias("gid"), F.lit(0).alias("depth"))
     nodes = depth.unionByName(lone).select("gid", "depth", (F.col("depth") == 0).alias("is_seed"))
     sent = moved.join(depth.where(F.col("depth") < MAX_DEPTH), F.col("src") == F.col("gid"))
@@ -54,7 +54,9 @@ def raw_network(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The derived tables, written once for each session and folder."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MADE:
-        _MADE[key] = {name: cut(df, name) for name, df in derive(spark, sf_dir).items()}
+        made = derive(spark, sf_dir)
+        with ThreadPoolExecutor(len(made)) as pool:  # independent jobs: their small stages fill the cores together
+            _MADE[key] = dict(zip(made, pool.map(cut, made.values(), made), strict=True))
     return _MADE[key]
 
 
