@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +17,7 @@ def pivots(net: Network, k: int, seed: int = 42) -> DataFrame:
     return net.nodes.select(F.col("gid").alias("s"), F.xxhash64(F.lit(seed), F.col("gid")).alias("h")).orderBy("h", "s").limit(k).select("s")
 
 
-#: Links and nodes up to which the graph is sent to the tasks (16 bytes a link); beyond, frontiers are joined.
+#: Links and nodes up to which each group of sources is given a copy of the links (16 bytes each); beyond, frontiers are joined.
 SMALL_LINKS, SMALL_NODES, SOURCES = 2_000_000, 200_000, 64
 
 
@@ -56,30 +54,32 @@ def dependencies(sources: np.ndarray, src: np.ndarray, dst: np.ndarray, n: int)
     return delta.sum(axis=0)
 
 
-def _by_source(net: Network, sources: DataFrame, links: DataFrame) -> DataFrame:
-    """(gid, b): dependencies summed over sources, each task taking chunks of them; for graphs within the bounds."""
-    pairs = links.toPandas()
-    ids = np.unique(pairs.to_numpy())
-    order = np.argsort(pairs["dst"].to_numpy(), kind="stable")
-    src, dst = (np.searchsorted(ids, pairs[c].to_numpy()[order]) for c in ("src", "dst"))
-    chunk = max(1, min(SOURCES, 4_000_000 // max(len(src), 1)))
+def _by_source(sources: DataFrame, links: DataFrame, groups: int) -> DataFrame:
+    """(gid, b): dependencies summed over sources, each group of sources beside a copy of the links; for graphs within the bounds."""
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(len(ids))
-        for b in batches:
-            own = np.searchsorted(ids, b["s"].to_numpy())
-            for part in range(0, len(own), chunk):
-                total += dependencies(own[part : part + chunk], src, dst, len(ids))
-        yield pd.DataFrame({"gid": ids, "b": total})
+    def of(own: pa.Table, pairs: pa.Table) -> pa.Table:
+        src, dst = (pairs.column(c).to_numpy() for c in ("src", "dst"))
+        ids, place = np.unique(np.concatenate([src, dst]), return_inverse=True)
+        order = np.argsort(place[len(src) :], kind="stable")
+        src, dst = place[: len(src)][order], place[len(src) :][order]
+        start, total = np.searchsorted(ids, own.column("s").to_numpy()), np.zeros(len(ids))
+        chunk = max(1, min(SOURCES, 4_000_000 // max(len(src), 1)))
+        for part in range(0, len(start), chunk):
+            total += dependencies(start[part : part + chunk], src, dst, len(ids))
+        some = total > 0
+        return pa.table({"gid": pa.array(ids[some], pa.int64()), "b": pa.array(total[some], pa.float64())})
 
-    parts = sources.join(links.select(F.col("src").alias("s")).distinct(), "s", "left_semi").repartition(net.nodes.sparkSession.sparkContext.defaultParallelism)
-    return parts.mapInPandas(of, "gid long, b double").groupBy("gid").agg(F.sum("b").alias("b"))
+    paying = sources.join(links.select(F.col("src").alias("s")).distinct(), "s", "left_semi")
+    dealt = paying.withColumn("g", F.pmod(F.xxhash64("s"), F.lit(groups))).groupBy("g")
+    copies = links.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))).groupBy("g")
+    # a group without sources adds nothing
+    return dealt.cogroup(copies).applyInArrow(of, "gid long, b double").groupBy("gid").agg(F.sum("b").alias("b"))
 
 
 def betweenness(net: Network, samples: int | None = None, small_links: int = SMALL_LINKS, seed: int = 42) -> DataFrame:
     """(gid, betweenness): directed, unweighted, ends left out, over (n - 1)(n - 2), n all nodes.
 
-    A graph of checked size goes to the tasks, and sources are spread over them. A larger one is walked by
+    A graph of checked size is copied to groups of sources by a shuffle. A larger one is walked by
     joins, level by level: the frontier (source, node, paths) grows by one link a round; then dependencies
     flow back from the deepest level. samples: that many sources only, scaled by n / samples.
     """
@@ -89,7 +89,8 @@ def betweenness(net: Network, samples: int | None = None, small_links: int = SMA
     sources = net.nodes.select(F.col("gid").alias("s")) if samples is None else pivots(net, k, seed)
     if 0 < links.count() <= small_links and n <= SMALL_NODES:
         scale = (1 / ((n - 1) * (n - 2)) if n > 2 else 0.0) * (n / k if k else 0.0)
-        found = _by_source(net, sources, links)
+        groups = max(1, min(net.nodes.sparkSession.sparkContext.defaultParallelism, -(-k // SOURCES)))
+        found = _by_source(sources, links, groups)
         return net.nodes.select("gid").join(found, "gid", "left").select("gid", nine(F.coalesce(F.col("b") * scale, F.lit(0.0))).alias("betweenness"))
     level = cut(sources.join(links.select(F.col("src").alias("s")).distinct(), "s", "left_semi").select("s", F.col("s").alias("v"), F.lit(1.0).alias("paths")), "level")
     levels, seen = [level], level.select("s", "v")

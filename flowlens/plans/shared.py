@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a lookup table that may be broadcast; a wider table takes the shuffled join.
 BROADCAST_ROWS = 50_000
+#: And what its rows may hold, as JSON.
+BROADCAST_BYTES = 32 << 20
 _WRITTEN: dict[int, tuple] = {}
 
 
@@ -56,9 +58,10 @@ def cut_and_sum(df: DataFrame, label: str, **sums: Column) -> tuple[DataFrame, d
 def lookup_join(df: DataFrame, small: DataFrame, on: str | Column | list[str], how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
     """Join df with a table expected to be small. small must be cheap to count (a cut table).
 
-    It is broadcast only if it has at most `limit` rows; otherwise the join shuffles and AQE splits hot keys.
+    It is broadcast only if it has at most `limit` rows and BROADCAST_BYTES; otherwise the join shuffles and AQE splits hot keys.
     """
-    few = small.limit(limit + 1).count() <= limit
+    size = small.limit(limit + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*small.columns)))), F.lit(0)).alias("b")).first()
+    few = size["n"] <= limit and size["b"] <= BROADCAST_BYTES
     return df.join(F.broadcast(small) if few else small, on, how)
 
 
