@@ -120,24 +120,42 @@ def betweenness(net: Network, samples: int | None = None, small_links: int = SMA
     return net.nodes.select("gid").join(found, "gid", "left").select("gid", nine(F.coalesce("b", F.lit(0.0))).alias("betweenness"))
 
 
-#: Rounds that are planned together before their result is written.
-TOGETHER = 8
+#: Rounds that are planned together before their result is written; rows that joining steps with steps may make; links of a step.
+TOGETHER, STEP_ROWS, LONGEST = 8, 2_000_000, 16
+
+
+def _longer_steps(share: DataFrame, state: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(shares over steps of several links, sums over all walks shorter than such a step), from shares over single links and
+    the start. Steps are doubled, to LONGEST links at most, while joining them with themselves makes at most `limit` rows,
+    which is counted first."""
+    for _ in range(LONGEST.bit_length() - 1):
+        into, out = share.groupBy(F.col("dst").alias("m")).agg(F.count("*").alias("i")), share.groupBy(F.col("src").alias("m")).agg(F.count("*").alias("o"))
+        rows = into.join(out, "m").agg(F.sum(F.col("i") * F.col("o"))).first()[0] or 0
+        if not 0 < rows <= limit:
+            break
+        sent = state.join(share, F.col("gid") == F.col("src")).select(F.col("dst").alias("gid"), (F.col("now") * F.col("share")).alias("now"))
+        state = cut(state.unionByName(sent).groupBy("gid").agg(F.sum("now").alias("now")), "walks")
+        on = share.select(F.col("src").alias("mid"), F.col("dst").alias("to"), F.col("share").alias("then"))
+        share = cut(share.join(on, F.col("dst") == F.col("mid")).groupBy("src", F.col("to").alias("dst")).agg(F.sum(F.col("share") * F.col("then")).alias("share")), "steps")
+    return share, state
 
 
-def pagerank(net: Network, alpha: float = 0.85, tolerance: float = 1e-14, most: int = 10_000) -> DataFrame:
+def pagerank(net: Network, alpha: float = 0.85, tolerance: float = 1e-14, most: int = 10_000, step_rows: int = STEP_ROWS) -> DataFrame:
     """(gid, rank): weighted by cents; nodes that pay nothing spread their rank evenly; isolates included.
 
     Rank spread evenly only scales all ranks, so it is left out and made up for at the end: what remains is the sum
-    over walks of all lengths, each round adding those one link longer. Rounds stop when what they add is below
-    `tolerance` of the whole; after `most` rounds without that an error is raised. Sums run by receiver, so a
-    round is one shuffle, and TOGETHER of them are planned at once.
+    over walks of all lengths, each round adding those one step longer. A step is a link, or several where that makes
+    few rows. Rounds stop when what they add is below `tolerance` of the whole; after `most` rounds without that an error
+    is raised. Sums run by receiver, so a round is one shuffle, and TOGETHER of them are planned at once.
     """
     n = net.nodes.count()
     out = net.edges.groupBy("src").agg(F.sum("cents").alias("total")).where("total > 0")
-    paid = net.edges.join(out, "src").select("src", "dst", (alpha * F.col("cents") / F.col("total")).alias("share"), F.lit(0.0).alias("own"))
+    paid = cut(net.edges.join(out, "src").select("src", "dst", (alpha * F.col("cents") / F.col("total")).alias("share")), "share")
+    paid, start = _longer_steps(paid, net.nodes.select("gid", F.lit(1.0).alias("now")), step_rows)
     # a row from each node to itself carries its sum on, so that a round reads the state once
-    share = cut(paid.unionByName(net.nodes.select(F.col("gid").alias("src"), F.col("gid").alias("dst"), F.lit(0.0).alias("share"), F.lit(1.0).alias("own"))), "share")
-    state = cut(net.nodes.select("gid", F.lit(1.0).alias("now"), F.lit(1.0).alias("all")), "rank")
+    own = net.nodes.select(F.col("gid").alias("src"), F.col("gid").alias("dst"), F.lit(0.0).alias("share"), F.lit(1.0).alias("own"))
+    share = cut(paid.withColumn("own", F.lit(0.0)).unionByName(own), "share")
+    state = cut(start.select("gid", "now", F.col("now").alias("all")), "rank")
     for _ in range(0, most, TOGETHER):
         last = state
         for _ in range(TOGETHER):

@@ -79,8 +79,10 @@ def test_pagerank_settles(spark, dense):
         p = 0.85 * (m @ np.divide(p, total, out=np.zeros_like(p), where=total > 0) + p[total == 0].sum() / len(every)) + 0.15 / len(every)
     got = {r["gid"]: r["rank"] for r in centrality.pagerank(dense).collect()}
     assert set(ids) <= set(got) and max(abs(got[g] - p[at[g]]) for g in every) < 1e-13
+    single = {r["gid"]: r["rank"] for r in centrality.pagerank(dense, step_rows=0).collect()}
+    assert max(abs(single[g] - p[at[g]]) for g in every) < 1e-13
     with pytest.raises(RuntimeError):
-        centrality.pagerank(dense, most=8)
+        centrality.pagerank(dense, most=8, step_rows=0)
 
 
 def test_hits_settle(dense):
