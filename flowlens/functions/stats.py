@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.operators.flows import six
-from flowlens.plans.shared import sums_before
+from flowlens.plans.shared import cut, sums_before
 
 
 def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
@@ -26,6 +26,21 @@ def rank_share(df: DataFrame, value: str, name: str) -> DataFrame:
     return ranked.withColumn(name, F.when(F.col(value) > 0, F.col("_r") / F.col("_all")).otherwise(0.0)).drop("_r", "_all")
 
 
+def rank_shares(df: DataFrame, values: dict[str, str]) -> DataFrame:
+    """df with, for each name and column of `values`, the rank_share of the column: all columns are ranked in one order of
+    (column, value), in which each takes as many places as there are rows."""
+    listed = F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.col(c).cast("double").alias("v")) for i, c in enumerate(values.values())]))
+    counts = df.select(listed.alias("x")).groupBy("x.m", "x.v").agg(F.count("*").alias("n"))
+    total = F.broadcast(df.agg(F.count("*").alias("rows")))  # one row
+    place = F.col("before") - F.col("m") * F.col("rows") + (F.col("n") + 1) / 2
+    ranked = sums_before(counts, ["m", "v"], before=F.col("n")).crossJoin(total).select("m", "v", F.when(F.col("v") > 0, place / F.col("rows")).otherwise(0.0).alias("share"))
+    ranked = cut(ranked, "shares")
+    for i, (name, c) in enumerate(values.items()):
+        one = ranked.where(F.col("m") == i).select(F.col("v").alias("_v"), F.col("share").alias(name))
+        df = df.join(one, F.col(c).cast("double") == F.col("_v"), "left").drop("_v")
+    return df
+
+
 def auc(df: DataFrame, score: str, truth: str) -> DataFrame:
     """One row: the chance that a true row scores above a false one, ties as half."""
     r = average_ranks(df, score, "r").agg(F.sum(F.when(F.col(truth), F.col("r"))).alias("s"), F.sum(F.col(truth).cast("long")).alias("pos"), F.count("*").alias("n"))

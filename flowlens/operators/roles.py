@@ -9,7 +9,7 @@ from dataclasses import dataclass, field, fields, replace
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowlens.functions.stats import rank_share, transitions
+from flowlens.functions.stats import rank_shares, transitions
 from flowlens.operators.centrality import betweenness
 from flowlens.operators.communities import communities
 from flowlens.operators.fifo import timing
@@ -129,10 +129,11 @@ def prioritise(rows: DataFrame, config: RoleConfig = RoleConfig()) -> DataFrame:
     """rows (of classify) with the five priority parts and priority_score; a node without partners has 0."""
     w = config.priority_weights
     rows = cut(rows, "roles").withColumn("_flow", F.greatest("in_cents", "out_cents")).withColumn("_fan", F.greatest("in_deg", "out_deg"))
-    active, both = rows.where("in_deg + out_deg > 0"), rows
-    for source, name in (("_flow", "flow"), ("betweenness", "bridge"), ("_fan", "fan")):
-        share = rank_share(active.select("gid", source), source, "_share").select("gid", "_share")
-        both = both.join(share, "gid", "left").withColumn(f"p_{name}", F.coalesce(F.col("_share") * w[name], F.lit(0.0))).drop("_share")
+    active = rows.where("in_deg + out_deg > 0").select("gid", "_flow", "betweenness", "_fan")
+    shares = rank_shares(active, {"_s_flow": "_flow", "_s_bridge": "betweenness", "_s_fan": "_fan"}).select("gid", "_s_flow", "_s_bridge", "_s_fan")
+    both = rows.join(shares, "gid", "left")
+    for name in ("flow", "bridge", "fan"):
+        both = both.withColumn(f"p_{name}", F.coalesce(F.col(f"_s_{name}") * w[name], F.lit(0.0))).drop(f"_s_{name}")
     both = both.withColumn("p_seed_reach", F.least(F.col("seed_reach") / 5, F.lit(1.0)) * w["seed_reach"])
     both = both.withColumn("p_role_support", F.when(F.col("role") == "peripheral", 0.0).otherwise(F.col("role_score")) * w["role_support"])
     total = F.col("p_seed_reach") + F.col("p_flow") + F.col("p_bridge") + F.col("p_fan") + F.col("p_role_support")
