@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import chunks, fingerprints, language, licenses, mixing, packing, quality_qda, quality_rules, secrets, simhash, sql
+from flowlens.llm import chunks, collocations, fingerprints, language, licenses, metric_tree, mixing, packing, quality_qda, quality_rules, secrets, simhash, sql
 from flowlens.llm.texts import read_documents, read_labels
 
 
@@ -62,13 +62,22 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(secrets.spelled(F.col("base")), 256).alias("base_sha256"), secrets.spelled(F.col("spans")).alias("spans"))
 
 
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_tree.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_quality, op2_mixing, op3_quality_rules, op4_fingerprints, op5_packing, op6_simhash, op7_chunks, op8_licenses, op9_language, op10_secrets)
+    made = (op1_quality, op2_mixing, op3_quality_rules, op4_fingerprints, op5_packing, op6_simhash, op7_chunks, op8_licenses, op9_language, op10_secrets, op11_topk, op12_collocations)
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_mixing": sql.mixing_walk(), "op3_quality_rules": sql.quality_rules(), "op7_chunks": sql.repeated_chunks(),
-        "op8_licenses": sql.license_scan(), "op9_language": sql.rank_profiles(), "op10_secrets": sql.secret_scan(),
+        "op8_licenses": sql.license_scan(), "op9_language": sql.rank_profiles(), "op10_secrets": sql.secret_scan(), "op11_topk": sql.top_products(),
+        "op12_collocations": sql.phrases(),
     }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowlens.llm import chunks, language, licenses, mixing, secrets
+from flowlens.llm import chunks, collocations, language, licenses, metric_tree, mixing, secrets
 from flowlens.llm.quality_rules import LEVELS, RULES, SYMBOLS
 from flowlens.llm.texts import BLANK_CHARS, BLANKS, LOWER, UPPER
 
@@ -171,3 +171,32 @@ def secret_scan() -> str:
       said AS (SELECT *, {list(s.KINDS)}[1 + kind] || ':' || s || ':' || e AS x FROM spans),
       per AS (SELECT r, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2, string_agg(x, ',' ORDER BY s, kind) FILTER (kind < 3) AS b, string_agg(x, ',' ORDER BY s, kind) AS a FROM said GROUP BY r)
       SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans FROM docs LEFT JOIN per USING (r)"""
+
+
+def top_products() -> str:
+    """op11: every query against every row."""
+    return f"""WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({metric_tree.UNITS} * x::DOUBLE)::BIGINT) AS e
+        FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)),
+      pairs AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, coalesce(list_sum(list_transform(range(1, least(len(q.e), len(c.e)) + 1), lambda i: q.e[i] * c.e[i])), 0)::BIGINT AS score FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 100 = 0),
+      ranked AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST)::INT AS "rank" FROM pairs)
+      SELECT query_id, "rank", vec_id, score FROM ranked WHERE "rank" <= 10"""
+
+
+def phrases() -> str:
+    """op12: every phrase at its place, counted by groups."""
+    c = collocations
+    return f"""WITH docs AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
+      pieces AS (SELECT lang, row_number() OVER () AS p, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(regexp_split_to_array(t, '{c.BREAKS}')) AS piece FROM docs)),
+      places AS (SELECT lang, p, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM pieces),
+      near AS (SELECT lang, x, lead(x, 1) OVER along AS y, lead(x, 2) OVER along AS z FROM places WINDOW along AS (PARTITION BY p ORDER BY i)),
+      one AS (SELECT lang, x, count(*) AS f FROM near GROUP BY lang, x), total AS (SELECT lang, sum(f)::BIGINT AS n FROM one GROUP BY lang),
+      two AS (SELECT lang, x, y, count(*) AS f FROM near WHERE y IS NOT NULL GROUP BY lang, x, y HAVING count(*) >= {c.LEAST}),
+      three AS (SELECT lang, x, y, z, count(*) AS f FROM near WHERE z IS NOT NULL GROUP BY lang, x, y, z HAVING count(*) >= {c.LEAST}),
+      cuts AS (SELECT two.lang, two.x || ' ' || two.y AS phrase, two.f AS a, l.f AS l, r.f AS r, 1 AS k FROM two JOIN one l ON l.lang = two.lang AND l.x = two.x JOIN one r ON r.lang = two.lang AND r.x = two.y UNION ALL
+        SELECT three.lang, three.x || ' ' || three.y || ' ' || three.z, three.f, l.f, r.f, 1 FROM three JOIN one l ON l.lang = three.lang AND l.x = three.x JOIN two r ON r.lang = three.lang AND r.x = three.y AND r.y = three.z UNION ALL
+        SELECT three.lang, three.x || ' ' || three.y || ' ' || three.z, three.f, l.f, r.f, 2 FROM three JOIN two l ON l.lang = three.lang AND l.x = three.x AND l.y = three.y JOIN one r ON r.lang = three.lang AND r.x = three.z),
+      rated AS (SELECT *, ({c.UNITS}::HUGEINT * a * a // (l::HUGEINT * r))::BIGINT AS score FROM cuts),
+      lowest AS (SELECT * FROM rated QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+      held AS (SELECT two.lang, two.x || ' ' || two.y AS phrase FROM two JOIN three ON three.lang = two.lang AND ((three.x = two.x AND three.y = two.y) OR (three.y = two.x AND three.z = two.y)) WHERE 100 * three.f >= {c.INSIDE} * two.f),
+      ranked AS (SELECT lowest.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::INT AS "rank" FROM lowest WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.lang = lowest.lang AND h.phrase = lowest.phrase))
+      SELECT lang, "rank", phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE "rank" <= {c.TOP}"""
