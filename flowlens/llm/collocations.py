@@ -109,8 +109,9 @@ def fragments_of(entry: np.ndarray, rank: np.ndarray, frequent: np.ndarray) -> t
     occurrence of its rarest word. Words that are not frequent, and ends of pieces, end a fragment.
     """
     far = MOST_WORDS - 1
-    wide = np.concatenate([np.full(far, -1), np.where(entry >= 0, np.where(frequent[entry], entry, -1), -1), np.full(far, -1)])
-    place = np.where(wide >= 0, rank[wide], np.iinfo(np.int64).max)  # nothing is as rare as a gap
+    frequent, rank = np.append(frequent, False), np.append(rank, np.iinfo(np.int64).max)  # at -1: nothing is as rare as a gap
+    wide = np.concatenate([np.full(far, -1), np.where(frequent[entry], entry, -1), np.full(far, -1)])
+    place = rank[wide]
     mid = slice(far, len(wide) - far)
     own = place[mid]
     parts = [wide[mid]]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import chunks, collocations, fingerprints, language, licenses, metric_tree, mixing, packing, quality_qda, quality_rules, secrets, simhash, sql
+from flowlens.llm import chunks, collocations, conversations, fingerprints, language, licenses, metric_tree, mixing, packing, quality_qda, quality_rules, secrets, simhash, sql
 from flowlens.llm.texts import read_documents, read_labels
 
 
@@ -70,8 +70,12 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read_documents(spark, sf_dir))
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damage(spark.read.parquet(f"{sf_dir}/conversations.parquet")), here="here")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_quality, op2_mixing, op3_quality_rules, op4_fingerprints, op5_packing, op6_simhash, op7_chunks, op8_licenses, op9_language, op10_secrets, op11_topk, op12_collocations)
+    made = (op1_quality, op2_mixing, op3_quality_rules, op4_fingerprints, op5_packing, op6_simhash, op7_chunks, op8_licenses, op9_language, op10_secrets, op11_topk, op12_collocations, op13_conversations)
     return {f.__name__: f for f in made}
 
 
@@ -79,5 +83,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_mixing": sql.mixing_walk(), "op3_quality_rules": sql.quality_rules(), "op7_chunks": sql.repeated_chunks(),
         "op8_licenses": sql.license_scan(), "op9_language": sql.rank_profiles(), "op10_secrets": sql.secret_scan(), "op11_topk": sql.top_products(),
-        "op12_collocations": sql.phrases(),
+        "op12_collocations": sql.phrases(), "op13_conversations": sql.repaired_conversations(),
     }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowlens.llm import chunks, collocations, language, licenses, metric_tree, mixing, secrets
+from flowlens.llm import chunks, collocations, conversations, language, licenses, metric_tree, mixing, secrets
 from flowlens.llm.quality_rules import LEVELS, RULES, SYMBOLS
 from flowlens.llm.texts import BLANK_CHARS, BLANKS, LOWER, UPPER
 
@@ -200,3 +200,39 @@ def phrases() -> str:
       held AS (SELECT two.lang, two.x || ' ' || two.y AS phrase FROM two JOIN three ON three.lang = two.lang AND ((three.x = two.x AND three.y = two.y) OR (three.y = two.x AND three.z = two.y)) WHERE 100 * three.f >= {c.INSIDE} * two.f),
       ranked AS (SELECT lowest.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::INT AS "rank" FROM lowest WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.lang = lowest.lang AND h.phrase = lowest.phrase))
       SELECT lang, "rank", phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE "rank" <= {c.TOP}"""
+
+
+def repaired_conversations() -> str:
+    """op13: the edits by recursion from each conversation's last row, a struct (cost, edits, repaired rows) for each grammar state."""
+    states = range(4)
+    at = lambda c, a, r: f"{{'c': {c}, 'a': {a}, 'r': {r}}}"
+    line = lambda role: f"chr(10) || {role} || ':' || text || "
+
+    def edits(q: int) -> str:
+        ways = [at(f"s{q}.c + {conversations.DELETE}", f"'D' || s{q}.a", f"s{q}.r")]
+        for initial, to in conversations.ARCS[q].items():
+            more = f"s{to}.c + (fault = 3)::INT * {conversations.TRUNCATED}"
+            ways.append(f"CASE WHEN fault NOT IN (1, 2) AND x = '{initial}' THEN {at(more, f"'K' || s{to}.a", line('role') + f's{to}.r')} END")
+            if initial in conversations.NAMES:
+                said = f"'{conversations.NAMES[initial]}'"
+                ways.append(f"CASE WHEN fault NOT IN (1, 2) THEN {at(f'{more} + {conversations.REROLE}', f"'R' || s{to}.a", line(said) + f's{to}.r')} END")
+        return f"list_min([{', '.join(ways)}]) AS s{q}"
+
+    def inserts(source: str) -> str:
+        for _ in range(3):
+            ways = {q: [f"s{q}", *(at(f"s{to}.c + {conversations.INSERT}", f"'I' || s{to}.a", f"chr(10) || '{conversations.NAMES[i]}:' || s{to}.r") for i, to in conversations.ARCS[q].items() if i in conversations.NAMES)] for q in states}
+            source = f"SELECT conv_id, i, {', '.join(f'list_min([{", ".join(ways[q])}]) AS s{q}' for q in states)} FROM ({source})"
+        return source
+
+    start = ", ".join(f"{at(0 if q in conversations.ACCEPTS else 1_000_000_000, "''", "''")} AS s{q}" for q in states)
+    step = f"SELECT paths.conv_id, paths.i - 1 AS i, {', '.join(edits(q) for q in states)} FROM paths JOIN judged ON judged.conv_id IS NOT DISTINCT FROM paths.conv_id AND judged.i = paths.i"
+    return f"""WITH RECURSIVE raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS code FROM conversations),
+      here AS (SELECT conv_id, turn, CASE code WHEN 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM raw, (SELECT unnest([0, 1]) AS copy) WHERE code <> 0 AND (copy = 0 OR code = 3)),
+      placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, substr(text, 1, 200), sha256(text)) AS i FROM here),
+      judged AS (SELECT *, substr(role, 1, 1) AS x, CASE WHEN NOT regexp_matches(text, '{WORD}') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?]{BLANKS[:-1]}*\\z') THEN 3 ELSE 0 END AS fault FROM placed),
+      near AS (SELECT *, lag(x) OVER (PARTITION BY conv_id ORDER BY i) || x AS pair FROM judged),
+      per AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+        count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM near GROUP BY conv_id),
+      paths AS ({inserts(f"SELECT conv_id, n AS i, {start} FROM per")} UNION ALL {inserts(step)})
+      SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(s0.c, 0)::BIGINT AS cost, coalesce(s0.a, '') AS audit, sha256(coalesce(substr(s0.r, 2), '')) AS repaired_sha256
+      FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN per ON per.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN paths ON paths.conv_id IS NOT DISTINCT FROM c.conv_id AND paths.i = 0"""
