@@ -13,11 +13,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm.texts import whole
-from flowlens.plans.shared import cut, lookup_join
+from flowlens.plans.shared import cut, lookup_join, sums_before
 
 #: What splits a text into pieces, and the most words a phrase has; least count of a phrase; phrases reported for each language.
 BREAKS = r"[.,;:!?\x0A-\x0D]"
@@ -219,7 +219,9 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, text: str
     words = cut(counted.where(F.col("f") >= least).select("lang", "word", "f", "bucket"), "frequent")
     most = max(1, (totals.agg(F.sum("n")).first()[0] or 0) // SHARE)
     found = cut(mine(fragments(rows, order_table(words, least), most), least=least), "phrases")
-    kept = scored(found, words.drop("bucket")).join(alone(found), ["lang", "phrase"], "left_anti")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    kept = cut(scored(found, words.drop("bucket")).join(alone(found), ["lang", "phrase"], "left_anti"), "scored")
+    listed = cut(kept.groupBy("lang").agg(F.count("*").alias("own")), "listed")
+    earlier = cut(sums_before(listed, ["lang"], earlier=F.col("own")).select("lang", "earlier"), "earlier")
+    placed = sums_before(kept, ["lang", F.desc("score"), F.desc("a"), "phrase"], before=F.lit(1))  # a language may hold most phrases: no window over it
+    ranked = lookup_join(placed, earlier, "lang", "inner").withColumn("rank", (F.col("before") - F.col("earlier") + 1).cast("int")).where(F.col("rank") <= top)
     return lookup_join(ranked, totals, "lang", "inner").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
