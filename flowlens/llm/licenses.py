@@ -3,8 +3,8 @@
 A text becomes its lower-case words joined by single spaces, so rules need no white-space variants. Words
 gate rules: of some three hundred rules, written out one by one, only those are tried whose needed words, derived from the rule's own
 expression, occur in the text. Each match has
-an interval; a match that lies inside one of a rule of higher priority (or an equal interval of an earlier
-rule) is suppressed. All of it is column functions; the rules are one constant.
+an interval; a match that lies inside one of a rule of higher priority, or inside a longer one of equal priority, is
+suppressed. Equal intervals of equal priority both stay. All of it is column functions; the rules are one constant.
 """
 
 from __future__ import annotations
@@ -33,6 +33,9 @@ mit 5 0.9 the software is provided as is without warranty of any kind express or
 mit 2 0.9 mit licen[cs]e
 mit 2 0.9 mit style licen[cs]e
 mit 2 0.9 mit x11 licen[cs]e
+mit 2 0.85 mit x11
+mit 2 0.85 mit licen[cs]ed
+mit 2 0.85 mit licen[cs]es
 mit 2 0.9 expat licen[cs]e
 mit 3 0.95 (?:licensed|released|distributed|available|published) under(?: the)?(?: terms of the)? mit(?: licen[cs]e)?
 mit 3 0.95 opensource org licenses mit
@@ -45,6 +48,8 @@ apache 6 0.95 you may obtain a copy of the licen[cs]e at (?:http|https) www apac
 apache 5 0.95 apache licen[cs]e version 2 0 january 2004
 apache 4 0.97 apache(?: software)?(?: licen[cs]e)?(?: version)? (?:v2|2|v1|1)(?: 0| 1)?
 apache 2 0.9 apache licen[cs]e
+apache 2 0.85 apache licen[cs]ed
+apache 1 0.6 licen[cs]e apache
 apache 2 0.9 apache software licen[cs]e
 apache 3 0.95 (?:licensed|released|distributed|available|published) under(?: the)?(?: terms of the)? apache(?: software)?(?: licen[cs]e)?
 apache 6 0.95 this product includes software developed by the apache software foundation
@@ -58,7 +63,7 @@ gpl 5 0.97 (?:gnu )?general public licen[cs]e(?: version)? (?:v1|v2|v3|1|2|3)(?:
 gpl 2 0.9 (?:gnu )?general public licen[cs]e
 gpl 3 0.9 (?:gnu )?gpl (?:v2|v3|2|3)(?: 0)?(?: only| or later)?
 gpl 3 0.9 (?:gplv2|gplv3)(?: only| or later)?
-gpl 2 0.85 (?:gnu )?gpl licen[cs]e
+gpl 2 0.85 (?:gnu )?gpl licen[cs]es?
 gpl 3 0.9 (?:licensed|released|distributed|available|published) under(?: the)?(?: terms of the)? (?:gnu )?gpl
 gpl 2 0.85 gnu gpl
 gpl 4 0.95 www gnu org licenses gpl
@@ -72,7 +77,10 @@ lgpl 5 0.97 (?:gnu )?(?:lesser|library) general public licen[cs]e(?: version)? (
 lgpl 2 0.9 (?:gnu )?(?:lesser|library) general public licen[cs]e
 lgpl 3 0.9 (?:gnu )?lgpl (?:v2|v3|2|3)(?: 0| 1)?(?: only| or later)?
 lgpl 3 0.9 (?:lgplv2|lgplv3)(?: only| or later)?
-lgpl 2 0.85 (?:gnu )?lgpl licen[cs]e
+lgpl 2 0.85 (?:gnu )?lgpl licen[cs]es?
+lgpl 3 0.9 (?:licensed|released|distributed|available|published) under(?: the)?(?: terms of the)? (?:gnu )?lgpl
+lgpl 2 0.85 gnu lgpl
+lgpl 1 0.6 licen[cs]e lgpl
 lgpl 4 0.95 www gnu org licenses lgpl
 agpl 6 0.95 you can redistribute it and or modify it under the terms of the gnu affero general public licen[cs]e
 agpl 6 0.95 you should have received a copy of the gnu affero general public licen[cs]e
@@ -80,7 +88,10 @@ agpl 5 0.97 (?:gnu )?affero general public licen[cs]e(?: version)? (?:v1|v3|1|3)
 agpl 2 0.9 (?:gnu )?affero general public licen[cs]e
 agpl 3 0.9 (?:gnu )?agpl (?:v3|3)(?: 0)?(?: only| or later)?
 agpl 3 0.9 agplv3(?: only| or later)?
-agpl 2 0.85 (?:gnu )?agpl licen[cs]e
+agpl 2 0.85 (?:gnu )?agpl licen[cs]es?
+agpl 3 0.9 (?:licensed|released|distributed|available|published) under(?: the)?(?: terms of the)? (?:gnu )?agpl
+agpl 2 0.85 gnu agpl
+agpl 1 0.6 licen[cs]e agpl
 agpl 4 0.95 www gnu org licenses agpl
 gfdl 6 0.95 permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[cs]e
 gfdl 4 0.97 (?:gnu )?free documentation licen[cs]e version 1 (?:1|2|3)
@@ -91,16 +102,18 @@ bsd 5 0.9 redistribution and use in source and binary forms
 bsd 5 0.85 redistributions of source code must retain the above copyright notice
 bsd 5 0.85 redistributions in binary form must reproduce the above copyright notice
 bsd 5 0.8 this software is provided by the (?:copyright holders|authors|regents) and contributors as is
-bsd 1 0.85 bsd licen[cs]e
+bsd 1 0.85 bsd licen[cs]es?
+bsd 1 0.6 licen[cs]e bsd
 bsd 1 0.8 bsd style licen[cs]e
 bsd 1 0.85 berkeley software distribution licen[cs]e
 bsd 3 0.9 (?:licensed|released|distributed|available|published) under(?: the)?(?: terms of the)? bsd(?: licen[cs]e)?
-bsd-3-clause 6 0.9 neither the name of(?: [^ ]+){1,12}? may be used to endorse or promote products
-bsd-3-clause 6 0.9 the name of(?: [^ ]+){1,12}? may not be used to endorse or promote products
+bsd-3-clause 6 0.9 may(?: not)? be used to endorse or promote products
+bsd-3-clause 4 0.9 (?:licensed|released|distributed|available|published) under(?: the)?(?: terms of the)? (?:bsd 3 clause|3 clause bsd|three clause bsd|new bsd|modified bsd|revised bsd)(?: licen[cs]e)?
 bsd-3-clause 2 0.9 bsd 3 clause(?: licen[cs]e)?
 bsd-3-clause 2 0.9 3 clause bsd(?: licen[cs]e)?
 bsd-3-clause 2 0.9 three clause bsd(?: licen[cs]e)?
 bsd-3-clause 2 0.9 (?:new|modified|revised) bsd(?: licen[cs]e)?
+bsd-2-clause 4 0.9 (?:licensed|released|distributed|available|published) under(?: the)?(?: terms of the)? (?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd)(?: licen[cs]e)?
 bsd-2-clause 2 0.9 bsd 2 clause(?: licen[cs]e)?
 bsd-2-clause 2 0.9 2 clause bsd(?: licen[cs]e)?
 bsd-2-clause 2 0.9 two clause bsd(?: licen[cs]e)?
@@ -116,12 +129,15 @@ bsd-4-clause 2 0.9 original bsd licen[cs]e
 isc 6 0.95 permission to use copy modify and or distribute this software for any purpose with or without fee
 isc 6 0.95 permission to use copy modify and distribute this software for any purpose with or without fee
 isc 2 0.9 isc licen[cs]e
+isc 2 0.85 isc licen[cs]ed
+isc 1 0.6 licen[cs]e isc
 isc 3 0.9 (?:licensed|released|distributed|available) under(?: the)?(?: terms of the)? isc(?: licen[cs]e)?
 mpl 6 0.95 this source code form is subject to the terms of the mozilla public licen[cs]e
 mpl 6 0.95 the contents of this file are subject to the mozilla public licen[cs]e
 mpl 6 0.95 if a copy of the mpl was not distributed with this file
 mpl 4 0.97 mozilla public licen[cs]e(?: version)? (?:v1|v2|1|2)(?: 0| 1)?
 mpl 2 0.9 mozilla public licen[cs]e
+mpl 1 0.6 licen[cs]e mpl
 mpl 3 0.9 mpl (?:v1|v2|1|2)(?: 0| 1)?
 epl 6 0.95 are made available under the terms of the eclipse public licen[cs]e
 epl 4 0.97 eclipse public licen[cs]e(?: version)? (?:v1|v2|v10|v20|1|2)(?: 0)?
@@ -137,7 +153,7 @@ ipl 2 0.9 ibm public licen[cs]e(?: version)?(?: 1)?(?: 0)?
 eupl 6 0.95 licensed under the eupl
 eupl 2 0.9 european union public licen[cs]e(?: version| v)?(?: 1)?(?: 0| 1| 2)?
 eupl 2 0.85 eupl
-artistic 6 0.95 under the same terms as perl itself
+artistic 6 0.95 under the same (?:terms|license|licence) as perl(?: itself)?
 artistic 4 0.97 artistic licen[cs]e(?: version)? (?:1|2)(?: 0)?
 artistic 2 0.9 (?:perl )?artistic licen[cs]e
 bsl 6 0.95 permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation
@@ -264,6 +280,7 @@ cc 1 0.6 licensed under (?:a )?creative commons
 cc 1 0.5 some rights reserved
 public-domain 5 0.8 (?:is|are|was|were|placed|dedicated|released) (?:in|to|into) the public domain
 public-domain 5 0.8 this (?:file|code|work|software) is public domain
+public-domain 1 0.5 public domain
 public-domain 5 0.8 no copyright is claimed
 us-government 5 0.85 work of the united states government
 us-government 5 0.85 not subject to copyright protection in the united states
@@ -282,7 +299,7 @@ noncommercial 3 0.7 (?:personal|research|educational|academic) use only
 freeware 2 0.6 this (?:software|program) is freeware
 shareware 2 0.6 this (?:software|program) is shareware
 dual 3 0.6 (?:dual|double) licensed under
-unknown 0 0.3 licensed under(?: the)? [^ ]+(?: [^ ]+){0,3}? licen[cs]e
+unknown 0 0.3 licensed under
 unknown 0 0.3 see (?:the )?licen[cs]e file for details
 unknown 0 0.3 subject to the terms of the licen[cs]e
 gpl 7 1.0 spdx license identifier gpl [123] 0(?: only| or later)?
@@ -459,8 +476,10 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """(doc_id, n_words, base, detections) of every row, repeated rows included.
 
     base: array<struct<start in words, label>>; detections: array of struct (priority, start and end in the
-    normalised text, label, score). Null text counts as empty. A narrow job without a shuffle; a text without a
-    word that some rule is found by stops after the word count. Other columns of docs are not read.
+    normalised text, label, score), by start, longer ones first, then by falling priority and label; equal intervals of equal
+    priority are all listed. Null text counts as empty; empty texts and texts without words have no detections. Very long texts
+    are read whole, in time that grows with them. A narrow job without a shuffle; a text without a word that some rule is
+    found by stops after the word count. Other columns of docs are not read.
     """
     table, firsts, vocabulary = _constant()
     none = F.array().cast(DETECTION)

@@ -141,33 +141,49 @@ def rank_profiles() -> str:
 
 
 def secret_scan() -> str:
-    """op10: fixed patterns, the Markov ratios trained from the same samples, and tokens outside fixed spans."""
+    """op10: fixed patterns, the Markov ratios trained from the same samples, and tokens outside fixed spans by their best stretch."""
     s = secrets
     either = lambda w: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)
     assign = f"({'|'.join(map(either, ('password', 'passwd', 'secret', 'token')))}|{either('api')}_?{either('key')})" + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-    kinds = {"assign": assign, "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+", "random": "[A-Za-z0-9+/_=-]{20,}"}
-    good = {"assign": f"length(regexp_extract(x, {_quoted(assign)}, 2)) >= 6", "access": "length(x) >= 20", "hex": "length(x) >= 24", "random": "regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Za-z]')"}
+    kinds = {"assign": assign, "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+", "random": f"[{s.TOKEN_CHARS}]+"}
+    good = {"assign": f"length(regexp_extract(x, {_quoted(assign)}, 2)) >= 6", "access": "length(x) >= 20", "hex": "length(x) >= 24", "random": f"length(x) >= {s.SHORTEST}"}
     flat = " UNION ALL ".join(f"SELECT r, {k} AS kind, unnest(h) AS x, unnest(g[:len(h)]) AS g, generate_subscripts(h, 1) AS i FROM (SELECT r, regexp_extract_all(t, {_quoted(p)}) AS h, string_split_regex(t, {_quoted(p)}) AS g FROM docs)" for k, p in enumerate(kinds.values()))
     keep = " ".join(f"WHEN kind = {k} THEN {c}" for k, c in enumerate(good.values()))
     dealt = lambda of, n: f"(('0x' || substr(md5('{of}-' || i), 1, 8))::BIGINT % {n})"
-    chosen = ", ".join(f"parts[1 + {dealt(f'part{k}', len(s.PARTS))}]" for k in range(5))
-    return f"""WITH {DOCS}, words AS (SELECT {list(s.PARTS)} AS parts),
-      drawn AS (SELECT i, sha256('a-' || i) || sha256('b-' || i) AS d, ([{chosen}])[:i % 4 + 2] AS c FROM words, range(0, {s.SAMPLES}) t(i)),
-      coded AS (SELECT *, to_base64(unhex(d)) AS b, regexp_replace(to_base64(unhex(d)), '[+/=]', '', 'g') AS a FROM drawn),
-      samples AS (SELECT true AS bad, CASE i % 4 WHEN 0 THEN substr(d, 1, 40) WHEN 1 THEN substr(b, 1, 40) WHEN 2 THEN substr(a, 1, 32) ELSE upper(substr(a, 1, 24)) END AS x FROM coded UNION ALL
-        SELECT false, CASE i % 3 WHEN 0 THEN array_to_string(c, '_') WHEN 1 THEN array_to_string(c, '-') ELSE array_to_string(list_transform(c, lambda p: upper(p[1]) || p[2:]), '') END || CASE WHEN {dealt('numbered', 3)} = 0 THEN '_' || {dealt('number', 2030)} ELSE '' END FROM coded),
-      steps AS (SELECT bad, ascii(x[k]) AS a, ascii(x[k + 1]) AS b FROM samples, range(1, 200) t(k) WHERE k < length(x)),
-      counts AS (SELECT bad, a, b, count(*) AS n FROM steps GROUP BY bad, a, b), sums AS (SELECT bad, a, sum(n) AS n FROM counts GROUP BY bad, a),
-      used AS (SELECT a AS c FROM steps UNION SELECT b FROM steps), m AS (SELECT count(*) AS m FROM used),
-      ratio AS (SELECT x.c AS a, y.c AS b, floor(ln(((coalesce(p.n, 0) + 0.5) / (coalesce(ps.n, 0) + 0.5 * m)) / ((coalesce(q.n, 0) + 0.5) / (coalesce(qs.n, 0) + 0.5 * m))) * {s.UNITS} + 0.5)::BIGINT AS v FROM used x CROSS JOIN used y CROSS JOIN m
-        LEFT JOIN counts p ON p.bad AND p.a = x.c AND p.b = y.c LEFT JOIN counts q ON NOT q.bad AND q.a = x.c AND q.b = y.c LEFT JOIN sums ps ON ps.bad AND ps.a = x.c LEFT JOIN sums qs ON NOT qs.bad AND qs.a = x.c),
+    drawn = lambda a, n: f"array_to_string(list_transform(range(0, {n}), lambda k: '{a}'[1 + ('0x' || substr(d, 2 * k + 1, 2))::INT % {len(a)}]), '')"
+    part = lambda of, a, n: f"substr({of}, {a}, {n})"
+    uuid = " || '-' || ".join(part("d", a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
+    random = " UNION ALL ".join(f"SELECT {f} AS family, CASE i % {len(ks)} {' '.join(f'WHEN {j} THEN {uuid if a == "-" else drawn(a, n)}' for j, (a, n) in enumerate(ks))} END AS x FROM drawn" for f, ks in enumerate(s.FAMILIES))
+    chosen = ", ".join(f"parts[1 + {dealt(f'part{k}', len(s.PARTS) + len(s.WORDS))}]" for k in range(5))
+    long = drawn(s.DIGITS, 32)
+    capital = lambda c: f"array_to_string(list_transform({c}, lambda p: upper(p[1]) || p[2:]), '')"
+    digits = f"CASE i // 9 % 3 WHEN 0 THEN {drawn(s.DIGITS, 19)} WHEN 1 THEN {" || '-' || ".join(part(long, a, n) for a, n in ((1, 2), (5, 5), (11, 8), (20, 3)))} ELSE '20' || regexp_replace({part(long, 1, 12)}, '(..)(..)(..)(.*)', '\\1-\\2-\\3T\\4') END"
+    joined = lambda sep: f"array_to_string(c, '{sep}')"
+    styles = (joined("_"), joined("-"), capital("c"), f"upper({joined('_')})", joined("/"), joined(""), f"c[1] || {capital('c[2:]')}", f"{joined('/')} || '/' || c[1] || '-' || c[2]", digits)
+    tails = " ".join(f"WHEN {k} THEN '{sep}'" for k, sep in s.TAILS.items())
+    kind = lambda c: f"CASE WHEN {c} BETWEEN 97 AND 122 THEN 0 WHEN {c} BETWEEN 65 AND 90 THEN 1 WHEN {c} BETWEEN 48 AND 57 THEN 2 ELSE 3 END"
+    share = f"CASE WHEN f.family < 0 THEN {s.BACKED} ELSE {s.BACKED_RANDOM} END::DOUBLE"
+    return f"""WITH {DOCS}, words AS (SELECT {list(s.PARTS + s.WORDS)} AS parts),
+      drawn AS (SELECT i, sha256('a-' || i) || sha256('b-' || i) AS d, ([{chosen}])[:i // 9 % 4 + 2] AS c FROM words, range(0, {s.SAMPLES}) t(i)),
+      samples AS ({random} UNION ALL SELECT -1, CASE i % 9 {' '.join(f'WHEN {k} THEN {x}' for k, x in enumerate(styles))} END || CASE WHEN {dealt('numbered', 3)} = 0 THEN coalesce(CASE i % 9 {tails} END || {dealt('number', 2030)}, '') ELSE '' END FROM drawn),
+      steps AS (SELECT family, ascii(x[k]) AS a, ascii(x[k + 1]) AS b FROM samples, range(1, 300) t(k) WHERE k < length(x)),
+      counts AS (SELECT family, a, b, {kind('a')} AS ka, {kind('b')} AS kb, count(*) AS n FROM steps GROUP BY family, a, b),
+      own AS (SELECT family, a, sum(n) AS n FROM counts GROUP BY family, a), follow AS (SELECT family, ka, kb, sum(n) AS n FROM counts GROUP BY family, ka, kb), left_ AS (SELECT family, ka, sum(n) AS n FROM counts GROUP BY family, ka),
+      codes AS (SELECT unnest(list_concat(range(65, 91), range(97, 123), range(48, 58), [43, 47, 95, 61, 45])) AS c), grid AS (SELECT x.c AS a, {kind('x.c')} AS ka, y.c AS b, {kind('y.c')} AS kb FROM codes x, codes y),
+      parts AS (SELECT f.family, g.a, g.b, coalesce(c.n, 0) AS c, coalesce(o.n, 0) AS o, {share} * coalesce(o.n, 0) + 1.0::DOUBLE AS weight, (coalesce(w.n, 0) + 0.5::DOUBLE) / (coalesce(l.n, 0) + 2.0::DOUBLE) / [26, 26, 10, 5][1 + g.kb] AS backed
+        FROM grid g CROSS JOIN (SELECT DISTINCT family FROM samples) f LEFT JOIN counts c ON c.family = f.family AND c.a = g.a AND c.b = g.b LEFT JOIN own o ON o.family = f.family AND o.a = g.a
+        LEFT JOIN follow w ON w.family = f.family AND w.ka = g.ka AND w.kb = g.kb LEFT JOIN left_ l ON l.family = f.family AND l.ka = g.ka),
+      chance AS (SELECT family, a, b, (c + weight * backed) / (o + weight) AS p FROM parts),
+      ratio AS (SELECT p.family, p.a, p.b, least({s.MOST_STEP}, floor(ln(p.p / q.p) * {s.UNITS} + 0.5)::BIGINT) AS v FROM chance p JOIN chance q ON q.family = -1 AND q.a = p.a AND q.b = p.b WHERE p.family >= 0),
       flat AS ({flat}),
       placed AS (SELECT r, kind, x, sum(length(g) + length(x)) OVER (PARTITION BY r, kind ORDER BY i) AS e FROM flat),
       good AS (SELECT r, kind, x, e - length(x) AS s, e FROM placed WHERE CASE {keep} END),
       base AS (SELECT * FROM good WHERE kind < 3),
       tokens AS (SELECT * FROM good g WHERE kind = 3 AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = g.r AND b.s <= g.s AND g.e <= b.e)),
-      rated AS (SELECT r, tokens.s, tokens.e, sum(coalesce(v, 0)) AS v, any_value(length(x)) AS n FROM (SELECT *, unnest(range(1, length(x))) AS k FROM tokens) tokens LEFT JOIN ratio ON ratio.a = ascii(x[k]) AND ratio.b = ascii(x[k + 1]) GROUP BY r, tokens.s, tokens.e),
-      spans AS (SELECT r, kind, s, e FROM base UNION ALL SELECT r, 3, s, e FROM rated WHERE v >= ceil({s.THRESHOLD} * {s.UNITS}) * (n - 1)),
+      rated AS (SELECT r, s, e, family, k, sum(v) OVER (PARTITION BY r, s, e, family ORDER BY k) AS t FROM (SELECT *, unnest(range(1, length(x))) AS k FROM tokens) tokens JOIN ratio ON ratio.a = ascii(x[k]) AND ratio.b = ascii(x[k + 1])),
+      stretch AS (SELECT r, s, e, family, t - least(0, coalesce(min(t) OVER (PARTITION BY r, s, e, family ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS t FROM rated),
+      random AS (SELECT r, s, e FROM stretch GROUP BY r, s, e HAVING max(t - {list(s.THRESHOLDS)}[1 + family]) >= 0),
+      spans AS (SELECT r, kind, s, e FROM base UNION ALL SELECT r, 3, s, e FROM random),
       said AS (SELECT *, {list(s.KINDS)}[1 + kind] || ':' || s || ':' || e AS x FROM spans),
       per AS (SELECT r, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2, string_agg(x, ',' ORDER BY s, kind) FILTER (kind < 3) AS b, string_agg(x, ',' ORDER BY s, kind) AS a FROM said GROUP BY r)
       SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans FROM docs LEFT JOIN per USING (r)"""

@@ -44,3 +44,30 @@ def test_labels_without_gate_words(spark, tmp_path):
     named = {r["doc_id"]: r["labels"].split(",") for r in op8_licenses(spark, str(tmp_path)).collect()}
     for i, (t, label) in enumerate(BARE.items()):
         assert label in named[i], t
+
+
+#: Notices as projects write them, and all labels that they must get.
+NOTICES = {
+    "Neither the name of the University of California, Berkeley nor of the Lawrence Berkeley National Laboratory nor the names of its contributors may be used to endorse or promote products derived from this software": "bsd-3-clause",
+    "The name of the authors, the institutes that they work for and all of the people who have ever helped them in any way may not be used to endorse or promote products": "bsd-3-clause",
+    "MIT Licensed": "mit", "Released under MIT/X11": "mit", "MIT/X11": "mit", '"license": "ISC"': "isc", '"license": "MIT"': "mit", '"license": "AGPL"': "agpl", "Released under the terms of the GNU LGPL": "lgpl",
+    "Public Domain": "public-domain", "under the same license as Perl": "artistic", "You may use it under the same terms as Perl itself.": "artistic", "Dual licensed under the MIT and GPL licenses": "dual,gpl,mit",
+    "Released under the BSD 3-Clause License": "bsd-3-clause", "distributed under the terms of the Simplified BSD License": "bsd-2-clause", "Licensed under the Frobnicator Public Software Sharing And Caring License": "unknown",
+}
+
+
+def test_notices_get_their_labels(spark, tmp_path):
+    spark.createDataFrame(list(enumerate(NOTICES)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    named = {r["doc_id"]: r["labels"] for r in op8_licenses(spark, str(tmp_path)).collect()}
+    assert {t: named[i] for i, t in enumerate(NOTICES)} == NOTICES
+
+
+def test_no_rule_counts_words(spark):
+    """No rule stops at a number of words or looks on without end."""
+    assert not [regex for _, regex, *_ in licenses.rules() if "{" in regex or "[^ ]" in regex]
+
+
+def test_equal_intervals_of_equal_priority_stay(spark):
+    docs = spark.createDataFrame([(1, "GNU GPL license")], "doc_id long, text string")
+    kept = [tuple(d) for d in licenses.scan_licenses(docs).first()["detections"]]
+    assert collections.Counter(kept) == plain("GNU GPL license")
