@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.plans.shared import sums_before
+from flowlens.functions.quantiles import exact_quantiles
+from flowlens.plans.shared import cut, sums_before
 from flowlens.sources.tables import Network
 
 
@@ -97,8 +98,7 @@ def activity_span(net: Network) -> DataFrame:
 
 def quantiles(df: DataFrame, column: str, points: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0)) -> DataFrame:
     """(p, value): exact quantiles, linear between neighbours."""
-    made = df.agg(F.percentile(column, F.array(*map(F.lit, points))).alias("v"))
-    return made.select(F.posexplode("v").alias("i", "value")).select(F.get(F.array(*map(F.lit, points)), "i").alias("p"), six(F.col("value")).alias("value"))
+    return exact_quantiles(df, column, points).select("p", six(F.col("value")).alias("value"))
 
 
 def top_edge_share(net: Network, n: int = 50) -> DataFrame:
@@ -177,4 +177,6 @@ def boundary_medians(net: Network) -> DataFrame:
     """(place, n, in_cents, in_tx): medians of inflow at the last depth and, above it, of nodes that paid no one."""
     rows = flows(net).join(net.nodes.select("gid", "depth", "is_seed"), "gid").join(degrees(net).select("gid", "out_deg"), "gid").join(truncated(net), "gid").where("not is_seed and out_deg = 0 and ext_in_cents > 0")
     place = F.when(F.col("truncated"), F.lit("boundary")).otherwise(F.lit("interior"))
-    return rows.groupBy(place.alias("place")).agg(F.count("*").alias("n"), F.percentile("in_cents", F.lit(0.5)).alias("in_cents"), F.percentile("in_tx", F.lit(0.5)).alias("in_tx"))
+    rows = cut(rows.select(place.alias("place"), "in_cents", "in_tx"), "boundary")
+    half = lambda c: exact_quantiles(rows, c, (0.5,), ("place",)).select("place", F.col("value").alias(c))
+    return rows.groupBy("place").agg(F.count("*").alias("n")).join(half("in_cents"), "place").join(half("in_tx"), "place")

@@ -9,6 +9,7 @@ from dataclasses import dataclass, field, fields, replace
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from flowlens.functions.quantiles import exact_quantiles
 from flowlens.functions.stats import rank_shares, transitions
 from flowlens.operators.centrality import betweenness
 from flowlens.operators.communities import communities
@@ -94,11 +95,18 @@ def features(net: Network, clusters: DataFrame, config: RoleConfig = RoleConfig(
     return cut(rows, "features")  # read several times by the rules
 
 
-def classify(rows: DataFrame, config: RoleConfig = RoleConfig()) -> DataFrame:
-    """rows (of features) with matched_roles, role, role_score and peripheral_reason."""
+def central_levels(rows: DataFrame, *configs: RoleConfig) -> dict[float, float]:
+    """Betweenness at the quantiles of some configurations, of nodes with partners; 0 where there is none."""
+    points = tuple(sorted({c.coordinator_centrality_quantile for c in configs}))
+    found = exact_quantiles(rows.where("in_deg + out_deg > 0"), "betweenness", points).collect()  # a number for each point
+    return dict.fromkeys(points, 0.0) | {r["p"]: r["value"] for r in found}
+
+
+def classify(rows: DataFrame, config: RoleConfig = RoleConfig(), levels: dict[float, float] | None = None) -> DataFrame:
+    """rows (of features) with matched_roles, role, role_score and peripheral_reason; levels: of central_levels, if known."""
     c = config
-    top = rows.where("in_deg + out_deg > 0").agg(F.coalesce(F.percentile("betweenness", F.lit(c.coordinator_centrality_quantile)), F.lit(0.0)).alias("threshold"))
-    rows = rows.crossJoin(F.broadcast(top)).withColumn("reliable", ~F.col("is_seed") & ~F.col("truncated") & (F.col("ext_in_cents") > 0))
+    level = (levels or central_levels(rows, config))[c.coordinator_centrality_quantile]
+    rows = rows.withColumn("threshold", F.lit(level)).withColumn("reliable", ~F.col("is_seed") & ~F.col("truncated") & (F.col("ext_in_cents") > 0))
     v = F.col
     holds = {
         "coordinator": (v("in_deg") + v("out_deg") >= c.coordinator_min_degree) & (v("betweenness") > 0) & (v("betweenness") >= v("threshold")) & (v("other_clusters") >= c.coordinator_min_other_clusters) & (v("seed_reach") >= c.coordinator_min_seeds),
@@ -195,9 +203,10 @@ def threshold_scenarios(config: RoleConfig = RoleConfig()) -> dict[str, RoleConf
 def scenarios(rows: DataFrame, cases: dict[str, RoleConfig] | None = None) -> DataFrame:
     """(scenario, gid, cluster_id, role, priority_score): the rules again under each configuration, from the same features."""
     made = None
-    rows = cut(rows, "features")
-    for name, config in (cases or threshold_scenarios()).items():
-        one = prioritise(classify(rows, config), config).select(F.lit(name).alias("scenario"), "gid", "cluster_id", "role", "priority_score")
+    rows, cases = cut(rows, "features"), cases or threshold_scenarios()
+    levels = central_levels(rows, *cases.values())
+    for name, config in cases.items():
+        one = prioritise(classify(rows, config, levels), config).select(F.lit(name).alias("scenario"), "gid", "cluster_id", "role", "priority_score")
         made = one if made is None else made.unionByName(one)
     return made
 
