@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.operators.flows import both_ends, six
@@ -74,13 +74,16 @@ def sweep(net: Network, windows: tuple[int, ...] = (0, 1, 2, 7)) -> DataFrame:
 def next_outgoing(net: Network, lags: tuple[int, ...] = (0, 1, 2, 7)) -> DataFrame:
     """(lag, n, cents): transfers to others whose receiver sends to others again within lag days; lag null: all.
 
-    As-of by interval: each inflow day meets the node's distinct outflow days, and the nearest is kept.
+    As-of by one sort: a node's days of inflow and of outflow stand in one order, latest first, and the last outflow day passed
+    is carried along, so each day is read once.
     """
     tx = net.tx.where("src <> dst")
-    inn = tx.groupBy(F.col("dst").alias("gid"), "day").agg(F.count("*").alias("n"), F.sum("cents").alias("cents"))
-    out = tx.select(F.col("src").alias("gid"), F.col("day").alias("next")).distinct()
-    near = inn.join(out.groupBy("gid").agg(F.sort_array(F.collect_list("next")).alias("outs")), "gid", "left")
-    near = near.withColumn("lag", F.datediff(F.array_min(F.filter("outs", lambda d: d >= F.col("day"))), F.col("day")))
+    inn = tx.groupBy(F.col("dst").alias("gid"), "day").agg(F.count("*").alias("n"), F.sum("cents").alias("cents")).withColumn("out", F.lit(None).cast("date"))
+    none = F.lit(None).cast("long")
+    out = tx.select(F.col("src").alias("gid"), "day").distinct().select("gid", "day", none.alias("n"), none.alias("cents"), F.col("day").alias("out"))
+    latest_first = Window.partitionBy("gid").orderBy(F.desc("day"), F.asc_nulls_last("out")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = inn.unionByName(out).withColumn("next", F.last("out", ignorenulls=True).over(latest_first)).where("n is not null")
+    near = near.select("n", "cents", F.datediff("next", "day").alias("lag"))
     within = [F.struct(F.lit(x).alias("lag"), (F.col("lag") <= x).alias("hit")) for x in lags] + [F.struct(F.lit(None).cast("int").alias("lag"), F.lit(True).alias("hit"))]
     rows = near.select("n", "cents", F.explode(F.array(*within)).alias("w")).where("w.hit")
     return rows.groupBy("w.lag").agg(F.sum("n").alias("n"), F.sum("cents").alias("cents"))

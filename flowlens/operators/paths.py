@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.operators.components import component_roots
-from flowlens.plans.shared import cut, sums_before
+from flowlens.plans.shared import cut, cut_and_sum, forget, sums_before
 from flowlens.sources.tables import Network
 
 
@@ -56,10 +56,32 @@ def seeds(net: Network) -> DataFrame:
     return net.nodes.where("is_seed").select(F.col("gid").alias("seed"), F.col("gid").alias("node"))
 
 
+def seed_bits(net: Network, most: int) -> DataFrame:
+    """(gid, block, bits): for each node the seeds with a path to it of at most `most` links, itself included if it is one, as
+    bits of 64 seeds a row; rows without a bit are left out. A seed is number 64 * block + bit in the order of gids.
+
+    A round is one join and one aggregation: what a node newly holds goes along its links, and sets meet by `bit_or`, which
+    combines before the shuffle, so a hub receives one row a task and block; there are never more rows than nodes times blocks.
+    """
+    order = sums_before(net.nodes.where("is_seed").select("gid").distinct(), ["gid"], n=F.lit(1).cast("long"))
+    zero = F.lit(0).cast("long")
+    state = order.select("gid", F.floor(F.col("n") / 64).alias("block"), zero.alias("held"), F.expr("shiftleft(1L, cast(n % 64 as int))").alias("fresh"))
+    state, pairs = cut(state, "bits"), net.links.select("src", "dst")
+    for k in range(most):
+        sent = state.where("fresh <> 0").join(pairs, F.col("gid") == F.col("src")).select(F.col("dst").alias("gid"), "block", zero.alias("held"), F.col("fresh").alias("got"))
+        own = state.select("gid", "block", F.col("held").bitwiseOR(F.col("fresh")).alias("held"), zero.alias("got"))
+        met = own.unionByName(sent).groupBy("gid", "block").agg(F.bit_or("held").alias("held"), F.bit_or("got").alias("got"))
+        state = met.select("gid", "block", "held", F.col("got").bitwiseAND(F.bitwise_not("held")).alias("fresh"))
+        if k % 2:  # two rounds are planned together
+            state = cut(state, "bits")
+    return state.select("gid", "block", F.col("held").bitwiseOR(F.col("fresh")).alias("bits"))
+
+
 def seed_reach(net: Network, max_depth: int = 4) -> DataFrame:
     """(gid, seed_reach): seeds other than the node itself with a path to it of at most max_depth links."""
-    found = walk(net.links, seeds(net), max_depth).where("seed <> node").groupBy(F.col("node").alias("gid")).agg(F.count("*").alias("seed_reach"))
-    return net.nodes.select("gid").join(found, "gid", "left").na.fill(0)
+    found = seed_bits(net, max_depth).groupBy("gid").agg(F.sum(F.bit_count("bits")).alias("n"))
+    own = F.col("is_seed").cast("long")
+    return net.nodes.join(found, "gid", "left").select("gid", (F.coalesce("n", own) - own).alias("seed_reach"))
 
 
 def reciprocal(net: Network) -> DataFrame:
@@ -256,45 +278,97 @@ def ego_network(net: Network, center: int, radius: int = 1) -> DataFrame:
     return ends.join(near, F.col("dst") == F.col("gid"), "left_semi").select("src", "dst", "cents")
 
 
+def chain_ends(steps: DataFrame) -> DataFrame:
+    """(v, end, low, ring): where the unique steps (v, to) from v lead in the end, the least node passed on the way, v included, and
+    whether they lead round a ring instead. Pointer doubling: rounds grow with the logarithm of the longest chain.
+    """
+    state, open_ = cut(steps.select("v", F.col("to").alias("end"), F.col("v").alias("low"), F.lit(True).alias("ring")), "chains"), None
+    while True:
+        ahead = state.select(F.col("v").alias("end"), F.col("end").alias("next"), F.col("low").alias("further"))
+        jumped = state.join(ahead, "end", "left").select("v", F.coalesce("next", "end").alias("end"), F.least("low", F.coalesce("further", "low")).alias("low"), F.col("next").isNotNull().alias("ring"), (F.col("further") < F.col("low")).alias("fell"))
+        last = state
+        state, seen = cut_and_sum(jumped, "chains", open=F.sum(F.col("ring").cast("long")), fell=F.sum(F.col("fell").cast("long")))
+        forget(last)
+        state = state.drop("fell")
+        if not seen["open"] or (seen["open"] == open_ and not seen["fell"]):
+            return state
+        open_ = seen["open"]
+
+
+def _shortened(links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """(links, chains, rings, number of nodes left out): nodes with one link in and one out give way to one link from the node before their
+    chain to the node after it. chains: (v, head, tail); rings: (gid, c) of chains that close upon themselves.
+    """
+    ways = links.where("src <> dst").select(F.col("src").alias("v"), F.col("dst").alias("to"), F.lit(1).alias("out")).unionByName(links.where("src <> dst").select(F.col("dst").alias("v"), F.col("src").alias("to"), F.lit(0).alias("out")))
+    n_out, n_in = F.sum("out"), F.sum(1 - F.col("out"))
+    ways = ways.groupBy("v").agg(n_out.alias("n_out"), n_in.alias("n_in"), F.max(F.when(F.col("out") == 1, F.col("to"))).alias("to"), F.max(F.when(F.col("out") == 0, F.col("to"))).alias("from"))
+    looped = links.where("src = dst").select(F.col("src").alias("v"))
+    passing, seen = cut_and_sum(ways.where("n_out = 1 and n_in = 1").join(looped, "v", "left_anti").select("v", "to", "from"), "passing", n=F.count("*"))
+    if not seen["n"]:
+        return links, passing.select("v", F.col("from").alias("head"), F.col("to").alias("tail")), passing.select(F.col("v").alias("gid"), F.col("to").alias("c")), 0
+    ahead, back = chain_ends(passing.select("v", "to")), chain_ends(passing.select("v", F.col("from").alias("to")))
+    rings = ahead.where("ring").select(F.col("v").alias("gid"), F.col("low").alias("c"))
+    chains = cut(ahead.where("not ring").select("v", F.col("end").alias("tail")).join(back.select("v", F.col("end").alias("head")), "v"), "chains")
+    inner = passing.select("v")
+    kept = links.join(inner, F.col("src") == F.col("v"), "left_anti").join(inner, F.col("dst") == F.col("v"), "left_anti")
+    shorter = cut(kept.unionByName(chains.select(F.col("head").alias("src"), F.col("tail").alias("dst"))).distinct(), "scc")
+    return shorter, chains, rings, seen["n"]
+
+
+def _trimmed(links: DataFrame) -> tuple[DataFrame, int]:
+    """Links between nodes that have a link in and one out, and how many were left out."""
+    starts, ends = links.select(F.col("src").alias("g")).distinct(), links.select(F.col("dst").alias("g")).distinct()
+    marked = links.join(ends.select(F.col("g").alias("src"), F.lit(True).alias("fed")), "src", "left").join(starts.select(F.col("g").alias("dst"), F.lit(True).alias("feeds")), "dst", "left")
+    marked, seen = cut_and_sum(marked.select("src", "dst", (F.col("fed").isNotNull() & F.col("feeds").isNotNull()).alias("stays")), "scc", gone=F.sum((~F.col("stays")).cast("long")))
+    return marked.where("stays").drop("stays"), seen["gone"] or 0
+
+
 def strong_components(net: Network) -> DataFrame:
     """(gid, scc_id) of nodes on a directed cycle; scc_id: the component's smallest gid.
 
-    Nodes that lack an incoming or outgoing link are trimmed; then every node takes the smallest gid that
-    reaches it, and the nodes of that colour that reach back to it are its component. Each round settles at
-    least the components of the smallest ids, so rounds end when no link is left.
+    Chains of nodes with one link in and one out become one link, by pointer doubling, and links that lie on no cycle are trimmed, in
+    turn, until neither helps; so a chain or a ring of any length takes rounds by its logarithm. Of what is left every node is
+    a pivot: it takes the smallest gid that reaches it, and the nodes of that colour that reach back to it are its
+    component. Each round settles at least the components of the smallest ids. Chains get their ends' component at the end.
     """
-    links = cut(net.links.select("src", "dst"), "scc")
-    done = None
+    links, chains, done = cut(net.links.select("src", "dst"), "scc"), [], []
     while True:
-        while True:  # trim
-            kept = links.join(links.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(links.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-            before = links.count()
-            links = cut(kept.select("src", "dst"), "scc")
-            if links.count() == before:
+        while True:
+            links, gone = _trimmed(links)
+            links, chain, rings, short = _shortened(links)
+            if short:
+                chains.append(chain)
+                done.append(rings)
+            if not gone and not short:
                 break
         if links.isEmpty():
             break
         color = cut(links.select(F.col("src").alias("gid")).distinct().withColumn("c", F.col("gid")), "color")
         while True:
             low = links.join(color, F.col("src") == F.col("gid")).groupBy(F.col("dst").alias("gid")).agg(F.min("c").alias("m"))
-            new = cut(color.join(low, "gid", "left").select("gid", F.least("c", F.coalesce("m", "c")).alias("c"), (F.col("m") < F.col("c")).alias("moved")), "color")
-            moved = not new.where("moved").isEmpty()
-            color = new.drop("moved")
-            if not moved:
+            last = color
+            color, seen = cut_and_sum(color.join(low, "gid", "left").select("gid", F.least("c", F.coalesce("m", "c")).alias("c"), (F.col("m") < F.col("c")).alias("moved")), "color", moved=F.sum(F.col("moved").cast("long")))
+            forget(last)
+            color = color.drop("moved")
+            if not seen["moved"]:
                 break
         inner = links.join(color.select(F.col("gid").alias("src"), F.col("c").alias("cs")), "src").join(color.select(F.col("gid").alias("dst"), F.col("c").alias("cd")), "dst").where("cs = cd")
         inner = cut(inner.select("src", "dst", "cs"), "scc")
         back = frontier = color.where("gid = c").select("gid", "c")
         while True:
             found = frontier.join(inner, F.col("gid") == F.col("dst")).select(F.col("src").alias("gid"), F.col("cs").alias("c")).distinct()
-            frontier = cut(found.join(back, "gid", "left_anti"), "back")
-            if frontier.isEmpty():
+            frontier, seen = cut_and_sum(found.join(back, "gid", "left_anti"), "back", n=F.count("*"))
+            if not seen["n"]:
                 break
-            back = cut(back.unionByName(frontier), "back")
+            back = back.unionByName(frontier)
         back = cut(back, "back")
-        done = back if done is None else done.unionByName(back)
+        done.append(back)
         links = cut(links.join(back, F.col("src") == F.col("gid"), "left_anti").join(back, F.col("dst") == F.col("gid"), "left_anti"), "scc")
-    if done is None:
-        return net.nodes.where("false").select("gid", F.col("gid").alias("scc_id"))
-    sized = done.groupBy("c").count().where("count > 1")
-    return done.join(sized, "c", "left_semi").select("gid", F.col("c").alias("scc_id"))
+    found = net.nodes.where("false").select("gid", F.col("gid").alias("c"))
+    for part in done:
+        found = found.unionByName(part)
+    for chain in reversed(chains):  # a chain lies on a cycle if its ends share a component
+        end = lambda e: found.select(F.col("gid").alias(e), F.col("c").alias(f"c{e}"))  # noqa: B023, E731
+        found = cut(found.unionByName(chain.join(end("head"), "head").join(end("tail"), "tail").where("chead = ctail").select(F.col("v").alias("gid"), F.col("chead").alias("c"))), "found")
+    sized = found.groupBy("c").agg(F.count("*").alias("n"), F.min("gid").alias("scc_id")).where("n > 1")
+    return found.join(sized, "c").select("gid", "scc_id")
