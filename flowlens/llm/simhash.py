@@ -292,16 +292,22 @@ def near_components(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 
 
 def drop_near_copies(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, similarity: float | None = None, words: int = 1) -> DataFrame:
-    """docs with one row of each component: that of the smallest id, of rows that share this id one text.
+    """docs with one row of each component: that of the smallest id, of rows that share this id one text, of rows that share
+    both the one whose other columns hash least, so reruns agree.
 
-    A row is told by its id and a hash of its text, so texts that share an id are judged apart. Rows with a
-    null id are kept. The columns are those of docs, whatever their names. Other parameters: see near_components.
+    A row is told by its id and a hash of its text, so texts that share an id are judged apart. Rows with a null id are
+    kept. Empty and null texts are copies of each other; an empty table stays empty. The columns are those of docs, whatever
+    their names. Texts move once at most: what is decided, on slim rows, is joined to them, and only rows that share id and text
+    are told apart after that. Other parameters: see near_components.
     """
     key = F.struct(docs["doc_id"].isNull().alias("unnamed"), docs["doc_id"].alias("id"), F.xxhash64(docs["text"]).alias("h"))  # ids before none
+    rest = F.xxhash64(F.to_json(F.struct(*[docs[c] for c in docs.columns if c not in ("doc_id", "text")], F.lit(0).alias("_none"))))
     found = near_components(docs.select(key.alias("doc_id"), docs["text"].alias("text")), radius, shingle, similarity, words)
-    lost = found.where("not doc_id.unnamed and doc_id <> component_id").select(F.col("doc_id").alias("_lost")).distinct()
-    row = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
-    packed = docs.select(row, key.alias("_id"))
-    kept = packed.join(lost, packed["_id"] == F.col("_lost"), "left_anti")
-    named = kept.where("not _id.unnamed").dropDuplicates(["_id"])
-    return named.unionByName(kept.where("_id.unnamed")).select("_row.*")
+    lost = found.where("not doc_id.unnamed and doc_id <> component_id").select(F.col("doc_id").alias("_key"), F.lit(True).alias("_gone"), F.lit(None).cast("long").alias("_least"))
+    shared = docs.select(key.alias("_key"), rest.alias("_rest")).where("not _key.unnamed").groupBy("_key").agg(F.count("*").alias("n"), F.min("_rest").alias("_least")).where("n > 1")
+    verdict = lost.unionByName(shared.select("_key", F.lit(False).alias("_gone"), "_least")).groupBy("_key").agg(F.max("_gone").alias("_gone"), F.max("_least").alias("_least"))
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), key.alias("_id"), rest.alias("_rest"))
+    marked = lookup_join(packed, cut(verdict, "simverdict"), F.col("_id") == F.col("_key"), "left").where("not coalesce(_gone, false)")
+    alone = marked.where("_least is null")
+    first = marked.where("_least is not null and _rest = _least").dropDuplicates(["_id"])  # equal rows by now
+    return alone.unionByName(first).select("_row.*")
