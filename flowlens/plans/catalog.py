@@ -14,7 +14,7 @@ from flowlens.plans.oracle import six, sql
 from flowlens.plans.shared import cut
 from flowlens.sources.fixture import layout, network, raw_network, spoiled, table_path
 from flowlens.sources.tables import Network, as_network, file_digests, read_raw
-from flowlens.streaming import monitor
+from flowlens.streaming import matching, monitor
 
 Query = Callable[[SparkSession, str], DataFrame]
 _KEPT: dict[tuple[str, str, str], DataFrame] = {}
@@ -337,7 +337,12 @@ def _edge_queries() -> dict[str, tuple[Query, str | None]]:
     inputs = ("nodes", "degrees", "turnover", "truncation", "cluster_turnover")
     stream = lambda s, d: monitor.read_transactions(s, table_path(s, d, "transactions"))
     burst = "SELECT gid, day, side, count(*) AS n FROM ends WHERE side = 'out' OR NOT own GROUP BY gid, day, side HAVING count(*) >= 5"
+    closed = lambda part: part.replace("FROM tx", "FROM (SELECT * FROM tx WHERE day + 1 <= (SELECT max(day) FROM tx t2{}) - 3)")  # noqa: E731  days whose end the watermark, three days behind, has passed
+    others = " WHERE src <> dst"
     return {
+        "stream_fifo": (lambda s, d: matching.appended(matching.fifo_days(stream(s, d))).groupBy("gid").agg(F.sum("matched").alias("matched"), F.sum("same_day").alias("same_day"), F.sum("incoming").alias("total_in"), F.sum("outgoing").alias("total_out"), F.count("*").alias("active_days")), sql("SELECT gid, matched, same_day, total_in, total_out, active_days FROM f1", closed(o.ENDS).replace("{}", others), *o.fifo("f1", 2, 1))),
+        "stream_transit_pairs": (lambda s, d: matching.appended(matching.transit_pairs(stream(s, d))), sql("SELECT i.dst AS gid, i.src AS payer, q.dst AS payee, CAST(q.day - i.day AS INTEGER) AS lag, i.cents AS in_cents, q.cents AS out_cents FROM tx i JOIN tx q ON q.src = i.dst AND q.day BETWEEN i.day AND i.day + 2 WHERE i.src <> i.dst AND q.src <> q.dst AND i.src <> q.dst AND least(i.cents, q.cents) * 100 >= greatest(i.cents, q.cents) * 85")),
+        "stream_closed_bursts": (lambda s, d: matching.appended(matching.closed_bursts(stream(s, d), least=3)), sql("SELECT gid, day, side, count(*) AS n FROM ends WHERE side = 'out' OR NOT own GROUP BY gid, day, side HAVING count(*) >= 3", closed(o.ENDS).replace("{}", ""))),
         "verify_outputs": (_rows(_spoiled_outputs), sql("""SELECT unnest(['unique_ids', 'known_role', 'score_range', 'truncated_cap', 'reason_with_role', 'cluster_sizes', 'cluster_leaders', 'top_order', 'top_ranks']) AS "check", unnest([0, 0, 0, 0, 0, 2 * (SELECT count(*) FROM c WHERE k % 3 = 1), (SELECT count(*) FROM c WHERE k % 3 = 0), 2, 1])::BIGINT AS violations""", o.CLUSTER, "c AS (SELECT DISTINCT cluster_id AS k FROM cu)")),
         "verify_inputs": (_rows(_spoiled_figures), sql("""SELECT unnest(['nodes', 'degrees', 'turnover', 'truncation', 'cluster_turnover']) AS "check", 2 * unnest([(SELECT count(*) FROM nodes WHERE gid % 10 = 3), (SELECT count(*) FROM nodes WHERE gid % 10 = 1), (SELECT count(*) FROM nodes WHERE gid % 10 = 2), (SELECT count(*) FROM nodes WHERE gid % 10 = 4),
           (SELECT count(*) FROM (SELECT a.cluster_id FROM edges JOIN cu a ON a.gid = src JOIN cu b ON b.gid = dst WHERE a.cluster_id = b.cluster_id AND a.cluster_id % 3 = 0 GROUP BY a.cluster_id HAVING sum(cents) > 0))])::BIGINT AS violations""", o.CLUSTER)),
