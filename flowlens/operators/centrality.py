@@ -8,21 +8,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.operators.flows import nine, six
-from flowlens.plans.shared import cut, cut_and_sum, forget
+from flowlens.plans.shared import cut, cut_and_sum, forget, sums_before
 from flowlens.sources.tables import Network
 
 
 def pivots(net: Network, k: int, seed: int = 42) -> DataFrame:
-    """(s): the k nodes whose seeded hash is smallest; the same whatever the partitioning."""
-    return net.nodes.select(F.col("gid").alias("s"), F.xxhash64(F.lit(seed), F.col("gid")).alias("h")).orderBy("h", "s").limit(k).select("s")
+    """(s): the k nodes whose MD5 of `seed:gid` is smallest; the same whatever the partitioning."""
+    return _drawn(net, seed).orderBy("h", "s").limit(k).select("s")
+
+
+def _drawn(net: Network, seed: int) -> DataFrame:
+    return net.nodes.select(F.col("gid").alias("s"), F.md5(F.concat(F.lit(f"{seed}:"), F.col("gid").cast("string"))).alias("h"))
 
 
 #: Links and nodes up to which each group of sources is given a copy of the links (16 bytes each); beyond, frontiers are joined.
 SMALL_LINKS, SMALL_NODES, SOURCES = 2_000_000, 200_000, 64
 
 
-def dependencies(sources: np.ndarray, src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
-    """Sums over the sources of each node's dependency (Brandes, 2001), all sources level by level at once.
+#: Pairs of sources and nodes that exact betweenness of a large graph may hold as state.
+MOST_PAIRS = 10**12
+
+
+def dependencies(sources: np.ndarray, src: np.ndarray, dst: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over the sources of each node's dependency (Brandes, 2001) and of its square, all sources level by level at once.
 
     Nodes are 0..n-1; links are sorted by dst. Memory: a few arrays of sources x links.
     """
@@ -51,47 +59,35 @@ def dependencies(sources: np.ndarray, src: np.ndarray, dst: np.ndarray, n: int)
         share = np.divide(paths[:, src] * (1 + delta[:, dst]), paths[:, dst], out=np.zeros(tree.shape), where=tree)
         delta[:, out_of] += np.add.reduceat(share[:, back], back_starts, axis=1)
     delta[at, sources] = 0.0
-    return delta.sum(axis=0)
+    return delta.sum(axis=0), (delta * delta).sum(axis=0)
 
 
 def _by_source(sources: DataFrame, links: DataFrame, groups: int) -> DataFrame:
-    """(gid, b): dependencies summed over sources, each group of sources beside a copy of the links; for graphs within the bounds."""
+    """(gid, b, b2): dependencies and their squares summed over sources, each group of sources beside a copy of the links; for graphs within the bounds."""
 
     def of(own: pa.Table, pairs: pa.Table) -> pa.Table:
         src, dst = (pairs.column(c).to_numpy() for c in ("src", "dst"))
         ids, place = np.unique(np.concatenate([src, dst]), return_inverse=True)
         order = np.argsort(place[len(src) :], kind="stable")
         src, dst = place[: len(src)][order], place[len(src) :][order]
-        start, total = np.searchsorted(ids, own.column("s").to_numpy()), np.zeros(len(ids))
+        start, total, squares = np.searchsorted(ids, own.column("s").to_numpy()), np.zeros(len(ids)), np.zeros(len(ids))
         chunk = max(1, min(SOURCES, 4_000_000 // max(len(src), 1)))
         for part in range(0, len(start), chunk):
-            total += dependencies(start[part : part + chunk], src, dst, len(ids))
+            sums = dependencies(start[part : part + chunk], src, dst, len(ids))
+            total, squares = total + sums[0], squares + sums[1]
         some = total > 0
-        return pa.table({"gid": pa.array(ids[some], pa.int64()), "b": pa.array(total[some], pa.float64())})
+        return pa.table({"gid": pa.array(ids[some], pa.int64()), "b": pa.array(total[some], pa.float64()), "b2": pa.array(squares[some], pa.float64())})
 
     paying = sources.join(links.select(F.col("src").alias("s")).distinct(), "s", "left_semi")
     dealt = paying.withColumn("g", F.pmod(F.xxhash64("s"), F.lit(groups))).groupBy("g")
     copies = links.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))).groupBy("g")
     # a group without sources adds nothing
-    return dealt.cogroup(copies).applyInArrow(of, "gid long, b double").groupBy("gid").agg(F.sum("b").alias("b"))
+    return dealt.cogroup(copies).applyInArrow(of, "gid long, b double, b2 double").groupBy("gid").agg(F.sum("b").alias("b"), F.sum("b2").alias("b2"))
 
 
-def betweenness(net: Network, samples: int | None = None, small_links: int = SMALL_LINKS, seed: int = 42) -> DataFrame:
-    """(gid, betweenness): directed, unweighted, ends left out, over (n - 1)(n - 2), n all nodes.
-
-    A graph of checked size is copied to groups of sources by a shuffle. A larger one is walked by
-    joins, level by level: the frontier (source, node, paths) grows by one link a round; then dependencies
-    flow back from the deepest level. samples: that many sources only, scaled by n / samples.
-    """
-    n = net.nodes.count()
-    k = n if samples is None else min(samples, n)
-    links = cut(net.links.select("src", "dst"), "links")
-    sources = net.nodes.select(F.col("gid").alias("s")) if samples is None else pivots(net, k, seed)
-    if 0 < links.count() <= small_links and n <= SMALL_NODES:
-        scale = (1 / ((n - 1) * (n - 2)) if n > 2 else 0.0) * (n / k if k else 0.0)
-        groups = max(1, min(net.nodes.sparkSession.sparkContext.defaultParallelism, -(-k // SOURCES)))
-        found = _by_source(sources, links, groups)
-        return net.nodes.select("gid").join(found, "gid", "left").select("gid", nine(F.coalesce(F.col("b") * scale, F.lit(0.0))).alias("betweenness"))
+def _by_levels(sources: DataFrame, links: DataFrame) -> DataFrame:
+    """(gid, b, b2): the same by joins, level by level: the frontier (source, node, paths) grows by one link a round; then
+    dependencies flow back from the deepest level."""
     level = cut(sources.join(links.select(F.col("src").alias("s")).distinct(), "s", "left_semi").select("s", F.col("s").alias("v"), F.lit(1.0).alias("paths")), "level")
     levels, seen = [level], level.select("s", "v")
     while True:
@@ -101,7 +97,7 @@ def betweenness(net: Network, samples: int | None = None, small_links: int = SMA
             break
         levels.append(level)
         seen = seen.unionByName(level.select("s", "v"))
-    total, below = None, None
+    total, below = level.select("v", F.lit(0.0).alias("delta")), None
     for i in range(len(levels) - 1, 0, -1):
         here = levels[i]
         if below is None:
@@ -111,13 +107,60 @@ def betweenness(net: Network, samples: int | None = None, small_links: int = SMA
             share = here.join(links, F.col("v") == F.col("src")).join(w, (here["s"] == w["s"]) & (F.col("dst") == F.col("w"))).groupBy(here["s"].alias("s"), "v").agg(F.sum(F.col("paths") / F.col("pw") * (1 + F.col("dw"))).alias("delta"))
             delta = here.join(share, ["s", "v"], "left").select("s", "v", "paths", F.coalesce("delta", F.lit(0.0)).alias("delta"))
         below = cut(delta, "delta")
-        part = below.select("v", "delta")
-        total = part if total is None else total.unionByName(part)
+        total = total.unionByName(below.select("v", "delta"))
+    return total.groupBy(F.col("v").alias("gid")).agg(F.sum("delta").alias("b"), F.sum(F.col("delta") * F.col("delta")).alias("b2"))
+
+
+def _summed(sources: DataFrame, k: int, links: DataFrame, n_links: int, n: int, small_links: int) -> DataFrame:
+    """(gid, b, b2) over k sources: a graph of checked size is copied to groups of sources by a shuffle, a larger one walked by joins."""
+    if 0 < n_links <= small_links and n <= SMALL_NODES:
+        return _by_source(sources, links, max(1, min(links.sparkSession.sparkContext.defaultParallelism, -(-k // SOURCES))))
+    return _by_levels(sources, links)
+
+
+def betweenness(net: Network, samples: int | None = None, small_links: int = SMALL_LINKS, seed: int = 42) -> DataFrame:
+    """(gid, betweenness): directed, unweighted, ends left out, over (n - 1)(n - 2), n all nodes.
+
+    samples: that many sources only, scaled by n / samples. Without it a large graph of more than MOST_PAIRS pairs of nodes is
+    refused: betweenness_within gives what a stated error needs.
+    """
+    n = net.nodes.count()
+    k = n if samples is None else min(samples, n)
+    links, seen = cut_and_sum(net.links.select("src", "dst"), "links", n=F.count("*"))
+    if samples is None and n * n > MOST_PAIRS and (seen["n"] > small_links or n > SMALL_NODES):
+        raise ValueError(f"exact betweenness of {n} nodes would hold {n * n} pairs; use betweenness_within")
+    sources = net.nodes.select(F.col("gid").alias("s")) if samples is None else pivots(net, k, seed)
     scale = (1 / ((n - 1) * (n - 2)) if n > 2 else 0.0) * (n / k if k else 0.0)
-    if total is None:
-        return net.nodes.select("gid", F.lit(0.0).alias("betweenness"))
-    found = total.groupBy(F.col("v").alias("gid")).agg((F.sum("delta") * scale).alias("b"))
-    return net.nodes.select("gid").join(found, "gid", "left").select("gid", nine(F.coalesce("b", F.lit(0.0))).alias("betweenness"))
+    found = _summed(sources, k, links, seen["n"], n, small_links)
+    return net.nodes.select("gid").join(found, "gid", "left").select("gid", nine(F.coalesce(F.col("b") * scale, F.lit(0.0))).alias("betweenness"))
+
+
+def betweenness_within(net: Network, error: float = 0.01, sure: float = 0.95, first: int = 64, small_links: int = SMALL_LINKS, seed: int = 42) -> DataFrame:
+    """(gid, betweenness, error, samples): betweenness within an error that holds for all nodes at once with the stated
+    probability, from as few sources as that takes.
+
+    Progressive sampling: sources are drawn without repeats in the order of their seeded MD5, `first` of them, then as many again as there
+    are, and so on. A source's dependencies over n - 2 lie in 0 to 1, so after each round the empirical Bernstein bound (Maurer and
+    Pontil, 2009), shared among nodes, sides and rounds, bounds each node's error; rounds end when none is above
+    `error`, or with all sources, which is exact: error 0. One round's dependencies are added to those before.
+    """
+    n = net.nodes.count()
+    links, seen = cut_and_sum(net.links.select("src", "dst"), "links", n=F.count("*"))
+    drawn = cut(sums_before(_drawn(net, seed), ["h", "s"], place=F.lit(1).cast("long")).select("s", "place"), "drawn")
+    rounds = max(1, -(-n // first)).bit_length() + 1
+    share = np.log(4 * n * rounds / (1 - sure)) if n else 0.0
+    total, done = None, 0
+    while True:
+        k = min(n, max(first, 2 * done))
+        part = _summed(drawn.where((F.col("place") >= done) & (F.col("place") < k)).select("s"), k - done, links, seen["n"], n, small_links)
+        total = cut((part if total is None else total.unionByName(part)).groupBy("gid").agg(F.sum("b").alias("b"), F.sum("b2").alias("b2")), "sums")
+        mean = lambda c, power: F.coalesce(F.col(c), F.lit(0.0)) / (max(k, 1) * max(n - 2, 1) ** power)  # noqa: B023, E731
+        variance = F.greatest(mean("b2", 2) - mean("b", 1) * mean("b", 1), F.lit(0.0)) * (k / max(k - 1, 1))
+        bound = F.lit(0.0) if k == n else n / (n - 1) * (F.sqrt(2 * variance * share / k) + 7 * share / (3 * (k - 1)))
+        made, worst = cut_and_sum(net.nodes.select("gid").join(total, "gid", "left").select("gid", nine(mean("b", 1) * (n / max(n - 1, 1) if n > 2 else 0.0)).alias("betweenness"), bound.alias("error"), F.lit(k).cast("long").alias("samples")), "within", error=F.max("error"))
+        if k == n or worst["error"] <= error:
+            return made
+        done = k
 
 
 #: Rounds that are planned together before their result is written; rows that joining steps with steps may make; links of a step.

@@ -227,6 +227,31 @@ def sensitivity(net: Network, config: RoleConfig = RoleConfig(), seeds: tuple[in
     return made
 
 
+def pivot_scenarios(net: Network, clusters: DataFrame, samples: int, seeds: tuple[int, ...] = (0, 1, 7, 99), config: RoleConfig = RoleConfig()) -> DataFrame:
+    """(scenario, gid, cluster_id, role, priority_score): the rules with betweenness from other pivots, over one clustering."""
+    made, rows = None, None
+    for s in seeds:
+        sampled = cut(betweenness(net, samples, seed=s), "sampled")
+        rows = features(net, clusters, config, sampled) if rows is None else rows.drop("betweenness").join(sampled, "gid")
+        one = scenarios(rows, {f"betweenness_seed_{s}": config})
+        made = one if made is None else made.unionByName(one)
+    return made
+
+
+def simple_rankings(rows: DataFrame, tops: tuple[int, ...] = (20, 50)) -> DataFrame:
+    """(ranking, k, shared): of the first k nodes by one plain figure, how many are among the first k by priority; ties to the smaller gid."""
+    plain = {
+        "observed_flow_max": F.greatest("in_cents", "out_cents"), "observed_flow_in_plus_out": F.col("in_cents") + F.col("out_cents"), "fanin": F.col("in_deg"), "fanout": F.col("out_deg"),
+        "seed_reach": F.col("seed_reach"), "exact_betweenness": F.col("betweenness"), "priority": F.col("priority_score"),
+    }
+    listed = rows.select("gid", F.explode(F.array(*[F.struct(F.lit(name).alias("ranking"), v.cast("double").alias("v")) for name, v in plain.items()])).alias("x")).select("gid", "x.*")
+    order = Window.partitionBy("ranking").orderBy(F.desc("v"), "gid")  # a row number up to max(tops): each task keeps so many
+    first = cut(listed.withColumn("r", F.row_number().over(order)).where(F.col("r") <= max(tops)).select("ranking", "gid", "r"), "first")
+    base = F.broadcast(first.where("ranking = 'priority'").select("gid", F.col("r").alias("r0")))  # max(tops) rows
+    met = first.where("ranking <> 'priority'").join(base, "gid", "left").select("ranking", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), ((F.col("r") <= k) & (F.col("r0") <= k)).alias("both")) for k in tops])).alias("t"))
+    return met.groupBy("ranking", "t.k").agg(F.coalesce(F.sum(F.col("t.both").cast("long")), F.lit(0).cast("long")).alias("shared"))
+
+
 def compared(made: DataFrame, base: str = "base", tops: tuple[int, ...] = (20, 50)) -> DataFrame:
     """(scenario, role_changes, clusters, top20, top20_changes, ...): each scenario against the base: nodes whose role differs,
     clusters, and of the first nodes of the base by priority those that are first here too, and those whose role differs."""

@@ -76,11 +76,11 @@ def spoiled_rows(rows: DataFrame) -> DataFrame:
 
 
 def _spoiled_outputs(n: Network, r: DataFrame) -> DataFrame:
-    """Checks of outputs whose clusters and list were changed behind the rows' back."""
+    """Checks of outputs that were spoiled apart: rows by id, clusters and list by rules of their own."""
     third = lambda k: F.pmod("cluster_id", F.lit(3)) == k
     clusters = roles.cluster_summary(n, r).withColumns({"n_nodes": F.col("n_nodes") + third(1).cast("long"), "top_gids": F.when(third(0), F.array(F.lit(-1).cast("long"))).otherwise(F.col("top_gids"))})
     top = roles.top_nodes(r).withColumns({"priority_score": F.col("priority_score") + (F.col("rank") == 5).cast("double"), "rank": F.when(F.col("rank") <= 3, 1).otherwise(F.col("rank"))})
-    return verify.check_outputs(r, clusters, top)
+    return verify.check_outputs(spoiled_rows(r), clusters, top)
 
 
 def _spoiled_figures(n: Network, r: DataFrame) -> DataFrame:
@@ -250,12 +250,13 @@ def _network_queries() -> dict[str, tuple[Query, str | None]]:
         "simple_paths": (_net(paths.simple_paths), sql("SELECT seed, node, CAST(len(path) - 1 AS INTEGER) AS hops, count(*) AS n FROM sp WHERE len(path) > 1 GROUP BY ALL", "sp(seed, node, path) AS (SELECT seed, seed, [seed] FROM seeds UNION ALL SELECT sp.seed, links.dst, list_append(sp.path, links.dst) FROM sp JOIN links ON links.src = sp.node WHERE len(sp.path) < 5 AND NOT list_contains(sp.path, links.dst))")),
         "betweenness": (_net(centrality.betweenness), sql("SELECT gid, betweenness FROM bt", o.SIGMA)),
         "betweenness_by_joins": (_net(lambda n: centrality.betweenness(n, small_links=0)), sql("SELECT gid, betweenness FROM bt", o.SIGMA)),
-        "betweenness_sampled": (_net(lambda n: centrality.betweenness(n, 16)), None),
+        "betweenness_sampled": (_net(lambda n: centrality.betweenness(n, 64)), sql("SELECT gid, betweenness FROM bt", o.sampled_sigma(64))),
+        "betweenness_within": (_net(centrality.betweenness_within), None),
         "pagerank": (_net(lambda n: centrality.pagerank(n).select("gid", flows.nine(F.col("rank")).alias("rank"))), sql("SELECT gid, round_even(r * 1e9, 0) / 1e9 AS rank FROM pg WHERE i = 230", *pagerank)),
         "hits": (_net(centrality.hits), sql(both_hits, *hits("1.0::DOUBLE"))),
         "hits_weighted": (_net(lambda n: centrality.hits(n, weighted=True)), sql(both_hits, *hits("cents::DOUBLE / (SELECT max(cents) FROM edges)"))),
-        "centrality_overlap": (_net(lambda n: stats.top_matrix(_metrics(n), "gid", ("rank", "hub", "authority", "betweenness"), 25)), sql(f"SELECT x.m AS a, y.m AS b, count(*) AS shared FROM tt x JOIN tt y USING (gid) GROUP BY x.m, y.m", o.SIGMA, *pagerank, *hits("1.0::DOUBLE"), f"hb AS ({both_hits})",  # noqa: F541
-          "tt AS (SELECT gid, m FROM (SELECT gid, m, row_number() OVER (PARTITION BY m ORDER BY v DESC, gid) AS r FROM (SELECT gid, 'hub' AS m, hub AS v FROM hb UNION ALL SELECT gid, 'authority', authority FROM hb UNION ALL SELECT gid, 'betweenness', betweenness FROM bt UNION ALL SELECT gid, 'rank', round_even(r * 1e6, 0) / 1e6 FROM pg WHERE i = 230)) WHERE r <= 25)")),
+        "centrality_overlap": (_net(lambda n: stats.top_matrix(_metrics(n), "gid", ("rank", "hub", "authority", "betweenness"), 50)), sql(f"SELECT x.m AS a, y.m AS b, count(*) AS shared FROM tt x JOIN tt y USING (gid) GROUP BY x.m, y.m", o.SIGMA, *pagerank, *hits("1.0::DOUBLE"), f"hb AS ({both_hits})",  # noqa: F541
+          "tt AS (SELECT gid, m FROM (SELECT gid, m, row_number() OVER (PARTITION BY m ORDER BY v DESC, gid) AS r FROM (SELECT gid, 'hub' AS m, hub AS v FROM hb UNION ALL SELECT gid, 'authority', authority FROM hb UNION ALL SELECT gid, 'betweenness', betweenness FROM bt UNION ALL SELECT gid, 'rank', round_even(r * 1e6, 0) / 1e6 FROM pg WHERE i = 230)) WHERE r <= 50)")),
         "communities": (_net(communities.communities), None),
         "community_modularity": (_net(lambda n: communities.modularity(n, communities.communities(n))), None),
         "resolution_sweep": (_net(_resolutions), None),
@@ -304,13 +305,17 @@ def _role_queries() -> dict[str, tuple[Query, str | None]]:
         "cluster_hypotheses": (_rows(lambda n, r: roles.hypotheses(roles.cluster_summary(n, r))), sql(f"SELECT cluster_id, 'Hypothesis: a group of ' || count(*) || ' nodes, ' || any_value(dominant_n) || ' of them ' || any_value(dominant_role) || ', with ' || sum(is_seed::INT)::BIGINT || ' seeds.' AS hypothesis FROM pr JOIN {dominant} USING (cluster_id) GROUP BY cluster_id", *priority)),
         "weight_scenarios": (_rows(lambda n, r: roles.weight_scenarios(r)), sql(" UNION ALL ".join(f"SELECT '{name}' AS scenario, gid, priority_score FROM pr_w{k}" for k, name in enumerate(weighed)), *o.ROLES, o.ACTIVE_SHARES, *[o.scored(f"_w{k}", w, "") for k, w in enumerate(weighed.values())])),
         "selection_profile": (_rows(lambda n, r: roles.selection_profile(r.orderBy(F.desc("priority_score"), "gid").limit(30))), sql(f"SELECT count(*) AS n_nodes, sum(is_seed::INT)::BIGINT AS n_seeds, count(DISTINCT role) AS n_roles, count(DISTINCT cluster_id) AS n_clusters, {six('avg(seed_reach)')} AS mean_reach, CAST(sum(in_cents) AS BIGINT) AS in_cents FROM (SELECT * FROM pr ORDER BY priority_score DESC, gid LIMIT 30)", *priority)),
-        "metric_overlap": (_rows(lambda n, r: stats.top_matrix(r, "gid", ("in_deg", "out_deg", "in_tx", "out_tx"), 25)), sql("SELECT x.m AS a, y.m AS b, count(*) AS shared FROM tt x JOIN tt y USING (gid) GROUP BY x.m, y.m", o.DEGREES, o.FLOWS, "tt AS (SELECT gid, m FROM (SELECT gid, m, row_number() OVER (PARTITION BY m ORDER BY v DESC, gid) AS r FROM (SELECT gid, 'in_deg' AS m, in_deg AS v FROM deg UNION ALL SELECT gid, 'out_deg', out_deg FROM deg UNION ALL SELECT gid, 'in_tx', in_tx FROM fl UNION ALL SELECT gid, 'out_tx', out_tx FROM fl)) WHERE r <= 25)")),
+        "metric_overlap": (_rows(lambda n, r: stats.top_matrix(r, "gid", ("in_deg", "out_deg", "in_tx", "out_tx"), 50)), sql("SELECT x.m AS a, y.m AS b, count(*) AS shared FROM tt x JOIN tt y USING (gid) GROUP BY x.m, y.m", o.DEGREES, o.FLOWS, "tt AS (SELECT gid, m FROM (SELECT gid, m, row_number() OVER (PARTITION BY m ORDER BY v DESC, gid) AS r FROM (SELECT gid, 'in_deg' AS m, in_deg AS v FROM deg UNION ALL SELECT gid, 'out_deg', out_deg FROM deg UNION ALL SELECT gid, 'in_tx', in_tx FROM fl UNION ALL SELECT gid, 'out_tx', out_tx FROM fl)) WHERE r <= 50)")),
         "sampling_error": (_rows(lambda n, r: stats.metric_error(r.select("gid", "betweenness"), centrality.betweenness(n, 64), "gid", "betweenness")), None),
         "role_scenarios": (_cases(lambda m: m), sql(o.ALL_SCENARIOS, *o.SCENARIOS)),
         "role_stability": (_cases(roles.stability), sql(f"SELECT gid, count(DISTINCT role) AS roles, count(DISTINCT role) = 1 AS stable FROM ({o.ALL_SCENARIOS}) GROUP BY gid", *o.SCENARIOS)),
         "role_transitions": (_cases(lambda m: roles.role_changes(m, "relaxed", "strict")), sql("SELECT x.role AS before, y.role AS after, count(*) AS n FROM pr_relaxed x JOIN pr_strict y USING (gid) GROUP BY x.role, y.role", *o.SCENARIOS)),
         "scenario_comparison": (_cases(roles.compared), sql(f"""SELECT scenario, sum((role <> was)::INT)::BIGINT AS role_changes, count(DISTINCT cluster_id) AS clusters, sum((r <= 20 AND r0 <= 20)::INT)::BIGINT AS top20, sum((role <> was AND r0 <= 20)::INT)::BIGINT AS top20_changes, sum((r <= 50 AND r0 <= 50)::INT)::BIGINT AS top50, sum((role <> was AND r0 <= 50)::INT)::BIGINT AS top50_changes
           FROM ranked JOIN (SELECT gid, role AS was, r AS r0 FROM ranked WHERE scenario = 'base') USING (gid) GROUP BY scenario""", *o.SCENARIOS, f"ranked AS (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY priority_score DESC, gid) AS r FROM ({o.ALL_SCENARIOS}))")),
+        "pivot_scenarios": (_net(lambda n: roles.pivot_scenarios(n, by_twelve(n), 64)), " UNION ALL ".join(f"SELECT * FROM ({sql(f'SELECT {q}betweenness_seed_{k}{q} AS scenario, gid, cluster_id, role, priority_score FROM pr', *[o.sampled_sigma(64, k) if x is o.SIGMA else x for x in priority])})" for k in (0, 1, 7, 99) for q in ("'",))),
+        "simple_rankings": (_rows(lambda n, r: roles.simple_rankings(r)), sql("""SELECT x.ranking, k, count(p.gid) AS shared FROM (SELECT unnest([20, 50])::INTEGER AS k), tt x LEFT JOIN pt p ON p.gid = x.gid AND p.r <= k WHERE x.r <= k GROUP BY x.ranking, k""", *priority,
+          "pt AS (SELECT gid, row_number() OVER (ORDER BY priority_score DESC, gid) AS r FROM pr)", "tt AS (SELECT ranking, gid, row_number() OVER (PARTITION BY ranking ORDER BY v DESC, gid) AS r FROM (" + " UNION ALL ".join(f"SELECT '{name}' AS ranking, gid, ({v})::DOUBLE AS v FROM pr" for name, v in (
+            ("observed_flow_max", "greatest(in_cents, out_cents)"), ("observed_flow_in_plus_out", "in_cents + out_cents"), ("fanin", "in_deg"), ("fanout", "out_deg"), ("seed_reach", "seed_reach"), ("exact_betweenness", "betweenness"))) + "))")),
         "auc": (_rows(lambda n, r: stats.auc(seedish(r), "in_tx", "is_seed")), sql(f"SELECT p AS pos, m AS n, {six('(s - p * (p + 1) / 2.0) / (p * (m - p))')} AS auc FROM (SELECT sum(CASE WHEN is_seed THEN r END) AS s, sum(is_seed::INT)::BIGINT AS p, count(*) AS m FROM (SELECT is_seed, {ranks('in_tx')} AS r FROM fl JOIN nodes USING (gid)))", o.FLOWS)),
         "ks": (_rows(lambda n, r: stats.ks_distance(seedish(r), "in_tx", "is_seed")), sql(f"SELECT {six('max(abs(a / (SELECT count(*) FROM seeds) - b / (SELECT count(*) FROM nodes WHERE NOT is_seed)))')} AS ks FROM (SELECT DISTINCT in_tx, CAST(sum(is_seed::INT) OVER (ORDER BY in_tx) AS DOUBLE) AS a, CAST(sum((NOT is_seed)::INT) OVER (ORDER BY in_tx) AS DOUBLE) AS b FROM fl JOIN nodes USING (gid))", o.FLOWS)),
         "adjusted_rand": (_rows(lambda n, r: stats.adjusted_rand(r.join(paths.components(n), "gid"), "cluster_id", "component_id")), sql(f"SELECT {six('(ab - a * b / t) / ((a + b) / 2 - a * b / t)')} AS rand FROM (SELECT sum(c * (c - 1) / 2.0) AS ab FROM (SELECT count(*) AS c FROM cu JOIN cmp USING (gid) GROUP BY cluster_id, component_id)), (SELECT sum(c * (c - 1) / 2.0) AS a FROM (SELECT count(*) AS c FROM cu GROUP BY cluster_id)), (SELECT sum(c * (c - 1) / 2.0) AS b FROM (SELECT count(*) AS c FROM cmp GROUP BY component_id)), (SELECT count(*) * (count(*) - 1) / 2.0 AS t FROM nodes)", o.CLUSTER, o.ALL_COMPONENTS)),
@@ -335,6 +340,7 @@ def _edge_queries() -> dict[str, tuple[Query, str | None]]:
     zero = lambda names: "SELECT unnest([" + ", ".join(f"'{c}'" for c in names) + "]) AS \"check\", CAST(0 AS BIGINT) AS violations"
     outputs = ("unique_ids", "known_role", "score_range", "truncated_cap", "reason_with_role", "cluster_sizes", "cluster_leaders", "top_order", "top_ranks")
     inputs = ("nodes", "degrees", "turnover", "truncation", "cluster_turnover")
+    priority = o.PRIORITY
     stream = lambda s, d: monitor.read_transactions(s, table_path(s, d, "transactions"))
     burst = "SELECT gid, day, side, count(*) AS n FROM ends WHERE side = 'out' OR NOT own GROUP BY gid, day, side HAVING count(*) >= 5"
     closed = lambda part: part.replace("FROM tx", "FROM (SELECT * FROM tx WHERE day + 1 <= (SELECT max(day) FROM tx t2{}) - 3)")  # noqa: E731  days whose end the watermark, three days behind, has passed
@@ -343,7 +349,12 @@ def _edge_queries() -> dict[str, tuple[Query, str | None]]:
         "stream_fifo": (lambda s, d: matching.appended(matching.fifo_days(stream(s, d))).groupBy("gid").agg(F.sum("matched").alias("matched"), F.sum("same_day").alias("same_day"), F.sum("incoming").alias("total_in"), F.sum("outgoing").alias("total_out"), F.count("*").alias("active_days")), sql("SELECT gid, matched, same_day, total_in, total_out, active_days FROM f1", closed(o.ENDS).replace("{}", others), *o.fifo("f1", 2, 1))),
         "stream_transit_pairs": (lambda s, d: matching.appended(matching.transit_pairs(stream(s, d))), sql("SELECT i.dst AS gid, i.src AS payer, q.dst AS payee, CAST(q.day - i.day AS INTEGER) AS lag, i.cents AS in_cents, q.cents AS out_cents FROM tx i JOIN tx q ON q.src = i.dst AND q.day BETWEEN i.day AND i.day + 2 WHERE i.src <> i.dst AND q.src <> q.dst AND i.src <> q.dst AND least(i.cents, q.cents) * 100 >= greatest(i.cents, q.cents) * 85")),
         "stream_closed_bursts": (lambda s, d: matching.appended(matching.closed_bursts(stream(s, d), least=3)), sql("SELECT gid, day, side, count(*) AS n FROM ends WHERE side = 'out' OR NOT own GROUP BY gid, day, side HAVING count(*) >= 3", closed(o.ENDS).replace("{}", ""))),
-        "verify_outputs": (_rows(_spoiled_outputs), sql("""SELECT unnest(['unique_ids', 'known_role', 'score_range', 'truncated_cap', 'reason_with_role', 'cluster_sizes', 'cluster_leaders', 'top_order', 'top_ranks']) AS "check", unnest([0, 0, 0, 0, 0, 2 * (SELECT count(*) FROM c WHERE k % 3 = 1), (SELECT count(*) FROM c WHERE k % 3 = 0), 2, 1])::BIGINT AS violations""", o.CLUSTER, "c AS (SELECT DISTINCT cluster_id AS k FROM cu)")),
+        "verify_outputs": (_rows(_spoiled_outputs), sql("""SELECT unnest(['unique_ids', 'known_role', 'score_range', 'truncated_cap', 'reason_with_role', 'cluster_sizes', 'cluster_leaders', 'top_order', 'top_ranks']) AS "check", unnest([
+          (SELECT count(*) FROM w WHERE g = 4), (SELECT count(*) FROM w WHERE g = 1), (SELECT count(*) FROM w WHERE g IN (2, 3)), (SELECT count(*) FROM w WHERE truncated AND g IN (2, 6)), (SELECT count(*) FROM w WHERE role = 'peripheral' AND g IN (1, 5)),
+          2 * (SELECT count(*) FROM (SELECT cluster_id, count(*) FILTER (g = 4) AS d, count(*) FILTER (g = 4 AND is_seed) AS s FROM w GROUP BY cluster_id) WHERE d <> (cluster_id % 3 = 1)::INT OR s > 0), (SELECT count(DISTINCT cluster_id) FROM w WHERE cluster_id % 3 = 0),
+          (SELECT count(*) FROM (SELECT * FROM t EXCEPT ALL SELECT * FROM b)) + (SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM t)), 1])::BIGINT AS violations""", *priority,
+          "w AS (SELECT *, gid % 10 AS g FROM pr)", "k AS (SELECT *, row_number() OVER (ORDER BY priority_score DESC, gid) AS rank FROM w)", "t AS (SELECT gid, role, priority_score + (rank = 5)::INT AS priority_score FROM k WHERE rank <= greatest(20, least(50, (SELECT count(*) FROM nodes))))",
+          "dd AS (SELECT gid, CASE WHEN g = 1 THEN 'boss' ELSE role END AS role, CASE WHEN g = 3 THEN -1.0 ELSE priority_score END AS priority_score FROM (SELECT * FROM w UNION ALL SELECT * FROM w WHERE g = 4))", "b AS (SELECT * FROM dd ORDER BY priority_score DESC, gid LIMIT (SELECT count(*) FROM t))")),
         "verify_inputs": (_rows(_spoiled_figures), sql("""SELECT unnest(['nodes', 'degrees', 'turnover', 'truncation', 'cluster_turnover']) AS "check", 2 * unnest([(SELECT count(*) FROM nodes WHERE gid % 10 = 3), (SELECT count(*) FROM nodes WHERE gid % 10 = 1), (SELECT count(*) FROM nodes WHERE gid % 10 = 2), (SELECT count(*) FROM nodes WHERE gid % 10 = 4),
           (SELECT count(*) FROM (SELECT a.cluster_id FROM edges JOIN cu a ON a.gid = src JOIN cu b ON b.gid = dst WHERE a.cluster_id = b.cluster_id AND a.cluster_id % 3 = 0 GROUP BY a.cluster_id HAVING sum(cents) > 0))])::BIGINT AS violations""", o.CLUSTER)),
         "verify_clean": (_rows(lambda n, r: verify.check_outputs(r, roles.cluster_summary(n, r), roles.top_nodes(r)).unionByName(verify.check_against_inputs(n, r, roles.cluster_summary(n, r)))), zero(outputs + inputs)),

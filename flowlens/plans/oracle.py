@@ -44,6 +44,14 @@ SIGMA = """wc(s, v, l, c) AS (SELECT gid, gid, 0, CAST(1 AS DOUBLE) FROM nodes U
 sg AS (SELECT s, v, min(l) AS d, arg_min(c, l) AS c FROM wc GROUP BY s, v),
 bt AS (SELECT gid, round_even(coalesce(b, 0.0) / ((m - 1) * (m - 2)) * 1e9, 0) / 1e9 AS betweenness FROM nodes CROSS JOIN (SELECT count(*) AS m FROM nodes) LEFT JOIN
   (SELECT x.v AS v, sum(x.c * y.c / z.c) AS b FROM sg x JOIN sg y ON x.v = y.s JOIN sg z ON z.s = x.s AND z.v = y.v AND z.d = x.d + y.d WHERE x.s <> x.v AND y.v <> x.v AND x.s <> y.v GROUP BY x.v) ON v = gid)"""
+
+
+def sampled_sigma(k: int, seed: int = 42) -> str:
+    """SIGMA with dependencies of k sources alone, those of the smallest MD5 of `seed:gid`, scaled by nodes over k."""
+    own = SIGMA.replace("WHERE x.s <> x.v AND", "WHERE x.s IN (SELECT gid FROM pv) AND x.s <> x.v AND").replace("/ ((m - 1) * (m - 2)) * 1e9", f"/ ((m - 1) * (m - 2)) * (m / least({k}, m)) * 1e9")
+    return f"pv AS (SELECT gid FROM nodes ORDER BY md5('{seed}:' || gid), gid LIMIT {k}),\n{own}"
+
+
 CYCLES = """cp(root, cur, members, length) AS (SELECT src, dst, [src, dst], 2 FROM links WHERE dst > src UNION ALL
   SELECT cp.root, links.dst, list_append(cp.members, links.dst), cp.length + 1 FROM cp JOIN links ON links.src = cp.cur WHERE links.dst > cp.root AND NOT list_contains(cp.members, links.dst) AND cp.length < {longest}),
 cy AS (SELECT cp.members, cp.length FROM cp JOIN links ON links.src = cp.cur AND links.dst = cp.root)"""
