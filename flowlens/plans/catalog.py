@@ -12,17 +12,17 @@ from flowlens.operators import centrality, communities, explore, fifo, flows, mo
 from flowlens.plans import oracle as o
 from flowlens.plans.oracle import six, sql
 from flowlens.plans.shared import cut
-from flowlens.sources.fixture import layout, network, raw_network, spoiled, table_path
+from flowlens.sources.fixture import layout, made_from, network, raw_network, spoiled, table_path
 from flowlens.sources.tables import Network, as_network, file_digests, read_raw
 from flowlens.streaming import matching, monitor
 
 Query = Callable[[SparkSession, str], DataFrame]
-_KEPT: dict[tuple[str, str, str], DataFrame] = {}
+_KEPT: dict[tuple, DataFrame] = {}
 
 
 def _kept(net: Network, spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
     """An intermediate that several queries share, written once for each session and folder."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (*made_from(spark, sf_dir), name)
     if key not in _KEPT:
         _KEPT[key] = cut(make(), name)
     return _KEPT[key]

@@ -17,16 +17,25 @@ _WRITTEN: dict[int, tuple] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, one in the warehouse on a
-    cluster, and a temporary one where driver and executors are one local process."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one if driver and
+    executors are one local process; on a cluster that is an error, since no default is known to be shared."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        local = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
-        found = tempfile.mkdtemp(prefix="flowlens-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_flowlens"
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="flowlens-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def table_version(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of the files of a table: what a cache must be keyed by, besides the path."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: later plans start at files, not at df's plan.
 

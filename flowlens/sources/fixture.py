@@ -8,12 +8,12 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.plans.shared import cut, shared_dir
+from flowlens.plans.shared import cut, shared_dir, table_version
 from flowlens.sources.tables import Network, as_network
 
 MAX_DEPTH = 4
-_LAID: dict[tuple[str, str], str] = {}
-_MADE: dict[tuple[str, str], dict[str, DataFrame]] = {}
+_LAID: dict[tuple, str] = {}
+_MADE: dict[tuple, dict[str, DataFrame]] = {}
 
 
 def transfers(events: DataFrame) -> tuple[DataFrame, int]:
@@ -50,9 +50,14 @@ def derive(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {"nodes": nodes, "edges": edges.select("src", "dst", "sum_kzt", "n_tx", (F.col("depth") + 1).alias("depth")), "transactions": transactions}
 
 
+def made_from(spark: SparkSession, sf_dir: str) -> tuple:
+    """What tables derived in this session are keyed by: the events as they are now."""
+    return spark.sparkContext.applicationId, sf_dir, table_version(spark, f"{sf_dir}/events.parquet")
+
+
 def raw_network(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The derived tables, written once for each session and folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = made_from(spark, sf_dir)
     if key not in _MADE:
         made = derive(spark, sf_dir)
         with ThreadPoolExecutor(len(made)) as pool:  # independent jobs: their small stages fill the cores together
@@ -87,7 +92,7 @@ def spoiled(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 def layout(spark: SparkSession, sf_dir: str) -> str:
     """A folder with the derived tables as nodes.parquet, edges.parquet and transactions.parquet, written once for each session and folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = made_from(spark, sf_dir)
     if key not in _LAID:
         path = f"{shared_dir(spark)}/flowlens/layout-{uuid.uuid4().hex}"
         for name, df in raw_network(spark, sf_dir).items():
