@@ -29,6 +29,37 @@ def projection_components(net: Network) -> DataFrame:
     return numbered(net, component_roots(net.links.where("cents > 0")))
 
 
+def resilience(net: Network, removed: DataFrame) -> DataFrame:
+    """(removed, n_components, largest, cut_off): for each node of `removed` (gid, a list the caller keeps short) the weak components of
+    the rest of the graph without it, the size of the largest, and nodes that lose their last partner.
+
+    All cases are one graph: a copy of the links for each node, without that node's, whose nodes are numbered by copy; so
+    rounds are those of one search, and rows are links times cases.
+    """
+    cases = sums_before(removed.select("gid").distinct(), ["gid"], case=F.lit(1).cast("long"))
+    span = (net.nodes.agg(F.max("gid")).first()[0] or 0) + 1
+    links = net.edges.where("src <> dst").select("src", "dst").crossJoin(F.broadcast(cases.select(F.col("gid").alias("removed"), "case")))  # the caller's short list
+    links = links.where("src <> removed and dst <> removed")
+    at = lambda c: F.col("case") * F.lit(span) + F.col(c)
+    copies = cut(links.select(at("src").alias("src"), at("dst").alias("dst")), "copies")
+    roots = component_roots(copies)
+    members = net.nodes.select("gid").crossJoin(F.broadcast(cases.select(F.col("gid").alias("removed"), "case"))).where("gid <> removed").withColumn("node", at("gid"))
+    named = members.join(roots, "node", "left").select("removed", F.coalesce("root", "node").alias("root"))
+    sizes = named.groupBy("removed", "root").agg(F.count("*").alias("n"))
+    own = net.links.select(F.explode(F.array(F.struct(F.col("src").alias("gid"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("gid"), F.col("src").alias("other")))).alias("p")).select("p.*").groupBy("gid").agg(F.count_distinct("other").alias("partners"), F.min("other").alias("only"))
+    last = own.where("partners = 1").groupBy(F.col("only").alias("removed")).agg(F.count("*").alias("cut_off"))
+    return sizes.groupBy("removed").agg(F.count("*").alias("n_components"), F.max("n").alias("largest")).join(last, "removed", "left").na.fill(0, ["cut_off"])
+
+
+def common_recipients(net: Network, payers: DataFrame, least: int = 2) -> DataFrame:
+    """(gid, n_payers, cents, first_day, last_day): whom at least `least` of the payers (gid) pay, with what and when; payers are matched
+    by a join, and a recipient's rows are summed by payer before they meet."""
+    wanted = payers.select(F.col("gid").alias("src")).distinct()
+    sent = net.tx.where("src <> dst").groupBy("src", "dst").agg(F.sum("cents").alias("cents"), F.min("day").alias("first"), F.max("day").alias("last")).join(wanted, "src", "left_semi")
+    met = sent.groupBy(F.col("dst").alias("gid")).agg(F.count("*").alias("n_payers"), F.sum("cents").alias("cents"), F.min("first").alias("first_day"), F.max("last").alias("last_day"))
+    return met.where(F.col("n_payers") >= least)
+
+
 def component_profile(net: Network, of: DataFrame) -> DataFrame:
     """Per component: nodes, seeds, pairs, transactions, turnover, and the node with most payees (ties: smallest gid)."""
     nodes = net.nodes.join(of, "gid")

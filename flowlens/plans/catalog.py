@@ -227,6 +227,10 @@ def _network_queries() -> dict[str, tuple[Query, str | None]]:
         "component_profile": (_net(lambda n: paths.component_profile(n, paths.components(n))), sql("""SELECT component_id, n_nodes, n_seeds, leader, leader_payees, coalesce(n_edges, 0) AS n_edges, coalesce(t, 0) AS n_tx, coalesce(c, 0) AS cents FROM
           (SELECT component_id, count(*) AS n_nodes, sum(is_seed::INT)::BIGINT AS n_seeds, arg_min(gid, {'x': -out_deg, 'g': gid}) AS leader, max(out_deg) AS leader_payees FROM cmp JOIN nodes USING (gid) JOIN deg USING (gid) GROUP BY component_id)
           LEFT JOIN (SELECT component_id, count(*) AS n_edges, CAST(sum(n_tx) AS BIGINT) AS t, CAST(sum(cents) AS BIGINT) AS c FROM edges JOIN cmp ON gid = src GROUP BY component_id) USING (component_id)""", o.ALL_COMPONENTS, o.DEGREES)),
+        "common_recipients": (_net(lambda n: paths.common_recipients(n, n.nodes.where("is_seed"))), sql("SELECT dst AS gid, count(DISTINCT src) AS n_payers, CAST(sum(cents) AS BIGINT) AS cents, min(day) AS first_day, max(day) AS last_day FROM tx WHERE src <> dst AND src IN (SELECT seed FROM seeds) GROUP BY dst HAVING count(DISTINCT src) >= 2")),
+        "resilience": (_net(lambda n: paths.resilience(n, n.nodes.where("is_seed and gid % 3 = 0"))), sql("""SELECT removed, count(DISTINCT r) AS n_components, max(n) AS largest, any_value(coalesce(lone.c, 0)) AS cut_off FROM (SELECT removed, r, count(*) AS n FROM rt GROUP BY removed, r) LEFT JOIN (SELECT o AS removed, count(*) AS c FROM (SELECT a, min(b) AS o FROM und GROUP BY a HAVING count(DISTINCT b) = 1) GROUP BY o) lone USING (removed) GROUP BY removed""",
+          "und AS (SELECT src AS a, dst AS b FROM links UNION SELECT dst, src FROM links)", "gone AS (SELECT gid AS removed FROM nodes WHERE is_seed AND gid % 3 = 0)",
+          "cl(removed, gid, r) AS (SELECT removed, gid, gid FROM nodes, gone WHERE gid <> removed UNION SELECT cl.removed, und.b, cl.r FROM cl JOIN und ON und.a = cl.gid WHERE cl.r < und.b AND und.b <> cl.removed)", "rt AS (SELECT removed, gid, min(r) AS r FROM cl GROUP BY removed, gid)")),
         "scc": (_net(paths.strong_components), sql("SELECT a AS gid, min(b) AS scc_id FROM (SELECT x.a, x.b FROM tc x JOIN tc y ON y.a = x.b AND y.b = x.a) GROUP BY a HAVING count(*) > 1", "tc(a, b) AS (SELECT src, dst FROM links UNION SELECT tc.a, links.dst FROM tc JOIN links ON links.src = tc.b)")),
         "reciprocal_pairs": (_net(paths.reciprocal), sql("SELECT x.src AS a, x.dst AS b, x.cents AS ab_cents, y.cents AS ba_cents FROM links x JOIN links y ON x.src = y.dst AND x.dst = y.src WHERE x.src < x.dst")),
         "self_loops": (_net(lambda n: n.edges.where("src = dst").agg(F.count("*").alias("n"), F.sum("cents").alias("cents"))), sql("SELECT count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents FROM edges WHERE src = dst")),
