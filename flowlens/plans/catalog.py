@@ -12,6 +12,7 @@ from flowlens.operators import centrality, communities, explore, fifo, flows, mo
 from flowlens.plans import oracle as o
 from flowlens.plans.oracle import six, sql
 from flowlens.plans.shared import cut
+from flowlens.sources import sinks
 from flowlens.sources.fixture import layout, made_from, network, raw_network, spoiled, table_path
 from flowlens.sources.tables import Network, as_network, file_digests, read_raw
 from flowlens.streaming import matching, monitor
@@ -91,6 +92,13 @@ def _spoiled_figures(n: Network, r: DataFrame) -> DataFrame:
     return verify.check_against_inputs(n, rows, clusters)
 
 
+def _spoiled_snapshot(n: Network, r: DataFrame) -> DataFrame:
+    """Checks of a snapshot whose pairs and nodes were changed by id."""
+    pair = lambda k: (F.col("src") + F.col("dst")) % 10 == k
+    edges = n.edges.withColumn("cents", F.col("cents") + pair(1).cast("long"))
+    return sinks.snapshot_faults({"edges": edges.unionByName(edges.where(pair(3))), "transactions": n.tx, "nodes": r.withColumn("in_cents", F.col("in_cents") + _tenth("gid", 2).cast("long"))})
+
+
 def _offset(net: Network) -> Network:
     """The network with ids beyond what a double can hold."""
     return Network(net.nodes.withColumn("gid", F.col("gid") + (1 << 53)), net.edges, net.tx)
@@ -359,6 +367,9 @@ def _edge_queries() -> dict[str, tuple[Query, str | None]]:
           (SELECT count(*) FROM (SELECT * FROM t EXCEPT ALL SELECT * FROM b)) + (SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM t)), 1])::BIGINT AS violations""", *priority,
           "w AS (SELECT *, gid % 10 AS g FROM pr)", "k AS (SELECT *, row_number() OVER (ORDER BY priority_score DESC, gid) AS rank FROM w)", "t AS (SELECT gid, role, priority_score + (rank = 5)::INT AS priority_score FROM k WHERE rank <= greatest(20, least(50, (SELECT count(*) FROM nodes))))",
           "dd AS (SELECT gid, CASE WHEN g = 1 THEN 'boss' ELSE role END AS role, CASE WHEN g = 3 THEN -1.0 ELSE priority_score END AS priority_score FROM (SELECT * FROM w UNION ALL SELECT * FROM w WHERE g = 4))", "b AS (SELECT * FROM dd ORDER BY priority_score DESC, gid LIMIT (SELECT count(*) FROM t))")),
+        "snapshot_checks": (_rows(_spoiled_snapshot), sql("""SELECT unnest(['repeated_pairs', 'pair_totals', 'node_totals']) AS "check", unnest([(SELECT count(*) FROM edges WHERE (src + dst) % 10 = 3), (SELECT count(*) FROM edges WHERE (src + dst) % 10 IN (1, 3)),
+          (SELECT count(*) FROM fl LEFT JOIN (SELECT dst AS gid, sum(c) AS c, sum(t) AS t FROM sp GROUP BY dst) i USING (gid) LEFT JOIN (SELECT src AS gid, sum(c) AS c, sum(t) AS t FROM sp GROUP BY src) o USING (gid)
+           WHERE in_cents + (gid % 10 = 2)::INT <> coalesce(i.c, 0) OR in_tx <> coalesce(i.t, 0) OR out_cents <> coalesce(o.c, 0) OR out_tx <> coalesce(o.t, 0))])::BIGINT AS violations""", o.FLOWS, "sp AS (SELECT src, dst, (cents + ((src + dst) % 10 = 1)::INT) * (1 + ((src + dst) % 10 = 3)::INT) AS c, n_tx * (1 + ((src + dst) % 10 = 3)::INT) AS t FROM edges)")),
         "verify_inputs": (_rows(_spoiled_figures), sql("""SELECT unnest(['nodes', 'degrees', 'turnover', 'truncation', 'cluster_turnover']) AS "check", 2 * unnest([(SELECT count(*) FROM nodes WHERE gid % 10 = 3), (SELECT count(*) FROM nodes WHERE gid % 10 = 1), (SELECT count(*) FROM nodes WHERE gid % 10 = 2), (SELECT count(*) FROM nodes WHERE gid % 10 = 4),
           (SELECT count(*) FROM (SELECT a.cluster_id FROM edges JOIN cu a ON a.gid = src JOIN cu b ON b.gid = dst WHERE a.cluster_id = b.cluster_id AND a.cluster_id % 3 = 0 GROUP BY a.cluster_id HAVING sum(cents) > 0))])::BIGINT AS violations""", o.CLUSTER)),
         "verify_clean": (_rows(lambda n, r: verify.check_outputs(r, roles.cluster_summary(n, r), roles.top_nodes(r)).unionByName(verify.check_against_inputs(n, r, roles.cluster_summary(n, r)))), zero(outputs + inputs)),

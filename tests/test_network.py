@@ -140,6 +140,11 @@ def test_small_network_end_to_end(spark, tmp_path):
     assert manifest["tables"]["nodes"]["rows"] == 5
     again, found = sinks.read_snapshot(spark, str(tmp_path / "snap"))
     assert again == manifest and found["edges"].count() == 3
+    run = sinks.read_run(spark, str(tmp_path / "snap"))
+    assert one(verify.check_run(run))["violations"] == 0 and '"nodes":5' in run.first()["rows"].replace(" ", "")
+    metrics = spark.read.json(str(tmp_path / "snap" / "metrics"))
+    assert {r["gid"]: r["role"] for r in metrics.collect()}["20"] == "transit" and metrics.count() == 5
+    assert all(r["violations"] == 0 for r in sinks.snapshot_faults(found).collect())
     net.edges.limit(1).write.mode("overwrite").parquet(str(tmp_path / "snap" / "edges"))
     with pytest.raises(ValueError, match="edges"):
         sinks.read_snapshot(spark, str(tmp_path / "snap"))
