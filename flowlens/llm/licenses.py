@@ -507,11 +507,12 @@ def _constant() -> tuple[Column, Column, Column]:
 
 
 def labels_of(base: Column, detections: Column | None = None) -> Column:
-    """Distinct labels, sorted and comma-joined."""
+    """Distinct labels, sorted and comma-joined; `unknown`, a notice that names no license, stands only where there is no other."""
     named = F.transform(base, lambda b: b["label"])
     if detections is not None:
         named = F.concat(named, F.transform(detections, lambda d: d["label"]))
-    return F.concat_ws(",", F.array_sort(F.array_distinct(named)))
+    told = lambda all_: F.when(F.size(all_) > 1, F.filter(all_, lambda x: x != "unknown")).otherwise(all_)
+    return F.concat_ws(",", F.array_sort(let(F.array_distinct(named), told)))
 
 
 def score_of(base: Column, detections: Column) -> Column:

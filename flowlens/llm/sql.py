@@ -106,7 +106,7 @@ def license_scan() -> str:
       found AS (SELECT r, label, priority, score, e - n AS s, e FROM placed JOIN rules USING (k)),
       kept AS (SELECT * FROM found a WHERE NOT EXISTS (SELECT 1 FROM found b WHERE b.r = a.r AND b.s <= a.s AND a.e <= b.e AND (b.priority > a.priority OR (b.priority = a.priority AND b.e - b.s > a.e - a.s)))),
       named AS (SELECT r, label, score FROM kept UNION ALL SELECT r, label, 0.9 FROM base),
-      per AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score)::DOUBLE AS score FROM named GROUP BY r),
+      per AS (SELECT r, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (label <> 'unknown'), 'unknown') AS labels, max(score)::DOUBLE AS score FROM named GROUP BY r),
       of_base AS (SELECT r, count(*) AS n, min(i) AS lo, max(i) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM base GROUP BY r)
       SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0) AS n_base, lo::BIGINT AS first_word, hi::BIGINT AS last_word, coalesce(of_base.labels, '') AS base_labels, coalesce(per.labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
       FROM lists LEFT JOIN of_base USING (r) LEFT JOIN per USING (r)"""
