@@ -205,7 +205,7 @@ def alone(found: DataFrame) -> DataFrame:
 
 
 def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, rank int, phrase, a, l, r, n, score): the first `top` phrases of each language by score, count, then phrase in byte order.
+    """(lang, rank, phrase, a, l, r, n, score): the first `top` phrases of each language by score, count, then phrase in byte order.
 
     A phrase has two or three words of one piece and at least `least` occurrences a. n: words of the language; l and r: counts of the
     two parts of its lowest-scoring cut, the smaller k on ties. Pairs that a longer phrase mostly holds are left out.
@@ -223,5 +223,5 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, text: str
     listed = cut(kept.groupBy("lang").agg(F.count("*").alias("own")), "listed")
     earlier = cut(sums_before(listed, ["lang"], earlier=F.col("own")).select("lang", "earlier"), "earlier")
     placed = sums_before(kept, ["lang", F.desc("score"), F.desc("a"), "phrase"], before=F.lit(1))  # a language may hold most phrases: no window over it
-    ranked = lookup_join(placed, earlier, "lang", "inner").withColumn("rank", (F.col("before") - F.col("earlier") + 1).cast("int")).where(F.col("rank") <= top)
+    ranked = lookup_join(placed, earlier, "lang", "inner").withColumn("rank", (F.col("before") - F.col("earlier") + 1).cast("long")).where(F.col("rank") <= top)
     return lookup_join(ranked, totals, "lang", "inner").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -214,7 +214,7 @@ def phrases() -> str:
       rated AS (SELECT *, ({c.UNITS}::HUGEINT * a * a // (l::HUGEINT * r))::BIGINT AS score FROM cuts),
       lowest AS (SELECT * FROM rated QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
       held AS (SELECT two.lang, two.x || ' ' || two.y AS phrase FROM two JOIN three ON three.lang = two.lang AND ((three.x = two.x AND three.y = two.y) OR (three.y = two.x AND three.z = two.y)) WHERE 100 * three.f >= {c.INSIDE} * two.f),
-      ranked AS (SELECT lowest.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::INT AS "rank" FROM lowest WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.lang = lowest.lang AND h.phrase = lowest.phrase))
+      ranked AS (SELECT lowest.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS "rank" FROM lowest WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.lang = lowest.lang AND h.phrase = lowest.phrase))
       SELECT lang, "rank", phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE "rank" <= {c.TOP}"""
 
 

@@ -128,7 +128,7 @@ def test_phrases_are_brute_force(spark):
     data = phrase_rows()
     docs = spark.createDataFrame([(lang, text, 1) for lang, text in data], "lang string, text string, n int").repartition(5)
     got = collocations.collocations(docs)
-    assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+    assert got.dtypes == [(c, "string" if c in ("lang", "phrase") else "bigint") for c in ("lang", "rank", "phrase", "a", "l", "r", "n", "score")]
     assert {tuple(x) for x in got.collect()} == brute_phrases(data)
 
 
