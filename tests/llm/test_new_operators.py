@@ -144,6 +144,28 @@ def test_phrases_do_not_depend_on_the_order_of_words(spark, monkeypatch):
         assert {(x["lang"], " ".join(filter(None, (x["x"], x["y"], x["z"])))): x["a"] for x in found}.items() >= {(x[0], x[2]): x[3] for x in want}.items()
 
 
+@pytest.mark.parametrize("size", [1, 300, 5000])
+def test_slices_count_as_the_whole(monkeypatch, size):
+    """Texts cut up in slices of a batch have the words of the whole batch."""
+    import pyarrow as pa
+
+    data = [(lang or "und", text or "") for lang, text in phrase_rows()]
+    batch = pa.RecordBatch.from_arrays([pa.array([x[0] for x in data]), pa.array([x[1] for x in data])], ["lang", "text"])
+
+    def counted(limit):
+        monkeypatch.setattr(collocations, "SLICE", limit)
+        out, n = collections.Counter(), 0
+        for part in collocations._slices(batch):
+            entry, lang, word, _ = collocations.cut_up(part)
+            n += 1
+            for k in entry[entry >= 0].tolist():
+                out[lang[k].as_py(), word[k].as_py()] += 1
+        return out, n
+
+    (whole, one), (cut_up, many) = counted(1 << 30), counted(size)
+    assert whole == cut_up and one == 1 and many > 1
+
+
 def test_phrases_top_long_and_none(spark):
     data = [("en", f"w{i} v{i}. " * 12) for i in range(30)]
     docs = spark.createDataFrame(data, "lang string, text string")
