@@ -34,15 +34,36 @@ def by_twelve(net: Network) -> DataFrame:
     return net.nodes.select("gid", F.floor(F.col("gid") / 12).alias("cluster_id"))
 
 
+def _central(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact betweenness, which every clustering's features share."""
+    net = network(spark, sf_dir)
+    return _kept(net, spark, sf_dir, "central", lambda: centrality.betweenness(net))
+
+
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    net = network(spark, sf_dir)
+    return _kept(net, spark, sf_dir, "features", lambda: roles.features(net, by_twelve(net), central=_central(spark, sf_dir)))
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = network(spark, sf_dir)
-    return _kept(net, spark, sf_dir, "scored", lambda: roles.prioritise(roles.classify(roles.features(net, by_twelve(net)))))
+    return _kept(net, spark, sf_dir, "scored", lambda: roles.prioritise(roles.classify(_features(spark, sf_dir))))
+
+
+def _plain(f: Callable[[Network, DataFrame], DataFrame]) -> Query:
+    """For queries over sums and clusters of nodes alone, that need neither betweenness nor roles."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        net = network(spark, sf_dir)
+        return f(net, net.nodes.join(flows.turnover(net), "gid").join(by_twelve(net), "gid"))
+
+    return run
 
 
 def _full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole run over the engine's own communities: features, roles and priorities."""
     net = network(spark, sf_dir)
-    return _kept(net, spark, sf_dir, "full", lambda: roles.prioritise(roles.classify(roles.features(net, communities.communities(net)))))
+    return _kept(net, spark, sf_dir, "full", lambda: roles.prioritise(roles.classify(roles.features(net, communities.communities(net), central=_central(spark, sf_dir)))))
 
 
 def _run(f: Callable[[Network, DataFrame], DataFrame]) -> Query:
@@ -52,7 +73,7 @@ def _run(f: Callable[[Network, DataFrame], DataFrame]) -> Query:
 def _scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roles and priorities under the base, relaxed and strict rules."""
     net = network(spark, sf_dir)
-    return _kept(net, spark, sf_dir, "scenarios", lambda: roles.scenarios(roles.features(net, by_twelve(net))))
+    return _kept(net, spark, sf_dir, "scenarios", lambda: roles.scenarios(_features(spark, sf_dir)))
 
 
 def _cases(f: Callable[[DataFrame], DataFrame]) -> Query:
@@ -294,7 +315,7 @@ def _role_queries() -> dict[str, tuple[Query, str | None]]:
     dominant = "(SELECT cluster_id, role AS dominant_role, n AS dominant_n FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, f) AS k FROM (SELECT cluster_id, role, count(*) AS n, min(gid) AS f FROM pr GROUP BY cluster_id, role)) WHERE k = 1)"
     ranks = lambda c: f"(rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0)"
     reasons = "list_slice(list_transform(list_sort([{'x': -x_bridge, 'p': 'bridge'}, {'x': -x_fan, 'p': 'fan'}, {'x': -x_flow, 'p': 'flow'}, {'x': -x_role_support, 'p': 'role_support'}, {'x': -x_seed_reach, 'p': 'seed_reach'}]), lambda s: s.p), 1, 2)"
-    seedish = lambda rows: rows.select("in_tx", "is_seed", "gid", "in_deg", "out_deg", "betweenness", "priority_score", "cluster_id", "role")
+    seedish = lambda rows: rows.select("in_tx", "is_seed", "gid", "in_deg", "out_deg", "cluster_id")
     checks = lambda n, r: r.agg(
         F.sum((~F.col("role").isin(*roles.ROLES, "peripheral")).cast("long")).alias("bad_role"), F.sum((~F.col("role_score").between(0, 1)).cast("long")).alias("bad_score"), F.sum((~F.col("priority_score").between(0, 1)).cast("long")).alias("bad_priority"),
         (F.count("*") - F.count_distinct("gid")).alias("repeated"), F.sum(((F.col("role") == "peripheral") == (F.col("peripheral_reason") == "")).cast("long")).alias("bad_reason"),
@@ -317,7 +338,7 @@ def _role_queries() -> dict[str, tuple[Query, str | None]]:
         "cluster_hypotheses": (_rows(lambda n, r: roles.hypotheses(roles.cluster_summary(n, r))), sql(f"SELECT cluster_id, 'Hypothesis: a group of ' || count(*) || ' nodes, ' || any_value(dominant_n) || ' of them ' || any_value(dominant_role) || ', with ' || sum(is_seed::INT)::BIGINT || ' seeds.' AS hypothesis FROM pr JOIN {dominant} USING (cluster_id) GROUP BY cluster_id", *priority)),
         "weight_scenarios": (_rows(lambda n, r: roles.weight_scenarios(r)), sql(" UNION ALL ".join(f"SELECT '{name}' AS scenario, gid, priority_score FROM pr_w{k}" for k, name in enumerate(weighed)), *o.ROLES, o.ACTIVE_SHARES, *[o.scored(f"_w{k}", w, "") for k, w in enumerate(weighed.values())])),
         "selection_profile": (_rows(lambda n, r: roles.selection_profile(r.orderBy(F.desc("priority_score"), "gid").limit(30))), sql(f"SELECT count(*) AS n_nodes, sum(is_seed::INT)::BIGINT AS n_seeds, count(DISTINCT role) AS n_roles, count(DISTINCT cluster_id) AS n_clusters, {six('avg(seed_reach)')} AS mean_reach, CAST(sum(in_cents) AS BIGINT) AS in_cents FROM (SELECT * FROM pr ORDER BY priority_score DESC, gid LIMIT 30)", *priority)),
-        "metric_overlap": (_rows(lambda n, r: stats.top_matrix(r, "gid", ("in_deg", "out_deg", "in_tx", "out_tx"), 50)), sql("SELECT x.m AS a, y.m AS b, count(*) AS shared FROM tt x JOIN tt y USING (gid) GROUP BY x.m, y.m", o.DEGREES, o.FLOWS, "tt AS (SELECT gid, m FROM (SELECT gid, m, row_number() OVER (PARTITION BY m ORDER BY v DESC, gid) AS r FROM (SELECT gid, 'in_deg' AS m, in_deg AS v FROM deg UNION ALL SELECT gid, 'out_deg', out_deg FROM deg UNION ALL SELECT gid, 'in_tx', in_tx FROM fl UNION ALL SELECT gid, 'out_tx', out_tx FROM fl)) WHERE r <= 50)")),
+        "metric_overlap": (_plain(lambda n, r: stats.top_matrix(r, "gid", ("in_deg", "out_deg", "in_tx", "out_tx"), 50)), sql("SELECT x.m AS a, y.m AS b, count(*) AS shared FROM tt x JOIN tt y USING (gid) GROUP BY x.m, y.m", o.DEGREES, o.FLOWS, "tt AS (SELECT gid, m FROM (SELECT gid, m, row_number() OVER (PARTITION BY m ORDER BY v DESC, gid) AS r FROM (SELECT gid, 'in_deg' AS m, in_deg AS v FROM deg UNION ALL SELECT gid, 'out_deg', out_deg FROM deg UNION ALL SELECT gid, 'in_tx', in_tx FROM fl UNION ALL SELECT gid, 'out_tx', out_tx FROM fl)) WHERE r <= 50)")),
         "sampling_error": (_rows(lambda n, r: stats.metric_error(r.select("gid", "betweenness"), centrality.betweenness(n, 64), "gid", "betweenness")), None),
         "role_scenarios": (_cases(lambda m: m), sql(o.ALL_SCENARIOS, *o.SCENARIOS)),
         "role_stability": (_cases(roles.stability), sql(f"SELECT gid, count(DISTINCT role) AS roles, count(DISTINCT role) = 1 AS stable FROM ({o.ALL_SCENARIOS}) GROUP BY gid", *o.SCENARIOS)),
@@ -328,21 +349,21 @@ def _role_queries() -> dict[str, tuple[Query, str | None]]:
         "simple_rankings": (_rows(lambda n, r: roles.simple_rankings(r)), sql("""SELECT x.ranking, k, count(p.gid) AS shared FROM (SELECT unnest([20, 50])::INTEGER AS k), tt x LEFT JOIN pt p ON p.gid = x.gid AND p.r <= k WHERE x.r <= k GROUP BY x.ranking, k""", *priority,
           "pt AS (SELECT gid, row_number() OVER (ORDER BY priority_score DESC, gid) AS r FROM pr)", "tt AS (SELECT ranking, gid, row_number() OVER (PARTITION BY ranking ORDER BY v DESC, gid) AS r FROM (" + " UNION ALL ".join(f"SELECT '{name}' AS ranking, gid, ({v})::DOUBLE AS v FROM pr" for name, v in (
             ("observed_flow_max", "greatest(in_cents, out_cents)"), ("observed_flow_in_plus_out", "in_cents + out_cents"), ("fanin", "in_deg"), ("fanout", "out_deg"), ("seed_reach", "seed_reach"), ("exact_betweenness", "betweenness"))) + "))")),
-        "auc": (_rows(lambda n, r: stats.auc(seedish(r), "in_tx", "is_seed")), sql(f"SELECT p AS pos, m AS n, {six('(s - p * (p + 1) / 2.0) / (p * (m - p))')} AS auc FROM (SELECT sum(CASE WHEN is_seed THEN r END) AS s, sum(is_seed::INT)::BIGINT AS p, count(*) AS m FROM (SELECT is_seed, {ranks('in_tx')} AS r FROM fl JOIN nodes USING (gid)))", o.FLOWS)),
-        "ks": (_rows(lambda n, r: stats.ks_distance(seedish(r), "in_tx", "is_seed")), sql(f"SELECT {six('max(abs(a / (SELECT count(*) FROM seeds) - b / (SELECT count(*) FROM nodes WHERE NOT is_seed)))')} AS ks FROM (SELECT DISTINCT in_tx, CAST(sum(is_seed::INT) OVER (ORDER BY in_tx) AS DOUBLE) AS a, CAST(sum((NOT is_seed)::INT) OVER (ORDER BY in_tx) AS DOUBLE) AS b FROM fl JOIN nodes USING (gid))", o.FLOWS)),
-        "adjusted_rand": (_rows(lambda n, r: stats.adjusted_rand(r.join(paths.components(n), "gid"), "cluster_id", "component_id")), sql(f"SELECT {six('(ab - a * b / t) / ((a + b) / 2 - a * b / t)')} AS rand FROM (SELECT sum(c * (c - 1) / 2.0) AS ab FROM (SELECT count(*) AS c FROM cu JOIN cmp USING (gid) GROUP BY cluster_id, component_id)), (SELECT sum(c * (c - 1) / 2.0) AS a FROM (SELECT count(*) AS c FROM cu GROUP BY cluster_id)), (SELECT sum(c * (c - 1) / 2.0) AS b FROM (SELECT count(*) AS c FROM cmp GROUP BY component_id)), (SELECT count(*) * (count(*) - 1) / 2.0 AS t FROM nodes)", o.CLUSTER, o.ALL_COMPONENTS)),
-        "spearman": (_rows(lambda n, r: stats.spearman(seedish(r), "in_deg", "out_deg")), sql(f"SELECT {six('corr(a, b)')} AS rho FROM (SELECT {ranks('in_deg')} AS a, {ranks('out_deg')} AS b FROM deg)", o.DEGREES)),
-        "topk_overlap": (_rows(lambda n, r: stats.top_overlap(seedish(r), "gid", "in_deg", "out_deg", 25)), sql(f"SELECT count(*) FILTER (WHERE c = 2) AS shared, count(*) AS either, {six('count(*) FILTER (WHERE c = 2) / count(*)::DOUBLE')} AS jaccard FROM (SELECT gid, count(*) AS c FROM ((SELECT gid FROM deg ORDER BY in_deg DESC, gid LIMIT 25) UNION ALL (SELECT gid FROM deg ORDER BY out_deg DESC, gid LIMIT 25)) GROUP BY gid)", o.DEGREES)),
+        "auc": (_plain(lambda n, r: stats.auc(seedish(r), "in_tx", "is_seed")), sql(f"SELECT p AS pos, m AS n, {six('(s - p * (p + 1) / 2.0) / (p * (m - p))')} AS auc FROM (SELECT sum(CASE WHEN is_seed THEN r END) AS s, sum(is_seed::INT)::BIGINT AS p, count(*) AS m FROM (SELECT is_seed, {ranks('in_tx')} AS r FROM fl JOIN nodes USING (gid)))", o.FLOWS)),
+        "ks": (_plain(lambda n, r: stats.ks_distance(seedish(r), "in_tx", "is_seed")), sql(f"SELECT {six('max(abs(a / (SELECT count(*) FROM seeds) - b / (SELECT count(*) FROM nodes WHERE NOT is_seed)))')} AS ks FROM (SELECT DISTINCT in_tx, CAST(sum(is_seed::INT) OVER (ORDER BY in_tx) AS DOUBLE) AS a, CAST(sum((NOT is_seed)::INT) OVER (ORDER BY in_tx) AS DOUBLE) AS b FROM fl JOIN nodes USING (gid))", o.FLOWS)),
+        "adjusted_rand": (_plain(lambda n, r: stats.adjusted_rand(r.join(paths.components(n), "gid"), "cluster_id", "component_id")), sql(f"SELECT {six('(ab - a * b / t) / ((a + b) / 2 - a * b / t)')} AS rand FROM (SELECT sum(c * (c - 1) / 2.0) AS ab FROM (SELECT count(*) AS c FROM cu JOIN cmp USING (gid) GROUP BY cluster_id, component_id)), (SELECT sum(c * (c - 1) / 2.0) AS a FROM (SELECT count(*) AS c FROM cu GROUP BY cluster_id)), (SELECT sum(c * (c - 1) / 2.0) AS b FROM (SELECT count(*) AS c FROM cmp GROUP BY component_id)), (SELECT count(*) * (count(*) - 1) / 2.0 AS t FROM nodes)", o.CLUSTER, o.ALL_COMPONENTS)),
+        "spearman": (_plain(lambda n, r: stats.spearman(seedish(r), "in_deg", "out_deg")), sql(f"SELECT {six('corr(a, b)')} AS rho FROM (SELECT {ranks('in_deg')} AS a, {ranks('out_deg')} AS b FROM deg)", o.DEGREES)),
+        "topk_overlap": (_plain(lambda n, r: stats.top_overlap(seedish(r), "gid", "in_deg", "out_deg", 25)), sql(f"SELECT count(*) FILTER (WHERE c = 2) AS shared, count(*) AS either, {six('count(*) FILTER (WHERE c = 2) / count(*)::DOUBLE')} AS jaccard FROM (SELECT gid, count(*) AS c FROM ((SELECT gid FROM deg ORDER BY in_deg DESC, gid LIMIT 25) UNION ALL (SELECT gid FROM deg ORDER BY out_deg DESC, gid LIMIT 25)) GROUP BY gid)", o.DEGREES)),
         "output_checks": (_rows(lambda n, r: checks(n, spoiled_rows(r))), sql("""SELECT sum((g = 1)::INT)::BIGINT AS bad_role, sum((g = 2)::INT)::BIGINT AS bad_score, sum((g = 3)::INT)::BIGINT AS bad_priority, sum((g = 4)::INT)::BIGINT AS repeated, sum((role = 'peripheral' AND g IN (1, 5))::INT)::BIGINT AS bad_reason
           FROM (SELECT gid % 10 AS g, role FROM rl)""", *scored[:-2])),
         "full_roles": (_run(lambda n, r: r.select("gid", "cluster_id", "role", "role_score", "priority_score")), None),
         "full_top": (_run(lambda n, r: roles.top_nodes(r)), None),
         "full_clusters": (_run(lambda n, r: _texts(roles.cluster_summary(n, r), "top_gids")), None),
         "search_filter": (_rows(lambda n, r: explore.search(roles.evidence(r), "1", "terminal").select("gid", "role", "depth")), sql("SELECT gid, role, depth FROM rl WHERE role = 'terminal' AND (contains(CAST(gid AS VARCHAR), '1') OR contains(CAST(in_deg AS VARCHAR), '1') OR contains(format('{:.2f}', in_cents / 100.0::DOUBLE), '1'))", *scored[:-2])),
-        "kpis": (_rows(lambda n, r: explore.key_figures(n, r.where("depth <= 2"))), sql("SELECT (SELECT count(*) FROM nodes WHERE depth <= 2) AS n_nodes, (SELECT count(*) FROM seeds) AS n_seeds, (SELECT count(DISTINCT cluster_id) FROM cu JOIN nodes USING (gid) WHERE depth <= 2) AS n_clusters, count(*) AS n_edges, CAST(sum(n_tx) AS BIGINT) AS n_tx, CAST(sum(cents) AS BIGINT) AS cents FROM edges WHERE src IN (SELECT gid FROM nodes WHERE depth <= 2) AND dst IN (SELECT gid FROM nodes WHERE depth <= 2)", o.CLUSTER)),
+        "kpis": (_plain(lambda n, r: explore.key_figures(n, r.where("depth <= 2"))), sql("SELECT (SELECT count(*) FROM nodes WHERE depth <= 2) AS n_nodes, (SELECT count(*) FROM seeds) AS n_seeds, (SELECT count(DISTINCT cluster_id) FROM cu JOIN nodes USING (gid) WHERE depth <= 2) AS n_clusters, count(*) AS n_edges, CAST(sum(n_tx) AS BIGINT) AS n_tx, CAST(sum(cents) AS BIGINT) AS cents FROM edges WHERE src IN (SELECT gid FROM nodes WHERE depth <= 2) AND dst IN (SELECT gid FROM nodes WHERE depth <= 2)", o.CLUSTER)),
         "role_mix": (_rows(lambda n, r: explore.role_mix(r)), sql(f"SELECT role, count(*) AS n, {six('count(*)::DOUBLE / (SELECT count(*) FROM nodes)')} AS share FROM rl GROUP BY role", *scored[:-2])),
         "tx_page": (_net(lambda n: explore.transaction_page(n, 3, 5, 20)), sql("SELECT src, dst, day, cents FROM tx WHERE src = 3 OR dst = 3 ORDER BY day, src, dst, cents LIMIT 20 OFFSET 5")),
-        "table_page": (_rows(lambda n, r: explore.table_page(r, "in_cents", True, 1).select("gid", "in_cents")), sql("SELECT gid, in_cents FROM fl ORDER BY in_cents DESC, gid LIMIT 20 OFFSET 20", o.FLOWS)),
+        "table_page": (_plain(lambda n, r: explore.table_page(r, "in_cents", True, 1).select("gid", "in_cents")), sql("SELECT gid, in_cents FROM fl ORDER BY in_cents DESC, gid LIMIT 20 OFFSET 20", o.FLOWS)),
         "neighbours": (_net(lambda n: explore.neighbours(n, 3)), sql("SELECT * FROM (SELECT dst AS other, 'out' AS side, cents FROM links WHERE src = 3 UNION ALL SELECT src, 'in', cents FROM links WHERE dst = 3) ORDER BY cents DESC, other, side LIMIT 25")),
         "scene": (_rows(lambda n, r: explore.scene(n, r, 60).select("src", "dst", "cents")), sql("SELECT src, dst, cents FROM edges WHERE src IN (SELECT gid FROM t60) AND dst IN (SELECT gid FROM t60)", *priority, "t60 AS (SELECT gid FROM pr ORDER BY priority_score DESC, gid LIMIT 60)")),
     }

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from flowlens.operators import centrality
-from flowlens.plans import shared
+from flowlens.plans import catalog, shared
 
 from .test_network import make
 
@@ -52,3 +52,14 @@ def test_walks_by_joins_go_in_batches_and_leave_no_files(spark, monkeypatch):
     assert found == pytest.approx(whole, abs=2e-9)
     left = [p.name.split("-")[0] for p in folder.iterdir() if p.name not in before]
     assert sorted(left) == ["dependencies"] * 3 + ["links"]
+
+
+@pytest.mark.parametrize("query", ["auc", "adjusted_rand", "kpis", "table_page"])
+def test_sums_of_nodes_need_no_betweenness(spark, monkeypatch, query):
+    def never(*_, **__):
+        raise AssertionError("betweenness")
+
+    monkeypatch.setattr(centrality, "betweenness", never)
+    monkeypatch.setattr("flowlens.operators.roles.betweenness", never)
+    monkeypatch.setattr(catalog, "_KEPT", {})
+    assert catalog.queries()[query](spark, "/root/testdata/sf0.01").count() > 0
