@@ -63,3 +63,19 @@ def test_sums_of_nodes_need_no_betweenness(spark, monkeypatch, query):
     monkeypatch.setattr("flowlens.operators.roles.betweenness", never)
     monkeypatch.setattr(catalog, "_KEPT", {})
     assert catalog.queries()[query](spark, "/root/testdata/sf0.01").count() > 0
+
+
+def test_hits_take_few_steps(spark):
+    """Two dense groups of nearly the same weight: power iteration moves by 1e-13 after over 200 steps only."""
+    group = lambda at, n: [(at + i, at + j, 1, 100) for i in range(n) for j in range(n) if i != j]
+    rows = group(0, 12)[:-1] + group(20, 12)[:-7] + [(0, 20, 1, 100)]
+    net = make(spark, [(g, g % 5) for g in range(32) if not 12 <= g < 20], rows)
+    m = np.zeros((32, 32))
+    for a, b, *_ in rows:
+        m[a, b] = 1
+    values, vectors = np.linalg.eigh(m @ m.T)
+    assert np.log(1e-13) / np.log(values[-2] / values[-1]) > 200
+    h = np.abs(vectors[:, -1])
+    a = m.T @ h
+    found = {r["gid"]: (r["hub"], r["authority"]) for r in centrality.hits(net, most=64).collect()}
+    assert all(found[g] == pytest.approx((h[g] / h.sum(), a[g] / a.sum()), abs=2e-6) for g in found)
