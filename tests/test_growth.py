@@ -8,7 +8,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 
-from flowlens.operators import centrality
+from flowlens.operators import centrality, paths
 from flowlens.plans import catalog, shared
 
 from .test_network import make
@@ -79,3 +79,32 @@ def test_hits_take_few_steps(spark):
     a = m.T @ h
     found = {r["gid"]: (r["hub"], r["authority"]) for r in centrality.hits(net, most=64).collect()}
     assert all(found[g] == pytest.approx((h[g] / h.sum(), a[g] / a.sum()), abs=2e-6) for g in found)
+
+
+def removal(nodes, pairs, v):
+    """(components, largest) of the rest, by a plain search."""
+    near = {g: set() for g in nodes if g != v}
+    for a, b in pairs:
+        if v not in (a, b) and a != b:
+            near[a].add(b)
+            near[b].add(a)
+    sizes, open_ = [], set(near)
+    while open_:
+        todo, n = [open_.pop()], 0
+        while todo:
+            n += 1
+            for u in near[todo.pop()] & open_:
+                open_.discard(u)
+                todo.append(u)
+        sizes.append(n)
+    return (len(sizes), max(sizes)) if sizes else None
+
+
+@pytest.mark.parametrize(("n", "links", "seed"), [(40, 44, 1), (40, 30, 2), (30, 60, 3), (1, 0, 4)])
+def test_removals_as_a_plain_search(spark, n, links, seed):
+    r = random.Random(seed)
+    pairs = sorted({(r.randrange(n), r.randrange(n)) for _ in range(links)})
+    net = make(spark, [(g, g % 5) for g in range(n)], [(a, b, 1, 100) for a, b in pairs])
+    found = {x["removed"]: (x["n_components"], x["largest"]) for x in paths.resilience(net, net.nodes.select("gid")).collect()}
+    expected = {v: removal(range(n), pairs, v) for v in range(n)}
+    assert found == {v: x for v, x in expected.items() if x}
