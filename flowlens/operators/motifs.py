@@ -20,7 +20,7 @@ def first_transfers(net: Network) -> DataFrame:
 
 
 def _agreement(low: Column, high: Column) -> Column:
-    return F.when(high > 0, F.rint(low / high * 10000) / 10000).otherwise(0.0)
+    return F.when(high > 0, F.rint(low * 10000.0 / high) / 10000).otherwise(0.0)
 
 
 #: Agreements at which the search for best cycles stops to settle nodes.
@@ -139,7 +139,7 @@ def detect(net: Network, longest: int = 6) -> DataFrame:
     rows = rows.withColumn("motifs", named).withColumn("leading", F.when(F.col("cycle").isNotNull(), F.lit("cycle")).otherwise(F.element_at("motifs", 1)))
     text = (
         F.when(F.col("leading") == "cycle", F.format_string("money came back through %s nodes within %s days", F.col("cycle.length"), F.col("cycle.span_days")))
-        .when(F.col("leading") == "burst", F.format_string("%s transfers on %s", F.col("burst.n"), F.col("burst.day")))
+        .when(F.col("leading") == "burst", F.format_string("%s transfers on %s", F.col("burst.n"), F.col("burst.day").cast("string")))
         .otherwise(F.format_string("%s transfers of exactly %.2f to one partner", F.col("repeat.n"), F.col("repeat.cents") / 100))
     )
     return rows.withColumn("summary", text)

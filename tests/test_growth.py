@@ -8,7 +8,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 
-from flowlens.operators import centrality, paths
+from flowlens.operators import centrality, motifs, paths
 from flowlens.plans import catalog, shared
 
 from .test_network import make
@@ -108,3 +108,16 @@ def test_removals_as_a_plain_search(spark, n, links, seed):
     found = {x["removed"]: (x["n_components"], x["largest"]) for x in paths.resilience(net, net.nodes.select("gid")).collect()}
     expected = {v: removal(range(n), pairs, v) for v in range(n)}
     assert found == {v: x for v, x in expected.items() if x}
+
+
+def test_agreement_rounds_the_exact_product(spark):
+    """Halves of a ten-thousandth: as in SQL, where amounts are multiplied before they are divided."""
+    rows = spark.createDataFrame([(2 * k + 1, 20000) for k in range(5000)], "low long, high long")
+    found = rows.select("low", motifs._agreement(rows["low"], rows["high"]).alias("x")).collect()
+    assert all(x["x"] == round(x["low"] / 2) / 10000 for x in found)
+
+
+def test_a_busy_day_is_named_by_its_date(spark):
+    net = make(spark, [(0, 0), (1, 1)], [(0, 1, 3, 100 + i) for i in range(5)])
+    days = {str(r["day"]) for r in net.tx.select("day").distinct().collect()}
+    assert {r["summary"] for r in motifs.detect(net).collect()} == {f"5 transfers on {d}" for d in days}
