@@ -8,7 +8,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 
-from flowlens.operators import centrality, motifs, paths
+from flowlens.operators import centrality, communities, motifs, paths
 from flowlens.plans import catalog, shared
 
 from .test_network import make
@@ -121,3 +121,22 @@ def test_a_busy_day_is_named_by_its_date(spark):
     net = make(spark, [(0, 0), (1, 1)], [(0, 1, 3, 100 + i) for i in range(5)])
     days = {str(r["day"]) for r in net.tx.select("day").distinct().collect()}
     assert {r["summary"] for r in motifs.detect(net).collect()} == {f"5 transfers on {d}" for d in days}
+
+
+@pytest.mark.parametrize("block_links", [250_000, 60])
+def test_rounds_broadcast_no_table(spark, monkeypatch, block_links):
+    plans = []
+
+    def noted(df, *args, **sums):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return shared.cut_and_sum(df, *args, **sums)
+
+    monkeypatch.setattr(communities, "cut_and_sum", noted)
+    monkeypatch.setattr(centrality, "cut_and_sum", noted)
+    net = graph(spark, 40, 1)
+    try:
+        communities.communities(net, block_links=block_links, most=4)
+    except communities.Unsettled:
+        pass
+    centrality.hits(net)
+    assert len(plans) > 6 and not any("BroadcastHashJoin" in p for p in plans)
