@@ -27,6 +27,9 @@ def _drawn(net: Network, seed: int) -> DataFrame:
 #: frontiers are joined. Cells (sources x nodes, and links) that a task works on at once.
 SMALL_LINKS, CELLS = 4_000_000, 500_000
 
+#: Sources that search a graph together, a bit of a word each, and rounds in which they may: a round reads all links once.
+TOGETHER_SOURCES, SEARCH_ROUNDS = 64, 64
+
 
 #: Pairs of sources and nodes that exact betweenness of a large graph may hold as state.
 MOST_PAIRS = 10**12
@@ -66,21 +69,103 @@ def dependencies(sources: np.ndarray, first: np.ndarray, to: np.ndarray, n: int)
     return delta.sum(axis=0), (delta * delta).sum(axis=0)
 
 
+def levels_together(sources: np.ndarray, src: np.ndarray, dst: np.ndarray, n: int, most: int = SEARCH_ROUNDS) -> tuple[np.ndarray, list[np.ndarray]] | None:
+    """For up to 64 sources, a bit of a word each: which links lead one level on (a word a link), and each node's level in binary
+    (a word a node for each digit; of nodes that are reached). None if some source sees further than most - 1 links.
+
+    Links src -> dst are in order of dst. A round reads all links once for all sources.
+    """
+    word = np.dtype("<u8")
+    first = np.flatnonzero(np.diff(dst, prepend=-1))
+    paid = dst[first]
+    seen = np.zeros(n, word)
+    np.bitwise_or.at(seen, sources, np.left_shift(np.uint64(1), np.arange(len(sources), dtype=word)))
+    new, ahead, digits = seen.copy(), np.zeros(len(src), word), []
+    for _ in range(most):
+        more = ~seen  # whom a source has not met is a level further on
+        for j, digit in enumerate(digits):
+            digits[j], more = digit ^ more, digit & more
+        if more.any():
+            digits.append(more)
+        sent, new = new[src], np.zeros(n, word)
+        new[paid] = np.bitwise_or.reduceat(sent, first)
+        new &= ~seen
+        if not new.any():
+            return ahead, digits
+        sent &= new[dst]
+        ahead |= sent
+        seen |= new
+    return None
+
+
+def dependencies_together(sources: np.ndarray, src: np.ndarray, dst: np.ndarray, n: int, most: int = SEARCH_ROUNDS) -> tuple[np.ndarray, np.ndarray] | None:
+    """What dependencies returns, for up to 64 sources of a graph of few levels, or None where there are more than `most`: levels are
+    searched for all sources together, so that each source by itself reads only the links that lead one level on."""
+    found = levels_together(sources, src, dst, n, most)
+    if found is None:
+        return None
+    total, squares, place = np.zeros(n), np.zeros(n), np.zeros(n, np.intp)
+    for i, source in enumerate(sources):
+        if i % 8 == 0:  # the byte of each word that holds the bits of eight sources
+            ahead, *digits = (np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, i // 8]) for x in (found[0], *found[1]))
+        bit, level = np.uint8(1 << i % 8), np.zeros(n, np.uint8)
+        for digit in reversed(digits):
+            level += level
+            level += (digit & bit) != 0
+        link = np.flatnonzero((ahead & bit) != 0)
+        if not len(link):
+            continue
+        # links by the level and place of whom they pay, and nodes in that order, the source first
+        to = dst[link]
+        order = np.argsort(level[to], kind="stable")
+        to, by = to[order], src[link[order]]
+        begins = np.append(True, to[1:] != to[:-1])
+        nodes, first = to[begins], np.append(np.flatnonzero(begins), len(to))
+        many = np.diff(first)
+        place[source], place[nodes] = 0, np.arange(1, len(nodes) + 1)
+        to, by, depth = np.repeat(np.arange(1, len(nodes) + 1), many), place[by], level[nodes]
+        ends = np.searchsorted(depth, np.arange(1, depth[-1] + 2, dtype=np.uint8))
+        at, ends = first[ends], [0, *(ends + 1)]
+        steps = [(slice(*ends[j : j + 2]), slice(*ends[j + 1 : j + 3]), slice(*at[j : j + 2])) for j in range(len(at) - 1)]
+        paths, delta = np.ones(len(nodes) + 1), np.zeros(len(nodes) + 1)
+        for _, here, links in steps:
+            paths[here] = np.bincount(to[links] - here.start, paths[by[links]])
+        for back, here, links in reversed(steps[1:]):
+            share = np.repeat((1 + delta[here]) / paths[here], many[here.start - 1 : here.stop - 1])
+            delta[back] = paths[back] * np.bincount(by[links] - back.start, share, minlength=back.stop - back.start)
+        own = np.zeros(n)
+        own[nodes] = delta[1:]
+        total += own
+        own *= own
+        squares += own
+    return total, squares
+
+
+def dependencies_of(sources: np.ndarray, src: np.ndarray, dst: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sums over any number of sources: 64 together, and by themselves those that see too far for it. Links are in order of dst."""
+    total, squares, chunk = np.zeros(n), np.zeros(n), max(1, min(64, CELLS // max(len(src), 1)))
+    for at in range(0, len(sources), TOGETHER_SOURCES):
+        part = sources[at : at + TOGETHER_SOURCES]
+        found = [dependencies_together(part, src, dst, n)]
+        if found[0] is None:
+            order = np.argsort(src, kind="stable")
+            first, to = np.concatenate([[0], np.cumsum(np.bincount(src, minlength=n))]), dst[order]
+            found = (dependencies(part[j : j + chunk], first, to, n) for j in range(0, len(part), chunk))
+        for sums, of_squares in found:
+            total += sums
+            squares += of_squares
+    return total, squares
+
+
 def _by_source(sources: DataFrame, links: DataFrame, groups: int) -> DataFrame:
     """(gid, b, b2): dependencies and their squares summed over sources, each group of sources beside a copy of the links; for graphs within the bounds."""
 
     def of(rows: pa.Table) -> pa.Table:
         src, dst = (rows.column(c).drop_null().to_numpy() for c in ("src", "dst"))
         ids, place = np.unique(np.concatenate([src, dst]), return_inverse=True)
-        order = np.argsort(place[: len(src)], kind="stable")
-        first = np.concatenate([[0], np.cumsum(np.bincount(place[: len(src)], minlength=len(ids)))])
-        to, start = place[len(src) :][order], np.searchsorted(ids, rows.column("s").drop_null().to_numpy())
-        total, squares = np.zeros(len(ids)), np.zeros(len(ids))
-        chunk = max(1, min(64, CELLS // max(len(src), 1)))
-        for part in range(0, len(start), chunk):
-            sums = dependencies(start[part : part + chunk], first, to, len(ids))
-            total += sums[0]
-            squares += sums[1]
+        order = np.argsort(place[len(src) :], kind="stable")
+        src, dst = place[: len(src)][order], place[len(src) :][order]
+        total, squares = dependencies_of(np.searchsorted(ids, rows.column("s").drop_null().to_numpy()), src, dst, len(ids))
         some = total > 0
         return pa.table({"gid": pa.array(ids[some], pa.int64()), "b": pa.array(total[some], pa.float64()), "b2": pa.array(squares[some], pa.float64())})
 

@@ -140,3 +140,43 @@ def test_rounds_broadcast_no_table(spark, monkeypatch, block_links):
         pass
     centrality.hits(net)
     assert len(plans) > 6 and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def plain_levels(source, pairs, n):
+    """Links from source to each node; n where there is no path."""
+    level, here = [n] * n, {source}
+    for k in range(n):
+        for v in here:
+            level[v] = k
+        here = {b for a, b in pairs if a in here and level[b] == n}
+    return level
+
+
+@pytest.mark.parametrize(("n", "many", "seed"), [(300, 1200, 1), (60, 70, 2), (40, 400, 3), (5, 3, 4)])
+def test_sources_search_together(n, many, seed):
+    """64 sources read the links once a round, not once each, and give the sums that each gives by itself."""
+    r = random.Random(seed)
+    pairs = {(a, b) for a, b in ((r.randrange(n), r.randrange(n)) for _ in range(many)) if a != b}
+    src, dst = (np.array(x) for x in zip(*sorted(pairs, key=lambda p: p[::-1]), strict=True))
+    first, to = np.append(0, np.cumsum(np.bincount(src, minlength=n))), dst[np.argsort(src, kind="stable")]
+    sources = np.array(r.sample(range(n), min(n, 64)))
+    levels = [plain_levels(s, pairs, n) for s in sources]
+    deepest = max(x for one in levels for x in one if x < n)
+    assert centrality.levels_together(sources, src, dst, n, deepest) is None
+    ahead, digits = centrality.levels_together(sources, src, dst, n, deepest + 1)
+    for i, one in enumerate(levels):
+        bit = lambda x: ((x >> np.uint64(i)) & np.uint64(1)).astype(int)  # noqa: B023, E731
+        assert bit(ahead).tolist() == [one[b] == one[a] + 1 for a, b in zip(src, dst, strict=True)]
+        found = sum((bit(x) << j for j, x in enumerate(digits)), np.zeros(n, int))
+        assert all(x in (n, y) for x, y in zip(one, found, strict=True))
+    own = [centrality.dependencies(np.array([s]), first, to, n) for s in sources]
+    together = centrality.dependencies_together(sources, src, dst, n)
+    for got, plain, whole in zip(together, zip(*own, strict=True), centrality.dependencies_of(sources, src, dst, n), strict=True):
+        assert got == pytest.approx(sum(plain), rel=1e-12) and (got == whole).all()
+
+
+def test_deep_graphs_go_source_by_source(spark):
+    n = 150  # a chain of more levels than sources search together
+    net = make(spark, [(g, 0) for g in range(n)], [(g, g + 1, 1, 100) for g in range(n - 1)])
+    found = {r["gid"]: r["betweenness"] for r in centrality.betweenness(net).collect()}
+    assert found == pytest.approx({v: v * (n - 1 - v) / ((n - 1) * (n - 2)) for v in range(n)}, abs=1e-9)
