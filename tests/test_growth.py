@@ -180,3 +180,22 @@ def test_deep_graphs_go_source_by_source(spark):
     net = make(spark, [(g, 0) for g in range(n)], [(g, g + 1, 1, 100) for g in range(n - 1)])
     found = {r["gid"]: r["betweenness"] for r in centrality.betweenness(net).collect()}
     assert found == pytest.approx({v: v * (n - 1 - v) / ((n - 1) * (n - 2)) for v in range(n)}, abs=1e-9)
+
+
+@pytest.mark.parametrize("chain", [0, 80])
+def test_leaves_are_not_searched(monkeypatch, chain):
+    """Nodes that pay no one and are paid by one node are in no search, and count all the same; a chain makes the graph deep."""
+    r, n = random.Random(6), 60
+    core = {(r.randrange(20), r.randrange(20)) for _ in range(50)} | {(20 + i, 21 + i) for i in range(chain)} | ({(3, 20)} if chain else set())
+    n = max(n, 21 + chain)
+    pairs = {(a, b) for a, b in core if a != b} | {(r.randrange(20), n + i) for i in range(30)}
+    n += 30
+    src, dst = (np.array(x) for x in zip(*sorted(pairs, key=lambda p: p[::-1]), strict=True))
+    first, to = np.append(0, np.cumsum(np.bincount(src, minlength=n))), dst[np.argsort(src, kind="stable")]
+    plain = centrality.dependencies(np.unique(src), first, to, n)
+    searched, links = [], centrality.Links
+    monkeypatch.setattr(centrality, "Links", lambda src, dst, n: searched.append(len(src)) or links(src, dst, n))
+    got = centrality.dependencies_of(np.unique(src), src, dst, n)
+    assert searched and max(searched) <= len(pairs) - 30
+    for a, b in zip(got, plain, strict=True):
+        assert a == pytest.approx(b, rel=1e-12)
