@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import threading
 from pathlib import Path
 
 import numpy as np
@@ -199,3 +200,32 @@ def test_leaves_are_not_searched(monkeypatch, chain):
     assert searched and max(searched) <= len(pairs) - 30
     for a, b in zip(got, plain, strict=True):
         assert a == pytest.approx(b, rel=1e-12)
+
+
+def test_a_sweep_of_communities_shuffles_few_times(spark, monkeypatch):
+    plans = []
+
+    def noted(df, label, **sums):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return shared.cut_and_sum(df, label, **sums)
+
+    monkeypatch.setattr(communities, "cut_and_sum", noted)
+    with pytest.raises(communities.Unsettled):
+        communities.communities(graph(spark, 40, 1), block_links=30, most=1)
+    sweeps = [p for p in plans if "FlatMapGroupsInArrow" in p]
+    assert sweeps and max(p.count("Exchange hashpartitioning") for p in sweeps) <= 12
+
+
+def test_resolutions_are_searched_at_the_same_time(spark, monkeypatch):
+    net = graph(spark, 20, 1)
+    made = net.nodes.selectExpr("gid", "gid div 5 AS cluster_id")
+    together, tried = threading.Barrier(3, timeout=20), []
+
+    def found(_, resolution=1.0):
+        together.wait()
+        tried.append(resolution)
+        return made
+
+    monkeypatch.setattr(communities, "communities", found)
+    assert [(r["resolution"], r["rand"]) for r in catalog._resolutions(net).collect()] == [(0.8, 1.0), (1.2, 1.0)]
+    assert sorted(tried) == [0.8, 1.0, 1.2]
