@@ -229,3 +229,13 @@ def test_resolutions_are_searched_at_the_same_time(spark, monkeypatch):
     monkeypatch.setattr(communities, "communities", found)
     assert [(r["resolution"], r["rand"]) for r in catalog._resolutions(net).collect()] == [(0.8, 1.0), (1.2, 1.0)]
     assert sorted(tried) == [0.8, 1.0, 1.2]
+
+
+def test_nodes_of_two_blocks_do_not_change_places(spark):
+    """Pairs whose nodes lie in different blocks: in a one-way sweep one of them moves to the other, so none swap."""
+    pairs = [(2 * i, 2 * i + 1) for i in range(40)]
+    both = spark.createDataFrame([(a, b, 1.0) for p in pairs for a, b in (p, p[::-1])], "a long, b long, w double")
+    place = spark.createDataFrame([(g, 1.0, g) for p in pairs for g in p], "gid long, k double, c long")
+    made, moves = communities._sweep(both, place, 5, 16, 0, 1 / 80, True)
+    at = {r["gid"]: r["c"] for r in made.collect()}
+    assert moves == 40 and all(at[a] == at[b] for a, b in pairs)
